@@ -119,6 +119,110 @@ SELECT id, code, (number_of_uses <> 0 AND active) AS valid, percent_bp / 100 AS
 FROM discount_codes
 """
 
+# ---- lookups ---------------------------------------------------------------
+SQL["lookup_brands"] = "SELECT id, name FROM brands"
+SQL["lookup_product_types"] = "SELECT id, type FROM product_types"
+SQL["lookup_filter_categories"] = "SELECT id, name FROM filter_categories"
+SQL["lookup_order_statuses"] = "SELECT id, status FROM order_statuses"
+SQL["lookup_countries"] = "SELECT id, name FROM shipping_countries"
+SQL["lookup_brand_by_id"] = """
+SELECT b.id AS base_product_id, b.brand_id, br.name
+FROM base_products b LEFT JOIN brands br ON br.id = b.brand_id
+"""
+SQL["all_product_ids"] = "SELECT id FROM products"
+
+# ---- history and favourites -------------------------------------------------
+SQL["recent_views"] = """
+SELECT customer_id, product_id, date_viewed, position FROM (
+  SELECT customer_id, product_id, date_viewed,
+         row_number() OVER (PARTITION BY customer_id ORDER BY date_viewed DESC, product_id) AS position
+  FROM (
+    SELECT customer_id, product_id, date_viewed,
+           row_number() OVER (PARTITION BY customer_id, product_id ORDER BY date_viewed DESC) AS rnk
+    FROM product_view_history) r
+  WHERE rnk = 1) t
+WHERE position <= 20
+"""
+SQL["viewed_on_day"] = """
+SELECT f.customer_id, f.product_id,
+       EXISTS (SELECT 1 FROM product_view_history h
+               WHERE h.customer_id = f.customer_id AND h.product_id = f.product_id
+                 AND h.date_viewed = DATE '2024-01-15') AS viewed
+FROM customer_favourite_products f
+"""
+SQL["favourites"] = "SELECT customer_id, product_id FROM customer_favourite_products"
+SQL["has_favourited"] = """
+SELECT p.customer_id, p.product_id,
+       EXISTS (SELECT 1 FROM customer_favourite_products f
+               WHERE f.customer_id = p.customer_id AND f.product_id = p.product_id) AS favourited
+FROM (SELECT DISTINCT customer_id, product_id FROM product_view_history) p
+"""
+
+# ---- questions and answers --------------------------------------------------
+SQL["product_questions"] = "SELECT id, product_id, asked_by, question FROM product_questions"
+SQL["helpful_counts"] = """
+SELECT answer_id, helpful, count(*) AS count FROM product_question_answers_rating GROUP BY answer_id, helpful
+"""
+SQL["answers_ranked"] = """
+SELECT a.id, a.question_id, a.answer, a.answered_by,
+       CAST(coalesce((SELECT count(*) FILTER (WHERE r.helpful) - count(*) FILTER (WHERE NOT r.helpful)
+                      FROM product_question_answers_rating r WHERE r.answer_id = a.id), 0) AS BIGINT)
+         AS overall_rating
+FROM product_question_answers a
+"""
+SQL["answer_rating"] = """
+SELECT a.id AS answer_id, q.asked_by AS customer_id,
+       CAST((SELECT count(*) FILTER (WHERE r.helpful) - count(*) FILTER (WHERE NOT r.helpful)
+             FROM product_question_answers_rating r WHERE r.answer_id = a.id) AS BIGINT) AS rating,
+       (SELECT r.helpful FROM product_question_answers_rating r
+        WHERE r.answer_id = a.id AND r.customer_id = q.asked_by) AS user_found_helpful
+FROM product_question_answers a JOIN product_questions q ON a.question_id = q.id
+"""
+
+# ---- addresses and accounts -------------------------------------------------
+SQL["customer_addresses"] = """
+SELECT a.id, a.customer_id, a.area_code, a.first_address_line, a.second_address_line, a.state, a.country_id,
+       c.name AS country_name
+FROM shipping_addresses a LEFT JOIN shipping_countries c ON c.id = a.country_id
+"""
+SQL["default_addresses"] = """
+SELECT d.customer_id, a.id, a.area_code, a.first_address_line, a.second_address_line, a.state, a.country_id,
+       c.name AS country_name
+FROM default_shipping_address d
+LEFT JOIN shipping_addresses a ON a.id = d.shipping_address_id
+LEFT JOIN shipping_countries c ON c.id = a.country_id
+"""
+SQL["account_types"] = """
+WITH roles AS (
+  SELECT 'customer_accounts' AS account_table, id AS role_id, account_id FROM customer_accounts
+  UNION ALL SELECT account_table, id, account_id FROM staff_accounts),
+tabs AS (SELECT unnest(['customer_accounts', 'admin_accounts', 'sale_accounts', 'support_accounts',
+                        'warehouse_accounts']) AS account_table)
+SELECT a.id AS account_id, t.account_table, r.role_id, r.role_id IS NOT NULL AS is_account_type
+FROM accounts a CROSS JOIN tabs t
+LEFT JOIN roles r ON r.account_id = a.id AND r.account_table = t.account_table
+"""
+SQL["account_lookup"] = """
+SELECT c.c_custkey AS request_id, concat(lower(replace(c.c_name, '#', '.')), '@example.com') AS email,
+       a.id AS account_id
+FROM customer c LEFT JOIN accounts a ON a.email = concat(lower(replace(c.c_name, '#', '.')), '@example.com')
+"""
+SQL["email_check"] = r"""
+SELECT id, email,
+  regexp_matches(email, '^(([^<>()\[\]\\.,;:\s@"]+(\.[^<>()\[\]\\.,;:\s@"]+)*)|(".+"))@((\[[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}])|(([a-zA-Z\-0-9]+\.)+[a-zA-Z]{2,}))$')
+  AS valid_email
+FROM accounts
+"""
+
+# ---- images -----------------------------------------------------------------
+SQL["product_images"] = "SELECT id, product_id, source AS file_name, sort_position FROM product_images"
+SQL["image_type_check"] = """
+SELECT id, product_id, source,
+       coalesce(regexp_extract(source, '^.+(\.[^.]*)$', 1), '') AS extension,
+       coalesce(regexp_extract(source, '^.+(\.[^.]*)$', 1), '') IN ('.png', '.jpeg', '.jpg') AS accepted
+FROM product_images
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {name: with_fixtures(body) for name, body in SQL.items()}
