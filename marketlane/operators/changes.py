@@ -218,62 +218,72 @@ def insert_groups(parts: list[GroupPart], checkpoint: bool = True, max_rounds: i
     """Insert all rows of a group or none; a group's outcome is the outcome
     of its first failing row (by ``seq``), OK when none fails.
 
-    Exact one-group-at-a-time semantics: a rejected group does not hold its
-    keys. Groups whose keys no earlier undecided group claims are decided
-    together in one round (always at least the earliest one); rounds repeat
-    until every group is decided. Each round's decisions are checkpointed to
-    the shared checkpoint folder, so the lineage stays one round deep.
-
-    Returns (tables: dict name -> DataFrame, group_outcomes DataFrame with
-    ``group_id``, ``outcome``).
+    Exact one-group-at-a-time semantics (a rejected group holds none of its
+    keys), decided in rounds. In a round every undecided group whose outcome
+    can no longer change is settled:
+
+    * a row *fails now* when its key is taken (table, accepted groups, or an
+      earlier row of its own group) -> CONFLICT, or an FK misses -> FK
+      violation;
+    * a row is *open* when an earlier undecided group claims its key and it
+      does not already fail with CONFLICT (that group may still take the key);
+    * no failing and no open row -> OK; a failing row before every open row
+      -> rejected with that row's outcome.
+
+    The earliest undecided group has no open row, so each round settles at
+    least one group; a key claimed by many groups settles in two rounds (the
+    first claimant, then everyone else). Decisions are checkpointed each round
+    to the shared checkpoint folder, keeping the lineage one round deep.
+
+    Returns (tables: dict name -> DataFrame, group outcomes ``group_id``,
+    ``outcome``).
     """
-    groups = None
+    order = None
     for p in parts:
         g = p.rows.groupBy("group_id").agg(F.min("seq").alias("_w_order"))
-        groups = g if groups is None else groups.unionByName(g)
-    groups = groups.groupBy("group_id").agg(F.min("_w_order").alias("_w_order"))
-    undecided = groups
+        order = g if order is None else order.unionByName(g)
+    order = order.groupBy("group_id").agg(F.min("_w_order").alias("_w_order"))
+    undecided = order
     decided = None
-    accepted_rows = {p.name: None for p in parts}
-    spark = groups.sparkSession
+    accepted = {p.name: None for p in parts}
 
     for _round in range(max_rounds):
         if undecided.isEmpty():
             break
-        # A group is ready when, for each of its keys, no earlier undecided group claims it.
-        ready = undecided
+        judged = None
         for p in parts:
-            if not p.unique:
-                continue
-            keyed = (p.rows.join(undecided, "group_id")
-                     .where(_all([F.col(k).isNotNull() for k in p.unique]))
-                     .select("group_id", "_w_order", *p.unique))
-            first = keyed.groupBy(*p.unique).agg(F.min("_w_order").alias("_w_first"))
-            blocked = (keyed.join(first, p.unique).where(F.col("_w_first") < F.col("_w_order"))
-                       .select("group_id").distinct())
-            ready = ready.join(blocked, "group_id", "left_anti")
-        # Judge the ready groups' rows against the table plus rows accepted so far.
-        row_outcomes = None
-        for p in parts:
-            current = p.target if accepted_rows[p.name] is None else p.target.unionByName(accepted_rows[p.name])
-            rows = p.rows.join(ready.select("group_id"), "group_id", "left_semi")
-            res = insert_rows(current, rows, unique=p.unique, fks=p.fks)
-            o = res.outcomes.select("group_id", "seq", "outcome")
-            row_outcomes = o if row_outcomes is None else row_outcomes.unionByName(o)
-        verdict = (row_outcomes.groupBy("group_id")
-                   .agg(F.min_by(F.when(F.col("outcome") != OK, F.col("outcome")),
-                                 F.when(F.col("outcome") != OK, F.col("seq"))).alias("_w_fail"))
-                   .select("group_id", F.coalesce("_w_fail", F.lit(OK)).alias("outcome")))
+            rows = p.rows.join(undecided, "group_id")
+            rows = _with_fk_checks(rows, p.fks)
+            fail = F.when(~F.col("_w_fk_ok"), F.lit(FOREIGN_KEY_VIOLATION))
+            open_ = F.lit(False)
+            if p.unique:
+                key_nn = _all([F.col(k).isNotNull() for k in p.unique])
+                current = p.target if accepted[p.name] is None else p.target.unionByName(accepted[p.name])
+                rows = _key_present(rows, current, p.unique, "_w_taken")
+                own_first = (rows.where(key_nn).groupBy("group_id", *p.unique)
+                             .agg(F.min("seq").alias("_w_own_first")))
+                claim = (rows.where(key_nn).groupBy(*p.unique).agg(F.min("_w_order").alias("_w_claim")))
+                rows = rows.join(own_first, ["group_id", *p.unique], "left").join(claim, p.unique, "left")
+                conflict = key_nn & (F.col("_w_taken").isNotNull() | (F.col("_w_own_first") < F.col("seq")))
+                fail = F.when(conflict, F.lit(CONFLICT)).when(~F.col("_w_fk_ok"), F.lit(FOREIGN_KEY_VIOLATION))
+                open_ = key_nn & (F.col("_w_claim") < F.col("_w_order")) & ~conflict
+            j = rows.select("group_id", "seq", fail.alias("_w_fail"), open_.alias("_w_open"))
+            judged = j if judged is None else judged.unionByName(j)
+        per_group = judged.groupBy("group_id").agg(
+            F.min(F.when(F.col("_w_fail").isNotNull(), F.col("seq"))).alias("_w_fail_seq"),
+            F.min_by(F.col("_w_fail"), F.when(F.col("_w_fail").isNotNull(), F.col("seq"))).alias("_w_fail_out"),
+            F.min(F.when(F.col("_w_open"), F.col("seq"))).alias("_w_open_seq"))
+        fs, os_ = F.col("_w_fail_seq"), F.col("_w_open_seq")
+        verdict = (per_group
+                   .where((fs.isNull() & os_.isNull()) | (fs.isNotNull() & (os_.isNull() | (fs < os_))))
+                   .select("group_id", F.coalesce(F.col("_w_fail_out"), F.lit(OK)).alias("outcome")))
         if checkpoint:
             verdict = verdict.checkpoint(eager=True)
         ok_groups = verdict.where(F.col("outcome") == OK).select("group_id")
         for p in parts:
             new = p.rows.join(ok_groups, "group_id", "left_semi").select(*p.target.columns)
-            prev = accepted_rows[p.name]
-            acc = new if prev is None else prev.unionByName(new)
-            if checkpoint:
-                acc = acc.checkpoint(eager=True)
-            accepted_rows[p.name] = acc
+            acc = new if accepted[p.name] is None else accepted[p.name].unionByName(new)
+            accepted[p.name] = acc.checkpoint(eager=True) if checkpoint else acc
         decided = verdict if decided is None else decided.unionByName(verdict)
         if checkpoint:
             decided = decided.checkpoint(eager=True)
@@ -284,9 +294,7 @@ def insert_groups(parts: list[GroupPart], checkpoint: bool = True, max_rounds: i
         raise RuntimeError("insert_groups did not converge")
 
     if decided is None:
-        decided = spark.createDataFrame([], "group_id bigint, outcome string")
-    tables = {}
-    for p in parts:
-        acc = accepted_rows[p.name]
-        tables[p.name] = p.target if acc is None else p.target.unionByName(acc)
+        decided = order.sparkSession.createDataFrame([], "group_id bigint, outcome string")
+    tables = {p.name: (p.target if accepted[p.name] is None else p.target.unionByName(accepted[p.name]))
+              for p in parts}
     return tables, decided

@@ -201,3 +201,26 @@ def test_trim_columns(spark):
     df = _df(spark, [("  a b \t", " x")], "name string, other string")
     row = W.trim_columns(df, ["name"]).collect()[0]
     assert row.name == "a b" and row.other == " x"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_insert_groups_hot_keys(spark, seed):
+    """Few keys shared by many groups: chains of dependent decisions."""
+    rnd = random.Random(500 + seed)
+    table_keys = {0}
+    parents = {0, 1}
+    rows = []
+    seq = 0
+    for g in range(25):
+        for _ in range(rnd.randint(1, 3)):
+            seq += 1
+            rows.append((g, seq, rnd.choice([1, 1, 1, 2, 3, 4, None]), rnd.choice([None, 0, 1, 9])))
+    target = _df(spark, [(k, None) for k in table_keys], "k bigint, fk bigint")
+    part_rows = _df(spark, rows, "group_id bigint, seq bigint, k bigint, fk bigint")
+    parent = _df(spark, [(p,) for p in parents], "id bigint")
+    tables, verdicts = W.insert_groups(
+        [W.GroupPart("t", target, part_rows, unique=["k"], fks={"fk": (parent, "id")})])
+    got = {r.group_id: r.outcome for r in verdicts.collect()}
+    want, final = model_groups(table_keys, parents, rows)
+    assert got == want
+    assert {r.k for r in tables["t"].collect() if r.k is not None} == final
