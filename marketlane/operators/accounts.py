@@ -77,3 +77,91 @@ def account_email(tables, ids: DataFrame) -> DataFrame:
 def email_check(accounts: DataFrame) -> DataFrame:
     """Flag each row's e-mail against the reference's pattern."""
     return accounts.select("id", "email", is_valid_email(F.col("email")).alias("valid_email"))
+
+
+# ---- changes (A3, A4, A8) -----------------------------------------------------
+
+def create_addresses(tables, batch: DataFrame):
+    """A3: new addresses (FK country and customer; new id = max + seq)."""
+    from .changes import insert_rows
+
+    cols = ["seq", "customer_id", "area_code", "first_address_line", "second_address_line", "state", "country_id"]
+    return insert_rows(tables.shipping_addresses, batch.select(*cols),
+                       fks={"country_id": (tables.shipping_countries, "id"),
+                            "customer_id": (tables.customer_accounts, "id")},
+                       id_col="id")
+
+
+def delete_addresses(tables, batch: DataFrame):
+    """A3: delete one's own address (key id + customer)."""
+    from .changes import delete_rows
+
+    return delete_rows(tables.shipping_addresses, batch.select("seq", "id", "customer_id"),
+                       key=["id", "customer_id"])
+
+
+def set_default_addresses(tables, batch: DataFrame):
+    """A4: set a default (one per customer; FK address; the address's owner is
+    not checked, as in the reference)."""
+    from .changes import insert_rows
+
+    return insert_rows(tables.default_shipping_address, batch.select("seq", "customer_id", "shipping_address_id"),
+                       unique=["customer_id"],
+                       fks={"shipping_address_id": (tables.shipping_addresses, "id"),
+                            "customer_id": (tables.customer_accounts, "id")})
+
+
+def change_default_addresses(tables, batch: DataFrame):
+    """A4: change the default (key customer; FK address)."""
+    from .changes import update_rows
+
+    return update_rows(tables.default_shipping_address, batch.select("seq", "customer_id", "shipping_address_id"),
+                       key=["customer_id"], set_cols=["shipping_address_id"],
+                       fks={"shipping_address_id": (tables.shipping_addresses, "id")})
+
+
+def delete_default_addresses(tables, batch: DataFrame):
+    from .changes import delete_rows
+
+    return delete_rows(tables.default_shipping_address, batch.select("seq", "customer_id"), key=["customer_id"])
+
+
+INVALID_EMAIL = "INVALID_EMAIL"
+
+
+def account_intake(tables, batch: DataFrame):
+    """New accounts with their role row, all or nothing per request.
+
+    batch: seq, email, account_table (one of the five role tables). The e-mail
+    is trimmed and checked (INVALID_EMAIL); a used e-mail is CONFLICT. The new
+    account id is ``max(id) + seq`` and the role row's id ``max(role id) + seq``.
+    Returns (tables, outcomes per request).
+    """
+    from pyspark.sql import functions as F
+
+    from .admin import GROUP_STRIDE
+    from .changes import GroupPart, insert_groups, trim_columns
+
+    b = trim_columns(batch.select("seq", "email", "account_table"), ["email"])
+    b = b.withColumn("_a_ok", is_valid_email(F.col("email")))
+    good = b.where(F.col("_a_ok"))
+    acc = tables.accounts
+    acc_max = acc.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    roles = role_rows(tables)
+    role_max = roles.select(F.coalesce(F.max("role_id"), F.lit(0))).scalar()
+    acc_rows = good.select(F.col("seq").alias("group_id"), (F.col("seq") * GROUP_STRIDE).alias("seq"),
+                           (acc_max + F.col("seq")).alias("id"), "email")
+    role_new = good.select(F.col("seq").alias("group_id"), (F.col("seq") * GROUP_STRIDE + 1).alias("seq"),
+                           "account_table", (role_max + F.col("seq")).alias("role_id"),
+                           (acc_max + F.col("seq")).alias("account_id"))
+    parents = acc.select("id").unionByName(acc_rows.select("id"))
+    parts = [
+        GroupPart("accounts", acc, acc_rows, unique=["email"]),
+        GroupPart("roles", roles, role_new, unique=["account_table", "account_id"],
+                  fks={"account_id": (parents, "id")}),
+    ]
+    new_tables, verdicts = insert_groups(parts)
+    out = (b.join(verdicts.withColumnRenamed("group_id", "seq"), "seq", "left")
+           .select("seq", "email", "account_table",
+                   F.when(~F.col("_a_ok"), F.lit(INVALID_EMAIL)).otherwise(F.col("outcome")).alias("outcome")))
+    return new_tables, out

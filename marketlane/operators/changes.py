@@ -1,7 +1,8 @@
 """Keyed bulk changes with an outcome per input row.
 
 Each operator takes the current table and a batch of changes that carries a
-``seq`` column (the order the changes arrive in) and returns a ``ChangeResult``:
+``seq`` column (the order the changes arrive in; unique within the batch) and
+returns a ``ChangeResult``:
 the new table and the batch with an ``outcome`` column (OK, CONFLICT,
 DOES_NOT_EXIST, FOREIGN_KEY_VIOLATION), the same answers one-at-a-time
 statements against a keyed table give.
@@ -22,7 +23,6 @@ from pyspark.sql import functions as F
 from ..functions.outcomes import CONFLICT, DOES_NOT_EXIST, FOREIGN_KEY_VIOLATION, OK
 from ..functions.text import trim_text
 
-LONG_MIN = -(2 ** 63)
 
 
 @dataclass
@@ -173,19 +173,25 @@ def deleted_rows(target: DataFrame, batch: DataFrame, key: list[str]) -> DataFra
     return target.join(batch.select(*key).distinct(), key, "left_semi")
 
 
-def upsert_rows(target: DataFrame, batch: DataFrame, key: list[str], fks: dict | None = None) -> ChangeResult:
+def upsert_rows(target: DataFrame, batch: DataFrame, key: list[str], fks: dict | None = None,
+                order_cols: list[str] | None = None) -> ChangeResult:
     """Insert, or replace the row with the same key; the last change wins.
 
     The table's rows enter with the lowest order, the batch's OK rows with
-    their ``seq``; one ``max_by`` per key keeps the winner.
+    their order (``seq``, or the tuple ``order_cols`` when the log's order is
+    several columns); one ``max_by`` per key keeps the winner, combined
+    map-side.
     """
     b = _with_fk_checks(batch, fks)
     judged = b.withColumn("outcome", F.when(F.col("_w_fk_ok"), F.lit(OK)).otherwise(F.lit(FOREIGN_KEY_VIOLATION)))
     values = [c for c in target.columns if c not in key]
-    old = target.select(*key, *values, F.lit(LONG_MIN).cast("bigint").alias("_w_ord"))
-    new = judged.where(F.col("outcome") == OK).select(
-        *key, *[F.col(c).cast(target.schema[c].dataType).alias(c) for c in values],
-        F.col("seq").cast("bigint").alias("_w_ord"))
+    cols = order_cols or ["seq"]
+    oks = judged.where(F.col("outcome") == OK)
+    new = oks.select(*key, *[F.col(c).cast(target.schema[c].dataType).alias(c) for c in values],
+                     F.struct(F.lit(1).alias("_w_src"), *[F.col(c) for c in cols]).alias("_w_ord"))
+    old = target.select(*key, *values,
+                        F.struct(F.lit(0).alias("_w_src"),
+                                 *[F.lit(None).cast(oks.schema[c].dataType).alias(c) for c in cols]).alias("_w_ord"))
     both = old.unionByName(new)
     winner = (both.groupBy(*key)
               .agg(F.max_by(F.struct(*[F.col(c) for c in values]), F.col("_w_ord")).alias("_w_row")))

@@ -61,3 +61,130 @@ def answer_rating(tables, requests: DataFrame) -> DataFrame:
             .select("answer_id", "customer_id",
                     F.coalesce("overall_rating", F.lit(0)).cast("bigint").alias("rating"),
                     "user_found_helpful"))
+
+
+# ---- changes (R2-R4, Q5, Q6) --------------------------------------------------
+
+REJECTED = "REJECTED"
+NOT_PURCHASED = "NOT_PURCHASED"
+
+REVIEW_SCHEMA = ("id bigint, customer_id bigint, product_id bigint, rating bigint, text string, "
+                 "created_on date, updated_on date")
+
+
+def empty_reviews(spark) -> DataFrame:
+    return spark.createDataFrame([], REVIEW_SCHEMA)
+
+
+def _rating_ok(col):
+    return col.isNotNull() & (col >= 0) & (col <= 10)
+
+
+def review_intake(tables, reviews: DataFrame, submissions: DataFrame):
+    """R2: new reviews. A rating outside 0..10 is REJECTED; a customer who never
+    bought the product gets NOT_PURCHASED; the stored rating is ``floor``; one
+    review per customer and product (later ones CONFLICT).
+
+    submissions: seq, customer_id, product_id, rating, review, created_on.
+    """
+    from .changes import ChangeResult, insert_rows
+
+    bought = (tables.product_orders.select(F.col("order_id").alias("id"), "product_id")
+              .join(tables.shop_orders.select("id", "customer_id"), "id")
+              .select("customer_id", "product_id").distinct().withColumn("_r_bought", F.lit(True)))
+    s = submissions.join(bought, ["customer_id", "product_id"], "left")
+    valid = _rating_ok(F.col("rating"))
+    gate = s.withColumn("_r_gate", F.when(~valid, F.lit(REJECTED))
+                        .when(F.col("_r_bought").isNull(), F.lit(NOT_PURCHASED)))
+    batch = gate.where(F.col("_r_gate").isNull()).select(
+        "seq", "customer_id", "product_id", F.floor("rating").cast("bigint").alias("rating"),
+        F.col("review").alias("text"), "created_on", F.lit(None).cast("date").alias("updated_on"))
+    res = insert_rows(reviews, batch, unique=["customer_id", "product_id"],
+                      fks={"product_id": (tables.products, "id"), "customer_id": (tables.customer_accounts, "id")},
+                      id_col="id")
+    judged = res.outcomes.select("seq", "id", F.col("outcome").alias("_r_out"))
+    out = (gate.join(judged, "seq", "left")
+           .select(*submissions.columns, "id", F.coalesce("_r_gate", "_r_out").alias("outcome")))
+    return ChangeResult(res.table, out)
+
+
+def review_updates(reviews: DataFrame, batch: DataFrame, day):
+    """Change rating and text of one's own review (key id + customer);
+    same range check and floor, no purchase gate; ``updated_on`` = day.
+    batch: seq, id, customer_id, rating, review."""
+    from .changes import ChangeResult, update_rows
+
+    valid = _rating_ok(F.col("rating"))
+    ok_rows = batch.where(valid).select(
+        "seq", "id", "customer_id", F.floor("rating").cast("bigint").alias("rating"),
+        F.col("review").alias("text"), F.lit(day).cast("date").alias("updated_on"))
+    res = update_rows(reviews, ok_rows, key=["id", "customer_id"], set_cols=["rating", "text", "updated_on"])
+    out = (batch.join(res.outcomes.select("seq", F.col("outcome").alias("_r_out")), "seq", "left")
+           .select(*batch.columns, F.coalesce("_r_out", F.lit(REJECTED)).alias("outcome")))
+    return ChangeResult(res.table, out)
+
+
+def review_deletes(reviews: DataFrame, batch: DataFrame):
+    """Delete one's own review (key id + customer)."""
+    from .changes import delete_rows
+
+    return delete_rows(reviews, batch.select("seq", "id", "customer_id"), key=["id", "customer_id"])
+
+
+def rate_answers(tables, batch: DataFrame):
+    """Q5: vote on an answer (one vote per customer and answer)."""
+    from .changes import insert_rows
+
+    return insert_rows(tables.product_question_answers_rating, batch.select("seq", "answer_id", "customer_id", "helpful"),
+                       unique=["answer_id", "customer_id"],
+                       fks={"answer_id": (tables.product_question_answers, "id"),
+                            "customer_id": (tables.customer_accounts, "id")})
+
+
+def change_answer_ratings(tables, batch: DataFrame):
+    """Q5: change one's vote (key answer + customer)."""
+    from .changes import update_rows
+
+    return update_rows(tables.product_question_answers_rating, batch.select("seq", "answer_id", "customer_id", "helpful"),
+                       key=["answer_id", "customer_id"], set_cols=["helpful"])
+
+
+def withdraw_answer_ratings(tables, batch: DataFrame):
+    """Q5: withdraw one's vote."""
+    from .changes import delete_rows
+
+    return delete_rows(tables.product_question_answers_rating, batch.select("seq", "answer_id", "customer_id"),
+                       key=["answer_id", "customer_id"])
+
+
+def ask_questions(tables, batch: DataFrame):
+    """Q6: new questions (FK product and customer; new id = max + seq)."""
+    from .changes import insert_rows
+
+    return insert_rows(tables.product_questions, batch.select("seq", "product_id", "asked_by", "question"),
+                       fks={"product_id": (tables.products, "id"), "asked_by": (tables.customer_accounts, "id")},
+                       id_col="id")
+
+
+def edit_questions(tables, batch: DataFrame):
+    """Q6: new text of a question by id (the documented meaning)."""
+    from .changes import update_rows
+
+    return update_rows(tables.product_questions, batch.select("seq", "id", "question"), key=["id"],
+                       set_cols=["question"])
+
+
+def delete_questions(tables, batch: DataFrame):
+    from .changes import delete_rows
+
+    return delete_rows(tables.product_questions, batch.select("seq", "id"), key=["id"])
+
+
+def answer_questions(tables, batch: DataFrame):
+    """Q6: new answers (FK question and answering account)."""
+    from .changes import insert_rows
+
+    return insert_rows(tables.product_question_answers, batch.select("seq", "question_id", "answered_by", "answer"),
+                       fks={"question_id": (tables.product_questions, "id"),
+                            "answered_by": (tables.accounts, "id")},
+                       id_col="id")

@@ -66,3 +66,45 @@ def has_favourited(pairs: DataFrame, favs: DataFrame) -> DataFrame:
     mark = favs.select("customer_id", "product_id", F.lit(True).alias("_fav")).distinct()
     return (pairs.join(mark, ["customer_id", "product_id"], "left")
             .select(*pairs.columns, F.col("_fav").isNotNull().alias("favourited")))
+
+
+# ---- changes (V3, V4, V7) -----------------------------------------------------
+
+def record_views(tables, events: DataFrame):
+    """V3: one history row per customer, product and day; a repeat on the same
+    day is accepted silently (OK), an unknown product or customer is an FK
+    violation. events: seq, customer_id, product_id, ts."""
+    from ..functions.outcomes import CONFLICT, OK
+    from .changes import ChangeResult, insert_rows
+
+    batch = events.select("seq", "customer_id", "product_id", F.col("ts").cast("date").alias("date_viewed"))
+    res = insert_rows(tables.product_view_history, batch, unique=["customer_id", "product_id", "date_viewed"],
+                      fks={"product_id": (tables.products, "id"), "customer_id": (tables.customer_accounts, "id")})
+    out = res.outcomes.withColumn("outcome", F.when(F.col("outcome") == CONFLICT, F.lit(OK))
+                                  .otherwise(F.col("outcome")))
+    return ChangeResult(res.table, out)
+
+
+def remove_views(tables, batch: DataFrame):
+    """V4: delete a product from a customer's history (every day of it)."""
+    from .changes import delete_rows
+
+    return delete_rows(tables.product_view_history, batch.select("seq", "customer_id", "product_id"),
+                       key=["customer_id", "product_id"])
+
+
+def set_favourites(tables, batch: DataFrame):
+    """V7: mark favourites (unique pair; FK product and customer)."""
+    from .changes import insert_rows
+
+    return insert_rows(tables.customer_favourite_products, batch.select("seq", "customer_id", "product_id"),
+                       unique=["customer_id", "product_id"],
+                       fks={"product_id": (tables.products, "id"), "customer_id": (tables.customer_accounts, "id")})
+
+
+def remove_favourites(tables, batch: DataFrame):
+    """V7: unmark favourites."""
+    from .changes import delete_rows
+
+    return delete_rows(tables.customer_favourite_products, batch.select("seq", "customer_id", "product_id"),
+                       key=["customer_id", "product_id"])

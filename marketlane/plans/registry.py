@@ -34,5 +34,5 @@ def register(name: str):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # Importing the modules fills QUERIES.
-    from . import catalog_queries, order_queries, read_queries  # noqa: F401
+    from . import catalog_queries, change_queries, order_queries, read_queries  # noqa: F401
     return dict(QUERIES)

@@ -225,4 +225,7 @@ FROM product_images
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_fixtures(body) for name, body in SQL.items()}
+    from .changes_sql import SQL as CHANGES
+
+    merged = {**SQL, **CHANGES}
+    return {name: with_fixtures(body) for name, body in merged.items()}
