@@ -128,7 +128,7 @@ def discount_set_check(requests: DataFrame, codes: DataFrame, strict: bool = Fal
     more than one is known, all are stackable. ``valid`` is not consulted
     unless ``strict``. An empty list is accepted.
     """
-    per_code = (requests.select("request_id", F.size("codes").alias("n_raw"),
+    per_code = (requests.select("request_id", F.size("codes").cast("bigint").alias("n_raw"),
                                 F.explode_outer(F.array_distinct("codes")).alias("code")))
     c = codes.select("code", F.lit(True).alias("_known"), "stackable", "percent_bp",
                      ((F.col("number_of_uses") != 0) & F.col("active")).alias("_valid"),

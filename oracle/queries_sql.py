@@ -216,7 +216,7 @@ FROM accounts
 
 # ---- images -----------------------------------------------------------------
 SQL["product_images"] = "SELECT id, product_id, source AS file_name, sort_position FROM product_images"
-SQL["image_type_check"] = """
+SQL["image_type_check"] = r"""
 SELECT id, product_id, source,
        coalesce(regexp_extract(source, '^.+(\.[^.]*)$', 1), '') AS extension,
        coalesce(regexp_extract(source, '^.+(\.[^.]*)$', 1), '') IN ('.png', '.jpeg', '.jpg') AS accepted
@@ -226,6 +226,7 @@ FROM product_images
 
 def oracle_sql() -> dict[str, str]:
     from .changes_sql import SQL as CHANGES
+    from .checkout_sql import SQL as CHECKOUT
 
-    merged = {**SQL, **CHANGES}
+    merged = {**SQL, **CHANGES, **CHECKOUT}
     return {name: with_fixtures(body) for name, body in merged.items()}
