@@ -227,6 +227,7 @@ FROM product_images
 def oracle_sql() -> dict[str, str]:
     from .changes_sql import SQL as CHANGES
     from .checkout_sql import SQL as CHECKOUT
+    from .search_sql import SQL as SEARCH
 
-    merged = {**SQL, **CHANGES, **CHECKOUT}
+    merged = {**SQL, **CHANGES, **CHECKOUT, **SEARCH}
     return {name: with_fixtures(body) for name, body in merged.items()}
