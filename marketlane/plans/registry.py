@@ -35,5 +35,5 @@ def register(name: str):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # Importing the modules fills QUERIES.
     from . import (catalog_queries, change_queries, checkout_queries, order_queries,  # noqa: F401
-                   read_queries, search_queries)
+                   read_queries, search_queries, stream_queries)
     return dict(QUERIES)

@@ -145,3 +145,19 @@ class ShopTables:
 
 def load_tables(spark: SparkSession, sf_dir: str) -> ShopTables:
     return ShopTables(spark, sf_dir)
+
+
+def stream_driver_table(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None):
+    """A streaming scan of a driver table (a folder of parquet files, or one file).
+
+    The file source needs a folder or a glob; a single file is addressed by a
+    glob matching only itself.
+    """
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    if not os.path.isdir(path):
+        head, tail = os.path.split(path)
+        path = os.path.join(head, f"[{tail[0]}]{tail[1:]}")
+    reader = spark.readStream.schema(DRIVER_SCHEMAS[name])
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(path)

@@ -425,3 +425,26 @@ newest AS (SELECT id, arg_max(pos, seq * 100000 + pos) AS pos FROM acc GROUP BY
 SELECT im.id, im.product_id, im.source, coalesce(n.pos, im.sort_position) AS sort_position
 FROM product_images im LEFT JOIN newest n ON n.id = im.id
 """
+
+# ---- streaming (S1 = V3 on an empty history, S2 = B2 in one micro-batch)
+SQL["stream_record_views"] = SQL["record_views_table"]
+SQL["stream_basket_feed"] = SQL["basket_fold_basket"]
+SQL["stream_basket_feed_messages"] = f"""
+WITH {BASKET_CTE},
+fin AS (SELECT customer_id, product_id, arg_max(flag, seq) AS f, max(seq) AS s FROM pe WHERE flag IS NOT NULL
+        GROUP BY 1, 2),
+lc AS (SELECT customer_id, max(seq) AS k FROM ev WHERE op = 'clear' GROUP BY 1),
+q AS (SELECT customer_id, product_id, arg_max(quantity, seq) AS quantity FROM po
+      WHERE opening OR (op IN ('add', 'update') AND outcome = 'OK') GROUP BY 1, 2),
+basket AS (SELECT fin.customer_id, fin.product_id, q.quantity
+           FROM fin LEFT JOIN lc ON lc.customer_id = fin.customer_id
+           LEFT JOIN q ON q.customer_id = fin.customer_id AND q.product_id = fin.product_id
+           WHERE fin.f = 1 AND (lc.k IS NULL OR fin.s > lc.k)),
+touched AS (SELECT DISTINCT customer_id FROM po WHERE NOT opening AND op IN ('add', 'update', 'remove')
+            AND outcome = 'OK'),
+lists AS (SELECT customer_id, list_sort(list({{'productId': product_id, 'quantity': quantity}})) AS basket
+          FROM basket GROUP BY customer_id)
+SELECT t.customer_id,
+       CAST(to_json({{'type': 'basketUpdate', 'basket': coalesce(l.basket, [])}}) AS VARCHAR) AS message
+FROM touched t LEFT JOIN lists l ON l.customer_id = t.customer_id
+"""
