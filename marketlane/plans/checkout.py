@@ -55,7 +55,13 @@ def checkout_requests_with_codes(tables) -> DataFrame:
 
 
 def bulk_checkout(tables, requests: DataFrame, as_of, now, strict: bool = False,
-                  status_id=None) -> CheckoutResult:
+                  status_id=None, materialize: bool = True) -> CheckoutResult:
+    """Run the checkout plan. With ``materialize`` the two intermediates every
+    output reads (the checked basket lines and the per-request verdicts) are
+    written once to the shared checkpoint folder (``DataFrame.checkpoint``),
+    so the seven outputs do not each recompute the catalogue and the basket
+    checks, and a lost executor recomputes from the checkpoint, not from the
+    sources."""
     codes_check = o.discount_set_check(requests.select("request_id", "codes"), tables.discount_codes, strict)
     addr = tables.shipping_addresses.select(F.col("id").alias("shipping_address_id"), "customer_id",
                                             F.lit(True).alias("_c_addr"))
@@ -72,6 +78,8 @@ def bulk_checkout(tables, requests: DataFrame, as_of, now, strict: bool = False,
               .groupBy("customer_id").agg(F.min("request_id").alias("_c_second")))
 
     lines = o.basket_check(tables, as_of)
+    if materialize:
+        lines = lines.checkpoint(eager=True)
     verdict = o.basket_verdict(lines, strict)  # customers with at least one line
     first_v = first.join(verdict, "customer_id", "left").select(
         "customer_id", "_c_first", F.coalesce("basket_valid", F.lit(False)).alias("_c_v0"))
@@ -95,6 +103,8 @@ def bulk_checkout(tables, requests: DataFrame, as_of, now, strict: bool = False,
                      .otherwise(F.lit(BASKET_INVALID)))
     r = r.withColumn("status", F.coalesce(F.col("_c_pre"), basket_status))
     r = r.withColumn("_c_from_opening", rid == F.col("_c_first"))
+    if materialize:
+        r = r.checkpoint(eager=True)
 
     # Orders: lines of the basket each OK request saw.
     ok = r.where(F.col("status") == OK).select("request_id", "customer_id", "shipping_address_id", "codes",
