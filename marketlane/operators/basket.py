@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.outcomes import CONFLICT, DOES_NOT_EXIST, FOREIGN_KEY_VIOLATION, OK
+from ..session import materialize
 from .scan import DEFAULT_BUCKET_WIDTH, Running, running
 
 REJECTED = "REJECTED"
@@ -58,12 +59,15 @@ def basket_change_filter(changes: DataFrame) -> DataFrame:
 
 
 def basket_fold(basket: DataFrame, changes: DataFrame, products: DataFrame | None = None,
-                customers: DataFrame | None = None, bucket_width: int | None = None) -> BasketFold:
+                customers: DataFrame | None = None, bucket_width: int | None = None,
+                materialize: bool = True) -> BasketFold:
     """B2: apply ``changes`` (seq, customer_id, product_id, op, quantity) to
     ``basket`` (customer_id, product_id, quantity).
 
     Returns the changes with ``outcome`` and the final basket. ``products`` and
-    ``customers`` (``id`` columns) enable the FK check on add.
+    ``customers`` (``id`` columns) enable the FK check on add. With
+    ``materialize`` the judged change rows and the last-clear scan, which four
+    outputs read, are checkpointed once to the shared checkpoint folder.
     """
     width = bucket_width or DEFAULT_BUCKET_WIDTH
     ev = basket_change_filter(changes)
@@ -101,6 +105,8 @@ def basket_fold(basket: DataFrame, changes: DataFrame, products: DataFrame | Non
     k = running(clears, ["customer_id"], "seq", [Running("_b_k", "last", "_b_clear_seq", exclusive=True)],
                 bucket_width=width)
     k = k.select("seq", "customer_id", "_b_op", "_b_k")
+    if materialize:
+        k = materialize(k)
 
     p = pairs.join(k.drop("_b_op"), ["seq", "customer_id"], "left")
     last = F.col("_b_last")
@@ -118,6 +124,8 @@ def basket_fold(basket: DataFrame, changes: DataFrame, products: DataFrame | Non
              .when((op == "remove") & (F.col("outcome") == OK), F.lit(-1))
              .otherwise(F.lit(0)))
     judged_pairs = judged_pairs.withColumn("_b_epoch", epoch).withColumn("_b_delta", delta)
+    if materialize:
+        judged_pairs = materialize(judged_pairs)
 
     # A clear finds a non-empty basket when the net adds since the previous clear are > 0.
     net = (judged_pairs.groupBy("customer_id", "_b_epoch").agg(F.sum("_b_delta").alias("_b_net")))
@@ -140,7 +148,7 @@ def basket_fold(basket: DataFrame, changes: DataFrame, products: DataFrame | Non
     qty_src = judged_pairs.where(F.col("_b_open") | (op.isin("add", "update") & (F.col("outcome") == OK)))
     final_qty = (qty_src.groupBy("customer_id", "product_id")
                  .agg(F.max_by("quantity", "seq").alias("quantity")))
-    last_clear = (ev.where(op == "clear").groupBy("customer_id").agg(F.max("seq").alias("_b_kfin")))
+    last_clear = (k.where(F.col("_b_op") == "clear").groupBy("customer_id").agg(F.max("seq").alias("_b_kfin")))
     final = (final_flag.join(last_clear, "customer_id", "left")
              .where(F.col("_b_fin")["f"] & (F.col("_b_kfin").isNull() | (F.col("_b_fin")["s"] > F.col("_b_kfin"))))
              .join(final_qty, ["customer_id", "product_id"], "left")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.outcomes import CONFLICT, DOES_NOT_EXIST, FOREIGN_KEY_VIOLATION, OK
 from ..functions.text import trim_text
+from ..session import materialize
 
 
 
@@ -284,18 +285,18 @@ def insert_groups(parts: list[GroupPart], checkpoint: bool = True, max_rounds: i
                    .where((fs.isNull() & os_.isNull()) | (fs.isNotNull() & (os_.isNull() | (fs < os_))))
                    .select("group_id", F.coalesce(F.col("_w_fail_out"), F.lit(OK)).alias("outcome")))
         if checkpoint:
-            verdict = verdict.checkpoint(eager=True)
+            verdict = materialize(verdict)
         ok_groups = verdict.where(F.col("outcome") == OK).select("group_id")
         for p in parts:
             new = p.rows.join(ok_groups, "group_id", "left_semi").select(*p.target.columns)
             acc = new if accepted[p.name] is None else accepted[p.name].unionByName(new)
-            accepted[p.name] = acc.checkpoint(eager=True) if checkpoint else acc
+            accepted[p.name] = materialize(acc) if checkpoint else acc
         decided = verdict if decided is None else decided.unionByName(verdict)
         if checkpoint:
-            decided = decided.checkpoint(eager=True)
+            decided = materialize(decided)
         undecided = undecided.join(verdict.select("group_id"), "group_id", "left_anti")
         if checkpoint:
-            undecided = undecided.checkpoint(eager=True)
+            undecided = materialize(undecided)
     else:  # pragma: no cover - guard against a runaway loop
         raise RuntimeError("insert_groups did not converge")
 

@@ -17,7 +17,8 @@ every product: product words are exploded into an inverted index
 position offsets. Candidates come from a query's *anchor* clause (its first
 clause made only of positive terms); queries with no such clause (only
 exclusions, whose answer is most of the catalogue) are returned separately
-and can be run one by one with C8.
+and can be run one by one with C8. Clause checks are aggregates over the
+term hits, so a candidate is never paired with every term of its query.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_tokens
+from ..session import materialize
 
 # Shortest accepted query (checked before trimming) and the
 # token pattern of the query language.
@@ -156,48 +158,65 @@ class BatchSearch:
     unanchored: DataFrame  # query_id, query: no positive-only clause
 
 
-def product_search_batch(catalog: DataFrame, queries: DataFrame) -> BatchSearch:
-    """Evaluate ``queries`` (query_id, query) against the catalogue."""
+def product_search_batch(catalog: DataFrame, queries: DataFrame, products: DataFrame | None = None,
+                         materialize: bool = True) -> BatchSearch:
+    """Evaluate ``queries`` (query_id, query) against the catalogue.
+
+    ``products`` (id, name) feeds the inverted index; by default the
+    catalogue's own columns. With ``materialize`` the parsed terms (small: the
+    queries' words), which several steps read, are checkpointed once.
+
+    Matching works on term hits only (never pairing candidates with all of a
+    query's terms): a clause of positive terms is satisfied when one of them
+    hits; a clause with exclusions is violated only when none of its positive
+    terms hits and every excluded term hits. A (query, product) pair matches
+    when all positive-only clauses are satisfied and no clause is violated; a
+    query without positive-only clause is unanchored.
+    """
     terms = parse_queries(queries)
-    clause_flags = (terms.groupBy("query_id", "clause")
-                    .agg(F.bool_or("negated").alias("_has_neg")))
-    anchor = (clause_flags.where(~F.col("_has_neg")).groupBy("query_id")
-              .agg(F.min("clause").alias("anchor")))
-    n_clauses = clause_flags.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_clauses"))
+    if materialize:
+        terms = materialize(terms)
+    clause_info = (terms.groupBy("query_id", "clause")
+                   .agg(F.sum(F.col("negated").cast("int")).alias("n_neg"))
+                   .withColumn("pos_only", F.col("n_neg") == 0))
+    query_info = (clause_info.groupBy("query_id")
+                  .agg(F.sum(F.col("pos_only").cast("int")).alias("n_pos_only")))
+    anchored = query_info.where(F.col("n_pos_only") > 0)
 
     # Inverted index of product names: (id, position, word).
-    index = catalog.select("id", F.posexplode(word_tokens(F.col("name"))).alias("ppos", "word"))
-    n_words = catalog.select("id", F.size(word_tokens(F.col("name"))).alias("n_name_words"))
+    names = (products if products is not None else catalog).select("id", word_tokens(F.col("name")).alias("_w"))
+    index = names.select("id", F.posexplode("_w").alias("ppos", "word"))
+    n_words = names.select("id", F.size("_w").alias("n_name_words"))
 
     tw = terms.select("query_id", "clause", "term", "negated", F.size("words").alias("n_tw"),
                       F.posexplode("words").alias("k", "word"))
-    hits = tw.join(index, "word")
-    # A term matches a product when all its words sit at one start position.
-    term_hits = (hits.groupBy("query_id", "clause", "term", "negated", "n_tw", "id",
-                              (F.col("ppos") - F.col("k")).alias("start"))
-                 .agg(F.count_distinct("k").alias("_n"))
-                 .where(F.col("_n") == F.col("n_tw"))
+    # Per term, product and start position: how many of the term's words sit
+    # in place (each word of a term hits a start at most once, so a count).
+    per_start = (tw.join(index, "word")
+                 .groupBy("query_id", "clause", "term", "negated", "n_tw", "id",
+                          (F.col("ppos") - F.col("k")).alias("start"))
+                 .agg(F.count(F.lit(1)).alias("_n")))
+    term_hits = (per_start.where(F.col("_n") == F.col("n_tw"))
                  .select("query_id", "clause", "term", "negated", "id").distinct())
-
-    cand = (term_hits.join(anchor, "query_id")
-            .where(F.col("clause") == F.col("anchor")).select("query_id", "id").distinct())
-    all_terms = terms.select("query_id", "clause", "term", "negated")
-    per_term = (cand.join(all_terms, "query_id")
-                .join(term_hits.select("query_id", "term", "id", F.lit(True).alias("_hit")),
-                      ["query_id", "term", "id"], "left"))
-    sat = F.when(F.col("negated"), F.col("_hit").isNull()).otherwise(F.col("_hit").isNotNull())
-    clause_ok = (per_term.groupBy("query_id", "id", "clause").agg(F.bool_or(sat).alias("_ok"))
-                 .where("_ok").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("_n_ok")))
-    matched = (clause_ok.join(n_clauses, "query_id").where(F.col("_n_ok") == F.col("n_clauses"))
+    occurrences = (per_start.where(~F.col("negated")).groupBy("query_id", "id")
+                   .agg(F.sum("_n").alias("_occ")))
+
+    per_clause = (term_hits.groupBy("query_id", "id", "clause")
+                  .agg(F.sum((~F.col("negated")).cast("int")).alias("h_pos"),
+                       F.sum(F.col("negated").cast("int")).alias("h_neg"))
+                  .join(clause_info, ["query_id", "clause"]))
+    sat = F.col("pos_only") & (F.col("h_pos") > 0)
+    violated = ~F.col("pos_only") & (F.col("h_pos") == 0) & (F.col("h_neg") == F.col("n_neg"))
+    per_pair = (per_clause.groupBy("query_id", "id")
+                .agg(F.sum(sat.cast("int")).alias("_sat"), F.sum(violated.cast("int")).alias("_viol")))
+    matched = (per_pair.join(anchored, "query_id")
+               .where((F.col("_sat") == F.col("n_pos_only")) & (F.col("_viol") == 0))
                .select("query_id", "id"))
-
-    occurrences = (hits.where(~F.col("negated")).groupBy("query_id", "id")
-                   .agg(F.count(F.lit(1)).alias("_occ")))
     ranked = (matched.join(occurrences, ["query_id", "id"], "left")
               .join(n_words, "id")
               .select("query_id", "id",
                       F.when(F.col("n_name_words") > 0,
                              F.coalesce("_occ", F.lit(0)).cast("double") / F.col("n_name_words")).alias("rank")))
     out = ranked.join(catalog.select(*SEARCH_COLUMNS), "id")
-    unanchored = queries.join(anchor, "query_id", "left_anti")
+    unanchored = queries.join(anchored, "query_id", "left_anti")
     return BatchSearch(out.select("query_id", *SEARCH_COLUMNS, "rank"), unanchored)

@@ -41,9 +41,9 @@ def _queries(t):
 
 @register("product_search_batch")
 def q_product_search_batch(t):
-    return s.product_search_batch(c.product_catalog(t, AS_OF), _queries(t)).matches
+    return s.product_search_batch(c.product_catalog(t, AS_OF), _queries(t), t.products).matches
 
 
 @register("product_search_unanchored")
 def q_product_search_unanchored(t):
-    return s.product_search_batch(c.product_catalog(t, AS_OF), _queries(t)).unanchored
+    return s.product_search_batch(c.product_catalog(t, AS_OF), _queries(t), t.products).unanchored

@@ -21,6 +21,7 @@ LOCAL_DEFAULTS = {
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -56,3 +57,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
             pass
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and continue from there
+    (``DataFrame.checkpoint``: reliable, cuts the lineage, survives executor
+    loss). Used where several outputs read the same intermediate."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
