@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.outcomes import CONFLICT, DOES_NOT_EXIST, FOREIGN_KEY_VIOLATION, OK
-from ..session import materialize
+from .. import session
 from .scan import DEFAULT_BUCKET_WIDTH, Running, running
 
 REJECTED = "REJECTED"
@@ -106,7 +106,7 @@ def basket_fold(basket: DataFrame, changes: DataFrame, products: DataFrame | Non
                 bucket_width=width)
     k = k.select("seq", "customer_id", "_b_op", "_b_k")
     if materialize:
-        k = materialize(k)
+        k = session.materialize(k)
 
     p = pairs.join(k.drop("_b_op"), ["seq", "customer_id"], "left")
     last = F.col("_b_last")
@@ -125,7 +125,7 @@ def basket_fold(basket: DataFrame, changes: DataFrame, products: DataFrame | Non
              .otherwise(F.lit(0)))
     judged_pairs = judged_pairs.withColumn("_b_epoch", epoch).withColumn("_b_delta", delta)
     if materialize:
-        judged_pairs = materialize(judged_pairs)
+        judged_pairs = session.materialize(judged_pairs)
 
     # A clear finds a non-empty basket when the net adds since the previous clear are > 0.
     net = (judged_pairs.groupBy("customer_id", "_b_epoch").agg(F.sum("_b_delta").alias("_b_net")))

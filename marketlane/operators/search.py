@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_tokens
-from ..session import materialize
+from .. import session
 
 # Shortest accepted query (checked before trimming) and the
 # token pattern of the query language.
@@ -175,7 +175,7 @@ def product_search_batch(catalog: DataFrame, queries: DataFrame, products: DataF
     """
     terms = parse_queries(queries)
     if materialize:
-        terms = materialize(terms)
+        terms = session.materialize(terms)
     clause_info = (terms.groupBy("query_id", "clause")
                    .agg(F.sum(F.col("negated").cast("int")).alias("n_neg"))
                    .withColumn("pos_only", F.col("n_neg") == 0))

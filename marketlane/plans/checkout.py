@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..functions.money import cents_to_amount
 from ..functions.outcomes import BASKET_INVALID, DISCOUNT_CODE_NOT_EXIST, OK, SHIPPING_ADDRESS_INVALID
 from ..operators import orders as o
-from ..session import materialize
+from .. import session
 
 
 @dataclass
@@ -80,7 +80,7 @@ def bulk_checkout(tables, requests: DataFrame, as_of, now, strict: bool = False,
 
     lines = o.basket_check(tables, as_of)
     if materialize:
-        lines = materialize(lines)
+        lines = session.materialize(lines)
     verdict = o.basket_verdict(lines, strict)  # customers with at least one line
     first_v = first.join(verdict, "customer_id", "left").select(
         "customer_id", "_c_first", F.coalesce("basket_valid", F.lit(False)).alias("_c_v0"))
@@ -105,7 +105,7 @@ def bulk_checkout(tables, requests: DataFrame, as_of, now, strict: bool = False,
     r = r.withColumn("status", F.coalesce(F.col("_c_pre"), basket_status))
     r = r.withColumn("_c_from_opening", rid == F.col("_c_first"))
     if materialize:
-        r = materialize(r)
+        r = session.materialize(r)
 
     # Orders: lines of the basket each OK request saw.
     ok = r.where(F.col("status") == OK).select("request_id", "customer_id", "shipping_address_id", "codes",
