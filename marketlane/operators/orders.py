@@ -38,12 +38,15 @@ def order_history(tables, customer_id: int | None = None) -> DataFrame:
     are keyed by id, so the inner join is a semi join and never multiplies rows.
     """
     o = tables.shop_orders
+    po = tables.product_orders
     if customer_id is not None:
         o = o.where(F.col("customer_id") == F.lit(customer_id))
+        # Selective: keep only this customer's lines before aggregating them.
+        po = po.join(o.select(F.col("id").alias("order_id")), "order_id", "left_semi")
     addresses = tables.shipping_addresses.select(F.col("id").alias("shipping_address_id"))
     o = o.join(addresses, "shipping_address_id", "left_semi")
     st = tables.order_statuses.select(F.col("id").alias("status_id"), "status")
-    lines = _line_totals(tables.product_orders).withColumnRenamed("order_id", "id")
+    lines = _line_totals(po).withColumnRenamed("order_id", "id")
     return (o.join(st, "status_id", "left")
             .join(lines, "id", "left")
             .select("id", "customer_id", "status", "shipping_address_id",

@@ -74,3 +74,11 @@ def q_checkout_discount_codes(t):
 @register("checkout_basket")
 def q_checkout_basket(t):
     return _checkout(t).basket
+
+
+@register("checkout_feed_messages")
+def q_checkout_feed_messages(t):
+    from ..streaming.basket_feed import checkout_messages
+
+    req = checkout_requests_with_codes(t)
+    return checkout_messages(_checkout(t).basket, req)

@@ -25,6 +25,12 @@ def q_lookup_brand_by_id(t):
     return lk.lookup_ids(t, "brands", req, id_col="brand_id")
 
 
+@register("lookup_product_type_by_id")
+def q_lookup_product_type_by_id(t):
+    req = t.assigned_product_type.select("product_id", "type_id")
+    return lk.lookup_ids(t, "product_types", req, id_col="type_id")
+
+
 @register("all_product_ids")
 def q_all_product_ids(t):
     return lk.all_product_ids(t)
@@ -97,6 +103,12 @@ def q_account_lookup(t):
     return acc.account_lookup(t, emails)
 
 
+@register("account_email")
+def q_account_email(t):
+    ids = t.product_question_answers.select(F.col("id").alias("answer_id"), F.col("answered_by").alias("account_id"))
+    return acc.account_email(t, ids)
+
+
 @register("email_check")
 def q_email_check(t):
     return acc.email_check(t.accounts)

@@ -63,6 +63,12 @@ def feed_messages(basket: DataFrame, touched: DataFrame) -> DataFrame:
     return full.select("customer_id", msg.alias("message"))
 
 
+def checkout_messages(basket_after: DataFrame, requests: DataFrame) -> DataFrame:
+    """After every checkout attempt, whatever its status, the requesting
+    customer gets their basket (as the checkout left it)."""
+    return feed_messages(basket_after, requests.select("customer_id").distinct())
+
+
 def _latest_basket(spark: SparkSession, out: str, opening: DataFrame, before_batch: int) -> DataFrame:
     """Basket written by the newest batch before ``before_batch``, else the opening one."""
     try:

@@ -114,3 +114,14 @@ SELECT b.customer_id, b.product_id, b.quantity FROM products_in_basket b
 WHERE b.customer_id NOT IN (SELECT customer_id FROM paid)
   AND b.product_id NOT IN (SELECT product_id FROM purged)
 """
+
+SQL["checkout_feed_messages"] = f"""WITH {CHECKOUT},
+left_basket AS (SELECT b.customer_id, b.product_id, b.quantity FROM products_in_basket b
+                WHERE b.customer_id NOT IN (SELECT customer_id FROM paid)
+                  AND b.product_id NOT IN (SELECT product_id FROM purged)),
+lists AS (SELECT customer_id, list_sort(list({{'productId': product_id, 'quantity': quantity}})) AS basket
+          FROM left_basket GROUP BY customer_id)
+SELECT r.customer_id,
+       CAST(to_json({{'type': 'basketUpdate', 'basket': coalesce(l.basket, [])}}) AS VARCHAR) AS message
+FROM (SELECT DISTINCT customer_id FROM req) r LEFT JOIN lists l ON l.customer_id = r.customer_id
+"""
