@@ -13,7 +13,12 @@ import tempfile
 from pyspark.sql import SparkSession
 
 # Settings a local run needs; each is applied only when the caller left it unset.
+# Broadcasts are decided only on measured sizes: the planner's file-size
+# estimate is off (-1) and AQE broadcasts a side after its shuffle stage has
+# run and proved smaller than the adaptive threshold.
 LOCAL_DEFAULTS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
