@@ -7,6 +7,8 @@ as the previous batch left it. Each batch writes, under ``<out>``:
 * ``basket/batch_id=<n>``: the full basket after the batch (the state the next
   batch starts from; the opening basket is the state before batch 0);
 * ``outcomes/batch_id=<n>``: the outcome of every change;
+* ``committed/m=<n>``: a one-row marker written last; the next batch (and
+  ``final_basket``) reads the basket of the newest committed batch only;
 * ``feed/batch_id=<n>``: one message per customer touched by an accepted add,
   update or remove, ``{"type":"basketUpdate","basket":[{"productId":..,
   "quantity":..}, ..]}``, holding that customer's basket after the batch (the
@@ -70,15 +72,17 @@ def checkout_messages(basket_after: DataFrame, requests: DataFrame) -> DataFrame
 
 
 def _latest_basket(spark: SparkSession, out: str, opening: DataFrame, before_batch: int) -> DataFrame:
-    """Basket written by the newest batch before ``before_batch``, else the opening one."""
+    """Basket written by the newest committed batch before ``before_batch``,
+    else the opening one. Only the one-row commit markers are scanned to find
+    it, then that single basket folder is read."""
     try:
-        written = spark.read.schema(BASKET_SCHEMA + ", batch_id bigint").parquet(os.path.join(out, "basket"))
+        marks = spark.read.schema("batch bigint").parquet(os.path.join(out, "committed"))
     except AnalysisException:
         return opening
-    prev = written.where(F.col("batch_id") < before_batch).select(F.max("batch_id")).first()[0]
+    prev = marks.where(F.col("batch") < before_batch).select(F.max("batch")).first()[0]
     if prev is None:
         return opening
-    return written.where(F.col("batch_id") == prev).drop("batch_id")
+    return spark.read.schema(BASKET_SCHEMA).parquet(os.path.join(out, "basket", f"batch_id={prev}"))
 
 
 def stream_basket_feed(spark: SparkSession, sf_dir: str, out: str | None = None,
@@ -94,13 +98,21 @@ def stream_basket_feed(spark: SparkSession, sf_dir: str, out: str | None = None,
 
         t = ShopTables(spark, sf_dir)
         current = _latest_basket(spark, out, t.products_in_basket, batch_id)
-        res = basket_fold(current, batch, t.products, t.customer_accounts)
-        res.basket.write.mode("overwrite").parquet(os.path.join(out, "basket", f"batch_id={batch_id}"))
+        # The fold is independent per customer: fold only the baskets of the
+        # customers in this batch, carry the others over unchanged.
+        in_batch = batch.select("customer_id").distinct()
+        res = basket_fold(current.join(in_batch, "customer_id", "left_semi"), batch, t.products, t.customer_accounts)
+        new_basket = current.join(in_batch, "customer_id", "left_anti").unionByName(
+            res.basket.select("customer_id", "product_id", "quantity"))
+        new_basket.write.mode("overwrite").parquet(os.path.join(out, "basket", f"batch_id={batch_id}"))
         res.outcomes.write.mode("overwrite").parquet(os.path.join(out, "outcomes", f"batch_id={batch_id}"))
         written = spark.read.parquet(os.path.join(out, "basket", f"batch_id={batch_id}"))
         touched = (res.outcomes.where(F.col("op").isin("add", "update", "remove") & (F.col("outcome") == "OK"))
                    .select("customer_id").distinct())
         feed_messages(written, touched).write.mode("overwrite").parquet(os.path.join(out, "feed", f"batch_id={batch_id}"))
+        # Commit marker last: a batch that died midway is not read as state.
+        (spark.range(1).select(F.lit(batch_id).cast("bigint").alias("batch"))
+         .write.mode("overwrite").parquet(os.path.join(out, "committed", f"m={batch_id}")))
 
     q = (changes.writeStream.foreachBatch(apply)
          .option("checkpointLocation", os.path.join(base, "checkpoint"))
@@ -110,9 +122,9 @@ def stream_basket_feed(spark: SparkSession, sf_dir: str, out: str | None = None,
 
 
 def final_basket(spark: SparkSession, out: str) -> DataFrame:
-    written = spark.read.schema(BASKET_SCHEMA + ", batch_id bigint").parquet(os.path.join(out, "basket"))
-    last = written.select(F.max("batch_id")).scalar()
-    return written.where(F.col("batch_id") == last).drop("batch_id")
+    """The basket after the newest committed batch."""
+    last = spark.read.schema("batch bigint").parquet(os.path.join(out, "committed")).select(F.max("batch")).first()[0]
+    return spark.read.schema(BASKET_SCHEMA).parquet(os.path.join(out, "basket", f"batch_id={last}"))
 
 
 def read_feed(spark: SparkSession, out: str) -> DataFrame:
