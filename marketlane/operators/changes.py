@@ -226,82 +226,111 @@ def insert_groups(parts: list[GroupPart], checkpoint: bool = True, max_rounds: i
     of its first failing row (by ``seq``), OK when none fails.
 
     Exact one-group-at-a-time semantics (a rejected group holds none of its
-    keys), decided in rounds. In a round every undecided group whose outcome
-    can no longer change is settled:
-
-    * a row *fails now* when its key is taken (table, accepted groups, or an
-      earlier row of its own group) -> CONFLICT, or an FK misses -> FK
-      violation;
-    * a row is *open* when an earlier undecided group claims its key and it
-      does not already fail with CONFLICT (that group may still take the key);
-    * no failing and no open row -> OK; a failing row before every open row
-      -> rejected with that row's outcome.
-
-    The earliest undecided group has no open row, so each round settles at
-    least one group; a key claimed by many groups settles in two rounds (the
-    first claimant, then everyone else). Decisions are checkpointed each round
-    to the shared checkpoint folder, keeping the lineage one round deep.
-
-    Returns (tables: dict name -> DataFrame, group outcomes ``group_id``,
-    ``outcome``).
+    keys), computed in three steps:
+
+    1. *Static* failures need no order: a row whose FK misses, whose key is
+       already in the table, or whose key repeats an earlier row of its own
+       group. Such groups are rejected whatever happens and never take a key.
+    2. Among the other groups, acceptance is the greedy "first claimant wins"
+       over shared keys, settled in rounds: a group with no earlier undecided
+       group on any of its keys is accepted; a group one of whose keys an
+       accepted group holds is rejected. Each round settles at least the
+       earliest undecided group; for orders unrelated to the keys the number of
+       rounds grows only polylogarithmically with the number of groups.
+    3. With the accepted set known, every group's outcome is its first failing
+       row: CONFLICT when the key is taken (table, an earlier accepted group, or
+       an earlier row of the group), else FOREIGN_KEY_VIOLATION.
+
+    Each round's state is checkpointed to the shared checkpoint folder, so the
+    lineage stays one round deep. Returns (tables: dict name -> DataFrame,
+    group outcomes ``group_id``, ``outcome``).
     """
     order = None
     for p in parts:
         g = p.rows.groupBy("group_id").agg(F.min("seq").alias("_w_order"))
         order = g if order is None else order.unionByName(g)
     order = order.groupBy("group_id").agg(F.min("_w_order").alias("_w_order"))
-    undecided = order
-    decided = None
-    accepted = {p.name: None for p in parts}
 
+    # Step 1: per-row static facts; keyed rows carry a tagged key so all parts
+    # share one key space.
+    judged_rows = []
+    keyed = []
+    for i, p in enumerate(parts):
+        rows = _with_fk_checks(p.rows.join(order, "group_id"), p.fks)
+        if p.unique:
+            key_nn = _all([F.col(k).isNotNull() for k in p.unique])
+            rows = _key_present(rows, p.target, p.unique, "_w_taken")
+            own_first = (rows.where(key_nn).groupBy("group_id", *p.unique)
+                         .agg(F.min("seq").alias("_w_own_first")))
+            rows = rows.join(own_first, ["group_id", *p.unique], "left")
+            kcol = F.when(key_nn, F.to_json(F.struct(F.lit(i).alias("part"),
+                                                     *[F.col(k) for k in p.unique])))
+            rows = rows.select("group_id", "seq", "_w_order", "_w_fk_ok", kcol.alias("_w_key"),
+                               (key_nn & (F.col("_w_taken").isNotNull()
+                                          | (F.col("_w_own_first") < F.col("seq")))).alias("_w_static_conflict"))
+        else:
+            rows = rows.select("group_id", "seq", "_w_order", "_w_fk_ok", F.lit(None).cast("string").alias("_w_key"),
+                               F.lit(False).alias("_w_static_conflict"))
+        judged_rows.append(rows)
+    all_rows = judged_rows[0]
+    for r in judged_rows[1:]:
+        all_rows = all_rows.unionByName(r)
+    if checkpoint:
+        all_rows = materialize(all_rows)
+    static_fail = (all_rows.where(~F.col("_w_fk_ok") | F.col("_w_static_conflict"))
+                   .select("group_id").distinct())
+    cand_keys = (all_rows.where(F.col("_w_key").isNotNull())
+                 .join(static_fail, "group_id", "left_anti")
+                 .select("group_id", "_w_order", "_w_key").distinct())
+    undecided = order.join(static_fail, "group_id", "left_anti")
+    accepted = None  # group_id, _w_order
+
+    # Step 2: rounds over the groups that can still be accepted.
     for _round in range(max_rounds):
         if undecided.isEmpty():
             break
-        judged = None
-        for p in parts:
-            rows = p.rows.join(undecided, "group_id")
-            rows = _with_fk_checks(rows, p.fks)
-            fail = F.when(~F.col("_w_fk_ok"), F.lit(FOREIGN_KEY_VIOLATION))
-            open_ = F.lit(False)
-            if p.unique:
-                key_nn = _all([F.col(k).isNotNull() for k in p.unique])
-                current = p.target if accepted[p.name] is None else p.target.unionByName(accepted[p.name])
-                rows = _key_present(rows, current, p.unique, "_w_taken")
-                own_first = (rows.where(key_nn).groupBy("group_id", *p.unique)
-                             .agg(F.min("seq").alias("_w_own_first")))
-                claim = (rows.where(key_nn).groupBy(*p.unique).agg(F.min("_w_order").alias("_w_claim")))
-                rows = rows.join(own_first, ["group_id", *p.unique], "left").join(claim, p.unique, "left")
-                conflict = key_nn & (F.col("_w_taken").isNotNull() | (F.col("_w_own_first") < F.col("seq")))
-                fail = F.when(conflict, F.lit(CONFLICT)).when(~F.col("_w_fk_ok"), F.lit(FOREIGN_KEY_VIOLATION))
-                open_ = key_nn & (F.col("_w_claim") < F.col("_w_order")) & ~conflict
-            j = rows.select("group_id", "seq", fail.alias("_w_fail"), open_.alias("_w_open"))
-            judged = j if judged is None else judged.unionByName(j)
-        per_group = judged.groupBy("group_id").agg(
-            F.min(F.when(F.col("_w_fail").isNotNull(), F.col("seq"))).alias("_w_fail_seq"),
-            F.min_by(F.col("_w_fail"), F.when(F.col("_w_fail").isNotNull(), F.col("seq"))).alias("_w_fail_out"),
-            F.min(F.when(F.col("_w_open"), F.col("seq"))).alias("_w_open_seq"))
-        fs, os_ = F.col("_w_fail_seq"), F.col("_w_open_seq")
-        verdict = (per_group
-                   .where((fs.isNull() & os_.isNull()) | (fs.isNotNull() & (os_.isNull() | (fs < os_))))
-                   .select("group_id", F.coalesce(F.col("_w_fail_out"), F.lit(OK)).alias("outcome")))
-        if checkpoint:
-            verdict = materialize(verdict)
-        ok_groups = verdict.where(F.col("outcome") == OK).select("group_id")
-        for p in parts:
-            new = p.rows.join(ok_groups, "group_id", "left_semi").select(*p.target.columns)
-            acc = new if accepted[p.name] is None else accepted[p.name].unionByName(new)
-            accepted[p.name] = materialize(acc) if checkpoint else acc
-        decided = verdict if decided is None else decided.unionByName(verdict)
-        if checkpoint:
-            decided = materialize(decided)
-        undecided = undecided.join(verdict.select("group_id"), "group_id", "left_anti")
+        u_keys = cand_keys.join(undecided.select("group_id"), "group_id", "left_semi")
+        first = u_keys.groupBy("_w_key").agg(F.min("_w_order").alias("_w_first"))
+        blocked = (u_keys.join(first, "_w_key").where(F.col("_w_first") < F.col("_w_order"))
+                   .select("group_id").distinct())
+        if accepted is not None:
+            held = cand_keys.join(accepted.select("group_id"), "group_id", "left_semi").select("_w_key").distinct()
+            killed = u_keys.join(held, "_w_key", "left_semi").select("group_id").distinct()
+        else:
+            killed = None
+        ready = undecided.join(blocked, "group_id", "left_anti")
+        if killed is not None:
+            ready = ready.join(killed, "group_id", "left_anti")
+            settled = ready.select("group_id").unionByName(killed)
+        else:
+            settled = ready.select("group_id")
+        new_acc = ready.select("group_id", "_w_order")
+        accepted = new_acc if accepted is None else accepted.unionByName(new_acc)
+        undecided = undecided.join(settled, "group_id", "left_anti")
         if checkpoint:
+            accepted = materialize(accepted)
             undecided = materialize(undecided)
     else:  # pragma: no cover - guard against a runaway loop
         raise RuntimeError("insert_groups did not converge")
 
-    if decided is None:
-        decided = order.sparkSession.createDataFrame([], "group_id bigint, outcome string")
-    tables = {p.name: (p.target if accepted[p.name] is None else p.target.unionByName(accepted[p.name]))
-              for p in parts}
+    spark = order.sparkSession
+    if accepted is None:
+        accepted = spark.createDataFrame([], "group_id bigint, _w_order bigint")
+
+    # Step 3: outcomes from the accepted set.
+    acc_keys = (cand_keys.join(accepted.select("group_id"), "group_id", "left_semi")
+                .select("_w_key", F.col("_w_order").alias("_w_acc_order")))
+    rows = all_rows.join(acc_keys, "_w_key", "left")
+    taken_by_earlier = F.col("_w_acc_order").isNotNull() & (F.col("_w_acc_order") < F.col("_w_order"))
+    fail = (F.when(F.col("_w_static_conflict") | taken_by_earlier, F.lit(CONFLICT))
+            .when(~F.col("_w_fk_ok"), F.lit(FOREIGN_KEY_VIOLATION)))
+    rows = rows.withColumn("_w_fail", fail)
+    decided = (rows.groupBy("group_id")
+               .agg(F.min_by(F.col("_w_fail"), F.when(F.col("_w_fail").isNotNull(), F.col("seq"))).alias("_w_f"))
+               .select("group_id", F.coalesce("_w_f", F.lit(OK)).alias("outcome")))
+    ok_groups = accepted.select("group_id")
+    tables = {}
+    for p in parts:
+        new = p.rows.join(ok_groups, "group_id", "left_semi").select(*p.target.columns)
+        tables[p.name] = p.target.unionByName(new)
     return tables, decided
