@@ -448,3 +448,35 @@ SELECT t.customer_id,
        CAST(to_json({{'type': 'basketUpdate', 'basket': coalesce(l.basket, [])}}) AS VARCHAR) AS message
 FROM touched t LEFT JOIN lists l ON l.customer_id = t.customer_id
 """
+
+# ---- W5 with keys shared across groups: a sequential walk (recursive CTE),
+# one group per step, carrying the set of taken keys.
+SQL["assign_types"] = """
+WITH RECURSIVE
+g AS (SELECT row_number() OVER (ORDER BY p_partkey) AS rn, p_partkey AS seq,
+             CAST(p_partkey % 150 + 1 AS INTEGER) AS pid,
+             [CAST(p_size % 7 + 1 AS INTEGER), CAST((p_size + 3) % 7 + 1 AS INTEGER)] AS tids
+      FROM part),
+rws AS (SELECT g.rn, g.seq, r.i AS pos, g.pid, g.tids[r.i + 1] AS tid FROM g, range(2) r(i)),
+rowsf AS (SELECT rws.*, CAST(pid AS VARCHAR) || ':' || CAST(tid AS VARCHAR) AS k,
+                 EXISTS (SELECT 1 FROM base_products b WHERE b.id = rws.pid)
+                 AND EXISTS (SELECT 1 FROM product_types t WHERE t.id = rws.tid) AS fk
+          FROM rws),
+grp AS (SELECT rn, seq, list(k ORDER BY pos) AS ks, list(fk ORDER BY pos) AS fks FROM rowsf GROUP BY rn, seq),
+init AS (SELECT coalesce(list(CAST(product_id AS VARCHAR) || ':' || CAST(type_id AS VARCHAR)), []) AS taken
+         FROM assigned_product_type),
+walk(rn, taken, seq, outcome) AS (
+  SELECT 0, (SELECT taken FROM init), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR)
+  UNION ALL
+  SELECT w.rn + 1,
+         CASE WHEN j.o = 'OK' THEN list_concat(w.taken, grp.ks) ELSE w.taken END,
+         grp.seq, j.o
+  FROM walk w JOIN grp ON grp.rn = w.rn + 1,
+  LATERAL (SELECT coalesce(list_filter(list_transform(range(1, len(grp.ks) + 1), lambda i:
+                     CASE WHEN list_contains(w.taken, grp.ks[i]) OR list_contains(grp.ks[1:i - 1], grp.ks[i])
+                          THEN 'CONFLICT'
+                          WHEN NOT grp.fks[i] THEN 'FOREIGN_KEY_VIOLATION' END),
+                   lambda x: x IS NOT NULL)[1], 'OK') AS o) j
+)
+SELECT seq, outcome FROM walk WHERE rn > 0
+"""

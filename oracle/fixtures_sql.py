@@ -121,6 +121,8 @@ def with_fixtures(body: str) -> str:
         return body
     ctes = ",\n".join(f"{n} AS ({s})" for n, s in FIXTURE_SQL.items() if n in needed)
     stripped = body.lstrip()
+    if stripped[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {ctes},\n{stripped[14:].lstrip()}"
     if stripped[:4].upper() == "WITH":
         return f"WITH {ctes},\n{stripped[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"
