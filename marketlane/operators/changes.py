@@ -165,7 +165,7 @@ def delete_rows(target: DataFrame, batch: DataFrame, key: list[str], missing_ok:
     hit = F.col("_w_present").isNotNull() & (F.col("seq") == F.col("_w_first"))
     outcome = F.when(hit | F.lit(missing_ok), F.lit(OK)).otherwise(F.lit(DOES_NOT_EXIST))
     gone = batch.select(*key).where(_all([F.col(k).isNotNull() for k in key])).distinct()
-    return ChangeResult(target.join(gone, key, "left_anti"), b.withColumn("outcome", outcome)
+    return ChangeResult(target.join(gone, key, "left_anti").select(*target.columns), b.withColumn("outcome", outcome)
                         .select(*batch.columns, "outcome"))
 
 

@@ -140,4 +140,5 @@ def bulk_checkout(tables, requests: DataFrame, as_of, now, strict: bool = False,
         basket = basket.join(purged_pairs, ["customer_id", "product_id"], "left_anti")
     else:
         basket = basket.join(purged, "product_id", "left_anti")
+    basket = basket.select(*tables.products_in_basket.columns)
     return CheckoutResult(statuses, new_orders, order_lines, code_links, stock, codes_after, basket)
