@@ -142,3 +142,21 @@ def bulk_checkout(tables, requests: DataFrame, as_of, now, strict: bool = False,
         basket = basket.join(purged, "product_id", "left_anti")
     basket = basket.select(*tables.products_in_basket.columns)
     return CheckoutResult(statuses, new_orders, order_lines, code_links, stock, codes_after, basket)
+
+
+CHECKOUT_OUTPUTS = ("statuses", "orders", "order_lines", "code_links", "stock", "discount_codes", "basket")
+
+
+def write_checkout(result: CheckoutResult, root: str, version: int) -> str:
+    """Write all checkout outputs as one version ``<root>/v=<version>/<output>``
+    and commit it with ``_COMMITTED`` written last (see ``sources.sinks``): a
+    job that dies midway leaves the previous version current, a retry with the
+    same version overwrites its own folders."""
+    from pyspark.sql import functions as F
+
+    base = f"{root.rstrip('/')}/v={int(version)}"
+    for name in CHECKOUT_OUTPUTS:
+        getattr(result, name).write.mode("overwrite").parquet(f"{base}/{name}")
+    spark = result.statuses.sparkSession
+    spark.range(1).select(F.lit(int(version)).alias("version")).write.mode("overwrite").parquet(f"{base}/_COMMITTED")
+    return base

@@ -56,3 +56,16 @@ def test_request_array_checks(spark):
                                          is_array_of_strings(F.col("a")).alias("s")).collect()]
     assert got == [(True, True), (False, True), (True, True), (False, False), (False, False)]
     assert dt.date(1999, 1, 1) == AS_OF
+
+
+def test_write_checkout_version(spark, tmp_path):
+    from marketlane.plans.checkout import CHECKOUT_OUTPUTS, write_checkout
+    from marketlane.sources.sinks import latest_version, read_table
+
+    t = ShopTables(spark, SF)
+    res = bulk_checkout(t, checkout_requests_with_codes(t), AS_OF, NOW)
+    root = str(tmp_path / "checkout")
+    write_checkout(res, root, 7)
+    assert latest_version(spark, root) == 7
+    for name in CHECKOUT_OUTPUTS:
+        assert read_table(spark, root, name).count() == getattr(res, name).count()
