@@ -480,3 +480,4 @@ walk(rn, taken, seq, outcome) AS (
 )
 SELECT seq, outcome FROM walk WHERE rn > 0
 """
+

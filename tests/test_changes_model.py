@@ -30,7 +30,31 @@ def model_insert(table_keys, parents, batch):
 
 
 def model_update(table, parents, batch):
-    """table: id -> (name, ref). Batch rows (seq, id, name, ref)."""
+    """table: id -> (name, ref). Batch rows (seq, id, name, ref); one at a time."""
+    table = dict(table)
+    holder = {n: k for k, (n, _) in table.items() if n is not None}
+    out = {}
+    for seq, k, name, ref in sorted(batch):
+        if k not in table:
+            out[seq] = "DOES_NOT_EXIST"
+        elif name is not None and holder.get(name, k) != k:
+            out[seq] = "CONFLICT"
+        elif ref is not None and ref not in parents:
+            out[seq] = "FOREIGN_KEY_VIOLATION"
+        else:
+            out[seq] = "OK"
+            old = table[k][0]
+            if old is not None and holder.get(old) == k:
+                del holder[old]
+            table[k] = (name, ref)
+            if name is not None:
+                holder[name] = k
+    return out, table
+
+
+def model_update_batch(table, parents, batch):
+    """The default batch rule: a unique value must be free in the opening table;
+    the first successful claimant in the batch holds it."""
     table = dict(table)
     opening_holder = {}
     for k, (name, _) in table.items():
@@ -129,7 +153,10 @@ def test_insert_rows_matches_model(spark, seed):
 def test_update_rows_matches_model(spark, seed):
     rnd = random.Random(100 + seed)
     names = ["a", "b", "c", "d", "e", "f", None]
-    table = {k: (rnd.choice(names), rnd.choice([None, 1, 2])) for k in range(8)}
+    pool = names[:-1]
+    rnd.shuffle(pool)
+    table = {k: (pool[k] if k < len(pool) and rnd.random() < 0.8 else None, rnd.choice([None, 1, 2]))
+             for k in range(8)}
     parents = {1, 2, 3}
     batch = [(s + 1, rnd.randrange(11), rnd.choice(names + ["g", "h"]), rnd.choice([None, 1, 2, 3, 9]))
              for s in range(30)]
@@ -139,9 +166,14 @@ def test_update_rows_matches_model(spark, seed):
     res = W.update_rows(target, b, key=["id"], set_cols=["name", "ref"], unique=["name"],
                         fks={"ref": (parent, "id")})
     got = {r.seq: r.outcome for r in res.outcomes.collect()}
-    want, final = model_update(table, parents, batch)
+    want, final = model_update_batch(table, parents, batch)
     assert got == want
     assert {r.id: (r.name, r.ref) for r in res.table.collect()} == final
+    exact = W.update_rows(target, b, key=["id"], set_cols=["name", "ref"], unique=["name"],
+                          fks={"ref": (parent, "id")}, exact=True)
+    want, final = model_update(table, parents, batch)
+    assert {r.seq: r.outcome for r in exact.outcomes.collect()} == want
+    assert {r.id: (r.name, r.ref) for r in exact.table.collect()} == final
 
 
 @pytest.mark.parametrize("seed", SEEDS)
@@ -224,3 +256,42 @@ def test_insert_groups_hot_keys(spark, seed):
     want, final = model_groups(table_keys, parents, rows)
     assert got == want
     assert {r.k for r in tables["t"].collect() if r.k is not None} == final
+
+
+def test_update_rows_rename_chain(spark):
+    """A takes B's name after B moved on; swap through a free name; a name
+    freed and reclaimed within one batch."""
+    table = {1: ("a", None), 2: ("b", None), 3: ("c", None)}
+    batch = [(1, 2, "z", None),   # b -> z (frees b)
+             (2, 1, "b", None),   # a -> b (b is free now)
+             (3, 3, "a", None),   # c -> a (a freed by step 2)
+             (4, 2, "c", None),   # z -> c (c freed by step 3)
+             (5, 1, "c", None),   # conflict: c held by 2
+             (6, 9, "q", None)]   # unknown key
+    target = _df(spark, [(k, n, r) for k, (n, r) in table.items()], "id bigint, name string, ref bigint")
+    b = _df(spark, batch, "seq bigint, id bigint, name string, ref bigint")
+    res = W.update_rows(target, b, key=["id"], set_cols=["name", "ref"], unique=["name"], exact=True)
+    want, final = model_update(table, set(), batch)
+    assert {r.seq: r.outcome for r in res.outcomes.collect()} == want
+    assert want == {1: "OK", 2: "OK", 3: "OK", 4: "OK", 5: "CONFLICT", 6: "DOES_NOT_EXIST"}
+    assert {r.id: (r.name, r.ref) for r in res.table.collect()} == final
+    # The default batch rule is stricter: b, a and c were held in the opening table.
+    batch_rule = W.update_rows(target, b, key=["id"], set_cols=["name", "ref"], unique=["name"])
+    assert {r.seq: r.outcome for r in batch_rule.outcomes.collect()} == {
+        1: "OK", 2: "CONFLICT", 3: "CONFLICT", 4: "CONFLICT", 5: "CONFLICT", 6: "DOES_NOT_EXIST"}
+
+
+@pytest.mark.parametrize("seed", range(6, 10))
+def test_update_rows_dense_chains(spark, seed):
+    rnd = random.Random(700 + seed)
+    pool = ["a", "b", "c", "d"]
+    table = {k: (pool[k] if k < 3 else None, None) for k in range(5)}
+    batch = [(s + 1, rnd.randrange(6), rnd.choice(pool + [None]), rnd.choice([None, 1, 5])) for s in range(40)]
+    target = _df(spark, [(k, n, r) for k, (n, r) in table.items()], "id bigint, name string, ref bigint")
+    b = _df(spark, batch, "seq bigint, id bigint, name string, ref bigint")
+    parent = _df(spark, [(1,)], "id bigint")
+    res = W.update_rows(target, b, key=["id"], set_cols=["name", "ref"], unique=["name"],
+                        fks={"ref": (parent, "id")}, exact=True)
+    want, final = model_update(table, {1}, batch)
+    assert {r.seq: r.outcome for r in res.outcomes.collect()} == want
+    assert {r.id: (r.name, r.ref) for r in res.table.collect()} == final
