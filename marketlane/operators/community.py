@@ -89,8 +89,14 @@ def review_intake(tables, reviews: DataFrame, submissions: DataFrame):
     """
     from .changes import ChangeResult, insert_rows
 
+    # Purchase gate: the order lines are first cut down to the (customer,
+    # product) pairs of this batch (a semi join whose small side AQE can
+    # broadcast once measured), and only that small result is made distinct,
+    # so the whole order history is never shuffled or deduplicated.
+    wanted = submissions.select("customer_id", "product_id").distinct()
     bought = (tables.product_orders.select(F.col("order_id").alias("id"), "product_id")
               .join(tables.shop_orders.select("id", "customer_id"), "id")
+              .join(wanted, ["customer_id", "product_id"], "left_semi")
               .select("customer_id", "product_id").distinct().withColumn("_r_bought", F.lit(True)))
     s = submissions.join(bought, ["customer_id", "product_id"], "left")
     valid = _rating_ok(F.col("rating"))

@@ -105,8 +105,12 @@ def last_purchase(tables) -> DataFrame:
 
 
 def last_purchase_for(tables, pairs: DataFrame) -> DataFrame:
-    """O6 for requested (customer_id, product_id) pairs; NULL when never bought."""
-    return pairs.join(last_purchase(tables), ["customer_id", "product_id"], "left")
+    """O6 for requested (customer_id, product_id) pairs; NULL when never bought.
+    Order lines are cut to the requested pairs before aggregating."""
+    keys = pairs.select("customer_id", "product_id").distinct()
+    lines = orders_with_products(tables).join(keys, ["customer_id", "product_id"], "left_semi")
+    last = lines.groupBy("customer_id", "product_id").agg(F.max("order_placed_on").alias("last_purchased_on"))
+    return pairs.join(last, ["customer_id", "product_id"], "left")
 
 
 def discount_validation(codes: DataFrame) -> DataFrame:

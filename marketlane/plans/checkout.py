@@ -78,7 +78,11 @@ def bulk_checkout(tables, requests: DataFrame, as_of, now, strict: bool = False,
     second = (staged.join(first, "customer_id").where(F.col("request_id") > F.col("_c_first"))
               .groupBy("customer_id").agg(F.min("request_id").alias("_c_second")))
 
-    lines = o.basket_check(tables, as_of)
+    # Availability and prices are needed for the requesting customers' lines
+    # only; the purge below still applies to every basket (by product).
+    requesting = requests.select("customer_id").distinct()
+    lines = o.basket_check(tables.with_tables(
+        products_in_basket=tables.products_in_basket.join(requesting, "customer_id", "left_semi")), as_of)
     if materialize:
         lines = session.materialize(lines)
     verdict = o.basket_verdict(lines, strict)  # customers with at least one line
