@@ -50,19 +50,40 @@ def basket_change_stream(events: DataFrame) -> DataFrame:
                     op.alias("op"), (F.lit(1) + F.col("event_id") % 5).alias("quantity")))
 
 
-def feed_messages(basket: DataFrame, touched: DataFrame) -> DataFrame:
+# Most basket lines one message carries; a larger basket is sent in parts.
+MESSAGE_PAGE_SIZE = 10_000
+
+
+def feed_messages(basket: DataFrame, touched: DataFrame, page_size: int = MESSAGE_PAGE_SIZE) -> DataFrame:
     """One JSON message per touched customer with their whole basket (sorted
-    by product). A customer whose basket became empty gets an empty list."""
+    by product), ``{"type":"basketUpdate","basket":[...]}``; a customer whose
+    basket became empty gets an empty list.
+
+    A basket is never gathered whole into one task: lines are grouped per
+    (customer, page), with the page count from a per-customer count and the
+    page from a hash of the product, so no list exceeds about ``page_size``
+    lines. Baskets up to ``page_size`` lines (every realistic one) give exactly
+    the message above; larger ones are sent as several messages that add
+    ``"part"`` and ``"parts"``.
+    """
     lines = basket.join(touched, "customer_id", "left_semi")
-    per_customer = (lines.groupBy("customer_id")
-                    .agg(F.sort_array(F.collect_list(F.struct(F.col("product_id").alias("productId"),
-                                                              F.col("quantity").alias("quantity"))))
-                         .alias("basket")))
-    full = touched.join(per_customer, "customer_id", "left")
-    msg = F.to_json(F.struct(F.lit(MESSAGE_TYPE).alias("type"),
-                             F.coalesce(F.col("basket"), F.array().cast(per_customer.schema["basket"].dataType))
-                             .alias("basket")))
-    return full.select("customer_id", msg.alias("message"))
+    sizes = lines.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_f_n"))
+    parts = F.greatest(F.ceil(F.col("_f_n") / F.lit(page_size)), F.lit(1)).cast("int")
+    paged = (lines.join(sizes, "customer_id")
+             .withColumn("_f_parts", parts)
+             .withColumn("_f_part", F.pmod(F.xxhash64("product_id"), F.col("_f_parts")).cast("int")))
+    item = F.struct(F.col("product_id").alias("productId"), F.col("quantity").alias("quantity"))
+    grouped = (paged.groupBy("customer_id", "_f_part", "_f_parts")
+               .agg(F.sort_array(F.collect_list(item)).alias("basket")))
+    single = F.to_json(F.struct(F.lit(MESSAGE_TYPE).alias("type"), F.col("basket")))
+    multi = F.to_json(F.struct(F.lit(MESSAGE_TYPE).alias("type"), F.col("basket"),
+                               (F.col("_f_part") + 1).alias("part"), F.col("_f_parts").alias("parts")))
+    with_lines = grouped.select("customer_id", F.when(F.col("_f_parts") == 1, single).otherwise(multi).alias("message"))
+    empty_list = F.array().cast(grouped.schema["basket"].dataType)
+    empty = (touched.join(sizes, "customer_id", "left_anti")
+             .select("customer_id", F.to_json(F.struct(F.lit(MESSAGE_TYPE).alias("type"),
+                                                       empty_list.alias("basket"))).alias("message")))
+    return with_lines.unionByName(empty)
 
 
 def checkout_messages(basket_after: DataFrame, requests: DataFrame) -> DataFrame:

@@ -63,3 +63,19 @@ def test_s2_equals_batch_b2(spark, split_events):
     assert batches == 4
     msgs = basket_feed.read_feed(spark, out).collect()
     assert msgs and all(m.message.startswith('{"type":"basketUpdate","basket":[') for m in msgs)
+
+
+def test_feed_messages_are_paged_for_huge_baskets(spark):
+    import json
+
+    from marketlane.streaming.basket_feed import feed_messages
+
+    basket = spark.createDataFrame([(1, p, 1) for p in range(25)] + [(2, 5, 3)],
+                                   "customer_id bigint, product_id bigint, quantity bigint")
+    touched = spark.createDataFrame([(1,), (2,), (3,)], "customer_id bigint")
+    msgs = [(r.customer_id, json.loads(r.message)) for r in feed_messages(basket, touched, page_size=10).collect()]
+    one = [m for c, m in msgs if c == 1]
+    assert len(one) == 3 and {m["parts"] for m in one} == {3}
+    assert sorted(i["productId"] for m in one for i in m["basket"]) == list(range(25))
+    assert [m for c, m in msgs if c == 2] == [{"type": "basketUpdate", "basket": [{"productId": 5, "quantity": 3}]}]
+    assert [m for c, m in msgs if c == 3] == [{"type": "basketUpdate", "basket": []}]
