@@ -42,23 +42,32 @@ def _all(cols: list[Column]) -> Column:
 def _with_fk_checks(batch: DataFrame, fks: dict | None) -> DataFrame:
     """Add ``_w_fk_ok``: every FK column is NULL or found in its parent.
 
-    ``fks`` maps a batch column to ``(parent_df, parent_col)``. The parent side
-    is reduced to its distinct keys before the join.
+    ``fks`` maps a batch column to ``(parent_df, parent_col)``. The parent is
+    first cut to the values the batch uses (a semi join whose small side AQE
+    can broadcast once measured) and only that small result is made distinct,
+    so a large parent table is neither shuffled nor deduplicated.
     """
     b = batch
     checks = []
     for i, (col, (parent, parent_col)) in enumerate((fks or {}).items()):
-        hit = f"_w_fk_hit{i}"
-        keys = parent.select(F.col(parent_col).alias(f"_w_fk{i}")).distinct().withColumn(hit, F.lit(True))
-        b = b.join(keys, b[col] == keys[f"_w_fk{i}"], "left").drop(f"_w_fk{i}")
+        hit, tmp = f"_w_fk_hit{i}", f"_w_fk{i}"
+        wanted = b.select(F.col(col).alias(tmp)).where(F.col(tmp).isNotNull()).distinct()
+        keys = (parent.select(F.col(parent_col).alias(tmp)).join(wanted, tmp, "left_semi")
+                .distinct().withColumn(hit, F.lit(True)))
+        b = b.join(keys, b[col] == keys[tmp], "left").drop(tmp)
         checks.append(F.col(col).isNull() | F.col(hit).isNotNull())
     b = b.withColumn("_w_fk_ok", _all(checks))
     return b.drop(*[f"_w_fk_hit{i}" for i in range(len(fks or {}))])
 
 
 def _key_present(df: DataFrame, table: DataFrame, key: list[str], flag: str) -> DataFrame:
-    marks = table.select(*key).where(_all([F.col(k).isNotNull() for k in key])).distinct() \
-                 .withColumn(flag, F.lit(True))
+    """Left-join a presence flag: is the row's key in ``table``. The table is
+    first cut to the batch's keys (semi join, small side broadcastable once
+    measured), then made distinct."""
+    nn = _all([F.col(k).isNotNull() for k in key])
+    wanted = df.select(*key).where(nn).distinct()
+    marks = (table.select(*key).join(wanted, key, "left_semi").distinct()
+             .withColumn(flag, F.lit(True)))
     return df.join(marks, key, "left")
 
 
@@ -142,7 +151,8 @@ def update_rows(target: DataFrame, batch: DataFrame, key: list[str], set_cols: l
     exists = F.col("_w_exists").isNotNull()
     kstruct = F.struct(*[F.col(k) for k in key])
     if unique:
-        holders = (target.where(_all([F.col(u).isNotNull() for u in unique]))
+        wanted = b.select(*unique).where(_all([F.col(u).isNotNull() for u in unique])).distinct()
+        holders = (target.join(wanted, unique, "left_semi")
                    .groupBy(*unique)
                    .agg(F.min(F.struct(*[F.col(k) for k in key])).alias("_w_kmin"),
                         F.max(F.struct(*[F.col(k) for k in key])).alias("_w_kmax")))
