@@ -80,15 +80,20 @@ def _rating_ok(col):
     return col.isNotNull() & (col >= 0) & (col <= 10)
 
 
-def review_intake(tables, reviews: DataFrame, submissions: DataFrame):
+def review_intake(tables, reviews: DataFrame, submissions: DataFrame, materialize: bool = True):
     """R2: new reviews. A rating outside 0..10 is REJECTED; a customer who never
     bought the product gets NOT_PURCHASED; the stored rating is ``floor``; one
     review per customer and product (later ones CONFLICT).
 
     submissions: seq, customer_id, product_id, rating, review, created_on.
+    With ``materialize`` the batch is checkpointed once (it is read three times).
     """
+    from ..session import materialize as _materialize
     from .changes import ChangeResult, insert_rows
 
+    if materialize:
+        # The batch is read by the gate, the insert and the outcome merge.
+        submissions = _materialize(submissions)
     # Purchase gate: the order lines are first cut down to the (customer,
     # product) pairs of this batch (a semi join whose small side AQE can
     # broadcast once measured), and only that small result is made distinct,

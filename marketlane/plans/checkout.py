@@ -63,6 +63,9 @@ def bulk_checkout(tables, requests: DataFrame, as_of, now, strict: bool = False,
     so the seven outputs do not each recompute the catalogue and the basket
     checks, and a lost executor recomputes from the checkpoint, not from the
     sources."""
+    if materialize:
+        # The request batch is read by several steps; keep one copy.
+        requests = session.materialize(requests)
     codes_check = o.discount_set_check(requests.select("request_id", "codes"), tables.discount_codes, strict)
     addr = tables.shipping_addresses.select(F.col("id").alias("shipping_address_id"), "customer_id",
                                             F.lit(True).alias("_c_addr"))
