@@ -50,6 +50,13 @@ class CheckoutResult:
     basket: DataFrame
 
 
+def _ntz(now) -> "F.Column":
+    """A TIMESTAMP_NTZ literal built from text, so no time zone (Python's or the
+    session's) can shift it."""
+    text = now.isoformat(sep=" ") if hasattr(now, "isoformat") else str(now)
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def checkout_requests_with_codes(tables) -> DataFrame:
     return o.request_codes(tables.checkout_requests).select(
         "request_id", "customer_id", "shipping_address_id", "codes")
@@ -130,7 +137,7 @@ def bulk_checkout(tables, requests: DataFrame, as_of, now, strict: bool = False,
         "price_paid_cents", o.discounted_total(F.coalesce("_c_total", F.lit(0)), F.col("percent_bp_total"), strict))
     new_orders = priced.select(order_id.alias("id"), "customer_id", F.lit(status_id).cast("int").alias("status_id"),
                                "shipping_address_id", "price_paid_cents",
-                               F.lit(now).cast("timestamp_ntz").alias("placed_on"))
+                               _ntz(now).alias("placed_on"))
     dc = tables.discount_codes.select(F.col("id").alias("discount_code_id"), "code")
     code_links = (ok.select(order_id.alias("order_id"), F.explode(F.array_distinct("codes")).alias("code"))
                   .join(dc, "code").select("order_id", "discount_code_id"))
