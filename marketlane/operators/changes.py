@@ -9,8 +9,11 @@ statements against a keyed table give.
 
 Everything is joins and aggregates over all keys at once. Per-key decisions
 ("first claimant wins", "last change wins") are ``groupBy`` aggregates joined
-back, never windows, so a key holding a third of the batch is combined
-map-side and its join partition is split by AQE's skew handling.
+back, not windows, so a key holding a third of the batch is combined map-side
+and its join partition is split by AQE's skew handling. The one ordered per-key
+scan (the exact mode of W2 on unique columns) uses the bucketed running scan
+of ``scan.py``. Existence and FK checks first cut the large table to the keys
+the batch uses, so a small batch never deduplicates a large table.
 """
 
 from __future__ import annotations
