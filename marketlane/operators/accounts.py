@@ -49,9 +49,9 @@ def role_rows(tables) -> DataFrame:
 def account_types(tables) -> DataFrame:
     """A5: per account and role table, the role id (NULL when not in that table).
 
-    Roles are one union of five small frames; accounts are expanded to the five
-    tables with an ``explode`` of a literal array (no join needed), then the
-    role rows are LEFT joined on (account, table).
+    The role tables are read as one union; accounts are expanded to the five
+    table names with an ``explode`` of a literal array (no join needed), then
+    the role rows are LEFT joined on (account, table).
     """
     acc = tables.accounts.select(F.col("id").alias("account_id"),
                                  F.explode(F.array(*[F.lit(t) for t in ROLE_TABLES])).alias("account_table"))
