@@ -263,3 +263,25 @@ def test_write_changes_versions(spark, tmp_path):
     # A version whose job died before the marker is not visible.
     (target.write.parquet(f"{root}/v=2/table"))
     assert latest_version(spark, root) == 1
+
+
+def test_same_style_for_requests_and_last_purchase_for(spark):
+    t = _shop(spark, [(1, 1, 1)], [(1, 1)])
+    cat = C.product_catalog(t, D(2001, 1, 1))
+    req = spark.createDataFrame([(1, 2), (2, 99)], "request_id bigint, product_id bigint")
+    got = sorted((r.request_id, r.id) for r in C.products_same_style_for(cat, t.products, req).collect())
+    assert got == [(1, 1), (1, 2), (1, 3)]
+    lines = spark.createDataFrame([(100, 1, 2, 100)], "order_id bigint, product_id bigint, quantity bigint, price_cents bigint")
+    t2 = t.with_tables(product_orders=lines)
+    pairs = spark.createDataFrame([(1, 1), (1, 2)], "customer_id bigint, product_id bigint")
+    got = {r.product_id: r.last_purchased_on for r in O.last_purchase_for(t2, pairs).collect()}
+    assert got == {1: dt.datetime(2000, 1, 1), 2: None}
+
+
+def test_order_history_newest_first(spark):
+    from marketlane.sources.tables import ShopTables as ST
+
+    t = ST(spark, "/root/testdata/sf0.001")
+    rows = O.order_history_sorted(t).select("placed_on", "id").collect()
+    keys = [(r.placed_on, r.id) for r in rows]
+    assert keys == sorted(keys, reverse=True) and len(keys) > 0
