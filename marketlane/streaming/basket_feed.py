@@ -107,9 +107,13 @@ def _latest_basket(spark: SparkSession, out: str, opening: DataFrame, before_bat
 
 
 def stream_basket_feed(spark: SparkSession, sf_dir: str, out: str | None = None,
-                       max_files_per_trigger: int | None = None, events: DataFrame | None = None) -> str:
-    """Run S2 until the source is drained (``availableNow``); returns ``out``."""
-    base = os.path.join(checkpoint_dir(spark), f"s2-{uuid.uuid4().hex}")
+                       max_files_per_trigger: int | None = None, events: DataFrame | None = None,
+                       base: str | None = None) -> str:
+    """Run S2 until the source is drained (``availableNow``); returns ``out``.
+    ``base`` (a stable shared folder) holds the output and the streaming
+    checkpoint so a restarted driver resumes; by default a fresh folder under
+    ``spark.checkpoint.dir``."""
+    base = base or os.path.join(checkpoint_dir(spark), f"s2-{uuid.uuid4().hex}")
     out = out or os.path.join(base, "out")
     src = events if events is not None else stream_driver_table(spark, sf_dir, "events", max_files_per_trigger)
     changes = basket_change_stream(src)

@@ -52,10 +52,14 @@ def _read_history(spark: SparkSession, out: str) -> DataFrame:
 
 
 def stream_record_views(spark: SparkSession, sf_dir: str, out: str | None = None, delay: str = "2 days",
-                        max_files_per_trigger: int | None = None, events: DataFrame | None = None) -> str:
+                        max_files_per_trigger: int | None = None, events: DataFrame | None = None,
+                        base: str | None = None) -> str:
     """Run S1 until the source is drained (``availableNow``); returns the
-    history folder. ``events`` overrides the driver events stream."""
-    base = os.path.join(checkpoint_dir(spark), f"s1-{uuid.uuid4().hex}")
+    history folder. ``events`` overrides the driver events stream. ``base``
+    (a stable shared folder) holds the output and the streaming checkpoint, so
+    a restarted driver resumes where the last committed batch ended; by
+    default a fresh folder under ``spark.checkpoint.dir`` is used."""
+    base = base or os.path.join(checkpoint_dir(spark), f"s1-{uuid.uuid4().hex}")
     out = out or os.path.join(base, "history")
     src = events if events is not None else stream_driver_table(spark, sf_dir, "events", max_files_per_trigger)
     stream = deduplicated(view_event_stream(src), delay)

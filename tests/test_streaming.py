@@ -79,3 +79,14 @@ def test_feed_messages_are_paged_for_huge_baskets(spark):
     assert sorted(i["productId"] for m in one for i in m["basket"]) == list(range(25))
     assert [m for c, m in msgs if c == 2] == [{"type": "basketUpdate", "basket": [{"productId": 5, "quantity": 3}]}]
     assert [m for c, m in msgs if c == 3] == [{"type": "basketUpdate", "basket": []}]
+
+
+def test_s2_resumes_from_a_stable_base(spark, split_events, tmp_path):
+    """A second run on the same base finds no new input and keeps the state."""
+    base = str(tmp_path / "s2")
+    out = basket_feed.stream_basket_feed(spark, SF, events=_stream(spark, split_events), base=base)
+    first = {tuple(r) for r in basket_feed.final_basket(spark, out).collect()}
+    out2 = basket_feed.stream_basket_feed(spark, SF, events=_stream(spark, split_events), base=base)
+    assert out2 == out
+    assert {tuple(r) for r in basket_feed.final_basket(spark, out2).collect()} == first
+    assert spark.read.parquet(os.path.join(out, "basket")).select("batch_id").distinct().count() == 4
