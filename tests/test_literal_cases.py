@@ -285,3 +285,21 @@ def test_order_history_newest_first(spark):
     rows = O.order_history_sorted(t).select("placed_on", "id").collect()
     keys = [(r.placed_on, r.id) for r in rows]
     assert keys == sorted(keys, reverse=True) and len(keys) > 0
+
+
+def test_batch_parse_equals_single_parse(spark):
+    """The Spark-function query parser (C9) and the driver-side one (C8) agree
+    on random query strings built from words, or, quotes and minus signs."""
+    import random
+
+    rnd = random.Random(11)
+    atoms = ["red", "ring", "or", "OR", "-blue", '"hot gear"', '-"a b"', "x-y", "!!", "-", '"', "Gear", "-or"]
+    queries = [(f"q{i}", " ".join(rnd.choice(atoms) for _ in range(rnd.randint(0, 6)))) for i in range(200)]
+    df = spark.createDataFrame(queries, "query_id string, query string")
+    got = {}
+    for r in S.parse_queries(df).collect():
+        got.setdefault(r.query_id, {}).setdefault(r.clause, []).append((r.term, S.Term(r.negated, tuple(r.words))))
+    for qid, text in queries:
+        want = S.parse_query(text.strip())
+        clauses = [[t for _, t in sorted(terms)] for _, terms in sorted(got.get(qid, {}).items())]
+        assert clauses == want, (text, clauses, want)
