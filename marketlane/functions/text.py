@@ -40,3 +40,32 @@ def has_image_extension(col: Column) -> Column:
 def word_tokens(col: Column) -> Column:
     """Lower-case alphanumeric words of a text, in order (search config ``simple``)."""
     return F.filter(F.split(F.lower(col), "[^a-z0-9]+"), lambda w: w != F.lit(""))
+
+
+def harman_s_stem(word: Column) -> Column:
+    """Harman's (1991) S-stemmer, the first matching rule applies:
+    ``-ies`` (not ``-eies``/``-aies``) -> ``-y``; ``-es`` (not ``-aes``/``-ees``/
+    ``-oes``) -> ``-e``; ``-s`` (not ``-us``/``-ss``) -> drop."""
+    return (F.when(word.rlike("[^ea]ies$"), F.regexp_replace(word, "ies$", "y"))
+            .when(word.rlike("[^aeo]es$"), F.regexp_replace(word, "es$", "e"))
+            .when(word.rlike("[^us]s$"), F.regexp_replace(word, "s$", ""))
+            .otherwise(word))
+
+
+def harman_s_stem_py(word: str) -> str:
+    """The same rule for driver-side query words."""
+    if len(word) > 3 and word.endswith("ies") and word[-4] not in "ea":
+        return word[:-3] + "y"
+    if len(word) > 2 and word.endswith("es") and word[-3] not in "aeo":
+        return word[:-2] + "e"
+    if len(word) > 1 and word.endswith("s") and word[-2] not in "us":
+        return word[:-1]
+    return word
+
+
+def english_tokens(col: Column, stop_words: list[str]) -> Column:
+    """Search config ``english``: lower-case words without stop words, each
+    reduced by the S-stemmer."""
+    stops = F.array(*[F.lit(w) for w in stop_words]) if stop_words else F.array().cast("array<string>")
+    kept = F.filter(word_tokens(col), lambda w: ~F.array_contains(stops, w))
+    return F.transform(kept, harman_s_stem)

@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import word_tokens
+from ..functions.text import english_tokens, harman_s_stem_py, word_tokens
 from .. import session
 
 # Shortest accepted query (checked before trimming) and the
@@ -47,6 +47,27 @@ class Term:
     words: tuple[str, ...]
 
 
+def english_stop_words() -> list[str]:
+    """Spark ML's English stop-word list (StopWordsRemover default)."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return list(StopWordsRemover.loadDefaultStopWords("english"))
+
+
+def _english_clauses(clauses: list[list[Term]], stops: list[str]) -> list[list[Term]]:
+    stop = set(stops)
+    out = []
+    for clause in clauses:
+        terms = []
+        for t in clause:
+            words = tuple(harman_s_stem_py(w) for w in t.words if w not in stop)
+            if words:
+                terms.append(Term(t.negated, words))
+        if terms:
+            out.append(terms)
+    return out
+
+
 def parse_query(query: str) -> list[list[Term]]:
     """Clauses (ANDed) of terms (ORed) for one query string."""
     clauses: list[list[Term]] = []
@@ -106,13 +127,24 @@ def search_rank(tokens: Column, clauses: list[list[Term]]) -> Column:
     return F.when(n > 0, hits.cast("double") / n)
 
 
-def product_search(catalog: DataFrame, query: str) -> DataFrame:
+def product_search(catalog: DataFrame, query: str, config: str = "simple") -> DataFrame:
     """Products whose name matches ``query``, with a rank. The reference
-    rejects a query shorter than 2 characters before trimming it."""
+    rejects a query shorter than 2 characters before trimming it.
+
+    ``config``: ``simple`` (lower-case words) or ``english`` (also drops Spark
+    ML's English stop words and applies Harman's S-stemmer, on both the names
+    and the query words)."""
     if not isinstance(query, str) or len(query) < MIN_QUERY_LENGTH:
         raise ValueError("search query must have at least 2 characters")
     clauses = parse_query(query.strip())
-    toks = word_tokens(F.col("name"))
+    if config == "english":
+        stops = english_stop_words()
+        clauses = _english_clauses(clauses, stops)
+        toks = english_tokens(F.col("name"), stops)
+    elif config == "simple":
+        toks = word_tokens(F.col("name"))
+    else:
+        raise ValueError(f"unknown text configuration {config!r}")
     return (catalog.withColumn("_s_tokens", toks)
             .where(search_condition(F.col("_s_tokens"), clauses))
             .select(*SEARCH_COLUMNS, search_rank(F.col("_s_tokens"), clauses).alias("rank")))

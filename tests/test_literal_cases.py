@@ -303,3 +303,20 @@ def test_batch_parse_equals_single_parse(spark):
         want = S.parse_query(text.strip())
         clauses = [[t for _, t in sorted(terms)] for _, terms in sorted(got.get(qid, {}).items())]
         assert clauses == want, (text, clauses, want)
+
+
+def test_english_config(spark):
+    from marketlane.functions.text import harman_s_stem, harman_s_stem_py
+
+    words = ["ponies", "aies", "horses", "toes", "cats", "bus", "glass", "is", "s", "gear", "queries"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    spark_stems = [r.s for r in df.select(harman_s_stem(C.F.col("w")).alias("s")).collect()]
+    assert spark_stems == [harman_s_stem_py(w) for w in words]
+    assert harman_s_stem_py("ponies") == "pony" and harman_s_stem_py("horses") == "horse"
+    assert harman_s_stem_py("cats") == "cat" and harman_s_stem_py("glass") == "glass"
+    cat = spark.createDataFrame([(1, "The red rings"), (2, "a ring of gears"), (3, "blue pony")], "id bigint, name string")
+    for c in ["available", "brand_name", "brand_id", "stock_count", "price", "description"]:
+        cat = cat.withColumn(c, C.F.lit(None).cast("string"))
+    assert sorted(r.id for r in S.product_search(cat, "ring", config="english").collect()) == [1, 2]
+    assert sorted(r.id for r in S.product_search(cat, "ring", config="simple").collect()) == [2]
+    assert sorted(r.id for r in S.product_search(cat, "the ponies", config="english").collect()) == [3]
