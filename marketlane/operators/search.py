@@ -190,8 +190,22 @@ class BatchSearch:
     unanchored: DataFrame  # query_id, query: no positive-only clause
 
 
+def _english_terms(terms: DataFrame, stops: list[str]) -> DataFrame:
+    """Stop words out and S-stemmer on the parsed query words (same rules as
+    ``english_tokens``); terms left without words drop out, then clauses left
+    without terms."""
+    from ..functions.text import harman_s_stem
+
+    arr = F.array(*[F.lit(w) for w in stops]) if stops else F.array().cast("array<string>")
+    words = F.transform(F.filter("words", lambda w: ~F.array_contains(arr, w)), harman_s_stem)
+    kept = terms.withColumn("words", words).where(F.size("words") > 0)
+    # Renumber clauses densely per query so clause counts stay consistent.
+    w = Window.partitionBy("query_id").orderBy("clause")
+    return kept.withColumn("clause", F.dense_rank().over(w))
+
+
 def product_search_batch(catalog: DataFrame, queries: DataFrame, products: DataFrame | None = None,
-                         materialize: bool = True) -> BatchSearch:
+                         materialize: bool = True, config: str = "simple") -> BatchSearch:
     """Evaluate ``queries`` (query_id, query) against the catalogue.
 
     ``products`` (id, name) feeds the inverted index; by default the
@@ -206,6 +220,14 @@ def product_search_batch(catalog: DataFrame, queries: DataFrame, products: DataF
     query without positive-only clause is unanchored.
     """
     terms = parse_queries(queries)
+    if config == "english":
+        stops = english_stop_words()
+        terms = _english_terms(terms, stops)
+        tokenize = lambda c: english_tokens(c, stops)
+    elif config == "simple":
+        tokenize = word_tokens
+    else:
+        raise ValueError(f"unknown text configuration {config!r}")
     if materialize:
         terms = session.materialize(terms)
     clause_info = (terms.groupBy("query_id", "clause")
@@ -216,7 +238,7 @@ def product_search_batch(catalog: DataFrame, queries: DataFrame, products: DataF
     anchored = query_info.where(F.col("n_pos_only") > 0)
 
     # Inverted index of product names: (id, position, word).
-    names = (products if products is not None else catalog).select("id", word_tokens(F.col("name")).alias("_w"))
+    names = (products if products is not None else catalog).select("id", tokenize(F.col("name")).alias("_w"))
     index = names.select("id", F.posexplode("_w").alias("ppos", "word"))
     n_words = names.select("id", F.size("_w").alias("n_name_words"))
 

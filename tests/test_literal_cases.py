@@ -320,3 +320,18 @@ def test_english_config(spark):
     assert sorted(r.id for r in S.product_search(cat, "ring", config="english").collect()) == [1, 2]
     assert sorted(r.id for r in S.product_search(cat, "ring", config="simple").collect()) == [2]
     assert sorted(r.id for r in S.product_search(cat, "the ponies", config="english").collect()) == [3]
+
+
+def test_batch_search_english_agrees_with_single(spark):
+    cat = spark.createDataFrame([(1, "The red rings"), (2, "a ring of gears"), (3, "blue pony"), (4, "red gear")],
+                                "id bigint, name string")
+    for c in ["available", "brand_name", "brand_id", "stock_count", "price", "description"]:
+        cat = cat.withColumn(c, C.F.lit(None).cast("string"))
+    qs = [("a", "rings"), ("b", "the gears or ponies"), ("c", "red -the -gear"), ("d", '"red ring"'), ("e", "the of")]
+    res = S.product_search_batch(cat, spark.createDataFrame(qs, "query_id string, query string"), config="english")
+    got = {}
+    for r in res.matches.collect():
+        got.setdefault(r.query_id, set()).add((r.id, r.rank))
+    for qid, q in qs[:4]:
+        assert got.get(qid, set()) == {(r.id, r.rank) for r in S.product_search(cat, q, config="english").collect()}, q
+    assert [r.query_id for r in res.unanchored.collect()] == ["e"]
