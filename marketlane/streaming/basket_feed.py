@@ -2,21 +2,27 @@
 
 A stream of basket changes (add / update / remove / clear) is applied per
 micro-batch (``foreachBatch``) with the batch operator B2 against the basket
-as the previous batch left it. Each batch writes, under ``<out>``:
-
-* ``basket/batch_id=<n>``: the full basket after the batch (the state the next
-  batch starts from; the opening basket is the state before batch 0);
+as the previous batches left it. State is log-structured under ``<out>``, so a
+micro-batch costs what its own customers cost, not the whole basket table:
+
+* ``delta/batch_id=<n>``: the new basket of every customer in batch n (only
+  those), and ``touched/batch_id=<n>``: those customers (so an emptied basket
+  is represented too);
+* ``snap/batch_id=<n>``: a full snapshot, written at batch 0 (opening basket
+  plus batch 0) and then every ``COMPACT_EVERY`` batches (compaction);
 * ``outcomes/batch_id=<n>``: the outcome of every change;
-* ``committed/m=<n>``: a one-row marker written last; the next batch (and
-  ``final_basket``) reads the basket of the newest committed batch only;
 * ``feed/batch_id=<n>``: one message per customer touched by an accepted add,
   update or remove, ``{"type":"basketUpdate","basket":[{"productId":..,
   "quantity":..}, ..]}``, holding that customer's basket after the batch (the
   reference pushes the whole basket after each change; within one micro-batch
-  the latest state stands for all of that customer's changes).
-
-Folders are overwritten per batch id, so a replayed batch rewrites the same
-output. Only the customers touched by the batch are regrouped for messages.
+  the latest state stands for all of that customer's changes);
+* ``committed/m=<n>``: a one-row marker (batch, snapshot flag) written last.
+
+The state of a set of customers after batch n is the newest snapshot at or
+before n, overridden per customer by the latest delta after it that touched
+the customer; it is read only for the customers a batch needs. Folders are
+overwritten per batch id and only committed batches are read, so a replayed
+batch rewrites the same output.
 """
 
 from __future__ import annotations
@@ -92,18 +98,43 @@ def checkout_messages(basket_after: DataFrame, requests: DataFrame) -> DataFrame
     return feed_messages(basket_after, requests.select("customer_id").distinct())
 
 
-def _latest_basket(spark: SparkSession, out: str, opening: DataFrame, before_batch: int) -> DataFrame:
-    """Basket written by the newest committed batch before ``before_batch``,
-    else the opening one. Only the one-row commit markers are scanned to find
-    it, then that single basket folder is read."""
+COMPACT_EVERY = 8
+
+
+def _markers(spark: SparkSession, out: str) -> DataFrame | None:
     try:
-        marks = spark.read.schema("batch bigint").parquet(os.path.join(out, "committed"))
+        return spark.read.schema("batch bigint, snap boolean").parquet(os.path.join(out, "committed"))
     except AnalysisException:
-        return opening
-    prev = marks.where(F.col("batch") < before_batch).select(F.max("batch")).first()[0]
-    if prev is None:
-        return opening
-    return spark.read.schema(BASKET_SCHEMA).parquet(os.path.join(out, "basket", f"batch_id={prev}"))
+        return None
+
+
+def _state(spark: SparkSession, out: str, last: int, snap: int, customers: DataFrame | None) -> DataFrame:
+    """Basket after committed batch ``last`` whose newest snapshot is ``snap``,
+    restricted to ``customers`` (semi join) when given."""
+    def only(df):
+        return df if customers is None else df.join(customers, "customer_id", "left_semi")
+
+    base = only(spark.read.schema(BASKET_SCHEMA).parquet(os.path.join(out, "snap", f"batch_id={snap}")))
+    if last == snap:
+        return base
+    rng = (F.col("batch_id") > snap) & (F.col("batch_id") <= last)
+    touched = only(spark.read.schema("customer_id bigint, batch_id bigint")
+                   .parquet(os.path.join(out, "touched")).where(rng))
+    latest = touched.groupBy("customer_id").agg(F.max("batch_id").alias("batch_id"))
+    deltas = only(spark.read.schema(BASKET_SCHEMA + ", batch_id bigint")
+                  .parquet(os.path.join(out, "delta")).where(rng))
+    changed = deltas.join(latest, ["customer_id", "batch_id"], "left_semi").drop("batch_id")
+    return base.join(latest.select("customer_id"), "customer_id", "left_anti").unionByName(changed)
+
+
+def _committed_before(spark: SparkSession, out: str, before_batch: int):
+    """(last committed batch, its newest snapshot) before ``before_batch``."""
+    marks = _markers(spark, out)
+    if marks is None:
+        return None, None
+    row = (marks.where(F.col("batch") < before_batch)
+           .agg(F.max("batch").alias("last"), F.max(F.when(F.col("snap"), F.col("batch"))).alias("snap")).first())
+    return row["last"], row["snap"]
 
 
 def stream_basket_feed(spark: SparkSession, sf_dir: str, out: str | None = None,
@@ -122,21 +153,29 @@ def stream_basket_feed(spark: SparkSession, sf_dir: str, out: str | None = None,
         from ..operators.basket import basket_fold
 
         t = ShopTables(spark, sf_dir)
-        current = _latest_basket(spark, out, t.products_in_basket, batch_id)
-        # The fold is independent per customer: fold only the baskets of the
-        # customers in this batch, carry the others over unchanged.
+        last, snap = _committed_before(spark, out, batch_id)
         in_batch = batch.select("customer_id").distinct()
-        res = basket_fold(current.join(in_batch, "customer_id", "left_semi"), batch, t.products, t.customer_accounts)
-        new_basket = current.join(in_batch, "customer_id", "left_anti").unionByName(
-            res.basket.select("customer_id", "product_id", "quantity"))
-        new_basket.write.mode("overwrite").parquet(os.path.join(out, "basket", f"batch_id={batch_id}"))
+        # The fold is independent per customer: only this batch's customers are read.
+        if last is None:
+            current = t.products_in_basket.join(in_batch, "customer_id", "left_semi")
+        else:
+            current = _state(spark, out, last, snap, in_batch)
+        res = basket_fold(current, batch, t.products, t.customer_accounts)
+        new_rows = res.basket.select("customer_id", "product_id", "quantity")
+        new_rows.write.mode("overwrite").parquet(os.path.join(out, "delta", f"batch_id={batch_id}"))
+        in_batch.write.mode("overwrite").parquet(os.path.join(out, "touched", f"batch_id={batch_id}"))
         res.outcomes.write.mode("overwrite").parquet(os.path.join(out, "outcomes", f"batch_id={batch_id}"))
-        written = spark.read.parquet(os.path.join(out, "basket", f"batch_id={batch_id}"))
+        written = spark.read.schema(BASKET_SCHEMA).parquet(os.path.join(out, "delta", f"batch_id={batch_id}"))
+        take_snap = last is None or batch_id % COMPACT_EVERY == 0
+        if take_snap:
+            others = (t.products_in_basket if last is None else _state(spark, out, last, snap, None))
+            full = others.join(in_batch, "customer_id", "left_anti").unionByName(written)
+            full.write.mode("overwrite").parquet(os.path.join(out, "snap", f"batch_id={batch_id}"))
         touched = (res.outcomes.where(F.col("op").isin("add", "update", "remove") & (F.col("outcome") == "OK"))
                    .select("customer_id").distinct())
         feed_messages(written, touched).write.mode("overwrite").parquet(os.path.join(out, "feed", f"batch_id={batch_id}"))
         # Commit marker last: a batch that died midway is not read as state.
-        (spark.range(1).select(F.lit(batch_id).cast("bigint").alias("batch"))
+        (spark.range(1).select(F.lit(batch_id).cast("bigint").alias("batch"), F.lit(take_snap).alias("snap"))
          .write.mode("overwrite").parquet(os.path.join(out, "committed", f"m={batch_id}")))
 
     q = (changes.writeStream.foreachBatch(apply)
@@ -148,8 +187,8 @@ def stream_basket_feed(spark: SparkSession, sf_dir: str, out: str | None = None,
 
 def final_basket(spark: SparkSession, out: str) -> DataFrame:
     """The basket after the newest committed batch."""
-    last = spark.read.schema("batch bigint").parquet(os.path.join(out, "committed")).select(F.max("batch")).first()[0]
-    return spark.read.schema(BASKET_SCHEMA).parquet(os.path.join(out, "basket", f"batch_id={last}"))
+    last, snap = _committed_before(spark, out, 2 ** 62)
+    return _state(spark, out, last, snap, None)
 
 
 def read_feed(spark: SparkSession, out: str) -> DataFrame:

@@ -59,7 +59,7 @@ def test_s2_equals_batch_b2(spark, split_events):
     want = {tuple(r) for r in basket_fold(t.products_in_basket, log, t.products, t.customer_accounts)
             .basket.select("customer_id", "product_id", "quantity").collect()}
     assert got == want
-    batches = spark.read.parquet(os.path.join(out, "basket")).select("batch_id").distinct().count()
+    batches = spark.read.parquet(os.path.join(out, "touched")).select("batch_id").distinct().count()
     assert batches == 4
     msgs = basket_feed.read_feed(spark, out).collect()
     assert msgs and all(m.message.startswith('{"type":"basketUpdate","basket":[') for m in msgs)
@@ -89,4 +89,17 @@ def test_s2_resumes_from_a_stable_base(spark, split_events, tmp_path):
     out2 = basket_feed.stream_basket_feed(spark, SF, events=_stream(spark, split_events), base=base)
     assert out2 == out
     assert {tuple(r) for r in basket_feed.final_basket(spark, out2).collect()} == first
-    assert spark.read.parquet(os.path.join(out, "basket")).select("batch_id").distinct().count() == 4
+    assert spark.read.parquet(os.path.join(out, "touched")).select("batch_id").distinct().count() == 4
+
+
+def test_s2_compaction_keeps_state(spark, split_events, monkeypatch):
+    monkeypatch.setattr(basket_feed, "COMPACT_EVERY", 2)
+    t = ShopTables(spark, SF)
+    out = basket_feed.stream_basket_feed(spark, SF, events=_stream(spark, split_events))
+    snaps = spark.read.parquet(os.path.join(out, "snap")).select("batch_id").distinct().count()
+    assert snaps == 2  # batch 0 and batch 2
+    got = {tuple(r) for r in basket_feed.final_basket(spark, out).collect()}
+    log = t.basket_events.select(F.col("event_id").alias("seq"), "customer_id", "product_id", "op", "quantity")
+    want = {tuple(r) for r in basket_fold(t.products_in_basket, log, t.products, t.customer_accounts)
+            .basket.select("customer_id", "product_id", "quantity").collect()}
+    assert got == want
