@@ -12,7 +12,7 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings a local run needs; each is applied only when the caller left it unset.
+# Runtime SQL settings; each is set only when the launch left it unset.
 # Broadcasts are decided only on measured sizes: the planner's file-size
 # estimate is off (-1) and AQE broadcasts a side after its shuffle stage has
 # run and proved smaller than the adaptive threshold.
@@ -24,24 +24,50 @@ LOCAL_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+# Settings fixed when the JVM starts; applied only when this process starts it
+# (a local run), never under spark-submit, where the cluster decides.
+LOCAL_STATIC = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "marketlane", extra: dict | None = None) -> SparkSession:
+    """A session for tests, benches and the command line.
+
+    Settings from the launch (spark-submit ``--conf``, spark-defaults) are kept:
+    ``LOCAL_DEFAULTS`` and the default shuffle partitions are set only where
+    the launch left them unset; the local master, driver memory and
+    ``LOCAL_STATIC`` only when this process starts the JVM itself. Arguments
+    given explicitly (``master``, ``shuffle_partitions``, ``extra``) apply.
+    """
+    submitted = "PYSPARK_GATEWAY_PORT" in os.environ  # the JVM was started by spark-submit
     cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.appName(app_name).master(master or f"local[{cpus}]")
-    conf = dict(LOCAL_DEFAULTS)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
-    conf["spark.driver.memory"] = os.environ.get("MARKETLANE_DRIVER_MEMORY", "16g")
-    conf.update(extra or {})
-    for k, v in conf.items():
-        builder = builder.config(k, v)
+    builder = SparkSession.builder.appName(app_name)
+    if master or not submitted:
+        builder = builder.master(master or f"local[{cpus}]")
+    if not submitted:
+        static = dict(LOCAL_STATIC)
+        static["spark.driver.memory"] = os.environ.get("MARKETLANE_DRIVER_MEMORY", "16g")
+        for k, v in static.items():
+            builder = builder.config(k, v)
     spark = builder.getOrCreate()
+    launched = spark.sparkContext.getConf()
+    defaults = dict(LOCAL_DEFAULTS)
+    defaults["spark.sql.shuffle.partitions"] = str(int(cpus))
+    for k, v in defaults.items():
+        if not launched.contains(k):
+            spark.conf.set(k, v)
+    explicit = dict(extra or {})
+    if shuffle_partitions:
+        explicit["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    for k, v in explicit.items():
+        spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
     return spark
