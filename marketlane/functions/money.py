@@ -34,4 +34,5 @@ def half_up_div(numerator: Column, denominator: int) -> Column:
 def apply_percent_off(total_cents: Column, bp_off: Column) -> Column:
     """``total - sum(percent)/100 * total`` in cents: every percent is taken off
     the original total (additive), with no floor at 0."""
-    return half_up_div(total_cents * (F.lit(10000) - bp_off), 10000)
+    # DECIMAL(38,0) before multiplying: no BIGINT overflow for any total.
+    return half_up_div(total_cents.cast("decimal(38,0)") * (F.lit(10000) - bp_off), 10000)
