@@ -2,6 +2,7 @@
 (the driver runs the same comparison at sf0.01; tools/check_oracle.py too)."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -10,8 +11,9 @@ import __spark_entry__ as entry
 from tools.check_oracle import TABLES, family, rows_of
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(entry.queries())
-SQL = entry.oracle_sql()
+# The training-data operators, where installed, have tests of their own.
+NAMES = sorted(n for n in entry.queries() if not re.fullmatch(r"op\d+_.*|pipeline", n))
+SQL = {n: q for n, q in entry.oracle_sql().items() if n in NAMES}
 
 
 @pytest.fixture(scope="module")
