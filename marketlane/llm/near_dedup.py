@@ -14,10 +14,12 @@ found without writing out the pairs of a bucket:
 2. where a bucket still holds several components, a few members of each with each other;
 3. where it still does, the members outside its largest component with all others.
 
-Candidates whose registers agree too rarely are dropped; the others are verified:
-the Jaccard similarity of their sets of shingles (as 32-bit hashes) must reach the
-threshold. After step 3 every two texts that share a bucket are linked, in one
-component, or were compared. Classes are the connected components of the links.
+A link needs the Jaccard similarity of the sets of shingles (as 32-bit hashes) to
+reach the threshold. Step 1 drops candidates whose registers agree too rarely and
+compares the others pair by pair; steps 2 and 3 count common shingles by an
+inverted list inside the group and write out one link per member and component.
+After step 3 every two texts that share a bucket are in one component or were
+compared. Classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from .arrays import binaries, row_shingles, slices, span_hashes, splitmix, words
+from .arrays import binaries, ranges, row_shingles, slices, span_hashes, splitmix, words
 from .staging import pick, stage
 
 WIDTH = 5
@@ -39,9 +41,9 @@ REGISTERS = BANDS * BAND_ROWS
 # Registers agree with a standard deviation of 0.045 at 0.8; four of these below.
 LEAST_AGREEMENT = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 MEMBERS_OF_COMPONENT = 8        # tried in step 2
-SPLIT_MEMBERS = 20_000          # members of the largest component of a bucket that one group holds in step 3
+SPLIT_BYTES = 32_000_000        # shingles of the largest component of a bucket that one group holds in step 3
 BROADCAST_KEYS = 500_000        # 16-byte keys: up to 8 MB are broadcast, more are joined by a shuffle
-SLICE = 4_000_000
+SLICE = 2_000_000
 
 
 def row_elements(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,19 +129,27 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """Of one group of bucket members, the likely pairs between a member outside
-    the largest component and members of other components."""
-    keys = table.column("key").to_pylist()
-    main = np.array(table.column("is_main").to_pylist(), bool)
-    _, label = np.unique(np.array(table.column("label").to_pylist(), object), return_inverse=True)
-    signed = _as_signatures(table.column("signature"))
+def _linked(table: pa.Table) -> pa.Table:
+    """Of one group of bucket members, a link from each member outside the largest
+    component to every other component that has a similar member."""
+    keys, main = table.column("key").to_pylist(), table.column("is_main").to_pylist()
+    label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    sets = [np.unique(np.frombuffer(x, np.uint32)) for x in table.column("shingles").to_pylist()]
+    size = np.array([len(x) for x in sets])
+    bounds = np.append(0, np.cumsum(size))
+    shingles, term = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.repeat(np.arange(len(sets)), size)[np.argsort(term, kind="stable")]
+    n = np.bincount(term, minlength=len(shingles))
+    first = np.cumsum(n) - n
     a, b = [], []
-    for i in np.flatnonzero(~main):
-        near = np.flatnonzero((label != label[i]) & (main | (np.arange(len(keys)) > i)))
-        near = near[_agreement(signed[i], signed[near]) >= LEAST_AGREEMENT]
-        a += [min(keys[i], keys[j]) for j in near]
-        b += [max(keys[i], keys[j]) for j in near]
+    for i in range(len(keys)):
+        if not main[i]:
+            own = term[bounds[i]:bounds[i + 1]]
+            both = np.bincount(holders[ranges(first[own], n[own])], minlength=len(sets))
+            similar = np.flatnonzero((both >= SIMILARITY * (size[i] + size - both)) & (label != label[i]))
+            for j in similar[np.unique(label[similar], return_index=True)[1]]:
+                a.append(min(keys[i], keys[j]))
+                b.append(max(keys[i], keys[j]))
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
@@ -209,31 +219,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         open_ = with_label.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("bucket")
         return with_label.join(open_, "bucket", "left_semi")
 
-    def across(chosen: DataFrame, tried: DataFrame) -> DataFrame:
-        """Likely pairs between the components of each (bucket, split) not tried before."""
-        found = chosen.join(nodes, "key").groupBy("bucket", "split").applyInArrow(_across, "a binary, b binary").distinct()
-        return stage(found.join(tried, ["a", "b"], "left_anti"), "dedup-pairs")
+    def linked(chosen: DataFrame) -> DataFrame:
+        """Links between the components of each (bucket, split)."""
+        return chosen.join(sets, "key").groupBy("bucket", "split").applyInArrow(_linked, "a binary, b binary").distinct()
 
     # 1. Hubs.
     star = members.where("key != hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
-    tried = stage(with_both(star, nodes, "signature").mapInArrow(_likely, "a binary, b binary"), "dedup-pairs")
-    links = verify(tried)
+    links = verify(stage(with_both(star, nodes, "signature").mapInArrow(_likely, "a binary, b binary"), "dedup-pairs"))
 
     # 2. A few members of each component.
     some = labelled(links).groupBy("bucket", "label").agg(*[F.min(F.struct(F.xxhash64("key", F.lit(j)).alias("order"), "key")).alias(f"m{j}") for j in range(MEMBERS_OF_COMPONENT)])
     some = some.select("bucket", "label", F.explode(F.array_distinct(F.array(*[F.col(f"m{j}.key") for j in range(MEMBERS_OF_COMPONENT)]))).alias("key"))
-    pairs = across(some.select("bucket", "label", "key", F.lit(False).alias("is_main"), F.lit(0).alias("split")), tried)
-    links, tried = stage(links.union(verify(pairs)), "dedup-linked"), tried.union(pairs)
+    links = stage(links.union(linked(some.select("bucket", "label", "key", F.lit(False).alias("is_main"), F.lit(0).alias("split")))), "dedup-linked")
 
     # 3. Everything left. The largest component of a bucket is dealt out in splits,
     # the members outside it go to each split.
     left = stage(labelled(links), "dedup-left")
-    sizes = left.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("main"))
-    sizes = sizes.select("bucket", F.col("main.label").alias("main"), F.ceil(F.col("main.n") / SPLIT_MEMBERS).cast("int").alias("splits"))
+    volume = left.join(sets.select("key", F.octet_length("shingles").cast("long").alias("size")), "key").groupBy("bucket", "label").agg(F.sum("size").alias("size"))
+    sizes = volume.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("main"))
+    sizes = sizes.select("bucket", F.col("main.label").alias("main"), F.greatest(F.ceil(F.col("main.size") / SPLIT_BYTES), F.lit(1)).cast("int").alias("splits"))
     dealt = left.join(sizes, "bucket").withColumn("is_main", F.col("label") == F.col("main"))
     split = F.when(F.col("is_main"), F.array(F.pmod(F.xxhash64("key"), F.col("splits")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("splits") - 1))
-    pairs = across(dealt.select("bucket", "label", "key", "is_main", F.explode(split).alias("split")), tried)
-    links = stage(links.union(verify(pairs)), "dedup-linked")
+    links = stage(links.union(linked(dealt.select("bucket", "label", "key", "is_main", F.explode(split).alias("split")))), "dedup-linked")
 
     labels = components(links)
     placed = signed.select("doc_id", "key").join(labels, "key", "left").select("doc_id", "key", F.coalesce("label", "key").alias("label"))
