@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 from .arrays import NON_BLANK_BYTES, ranges, slices, span_hashes, splitmix, words
 from .staging import partitions_for, stage
 
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
+BUCKET_BYTES = 8_000_000    # text per bucket of contexts
 HOT_SHARE = 4           # a context with more than 1/(HOT_SHARE * buckets) of the tokens is spread over all buckets
 START, END = np.uint64(1), np.uint64(2)      # word hashes are finalizer outputs; these two stand for the text's bounds
 
@@ -256,7 +257,7 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
     end token. A null text is empty (the end token alone). Without training
     documents every token is unknown, at probability 1.
     """
-    buckets = partitions_for(docs, text)
+    buckets = partitions_for(docs, text, BUCKET_BYTES)
     chunks = stage(bundle(docs, train, doc_id, text, buckets), "lm-chunks")
     often = chunks.select(F.explode(F.arrays_zip("frequent", "n")).alias("x")).groupBy("x.frequent").agg(F.sum("x.n").alias("n"))
     often = often.orderBy(F.desc("n"), "frequent").limit(2 * HOT_SHARE * buckets).collect()        # spreads load only; any list gives the same result
