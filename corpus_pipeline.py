@@ -14,32 +14,32 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from marketlane.llm.decontamination import drop_contaminated
 from marketlane.llm.near_dedup import keep_one
 from marketlane.llm.packing import best_fit_pack, token_pieces
-from marketlane.llm.queries import SEQUENCE_TOKENS, importable, table, tokenizer_path, toxicity_weights
+from marketlane.llm.queries import SEQUENCE_TOKENS, prepare, table, tokenizer_path, toxicity_weights
 from marketlane.llm.staging import stage
 from marketlane.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that score 0.5 or more; the rest stay, empty ones too."""
-    importable(spark)
+    prepare(spark)
     return drop_toxic(docs, toxicity_weights(docs, sf_dir))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate class, that of the smallest doc_id."""
-    importable(spark)
+    prepare(spark)
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a passage of a benchmark item."""
-    importable(spark)
+    prepare(spark)
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' tokens: (doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
-    importable(spark)
+    prepare(spark)
     pieces = token_pieces(docs, tokenizer_path(), SEQUENCE_TOKENS)
     return best_fit_pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), SEQUENCE_TOKENS)
 

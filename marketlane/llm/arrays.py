@@ -7,6 +7,8 @@ its own), so memory does not depend on the batch size Spark chose.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +19,17 @@ SLICE_BYTES = 1_000_000
 U64 = np.uint64
 
 
+_libc = ctypes.CDLL(ctypes.util.find_library("c")) if ctypes.util.find_library("c") else None
+
+
+def release() -> None:
+    """Hands freed memory back to the system. A Python worker lives on after its
+    task, beside the executor's heap, and would keep its largest size."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """64-bit finalizer (splitmix64): spreads every input bit over the output."""
     x = x.astype(U64, copy=True)

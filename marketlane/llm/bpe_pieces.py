@@ -15,8 +15,8 @@ import pyarrow as pa
 
 from .arrays import ranges
 
-PIECE_SLICE = 4_000_000    # bytes of text cut at a time: repeated pieces are looked up once
-CACHE_PIECES = 1_200_000    # distinct pieces kept per Python worker; then the cache starts anew
+PIECE_SLICE = 2_000_000    # bytes of text cut at a time: repeated pieces are looked up once
+CACHE_PIECES = 200_000    # distinct pieces kept per Python worker; then the cache starts anew
 OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
 CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")   # fixed by the byte-level pre-tokenizer
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import ranges, shingle_hashes, slices, span_hashes, words
+from .arrays import ranges, release, shingle_hashes, slices, span_hashes, words
 from .staging import pick
 
 WINDOW = 10
@@ -191,6 +191,7 @@ def _drop_block(docs: DataFrame, filed: Broadcast, text: str) -> DataFrame:
                 clean = np.ones(len(rows), bool)
                 clean[filed.value.hits(data, offsets)[1]] = False
                 yield rows.filter(pa.array(clean))
+        release()
 
     return docs.mapInArrow(keep, docs.schema)
 

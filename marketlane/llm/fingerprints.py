@@ -64,7 +64,7 @@ def merge(a: Column, b: Column) -> Column:
 
 def as_text(s: Column) -> Column:
     """16 hex digits per kept hash, ascending."""
-    return F.array_join(F.transform(s, lambda h: F.hex(h)), "")
+    return F.array_join(F.transform(s, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from .arrays import NON_BLANK_BYTES, ranges, slices, span_hashes, splitmix, words
+from .arrays import NON_BLANK_BYTES, ranges, release, slices, span_hashes, splitmix, words
 from .staging import partitions_for, stage
 
 CHUNK_BYTES = 4_000_000
@@ -280,9 +280,11 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
                     number.append(b)
                 yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array([batch.column(0)[i].as_py()] * len(number), pa.int64()), pa.array(blobs, pa.binary())],
                                                  names=["bucket", "chunk", "bigrams"])
+                release()
 
     def add_up(table: pa.Table) -> pa.Table:
         chunk, bucket, answer = zip(*_add_up(table, shared_hot.value))
+        release()
         return pa.table({"chunk": pa.array(chunk, pa.int64()), "bucket": pa.array(bucket, pa.int32()), "answer": pa.array(answer, pa.binary())})
 
     sent = chunks.select("chunk", "train", "texts").mapInArrow(count, "bucket int, chunk long, bigrams binary").repartition(buckets, "bucket")
@@ -320,6 +322,7 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
             scored = run_automaton(c, count, types, total, t, len(ids))
             out.append(pa.table({"doc_id": ids, "train": known, "n_tokens": scored["n_tokens"], "n_known": scored["n_known"],
                                  "train_tokens": np.full(len(ids), t.tokens, np.int64), "base_score": scored["base_score"], "score": scored["score"]}))
+        release()
         return pa.concat_tables(out) if out else pa.schema([("doc_id", own.schema.field("doc_ids").type.value_type), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                                                             ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]).empty_table()
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from .arrays import binaries, ranges, row_shingles, slices, span_hashes, splitmix, words
+from .arrays import binaries, ranges, release, row_shingles, slices, span_hashes, splitmix, words
 from .staging import pick, stage
 
 WIDTH = 5
@@ -41,7 +41,7 @@ REGISTERS = BANDS * BAND_ROWS
 # Registers agree with a standard deviation of 0.045 at 0.8; four of these below.
 LEAST_AGREEMENT = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 MEMBERS_OF_COMPONENT = 8        # tried in step 2
-SPLIT_BYTES = 32_000_000        # shingles of the largest component of a bucket that one group holds in step 3
+SPLIT_BYTES = 8_000_000         # shingles of the largest component of a bucket that one group holds in step 3
 BROADCAST_KEYS = 500_000        # 16-byte keys: up to 8 MB are broadcast, more are joined by a shuffle
 SLICE = 2_000_000
 
@@ -88,6 +88,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             has_words = np.bincount(row, minlength=len(rows)) > 0
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(has_words), binaries(signed.reshape(-1), np.arange(len(rows) + 1) * REGISTERS)],
                                              names=["doc_id", "key", "has_words", "signature"])
+    release()
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,6 +97,7 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             row, element, _ = row_elements(data, offsets)
             short = (element >> np.uint64(32)).astype(np.uint32)        # ascending within a row
             yield pa.RecordBatch.from_arrays([rows.column(0), binaries(short, np.searchsorted(row, np.arange(len(rows) + 1)))], names=["key", "shingles"])
+    release()
 
 
 def _agreement(signature: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -127,6 +129,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(both >= SIMILARITY * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    release()
 
 
 def _linked(table: pa.Table) -> pa.Table:
@@ -150,6 +153,8 @@ def _linked(table: pa.Table) -> pa.Table:
             for j in similar[np.unique(label[similar], return_index=True)[1]]:
                 a.append(min(keys[i], keys[j]))
                 b.append(max(keys[i], keys[j]))
+    del table, sets, shingles, term, holders
+    release()
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 

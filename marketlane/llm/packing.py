@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from .arrays import binaries, ranges, slices
+from .arrays import binaries, ranges, release, slices
 from .bpe_pieces import PIECE_SLICE, id_encoder
 from .staging import pick, stage
 
@@ -139,7 +139,8 @@ def best_fit_pack(items: DataFrame, capacity: int, length: str = "length") -> Da
         raise ValueError(f"items already have columns {sorted(clash)}")
     renamed = renamed.withColumn("length", F.col("length").cast("long"))
     schema = T.StructType([*renamed.schema.fields, T.StructField("part_no", T.IntegerType()), T.StructField("part_rank", T.LongType())])
-    numbered = stage(renamed.mapInArrow(_numbered, schema), "pack-items")
+    # Items are written before they are numbered: one Python worker at a time per task.
+    numbered = stage(stage(renamed, "pack-input").mapInArrow(_numbered, schema), "pack-items")
 
     per_part = numbered.where("length > 0").groupBy("part_no", "length").agg(F.count(F.lit(1)).alias("n"))
     per_part = stage(per_part, "pack-counts")
@@ -203,6 +204,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, doc_id: str = "
                     [rows.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length),
                      binaries(flat, np.append((ends - n)[row] + start, ends[-1]))],
                     names=["doc_id", "piece", "start", "length", "ids"])
+        release()
 
     schema = T.StructType([T.StructField("doc_id", chosen.schema["doc_id"].dataType), T.StructField("piece", T.IntegerType()),
                            T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])

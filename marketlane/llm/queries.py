@@ -79,19 +79,26 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver found it
-    (a cluster has it installed, or gets it by ``--py-files``)."""
+ARROW_ROWS = 2_000     # documents in one Arrow batch, where the session has Spark's default of 10,000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Readies a session for Python workers: they can import this package from
+    where the driver found it (a cluster has it installed, or gets it by
+    ``--py-files``), and get whole documents in smaller batches."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(ARROW_ROWS))
 
 
 def _registered(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        importable(spark)
+        prepare(spark)
         return query(spark, sf_dir)
     return run
 

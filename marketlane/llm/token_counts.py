@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .arrays import slices
+from .arrays import release, slices
 from .bpe_pieces import PIECE_SLICE, PieceCutter, distinct_pieces, load_tokenizer
 from .staging import pick
 
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 200_000
 
 _counters: dict = {}
 
@@ -134,6 +134,7 @@ def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), pa.array(np.diff(offsets)), pa.array(_counters[tokenizer].counts(data, offsets))],
                     names=["doc_id", "n_bytes", "n_tokens"])
+        release()
 
     schema = T.StructType([T.StructField("doc_id", chosen.schema["doc_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
     return chosen.mapInArrow(count, schema)

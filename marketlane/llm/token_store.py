@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from .arrays import binaries, ranges, slices
+from .arrays import binaries, ranges, release, slices
 from .bpe_pieces import PIECE_SLICE, id_encoder, load_tokenizer
 from .staging import partitions_for, pick
 
@@ -140,6 +140,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_i
                         yield close()
         if held:
             yield close()
+        release()
 
     id_type = chosen.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("shard", T.IntegerType()),

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from .arrays import slices, span_hashes, splitmix, words
+from .arrays import release, slices, span_hashes, splitmix, words
 from .staging import pick, stage
 
 BITS = 20
-MAX_TRAINING_ROWS = 16_000      # labelled documents used for training, the first by a hash of their id
+MAX_TRAINING_ROWS = 12_000      # labelled documents used for training, the first by a hash of their id
 PASSES = 6
 LEAST_DOCUMENTS = 4             # features of fewer training documents are not learnt
 
@@ -113,20 +113,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable, doc_id: str =
                 at = np.searchsorted(row, np.arange(len(offsets)))
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(feature.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), lists], names=["doc_id", "label", "feature"])
+        release()
 
     id_type = chosen.schema["doc_id"].dataType
     featured = chosen.mapInArrow(features, T.StructType([T.StructField("doc_id", id_type), T.StructField("label", T.IntegerType()), T.StructField("feature", T.ArrayType(T.IntegerType()))]))
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id").combine_chunks()
-        lists = [np.asarray(x.values) for x in table.column("feature").combine_chunks()]
-        documents = np.zeros(1 << BITS, np.int64)
-        for x in lists:
-            documents[x] += 1
+        by_id = np.argsort(table.column("doc_id").to_numpy())
+        label = table.column("label").to_numpy()[by_id]
+        feature = table.column("feature").combine_chunks()
+        at, flat = feature.offsets.to_numpy(), feature.values.to_numpy()
+        documents = np.bincount(flat, minlength=1 << BITS)            # a document has a feature once
         common = documents >= LEAST_DOCUMENTS
-        rows = list(zip([x[common[x]].astype(np.int64) for x in lists], table.column("label").to_pylist()))
+        lists = [flat[at[i]:at[i + 1]] for i in by_id]
+        rows = [(x[common[x]], y) for x, y in zip(lists, label)]
+        del table, feature, flat, lists
         order = np.random.default_rng(0).permutation(len(rows))
         w = train_part([rows[i] for i in order], parameters)
+        del rows
+        release()
         return pa.table({"bias": [w.bias], "feature": pa.array([w.feature], pa.list_(pa.int64())), "weight": pa.array([w.weight], pa.list_(pa.float64()))})
 
     # One group on purpose: the sample is bounded by max_rows.
@@ -152,6 +157,7 @@ def score_column(docs: DataFrame, weights: Weights, text: str = "text", column:
                 row, feature = feature_table(data, offsets, wanted)
                 total = w.bias + np.bincount(row, dense[feature], minlength=len(rows))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names=[*rows.schema.names, column])
+        release()
 
     return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 

@@ -96,15 +96,16 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     levels = [_level(listed, 0, n, wrong)]
     passed = universe.where(F.col("key").isNotNull() & levels[0].passes(F.col("key"))).select("key").distinct()
     others = stage(passed.join(listed, "key", "left_anti"), "cascade-others")
-    sides = [others, listed]
-    while True:
+    sides = {1: others, 0: listed}     # by parity of the next level: the keys it has to encode
+    n = others.count()
+    while n:
         number = len(levels)
-        side = sides[0] if number % 2 else sides[1]
-        todo = side.where(levels[-1].passes(F.col("key"))) if number > 1 else side
-        n = todo.count()
-        if not n:
-            return Cascade(levels)
-        levels.append(_level(todo, number, n, 0.5))
+        levels.append(_level(sides[number % 2], number, n, 0.5))
+        # What this level passes wrongly of the other side is left for the next one.
+        parity = (number + 1) % 2
+        sides[parity] = stage(sides[parity].where(levels[-1].passes(F.col("key"))), "cascade-left")
+        n = sides[parity].count()
+    return Cascade(levels)
 
 
 def key_table(spark: SparkSession, keys: list[str]) -> DataFrame:
