@@ -18,9 +18,13 @@ EMAIL_PATTERN = (
 IMAGE_EXTENSIONS = (".png", ".jpeg", ".jpg")
 
 
+# The white space and line ends that JS ``String.trim`` strips.
+JS_BLANKS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+
+
 def trim_text(col: Column) -> Column:
     """Strip leading and trailing white space (JS ``String.trim``)."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.regexp_replace(col, rf"^{JS_BLANKS}+|{JS_BLANKS}+\z", "")
 
 
 def is_valid_email(col: Column) -> Column:
@@ -38,8 +42,8 @@ def has_image_extension(col: Column) -> Column:
 
 
 def word_tokens(col: Column) -> Column:
-    """Lower-case alphanumeric words of a text, in order (search config ``simple``)."""
-    return F.filter(F.split(F.lower(col), "[^a-z0-9]+"), lambda w: w != F.lit(""))
+    """Lower-case words of letters and digits of any script, in order (search config ``simple``)."""
+    return F.filter(F.split(F.lower(col), r"[^\p{L}\p{N}]+"), lambda w: w != F.lit(""))
 
 
 def harman_s_stem(word: Column) -> Column:

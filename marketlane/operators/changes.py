@@ -118,7 +118,7 @@ def insert_rows(target: DataFrame, batch: DataFrame, unique: list[str] | None =
 
 def update_rows(target: DataFrame, batch: DataFrame, key: list[str], set_cols: list[str],
                 unique: list[str] | None = None, fks: dict | None = None,
-                exact: bool = False, checkpoint: bool = True, max_rounds: int = 10_000) -> ChangeResult:
+                exact: bool = False, checkpoint: bool = True) -> ChangeResult:
     """Set ``set_cols`` of the rows matching ``key``; the last OK change wins.
 
     DOES_NOT_EXIST when no row has the key; CONFLICT when the new value of the
@@ -142,7 +142,7 @@ def update_rows(target: DataFrame, batch: DataFrame, key: list[str], set_cols: l
         b = _key_present(batch, target, key, "_w_exists")
         b = _with_fk_checks(b, fks)
         exists = F.col("_w_exists").isNotNull()
-        b = _unique_outcomes(target, b, key, unique, checkpoint, max_rounds)
+        b = _unique_outcomes(target, b, key, unique, checkpoint)
         outcome = (F.when(~exists, F.lit(DOES_NOT_EXIST))
                    .when(F.col("_w_conflict"), F.lit(CONFLICT))
                    .when(~F.col("_w_fk_ok"), F.lit(FOREIGN_KEY_VIOLATION))
@@ -224,7 +224,7 @@ def _holder_released(rows: DataFrame, succ: DataFrame, nxt: DataFrame, t_col: st
 
 
 def _unique_outcomes(target: DataFrame, b: DataFrame, key: list[str], unique: list[str],
-                     checkpoint: bool, max_rounds: int) -> DataFrame:
+                     checkpoint: bool) -> DataFrame:
     """Adds ``_w_conflict`` to the judged batch (one-at-a-time semantics).
 
     A change of key k to unique value v at seq t succeeds iff v is free or
@@ -246,9 +246,8 @@ def _unique_outcomes(target: DataFrame, b: DataFrame, key: list[str], unique: li
     if checkpoint:
         succ, undecided = materialize(succ), materialize(undecided)
 
-    for _round in range(max_rounds):
-        if undecided.isEmpty():
-            break
+    # Each round decides at least the earliest undecided change.
+    while not undecided.isEmpty():
         min_v = undecided.groupBy("_w_v").agg(F.min("seq").alias("_w_mv"))
         min_k = undecided.groupBy(F.col("_w_k").alias("_w_a")).agg(F.min("seq").alias("_w_mk"))
         acq = (succ.where(F.col("_w_v").isNotNull()).groupBy("_w_v")
@@ -273,8 +272,6 @@ def _unique_outcomes(target: DataFrame, b: DataFrame, key: list[str], unique: li
         undecided = undecided.join(ready.select("seq"), "seq", "left_anti")
         if checkpoint:
             succ, undecided, lost = materialize(succ), materialize(undecided), materialize(lost)
-    else:  # pragma: no cover - guard against a runaway loop
-        raise RuntimeError("update_rows did not converge")
 
     if lost is None:
         lost = spark.createDataFrame([], "seq bigint")
@@ -366,7 +363,7 @@ class GroupPart:
     fks: dict | None = None
 
 
-def insert_groups(parts: list[GroupPart], checkpoint: bool = True, max_rounds: int = 10_000):
+def insert_groups(parts: list[GroupPart], checkpoint: bool = True):
     """Insert all rows of a group or none; a group's outcome is the outcome
     of its first failing row (by ``seq``), OK when none fails.
 
@@ -378,10 +375,11 @@ def insert_groups(parts: list[GroupPart], checkpoint: bool = True, max_rounds: i
        group. Such groups are rejected whatever happens and never take a key.
     2. Among the other groups, acceptance is the greedy "first claimant wins"
        over shared keys, settled in rounds: a group with no earlier undecided
-       group on any of its keys is accepted; a group one of whose keys an
-       accepted group holds is rejected. Each round settles at least the
-       earliest undecided group; for orders unrelated to the keys the number of
-       rounds grows only polylogarithmically with the number of groups.
+       group on any of its keys is accepted, and the groups that share a key
+       with it are rejected in the same round. Each round settles at least the
+       earliest undecided group, and rounds go on until none is left; for orders
+       unrelated to the keys their number grows only polylogarithmically with
+       the number of groups.
     3. With the accepted set known, every group's outcome is its first failing
        row: CONFLICT when the key is taken (table, an earlier accepted group, or
        an earlier row of the group), else FOREIGN_KEY_VIOLATION.
@@ -431,32 +429,22 @@ def insert_groups(parts: list[GroupPart], checkpoint: bool = True, max_rounds: i
     accepted = None  # group_id, _w_order
 
     # Step 2: rounds over the groups that can still be accepted.
-    for _round in range(max_rounds):
-        if undecided.isEmpty():
-            break
+    while not undecided.isEmpty():
         u_keys = cand_keys.join(undecided.select("group_id"), "group_id", "left_semi")
         first = u_keys.groupBy("_w_key").agg(F.min("_w_order").alias("_w_first"))
         blocked = (u_keys.join(first, "_w_key").where(F.col("_w_first") < F.col("_w_order"))
                    .select("group_id").distinct())
-        if accepted is not None:
-            held = cand_keys.join(accepted.select("group_id"), "group_id", "left_semi").select("_w_key").distinct()
-            killed = u_keys.join(held, "_w_key", "left_semi").select("group_id").distinct()
-        else:
-            killed = None
         ready = undecided.join(blocked, "group_id", "left_anti")
-        if killed is not None:
-            ready = ready.join(killed, "group_id", "left_anti")
-            settled = ready.select("group_id").unionByName(killed)
-        else:
-            settled = ready.select("group_id")
+        # Groups that share a key with one accepted now are rejected in the same round.
+        held = u_keys.join(ready.select("group_id"), "group_id", "left_semi").select("_w_key").distinct()
+        met = u_keys.join(held, "_w_key", "left_semi").select("group_id").distinct()
         new_acc = ready.select("group_id", "_w_order")
         accepted = new_acc if accepted is None else accepted.unionByName(new_acc)
-        undecided = undecided.join(settled, "group_id", "left_anti")
+        undecided = (undecided.join(ready.select("group_id"), "group_id", "left_anti")
+                     .join(met, "group_id", "left_anti"))
         if checkpoint:
             accepted = materialize(accepted)
             undecided = materialize(undecided)
-    else:  # pragma: no cover - guard against a runaway loop
-        raise RuntimeError("insert_groups did not converge")
 
     spark = order.sparkSession
     if accepted is None:

@@ -3,7 +3,7 @@
 Query language: web-search style. Words are ANDed; ``or`` between two terms
 makes them alternatives; ``-term`` excludes; ``"a b"`` is a phrase (adjacent
 words in that order). Text configuration ``simple``: lower-case runs of
-``[a-z0-9]``, no stemming, no stop words. A product matches when every clause
+letters and digits of any script, no stemming, no stop words. A product matches when every clause
 has a satisfied term.
 
 Rank (ours; the database's ``ts_rank`` values are not reproduced, only its
@@ -36,7 +36,7 @@ from .. import session
 # token pattern of the query language.
 MIN_QUERY_LENGTH = 2
 QUERY_TOKEN_PATTERN = r'-?"[^"]*"|\S+'
-WORD_SPLIT = r"[^a-z0-9]+"
+WORD_SPLIT = r"[^\p{L}\p{N}]+"
 
 SEARCH_COLUMNS = ["id", "name", "available", "brand_name", "brand_id", "stock_count", "price", "description"]
 
@@ -78,7 +78,7 @@ def parse_query(query: str) -> list[list[Term]]:
             continue
         neg = tok.startswith("-") and len(tok) > 1
         body = (tok[1:] if neg else tok).strip('"')
-        words = tuple(w for w in re.split(WORD_SPLIT, body.lower()) if w)
+        words = tuple(w for w in re.split(r"[\W_]+", body.lower()) if w)
         if not words:
             continue
         term = Term(neg, words)

@@ -8,11 +8,12 @@ session and only call ``checkpoint_dir`` to learn where lineage may be cut.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
-# Runtime SQL settings; each is set only when the launch left it unset.
+# Runtime SQL settings of local runs; each is set only when the launch left it unset.
 # Broadcasts are decided only on measured sizes: the planner's file-size
 # estimate is off (-1) and AQE broadcasts a side after its shuffle stage has
 # run and proved smaller than the adaptive threshold.
@@ -41,8 +42,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     """A session for tests, benches and the command line.
 
     Settings from the launch (spark-submit ``--conf``, spark-defaults) are kept:
-    ``LOCAL_DEFAULTS`` and the default shuffle partitions are set only where
-    the launch left them unset; the local master, driver memory and
+    on a local master, ``LOCAL_DEFAULTS`` and the default shuffle partitions are
+    set where the launch left them unset, on a cluster nothing is; the local master, driver memory and
     ``LOCAL_STATIC`` only when this process starts the JVM itself. Arguments
     given explicitly (``master``, ``shuffle_partitions``, ``extra``) apply.
     """
@@ -58,35 +59,49 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
             builder = builder.config(k, v)
     spark = builder.getOrCreate()
     launched = spark.sparkContext.getConf()
-    defaults = dict(LOCAL_DEFAULTS)
-    defaults["spark.sql.shuffle.partitions"] = str(int(cpus))
-    for k, v in defaults.items():
-        if not launched.contains(k):
-            spark.conf.set(k, v)
+    local = _is_local(spark)
+    if local:
+        defaults = dict(LOCAL_DEFAULTS)
+        defaults["spark.sql.shuffle.partitions"] = str(int(cpus))
+        for k, v in defaults.items():
+            if not launched.contains(k):
+                spark.conf.set(k, v)
     explicit = dict(extra or {})
     if shuffle_partitions:
         explicit["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     for k, v in explicit.items():
         spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
+    if local:
+        checkpoint_dir(spark)
     return spark
 
 
+def _is_local(spark: SparkSession) -> bool:
+    """One process does all the work, so its own folders are shared by all tasks."""
+    return re.match(r"local(\[|$)", spark.sparkContext.master) is not None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (the cluster names a shared folder there).
-    Only when it is unset, as in unit tests, a fresh local folder is taken.
+    ``spark.checkpoint.dir`` (the cluster names a shared folder there), else the
+    folder already set with ``setCheckpointDir``, which is never replaced. With
+    neither, a fresh local folder on a local master, and an error on a cluster.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path, held = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.getCheckpointDir()
+    if not path and held:
+        return held
     if not path:
+        if not _is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="marketlane-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", path)
         except Exception:  # core setting may be read-only at runtime
             pass
-    spark.sparkContext.setCheckpointDir(path)
+    if not held:
+        spark.sparkContext.setCheckpointDir(path)
     return path
 
 

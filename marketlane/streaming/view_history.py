@@ -1,17 +1,11 @@
 """View history kept up to date from a stream of view events.
 
-Streaming part: event time ``ts`` (cast to TIMESTAMP; the parquet column is
-TIMESTAMP_NTZ, which watermarks do not accept), a watermark, and
-``dropDuplicatesWithinWatermark`` on (customer, product, day), so repeats
-inside the delay never leave the stream and the state holds only the keys of
-the last ``delay``.
-
-Per micro-batch (``foreachBatch``): the batch operator V3 runs against the
-history written so far (FK checks, permanent one-row-per-day uniqueness by
-anti-join), and the accepted rows are written to ``<out>/batch_id=<n>``,
-overwriting that folder on a retry, so a replayed batch writes the same rows
-once. Events later than the watermark are dropped (the reference has no
-notion of lateness; rows there are dated by the server).
+The reference accepts every view, however late, so the stream itself drops
+nothing and keeps no state. Per micro-batch (``foreachBatch``) the batch operator
+V3 runs against the history written so far (FK checks, one row per customer,
+product and day, whenever it comes), and the accepted rows are written to
+``<out>/batch_id=<n>``, overwriting that folder on a retry, so a replayed batch
+writes the same rows once.
 """
 
 from __future__ import annotations
@@ -37,12 +31,6 @@ def view_event_stream(events: DataFrame) -> DataFrame:
                     F.regexp_extract(F.col("props"), r"[0-9]+", 0).cast("bigint").alias("product_id")))
 
 
-def deduplicated(views: DataFrame, delay: str = "2 days") -> DataFrame:
-    return (views.withColumn("date_viewed", F.to_date("ts"))
-            .withWatermark("ts", delay)
-            .dropDuplicatesWithinWatermark(["customer_id", "product_id", "date_viewed"]))
-
-
 def _read_history(spark: SparkSession, out: str) -> DataFrame:
     """All batches written so far (any file system); empty before the first."""
     try:
@@ -51,7 +39,7 @@ def _read_history(spark: SparkSession, out: str) -> DataFrame:
         return spark.createDataFrame([], HISTORY_SCHEMA + ", batch_id bigint")
 
 
-def stream_record_views(spark: SparkSession, sf_dir: str, out: str | None = None, delay: str = "2 days",
+def stream_record_views(spark: SparkSession, sf_dir: str, out: str | None = None,
                         max_files_per_trigger: int | None = None, events: DataFrame | None = None,
                         base: str | None = None) -> str:
     """Run S1 until the source is drained (``availableNow``); returns the
@@ -62,7 +50,7 @@ def stream_record_views(spark: SparkSession, sf_dir: str, out: str | None = None
     base = base or os.path.join(checkpoint_dir(spark), f"s1-{uuid.uuid4().hex}")
     out = out or os.path.join(base, "history")
     src = events if events is not None else stream_driver_table(spark, sf_dir, "events", max_files_per_trigger)
-    stream = deduplicated(view_event_stream(src), delay)
+    stream = view_event_stream(src)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         from ..operators.history import record_views

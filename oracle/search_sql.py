@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from .queries_sql import CATALOG
 
-TOKENS = "list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda x: x <> '')"
+TOKENS = "list_filter(string_split_regex(lower(name), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 COLS = "id, name, available, brand_name, brand_id, stock_count, price, description"
 
 SQL: dict[str, str] = {}
@@ -43,7 +43,7 @@ tk AS (SELECT query_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos
 tt AS (SELECT query_id, pos, lower(tok) = 'or' AS is_or, (starts_with(tok, '-') AND length(tok) > 1) AS negated,
               list_filter(string_split_regex(lower(regexp_replace(
                   CASE WHEN starts_with(tok, '-') AND length(tok) > 1 THEN substr(tok, 2) ELSE tok END,
-                  '^"+|"+$', '', 'g')), '[^a-z0-9]+'), lambda w: w <> '') AS words
+                  '^"+|"+$', '', 'g')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words
        FROM tk),
 kept AS (SELECT * FROM tt WHERE is_or OR len(words) > 0),
 kw AS (SELECT kept.*, lag(is_or) OVER (PARTITION BY query_id ORDER BY pos) AS prev_or,
