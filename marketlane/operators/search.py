@@ -1,24 +1,23 @@
 """Ranked full-text product search.
 
-Query language: web-search style. Words are ANDed; ``or`` between two terms
-makes them alternatives; ``-term`` excludes; ``"a b"`` is a phrase (adjacent
-words in that order). Text configuration ``simple``: lower-case runs of
-letters and digits of any script, no stemming, no stop words. A product matches when every clause
-has a satisfied term.
+Query language: web-search style. A query is an OR of branches, a branch an
+AND of terms (``a or b -c`` is ``a or (b and not c)``, as in the database's
+web-search queries). ``-term`` excludes; ``"a b"`` is a phrase (adjacent words
+in that order). Text configuration ``simple``: lower-case runs of letters and
+digits of any script, no stemming, no stop words.
 
 Rank (ours; the database's ``ts_rank`` values are not reproduced, only its
-"best first" order): occurrences of the positive query words in the name,
+"best first" order): occurrences of the query's positive words in the name,
 divided by the name's word count; ties by id.
 
 C8 evaluates one query as a filter on the catalogue (one scan, no join).
 C9 evaluates a table of queries at once without pairing every query with
-every product: product words are exploded into an inverted index
-(id, position, word) and joined to the query words; phrases are matched by
-position offsets. Candidates come from a query's *anchor* clause (its first
-clause made only of positive terms); queries with no such clause (only
-exclusions, whose answer is most of the catalogue) are returned separately
-and can be run one by one with C8. Clause checks are aggregates over the
-term hits, so a candidate is never paired with every term of its query.
+every product: product words are exploded into an inverted index, a branch's
+candidates are the products that hold the rarest of its positive words, and
+its other terms are tested on the candidate's words. A branch made only of
+exclusions matches almost all products, so a query with such a branch is
+answered by its complement: the products it does *not* match, found the same
+way from the excluded words.
 """
 
 from __future__ import annotations
@@ -54,12 +53,12 @@ def english_stop_words() -> list[str]:
     return list(StopWordsRemover.loadDefaultStopWords("english"))
 
 
-def _english_clauses(clauses: list[list[Term]], stops: list[str]) -> list[list[Term]]:
+def _english_branches(branches: list[list[Term]], stops: list[str]) -> list[list[Term]]:
     stop = set(stops)
     out = []
-    for clause in clauses:
+    for branch in branches:
         terms = []
-        for t in clause:
+        for t in branch:
             words = tuple(harman_s_stem_py(w) for w in t.words if w not in stop)
             if words:
                 terms.append(Term(t.negated, words))
@@ -69,25 +68,24 @@ def _english_clauses(clauses: list[list[Term]], stops: list[str]) -> list[list[T
 
 
 def parse_query(query: str) -> list[list[Term]]:
-    """Clauses (ANDed) of terms (ORed) for one query string."""
-    clauses: list[list[Term]] = []
-    pending_or = False
+    """Branches (ORed) of terms (ANDed) for one query string. An ``or`` without
+    a term before or after it is ignored."""
+    branches: list[list[Term]] = []
+    after_or = False
     for tok in re.findall(QUERY_TOKEN_PATTERN, query):
         if tok.lower() == "or":
-            pending_or = bool(clauses)
+            after_or = True
             continue
         neg = tok.startswith("-") and len(tok) > 1
         body = (tok[1:] if neg else tok).strip('"')
         words = tuple(w for w in re.split(r"[\W_]+", body.lower()) if w)
         if not words:
             continue
-        term = Term(neg, words)
-        if pending_or and clauses:
-            clauses[-1].append(term)
-        else:
-            clauses.append([term])
-        pending_or = False
-    return clauses
+        if after_or or not branches:
+            branches.append([])
+        branches[-1].append(Term(neg, words))
+        after_or = False
+    return branches
 
 
 def _padded(words: Column) -> Column:
@@ -102,15 +100,14 @@ def _term_match(tokens: Column, term: Term) -> Column:
     return ~m if term.negated else m
 
 
-def search_condition(tokens: Column, clauses: list[list[Term]]) -> Column:
-    cond = None
-    for clause in clauses:
-        c = None
-        for term in clause:
-            m = _term_match(tokens, term)
-            c = m if c is None else (c | m)
-        cond = c if cond is None else (cond & c)
-    return cond if cond is not None else F.lit(False)
+def search_condition(tokens: Column, branches: list[list[Term]]) -> Column:
+    cond = F.lit(False)
+    for branch in branches:
+        every = F.lit(True)
+        for term in branch:
+            every = every & _term_match(tokens, term)
+        cond = cond | every
+    return cond
 
 
 def _equals(word: str):
@@ -118,8 +115,8 @@ def _equals(word: str):
     return lambda x: x == F.lit(word)
 
 
-def search_rank(tokens: Column, clauses: list[list[Term]]) -> Column:
-    words = [w for clause in clauses for t in clause if not t.negated for w in t.words]
+def search_rank(tokens: Column, branches: list[list[Term]]) -> Column:
+    words = [w for branch in branches for t in branch if not t.negated for w in t.words]
     hits = F.lit(0)
     for w in words:
         hits = hits + F.size(F.filter(tokens, _equals(w)))
@@ -136,18 +133,18 @@ def product_search(catalog: DataFrame, query: str, config: str = "simple") -> Da
     and the query words)."""
     if not isinstance(query, str) or len(query) < MIN_QUERY_LENGTH:
         raise ValueError("search query must have at least 2 characters")
-    clauses = parse_query(query.strip())
+    branches = parse_query(query.strip())
     if config == "english":
         stops = english_stop_words()
-        clauses = _english_clauses(clauses, stops)
+        branches = _english_branches(branches, stops)
         toks = english_tokens(F.col("name"), stops)
     elif config == "simple":
         toks = word_tokens(F.col("name"))
     else:
         raise ValueError(f"unknown text configuration {config!r}")
     return (catalog.withColumn("_s_tokens", toks)
-            .where(search_condition(F.col("_s_tokens"), clauses))
-            .select(*SEARCH_COLUMNS, search_rank(F.col("_s_tokens"), clauses).alias("rank")))
+            .where(search_condition(F.col("_s_tokens"), branches))
+            .select(*SEARCH_COLUMNS, search_rank(F.col("_s_tokens"), branches).alias("rank")))
 
 
 def product_search_sorted(catalog: DataFrame, query: str) -> DataFrame:
@@ -157,10 +154,10 @@ def product_search_sorted(catalog: DataFrame, query: str) -> DataFrame:
 # ---- C9: many queries at once ---------------------------------------------------
 
 def parse_queries(queries: DataFrame) -> DataFrame:
-    """Terms of every query: (query_id, clause, term, negated, words ARRAY).
+    """Terms of every query: (query_id, branch, term, negated, words ARRAY).
 
     The same rules as ``parse_query``, written with Spark functions; the
-    windows are per query (a query's own tokens), never across queries.
+    window is per query (a query's own tokens), never across queries.
     """
     toks = queries.select(
         "query_id",
@@ -172,36 +169,28 @@ def parse_queries(queries: DataFrame) -> DataFrame:
     toks = toks.select("query_id", "pos", is_or.alias("is_or"), neg.alias("negated"),
                        F.filter(F.split(F.lower(body), WORD_SPLIT), lambda w: w != F.lit("")).alias("words"))
     kept = toks.where(F.col("is_or") | (F.size("words") > 0))
-    w = Window.partitionBy("query_id").orderBy("pos")
-    kept = kept.select(
-        "*", F.lag("is_or").over(w).alias("_prev_or"),
-        F.coalesce(F.sum(F.when(~F.col("is_or"), 1)).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_terms_before"))
-    terms = kept.where(~F.col("is_or"))
-    start = (F.col("_terms_before") == 0) | ~F.coalesce(F.col("_prev_or"), F.lit(False))
-    terms = terms.withColumn("_start", start.cast("int"))
-    terms = terms.withColumn("clause", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return terms.select("query_id", "clause", F.col("pos").alias("term"), "negated", "words")
+    # A term's branch: the number of ``or`` tokens before it (gaps are harmless).
+    w = Window.partitionBy("query_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    kept = kept.withColumn("branch", F.sum(F.col("is_or").cast("int")).over(w))
+    return kept.where(~F.col("is_or")).select("query_id", "branch", F.col("pos").alias("term"), "negated", "words")
 
 
 @dataclass
 class BatchSearch:
-    matches: DataFrame  # query_id, id, rank, catalogue columns
-    unanchored: DataFrame  # query_id, query: no positive-only clause
+    matches: DataFrame  # query_id, id, catalogue columns, rank: queries whose branches all hold a positive term
+    complement: DataFrame  # query_id, query, complement, excluded_id: the other queries match all products but these
+    rejected: DataFrame  # query_id, query, reason: too short, or without words
 
 
 def _english_terms(terms: DataFrame, stops: list[str]) -> DataFrame:
     """Stop words out and S-stemmer on the parsed query words (same rules as
-    ``english_tokens``); terms left without words drop out, then clauses left
-    without terms."""
+    ``english_tokens``); terms left without words drop out, and with them
+    branches left without terms."""
     from ..functions.text import harman_s_stem
 
     arr = F.array(*[F.lit(w) for w in stops]) if stops else F.array().cast("array<string>")
     words = F.transform(F.filter("words", lambda w: ~F.array_contains(arr, w)), harman_s_stem)
-    kept = terms.withColumn("words", words).where(F.size("words") > 0)
-    # Renumber clauses densely per query so clause counts stay consistent.
-    w = Window.partitionBy("query_id").orderBy("clause")
-    return kept.withColumn("clause", F.dense_rank().over(w))
+    return terms.withColumn("words", words).where(F.size("words") > 0)
 
 
 def product_search_batch(catalog: DataFrame, queries: DataFrame, products: DataFrame | None = None,
@@ -212,14 +201,12 @@ def product_search_batch(catalog: DataFrame, queries: DataFrame, products: DataF
     catalogue's own columns. With ``materialize`` the parsed terms (small: the
     queries' words), which several steps read, are checkpointed once.
 
-    Matching works on term hits only (never pairing candidates with all of a
-    query's terms): a clause of positive terms is satisfied when one of them
-    hits; a clause with exclusions is violated only when none of its positive
-    terms hits and every excluded term hits. A (query, product) pair matches
-    when all positive-only clauses are satisfied and no clause is violated; a
-    query without positive-only clause is unanchored.
+    As in C8, a query of fewer than 2 characters is rejected; one without words
+    matches nothing and is reported beside them. In ``complement`` a query
+    that excludes no product has one row with a null ``excluded_id``.
     """
-    terms = parse_queries(queries)
+    asked = queries.where(F.length("query") >= MIN_QUERY_LENGTH)
+    terms = parse_queries(asked)
     if config == "english":
         stops = english_stop_words()
         terms = _english_terms(terms, stops)
@@ -230,47 +217,52 @@ def product_search_batch(catalog: DataFrame, queries: DataFrame, products: DataF
         raise ValueError(f"unknown text configuration {config!r}")
     if materialize:
         terms = session.materialize(terms)
-    clause_info = (terms.groupBy("query_id", "clause")
-                   .agg(F.sum(F.col("negated").cast("int")).alias("n_neg"))
-                   .withColumn("pos_only", F.col("n_neg") == 0))
-    query_info = (clause_info.groupBy("query_id")
-                  .agg(F.sum(F.col("pos_only").cast("int")).alias("n_pos_only")))
-    anchored = query_info.where(F.col("n_pos_only") > 0)
-
-    # Inverted index of product names: (id, position, word).
-    names = (products if products is not None else catalog).select("id", tokenize(F.col("name")).alias("_w"))
-    index = names.select("id", F.posexplode("_w").alias("ppos", "word"))
-    n_words = names.select("id", F.size("_w").alias("n_name_words"))
-
-    tw = terms.select("query_id", "clause", "term", "negated", F.size("words").alias("n_tw"),
-                      F.posexplode("words").alias("k", "word"))
-    # Per term, product and start position: how many of the term's words sit
-    # in place (each word of a term hits a start at most once, so a count).
-    per_start = (tw.join(index, "word")
-                 .groupBy("query_id", "clause", "term", "negated", "n_tw", "id",
-                          (F.col("ppos") - F.col("k")).alias("start"))
-                 .agg(F.count(F.lit(1)).alias("_n")))
-    term_hits = (per_start.where(F.col("_n") == F.col("n_tw"))
-                 .select("query_id", "clause", "term", "negated", "id").distinct())
-    occurrences = (per_start.where(~F.col("negated")).groupBy("query_id", "id")
-                   .agg(F.sum("_n").alias("_occ")))
-
-    per_clause = (term_hits.groupBy("query_id", "id", "clause")
-                  .agg(F.sum((~F.col("negated")).cast("int")).alias("h_pos"),
-                       F.sum(F.col("negated").cast("int")).alias("h_neg"))
-                  .join(clause_info, ["query_id", "clause"]))
-    sat = F.col("pos_only") & (F.col("h_pos") > 0)
-    violated = ~F.col("pos_only") & (F.col("h_pos") == 0) & (F.col("h_neg") == F.col("n_neg"))
-    per_pair = (per_clause.groupBy("query_id", "id")
-                .agg(F.sum(sat.cast("int")).alias("_sat"), F.sum(violated.cast("int")).alias("_viol")))
-    matched = (per_pair.join(anchored, "query_id")
-               .where((F.col("_sat") == F.col("n_pos_only")) & (F.col("_viol") == 0))
-               .select("query_id", "id"))
-    ranked = (matched.join(occurrences, ["query_id", "id"], "left")
-              .join(n_words, "id")
-              .select("query_id", "id",
-                      F.when(F.col("n_name_words") > 0,
-                             F.coalesce("_occ", F.lit(0)).cast("double") / F.col("n_name_words")).alias("rank")))
-    out = ranked.join(catalog.select(*SEARCH_COLUMNS), "id")
-    unanchored = queries.join(anchored, "query_id", "left_anti")
-    return BatchSearch(out.select("query_id", *SEARCH_COLUMNS, "rank"), unanchored)
+
+    names = (products if products is not None else catalog).select("id", tokenize(F.col("name")).alias("tokens"))
+    index = names.select("id", F.explode(F.array_distinct("tokens")).alias("word"))
+    # Products per query word; a word that no product holds is rarest of all.
+    asked_words = terms.select(F.explode("words").alias("word")).distinct()
+    held = index.join(asked_words, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n_held"))
+    rarity = F.struct(F.coalesce("n_held", F.lit(0)).alias("n_held"), "word")
+
+    def with_tokens(anchored: DataFrame) -> DataFrame:
+        """``anchored`` (with a ``word``) with each product that holds the word, and its tokens."""
+        return anchored.join(index, "word").join(names, "id")
+
+    def holds(words: Column) -> Column:
+        return F.contains(_padded(F.col("tokens")), _padded(words))
+
+    branches = terms.groupBy("query_id", "branch").agg(
+        F.collect_list(F.struct("negated", "words")).alias("terms"),
+        F.sum((~F.col("negated")).cast("int")).alias("n_positive"))
+    positive = terms.where(~F.col("negated"))
+    query_words = positive.groupBy("query_id").agg(F.flatten(F.collect_list("words")).alias("rank_words"))
+    word_of = positive.select("query_id", "branch", F.explode("words").alias("word"))
+    rarest = (word_of.join(held, "word", "left").groupBy("query_id", "branch")
+              .agg(F.min(rarity).alias("r")).select("query_id", "branch", F.col("r.word").alias("word")))
+    wanted = rarest.join(branches, ["query_id", "branch"]).join(query_words, "query_id")
+    fits = F.forall("terms", lambda t: holds(t["words"]) != t["negated"])
+    occurrences = F.aggregate("rank_words", F.lit(0), lambda n, w: n + F.size(F.filter("tokens", lambda x: x == w)))
+    found = (with_tokens(wanted).where(fits)
+             .select("query_id", "id", (occurrences.cast("double") / F.size("tokens")).alias("rank")).distinct())
+
+    open_branches = branches.where(F.col("n_positive") == 0)
+    open_queries = open_branches.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_open"))
+    matches = found.join(open_queries, "query_id", "left_anti").join(catalog.select(*SEARCH_COLUMNS), "id")
+
+    # Products that every exclusion-only branch shuts out and no other branch matches.
+    shut_terms = terms.join(open_branches.select("query_id", "branch"), ["query_id", "branch"], "left_semi")
+    shut_words = shut_terms.select("query_id", "branch", "term", "words", F.explode("words").alias("word"))
+    shut = (shut_words.join(held, "word", "left").groupBy("query_id", "branch", "term", "words")
+            .agg(F.min(rarity).alias("r")).select("query_id", "branch", "words", F.col("r.word").alias("word")))
+    shut = with_tokens(shut).where(holds(F.col("words"))).select("query_id", "branch", "id").distinct()
+    excluded = (shut.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n_shut")).join(open_queries, "query_id")
+                .where(F.col("n_shut") == F.col("n_open")).join(found, ["query_id", "id"], "left_anti")
+                .select("query_id", F.col("id").alias("excluded_id")))
+    complement = (asked.join(open_queries, "query_id", "left_semi").join(excluded, "query_id", "left")
+                  .select("query_id", "query", F.lit(True).alias("complement"), "excluded_id"))
+
+    short = F.coalesce(F.length("query") < MIN_QUERY_LENGTH, F.lit(True))
+    rejected = (queries.join(branches.select("query_id"), "query_id", "left_anti")
+                .select("query_id", "query", F.when(short, "too_short").otherwise("no_words").alias("reason")))
+    return BatchSearch(matches.select("query_id", *SEARCH_COLUMNS, "rank"), complement, rejected)

@@ -24,8 +24,8 @@ def q_product_search_phrase(t):
 
 def _queries(t):
     """Stand-in query table: for every distinct product name, the name as
-    words, as a phrase, as an alternative and with an exclusion, and one
-    exclusion-only query."""
+    words, as a phrase, as an alternative, with an exclusion, as an alternative
+    with an exclusion, as one exclusion only, and as one of these with an alternative."""
     names = t.part.select(F.col("p_name").alias("n")).distinct()
     w = F.split("n", " ")
     kinds = F.array(
@@ -33,7 +33,9 @@ def _queries(t):
         F.struct(F.lit("phrase").alias("kind"), F.concat(F.lit('"'), F.col("n"), F.lit('"')).alias("query")),
         F.struct(F.lit("or").alias("kind"), F.concat(w[0], F.lit(" or "), w[1]).alias("query")),
         F.struct(F.lit("not").alias("kind"), F.concat(w[1], F.lit(" -"), w[0]).alias("query")),
+        F.struct(F.lit("mixed").alias("kind"), F.concat(w[1], F.lit(" or "), w[0], F.lit(" -"), w[1]).alias("query")),
         F.struct(F.lit("neg").alias("kind"), F.concat(F.lit("-"), w[0]).alias("query")),
+        F.struct(F.lit("neg_or").alias("kind"), F.concat(F.lit("-"), w[0], F.lit(" or "), w[1]).alias("query")),
     )
     q = names.select(F.explode(kinds).alias("q"))
     return q.select(F.concat(F.col("q.kind"), F.lit(":"), F.col("q.query")).alias("query_id"), F.col("q.query"))
@@ -46,4 +48,4 @@ def q_product_search_batch(t):
 
 @register("product_search_unanchored")
 def q_product_search_unanchored(t):
-    return s.product_search_batch(c.product_catalog(t, AS_OF), _queries(t), t.products).unanchored
+    return s.product_search_batch(c.product_catalog(t, AS_OF), _queries(t), t.products).complement

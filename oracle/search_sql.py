@@ -15,7 +15,7 @@ p AS (SELECT c.*, {TOKENS} AS t FROM catalog c)
 SELECT {COLS},
        CASE WHEN len(t) > 0 THEN CAST(len(list_filter(t, lambda x: x = 'red')) + len(list_filter(t, lambda x: x = 'blue'))
                                       AS DOUBLE) / len(t) END AS rank
-FROM p WHERE (list_contains(t, 'red') OR list_contains(t, 'blue')) AND NOT list_contains(t, 'small')
+FROM p WHERE list_contains(t, 'red') OR (list_contains(t, 'blue') AND NOT list_contains(t, 'small'))
 """
 SQL["product_search_phrase"] = f"""
 WITH {CATALOG},
@@ -34,50 +34,40 @@ qs AS (SELECT 'and:' || n AS query_id, n AS query FROM names
                         split_part(n, ' ', 1) || ' or ' || split_part(n, ' ', 2) FROM names
        UNION ALL SELECT 'not:' || split_part(n, ' ', 2) || ' -' || split_part(n, ' ', 1),
                         split_part(n, ' ', 2) || ' -' || split_part(n, ' ', 1) FROM names
+       UNION ALL SELECT 'mixed:' || split_part(n, ' ', 2) || ' or ' || split_part(n, ' ', 1) || ' -' || split_part(n, ' ', 2),
+                        split_part(n, ' ', 2) || ' or ' || split_part(n, ' ', 1) || ' -' || split_part(n, ' ', 2) FROM names
+       UNION ALL SELECT 'neg_or:-' || split_part(n, ' ', 1) || ' or ' || split_part(n, ' ', 2),
+                        '-' || split_part(n, ' ', 1) || ' or ' || split_part(n, ' ', 2) FROM names
        UNION ALL SELECT 'neg:-' || split_part(n, ' ', 1), '-' || split_part(n, ' ', 1) FROM names)
 """
 
-PARSE = r"""
-tk0 AS (SELECT query_id, regexp_extract_all(trim(query), '(-?"[^"]*"|\S+)', 1) AS toks FROM qs),
-tk AS (SELECT query_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM tk0),
-tt AS (SELECT query_id, pos, lower(tok) = 'or' AS is_or, (starts_with(tok, '-') AND length(tok) > 1) AS negated,
-              list_filter(string_split_regex(lower(regexp_replace(
-                  CASE WHEN starts_with(tok, '-') AND length(tok) > 1 THEN substr(tok, 2) ELSE tok END,
-                  '^"+|"+$', '', 'g')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words
-       FROM tk),
-kept AS (SELECT * FROM tt WHERE is_or OR len(words) > 0),
-kw AS (SELECT kept.*, lag(is_or) OVER (PARTITION BY query_id ORDER BY pos) AS prev_or,
-              coalesce(sum(CASE WHEN NOT is_or THEN 1 END) OVER (PARTITION BY query_id ORDER BY pos
-                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-       FROM kept),
-terms AS (SELECT query_id, pos AS term, negated, words,
-                 sum(CASE WHEN before = 0 OR NOT coalesce(prev_or, false) THEN 1 ELSE 0 END)
-                   OVER (PARTITION BY query_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS clause
-          FROM kw WHERE NOT is_or),
-anch AS (SELECT DISTINCT query_id FROM (SELECT query_id, clause FROM terms GROUP BY query_id, clause
-                                        HAVING NOT bool_or(negated)) a),
-nc AS (SELECT query_id, count(DISTINCT clause) AS n FROM terms GROUP BY query_id)
+# The grammar: a query is cut at each ``or`` between blanks; each part is an AND of
+# terms. (The stand-in phrases hold no ``or``.)
+EVALUATE = rf"""
+br AS (SELECT query_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS branch
+       FROM (SELECT query_id, string_split_regex(trim(query), '\s+or\s+') AS parts FROM qs) x),
+tm AS (SELECT query_id, branch, unnest(regexp_extract_all(part, '(-?"[^"]*"|\S+)', 1)) AS term FROM br),
+terms AS (SELECT query_id, branch, starts_with(term, '-') AS negated,
+                 list_filter(string_split_regex(lower(term), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS words FROM tm),
+p AS (SELECT c.*, {TOKENS} AS t FROM catalog c),
+ev AS (SELECT terms.query_id, terms.branch, p.id,
+              bool_and(contains(' ' || array_to_string(p.t, ' ') || ' ', ' ' || array_to_string(words, ' ') || ' ') <> negated) AS ok,
+              bool_and(negated) AS is_open,
+              sum(CASE WHEN negated THEN 0 ELSE len(list_filter(p.t, lambda x: list_contains(words, x))) END) AS occ
+       FROM terms, p GROUP BY terms.query_id, terms.branch, p.id),
+res AS (SELECT query_id, id, bool_or(ok) AS ok, bool_or(is_open) AS is_open, sum(occ) AS occ FROM ev GROUP BY query_id, id)
 """
 
 SQL["product_search_batch"] = f"""
-WITH {CATALOG}, {QUERIES}, {PARSE},
-p AS (SELECT c.*, {TOKENS} AS t FROM catalog c),
-pt AS (SELECT terms.query_id, terms.clause, terms.negated, p.id,
-              CASE WHEN len(words) = 1 THEN list_contains(p.t, words[1])
-                   ELSE contains(' ' || array_to_string(p.t, ' ') || ' ', ' ' || array_to_string(words, ' ') || ' ')
-              END AS m,
-              len(list_filter(p.t, lambda x: list_contains(words, x))) AS occ
-       FROM terms JOIN anch ON anch.query_id = terms.query_id, p),
-ev AS (SELECT query_id, id, clause, bool_or(CASE WHEN negated THEN NOT m ELSE m END) AS ok,
-              sum(CASE WHEN negated THEN 0 ELSE occ END) AS occ
-       FROM pt GROUP BY query_id, id, clause),
-res AS (SELECT query_id, id, count(*) FILTER (WHERE ok) AS nok, sum(occ) AS occ FROM ev GROUP BY query_id, id)
+WITH {CATALOG}, {QUERIES}, {EVALUATE}
 SELECT r.query_id, p.id, p.name, p.available, p.brand_name, p.brand_id, p.stock_count, p.price, p.description,
        CASE WHEN len(p.t) > 0 THEN CAST(r.occ AS DOUBLE) / len(p.t) END AS rank
-FROM res r JOIN nc ON nc.query_id = r.query_id JOIN p ON p.id = r.id
-WHERE r.nok = nc.n
+FROM res r JOIN p ON p.id = r.id
+WHERE r.ok AND NOT r.is_open
 """
 SQL["product_search_unanchored"] = f"""
-WITH {QUERIES}, {PARSE}
-SELECT query_id, query FROM qs WHERE query_id NOT IN (SELECT query_id FROM anch)
+WITH {CATALOG}, {QUERIES}, {EVALUATE}
+SELECT qs.query_id, qs.query, true AS complement, x.id AS excluded_id
+FROM qs LEFT JOIN (SELECT query_id, id FROM res WHERE NOT ok) x ON x.query_id = qs.query_id
+WHERE qs.query_id IN (SELECT query_id FROM res WHERE is_open)
 """

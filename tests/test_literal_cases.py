@@ -160,10 +160,11 @@ def test_same_style(spark):
 
 
 @pytest.mark.parametrize("query,expected", [
-    ("red ring", [[S.Term(False, ("red",))], [S.Term(False, ("ring",))]]),
+    ("red ring", [[S.Term(False, ("red",)), S.Term(False, ("ring",))]]),
     ('"red ring"', [[S.Term(False, ("red", "ring"))]]),
-    ("red or ring", [[S.Term(False, ("red",)), S.Term(False, ("ring",))]]),
-    ("ring -red", [[S.Term(False, ("ring",))], [S.Term(True, ("red",))]]),
+    ("red or ring", [[S.Term(False, ("red",))], [S.Term(False, ("ring",))]]),
+    ("red or blue -small", [[S.Term(False, ("red",))], [S.Term(False, ("blue",)), S.Term(True, ("small",))]]),
+    ("ring -red", [[S.Term(False, ("ring",)), S.Term(True, ("red",))]]),
     ("  ", []),
     ("unknownword", [[S.Term(False, ("unknownword",))]]),
     ("!!! ...", []),
@@ -192,14 +193,35 @@ def test_search_literal(spark):
     assert ranked == [4, 1, 2]
     # batch evaluation agrees with the single-query filter
     qs = spark.createDataFrame([("a", "red ring"), ("b", '"red ring"'), ("c", "red or ring"), ("d", "ring -red"),
-                                ("e", "-red")], "query_id string, query string")
+                                ("e", "-red"), ("f", "-ring or red"), ("g", "-missing"), ("h", "r"), ("i", "!!")], "query_id string, query string")
     res = S.product_search_batch(cat, qs)
     got = {}
     for r in res.matches.collect():
         got.setdefault(r.query_id, set()).add((r.id, r.rank))
     for qid, q in [("a", "red ring"), ("b", '"red ring"'), ("c", "red or ring"), ("d", "ring -red")]:
         assert got.get(qid, set()) == {(r.id, r.rank) for r in S.product_search(cat, q).collect()}
-    assert [r.query_id for r in res.unanchored.collect()] == ["e"]
+    assert sorted((r.query_id, r.complement, r.excluded_id) for r in res.complement.where("query_id <> 'g'").collect()) == [
+        ("e", True, 1), ("e", True, 2), ("e", True, 4), ("f", True, 3), ("f", True, 5)]
+    assert [(r.query_id, r.excluded_id) for r in res.complement.where("query_id = 'g'").collect()] == [("g", None)]
+    assert sorted((r.query_id, r.reason) for r in res.rejected.collect()) == [("h", "too_short"), ("i", "no_words")]
+    for qid, q in [("e", "-red"), ("f", "-ring or red")]:
+        shut = {r.excluded_id for r in res.complement.where(C.F.col("query_id") == qid).collect()}
+        assert ids(q) == sorted({1, 2, 3, 4, 5} - shut)
+
+
+def test_search_and_binds_tighter_than_or(spark):
+    cat = spark.createDataFrame([(1, "red small hat"), (2, "blue small hat"), (3, "blue hat"), (4, "red hat"), (5, "green hat")],
+                                "id bigint, name string")
+    for c in ["available", "brand_name", "brand_id", "stock_count", "price", "description"]:
+        cat = cat.withColumn(c, C.F.lit(None).cast("string"))
+    qs = {"red or blue -small": [1, 3, 4], "blue -small or red": [1, 3, 4], '"red small" or blue hat': [1, 2, 3], "hat -small -green": [3, 4]}
+    res = S.product_search_batch(cat, spark.createDataFrame([(q, q) for q in qs], "query_id string, query string"))
+    got = {}
+    for r in res.matches.collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    for q, want in qs.items():
+        assert sorted(r.id for r in S.product_search(cat, q).collect()) == want
+        assert sorted(got[q]) == want
 
 
 def test_recent_views_limits(spark):
@@ -298,7 +320,7 @@ def test_batch_parse_equals_single_parse(spark):
     df = spark.createDataFrame(queries, "query_id string, query string")
     got = {}
     for r in S.parse_queries(df).collect():
-        got.setdefault(r.query_id, {}).setdefault(r.clause, []).append((r.term, S.Term(r.negated, tuple(r.words))))
+        got.setdefault(r.query_id, {}).setdefault(r.branch, []).append((r.term, S.Term(r.negated, tuple(r.words))))
     for qid, text in queries:
         want = S.parse_query(text.strip())
         clauses = [[t for _, t in sorted(terms)] for _, terms in sorted(got.get(qid, {}).items())]
@@ -334,4 +356,4 @@ def test_batch_search_english_agrees_with_single(spark):
         got.setdefault(r.query_id, set()).add((r.id, r.rank))
     for qid, q in qs[:4]:
         assert got.get(qid, set()) == {(r.id, r.rank) for r in S.product_search(cat, q, config="english").collect()}, q
-    assert [r.query_id for r in res.unanchored.collect()] == ["e"]
+    assert [r.query_id for r in res.rejected.collect()] == ["e"]
