@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from .staging import pick
 
 WINDOW = 10
 SHINGLE = 3
-BLOCK_BYTES = 16_000_000       # text of the items that one broadcast holds
+BLOCK_BYTES = 4_000_000        # text of the items that one broadcast holds
 
 
 @dataclass
@@ -93,7 +93,7 @@ class Filed:
     """Windows sorted by the shingle they are filed under, per shingle size."""
 
     def __init__(self, windows: Windows, counts: dict[tuple[int, int], int]):
-        self.windows = windows
+        self.windows = replace(windows, shingles=[])       # no task needs them
         self.by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         rarest = [min(range(len(s)), key=lambda j: (counts.get((int(k), int(s[j])), 0), j)) for s, k in zip(windows.shingles, windows.width)]
         for k in np.unique(windows.width):
