@@ -320,26 +320,20 @@ def upsert_rows(target: DataFrame, batch: DataFrame, key: list[str], fks: dict |
                 order_cols: list[str] | None = None) -> ChangeResult:
     """Insert, or replace the row with the same key; the last change wins.
 
-    The table's rows enter with the lowest order, the batch's OK rows with
-    their order (``seq``, or the tuple ``order_cols`` when the log's order is
-    several columns); one ``max_by`` per key keeps the winner, combined
-    map-side.
+    The batch's OK rows are cut to one winner per key (``max_by`` on ``seq``, or
+    on the tuple ``order_cols`` when the log's order is several columns, combined
+    map-side); the table is anti-joined with the winners' keys, never regrouped.
     """
     b = _with_fk_checks(batch, fks)
     judged = b.withColumn("outcome", F.when(F.col("_w_fk_ok"), F.lit(OK)).otherwise(F.lit(FOREIGN_KEY_VIOLATION)))
     values = [c for c in target.columns if c not in key]
-    cols = order_cols or ["seq"]
-    oks = judged.where(F.col("outcome") == OK)
-    new = oks.select(*key, *[F.col(c).cast(target.schema[c].dataType).alias(c) for c in values],
-                     F.struct(F.lit(1).alias("_w_src"), *[F.col(c) for c in cols]).alias("_w_ord"))
-    old = target.select(*key, *values,
-                        F.struct(F.lit(0).alias("_w_src"),
-                                 *[F.lit(None).cast(oks.schema[c].dataType).alias(c) for c in cols]).alias("_w_ord"))
-    both = old.unionByName(new)
-    winner = (both.groupBy(*key)
-              .agg(F.max_by(F.struct(*[F.col(c) for c in values]), F.col("_w_ord")).alias("_w_row")))
-    table = winner.select(*key, *[F.col("_w_row")[c].alias(c) for c in values]).select(*target.columns)
-    return ChangeResult(table, judged.select(*batch.columns, "outcome"))
+    order = F.struct(*[F.col(c) for c in order_cols or ["seq"]])
+    row = F.struct(*[F.col(c).cast(target.schema[c].dataType).alias(c) for c in values])
+    winner = judged.where(F.col("outcome") == OK).groupBy(*key).agg(F.max_by(row, order).alias("_w_row"))
+    new = winner.select(*[(F.col(c) if c in key else F.col("_w_row")[c]).cast(target.schema[c].dataType).alias(c)
+                          for c in target.columns])
+    kept = target.join(new.select(*key), key, "left_anti").select(*target.columns)
+    return ChangeResult(kept.unionByName(new), judged.select(*batch.columns, "outcome"))
 
 
 def trim_columns(batch: DataFrame, cols: list[str]) -> DataFrame:
