@@ -10,22 +10,30 @@ simply applied to whole texts.
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .arrays import ranges
 
 PIECE_SLICE = 2_000_000    # bytes of text cut at a time: repeated pieces are looked up once
-CACHE_PIECES = 200_000    # distinct pieces kept per Python worker; then the cache starts anew
+CACHE_PIECES = 400_000    # distinct pieces kept per Python worker, some 10 MB; then those of the last slice only
 OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
+PIECES_A_CALL = 10_000    # new pieces given to the library at once
+# First bytes, after the blank, of a piece that may be white space: ASCII blanks, and what leads the other blanks.
+MAYBE_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3"))
 CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")   # fixed by the byte-level pre-tokenizer
 
 _loaded: dict = {}
 
 
 def load_tokenizer(path: str):
-    """The tokenizer file, loaded once per worker."""
+    """The tokenizer file, loaded once per worker. A task has one core, so the
+    library's own threads stay off unless the environment asks for them."""
     if ("tokenizer", path) not in _loaded:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         _loaded["tokenizer", path] = Tokenizer.from_file(path)
         _loaded["tokenizer", path].no_padding()
@@ -147,12 +155,18 @@ class PieceCutter:
         return np.array(sorted(rows), np.int64)
 
 
-def distinct_pieces(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+def distinct_pieces(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, pa.BinaryArray]:
     """Index of each piece among the distinct ones, and these."""
     bounds = np.append(starts, len(data)).astype(np.int32)
     pieces = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
     coded = pieces.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def _bytes_of(pieces: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all pieces one after the other, and where each starts and the last ends."""
+    bounds = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset:pieces.offset + len(pieces) + 1].astype(np.int64)
+    return np.frombuffer(pieces.buffers()[2], np.uint8)[bounds[0]:bounds[-1]], bounds - bounds[0]
 
 
 class IdEncoder:
@@ -161,7 +175,12 @@ class IdEncoder:
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
         self.cutter = PieceCutter(self.tokenizer) if PieceCutter.fits(self.tokenizer) else None
-        self._cache: dict[bytes, bytes] = {}
+        # Pieces met so far, how many ids each has, and these ids one after the other.
+        self._known, self._size, self._known_ids = pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        if self.cutter is not None:     # bytes of each token: a byte-level token has one character per byte
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+            self._token_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+            self._token_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -177,12 +196,12 @@ class IdEncoder:
         starts = self.cutter.cut(data, offsets)
         if len(starts):
             index, pieces = distinct_pieces(data, starts)
-            ids, size = self._ids(pieces)
+            index = self._places(pieces)[index]
         else:
-            index, ids, size = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        begin = np.cumsum(size) - size
-        counts = size[index]
-        flat = ids[ranges(begin[index], counts)]
+            index = np.zeros(0, np.int64)
+        begin = np.cumsum(self._size) - self._size
+        counts = self._size[index]
+        flat = self._known_ids[ranges(begin[index], counts)]
         total = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         bounds = total[np.searchsorted(starts, offsets)]
         special = self.cutter.rows_with_special(data, offsets)
@@ -193,21 +212,62 @@ class IdEncoder:
             bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         return flat, bounds
 
-    def _ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the pieces one after the other, number of ids of each)."""
-        cache = self._cache
-        new = [p for p in pieces if p not in cache]
-        if new:
-            if len(cache) + len(new) > CACHE_PIECES:
-                cache.clear()
-                new = pieces
-            for i in range(0, len(new), 10_000):
-                some = new[i:i + 10_000]
-                for p, e in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
-                    cache[p] = np.array(e.ids, np.uint32).tobytes()
-        found = [cache[p] for p in pieces]
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        return np.frombuffer(b"".join(found), np.uint32), size
+    def _places(self, pieces: pa.BinaryArray) -> np.ndarray:
+        """Where each of the distinct ``pieces`` is among the known ones; those not yet known are learnt."""
+        place = pc.fill_null(pc.index_in(pieces, value_set=self._known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(self._known) + int((place < 0).sum()) > CACHE_PIECES:      # keep what is met here only
+            held = np.flatnonzero(place >= 0)
+            begin = np.cumsum(self._size) - self._size
+            ids = self._known_ids[ranges(begin[place[held]], self._size[place[held]])]
+            self._known, self._size, self._known_ids = pieces.take(pa.array(held)), self._size[place[held]], ids
+            place[held] = np.arange(len(held))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = len(self._known) + self._learn(pieces.take(pa.array(new)))
+        return place
+
+    def _learn(self, pieces: pa.BinaryArray) -> np.ndarray:
+        """Adds ``pieces`` to the known ones; their order among the added ones."""
+        data, bounds = _bytes_of(pieces)
+        first = data[bounds[:-1]]
+        second = np.where(np.diff(bounds) > 1, data[np.minimum(bounds[:-1] + 1, len(data) - 1)], 0x20)
+        # A piece that starts with a blank and goes on with another character
+        # is cut off the same way behind any other such piece.
+        joins = (first == 0x20) & ~MAYBE_BLANK[second]
+        parts, order = [], []
+        for rows, ask in ((np.flatnonzero(joins), self._joined), (np.flatnonzero(~joins), self._each)):
+            for i in range(0, len(rows), PIECES_A_CALL):
+                order.append(rows[i:i + PIECES_A_CALL])
+                some = pieces.take(pa.array(order[-1]))
+                parts.append((some, *(ask(some) or self._each(some))))
+        self._known = pa.concat_arrays([self._known, *[p[0] for p in parts]])
+        self._size = np.concatenate([self._size, *[p[1] for p in parts]])
+        self._known_ids = np.concatenate([self._known_ids, *[p[2] for p in parts]])
+        place = np.empty(len(pieces), np.int64)
+        place[np.concatenate(order)] = np.arange(len(pieces))
+        return place
+
+    def _each(self, pieces: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each piece, the ids), asking for each piece by itself."""
+        encoded = self.tokenizer.encode_batch_fast([p.decode() for p in pieces.to_pylist()], add_special_tokens=False)
+        ids = [e.ids for e in encoded]
+        return np.array([len(i) for i in ids], np.int64), np.array([x for i in ids for x in i], np.uint32)
+
+    def _joined(self, pieces: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same for pieces that stay apart in one text: its ids are shared out
+        by their lengths in bytes. None where these do not add up."""
+        data, bounds = _bytes_of(pieces)
+        text = data.tobytes()
+        if any(token in text for token in self.cutter._special):
+            return None
+        ids = np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.uint32)
+        if not len(ids) or ids.max() >= len(self._token_bytes):
+            return None
+        ends = np.cumsum(self._token_bytes[ids])
+        last = np.minimum(np.searchsorted(ends, bounds[1:]), len(ends) - 1)
+        if ends[-1] != bounds[-1] or (ends[last] != bounds[1:]).any():
+            return None
+        return np.diff(last, prepend=-1), ids
 
 
 def id_encoder(path: str) -> IdEncoder:

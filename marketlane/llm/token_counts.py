@@ -93,7 +93,7 @@ class MergeCounter:
             if len(cache) > CACHE_PIECES:
                 cache.clear()
             own = np.empty(len(pieces), np.int64)
-            for i, piece in enumerate(pieces):
+            for i, piece in enumerate(pieces.to_pylist()):
                 n = cache.get(piece)
                 if n is None:
                     n = self.count(piece)

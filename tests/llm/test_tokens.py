@@ -30,6 +30,17 @@ def test_encoder_gives_the_library_ids(texts):
         assert token_counts.MergeCounter(PATH).counts(data, offsets).tolist() == [len(x) for x in library_ids(texts)] if len(texts) == 1 else True
 
 
+def test_encoder_keeps_its_ids_when_the_cache_overflows(monkeypatch):
+    monkeypatch.setattr(bpe_pieces, "CACHE_PIECES", 40)
+    encoder = bpe_pieces.IdEncoder(PATH)
+    for step in range(6):
+        texts = [" ".join(f"w{chr(97 + i * step % 26)}ord{i % (7 + step)}" for i in range(30)), "", " the same  words\u00a0 again", "don't"]
+        batch = pa.record_batch({"text": pa.array(texts)})
+        for _, data, offsets in arrays.slices(batch, "text"):
+            ids, bounds = encoder.encode(data, offsets)
+            assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == library_ids(texts)
+
+
 def test_counts_on_edges(session, edge_docs, no_docs):
     got = {(r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.token_counts(edge_docs, PATH).collect()}
     rows = edge_docs.collect()
