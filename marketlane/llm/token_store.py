@@ -27,6 +27,7 @@ HEADER = struct.Struct("<4sHHIQQ")
 BLOCK_IDS = 4096
 SHARD_IDS = 1_000_000
 END_ID = 0
+BROADCAST_PARTS = 1_000_000     # rows of 12 bytes; a task writes some 32 MB of text
 
 
 def bits_for(vocabulary: int) -> int:
@@ -155,6 +156,8 @@ def read_shards(spark, path: str) -> DataFrame:
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per writing task, a manifest of the store.
     manifest = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    # The payloads stay where they are read, unless the manifest is too long to broadcast.
+    manifest = F.broadcast(manifest) if shards.select("part").distinct().count() <= BROADCAST_PARTS else manifest
     return shards.join(manifest, "part").select("part", "shard", (F.col("base") + F.col("first_token")).alias("start"), "n_tokens", "doc_ids", "payload")
 
 
