@@ -61,19 +61,19 @@ def delete_product_types(tables, batch: DataFrame) -> ChangeResult:
 def create_base_products(tables, batch: DataFrame):
     """A base product and its type assignments, all or nothing.
 
-    batch: seq, description, brand_id, type_ids ARRAY<INT>. The new id is
+    batch: seq, description, brand_id, type_ids ARRAY<BIGINT>. The new id is
     ``max(id) + seq``; the group is ``seq``. Returns (tables, outcomes).
     """
     bp = tables.base_products
-    new_id = (_max_id(bp) + F.col("seq")).cast("int")
+    new_id = (_max_id(bp) + F.col("seq")).cast("bigint")
     base_rows = batch.select(
         F.col("seq").alias("group_id"), (F.col("seq") * GROUP_STRIDE).alias("seq"),
-        new_id.alias("id"), F.col("description"), F.col("brand_id").cast("int").alias("brand_id"),
+        new_id.alias("id"), F.col("description"), F.col("brand_id").cast("bigint").alias("brand_id"),
         F.lit(None).cast("string").alias("p_brand"), F.lit(None).cast("string").alias("p_type"))
     type_rows = batch.select(F.col("seq").alias("group_id"), new_id.alias("product_id"),
                              F.posexplode("type_ids").alias("pos", "type_id")).select(
         "group_id", (F.col("group_id") * GROUP_STRIDE + F.col("pos") + 1).alias("seq"),
-        "product_id", F.col("type_id").cast("int").alias("type_id"))
+        "product_id", F.col("type_id").cast("bigint").alias("type_id"))
     parents = bp.select("id").unionByName(base_rows.select("id"))
     parts = [
         GroupPart("base_products", bp, base_rows, fks={"brand_id": (tables.brands, "id")}),
@@ -101,11 +101,11 @@ def set_base_product_descriptions(tables, batch: DataFrame) -> ChangeResult:
 
 def assign_types(tables, requests: DataFrame):
     """W5 per request: all (base product, type) pairs or none; a pair already
-    assigned is CONFLICT. requests: seq, product_id, type_ids ARRAY<INT>."""
+    assigned is CONFLICT. requests: seq, product_id, type_ids ARRAY<BIGINT>."""
     rows = requests.select(F.col("seq").alias("group_id"), "product_id",
                            F.posexplode("type_ids").alias("pos", "type_id")).select(
         "group_id", (F.col("group_id") * GROUP_STRIDE + F.col("pos")).alias("seq"),
-        F.col("product_id").cast("int").alias("product_id"), F.col("type_id").cast("int").alias("type_id"))
+        F.col("product_id").cast("bigint").alias("product_id"), F.col("type_id").cast("bigint").alias("type_id"))
     part = GroupPart("assigned_product_type", tables.assigned_product_type, rows,
                      unique=["product_id", "type_id"],
                      fks={"product_id": (tables.base_products, "id"), "type_id": (tables.product_types, "id")})
@@ -131,7 +131,7 @@ def create_products(tables, batch: DataFrame, day):
     trimmed = trim_columns(batch, ["name", "description"])
     g = F.col("seq").alias("group_id")
     prod = trimmed.select(g, (F.col("seq") * GROUP_STRIDE).alias("seq"), new_id.alias("id"), "name",
-                          "description", F.col("base_product_id").cast("int").alias("base_product_id"),
+                          "description", F.col("base_product_id").cast("bigint").alias("base_product_id"),
                           F.lit(True).alias("available"))
     stock = trimmed.select(g, (F.col("seq") * GROUP_STRIDE + 1).alias("seq"), new_id.alias("product_id"),
                            F.col("amount").cast("bigint").alias("amount"))

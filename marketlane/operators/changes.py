@@ -13,7 +13,8 @@ back, not windows, so a key holding a third of the batch is combined map-side
 and its join partition is split by AQE's skew handling. The one ordered per-key
 scan (the exact mode of W2 on unique columns) uses the bucketed running scan
 of ``scan.py``. Existence and FK checks first cut the large table to the keys
-the batch uses, so a small batch never deduplicates a large table.
+the batch uses, by a broadcast of those keys where their measured size allows
+it, so a small batch neither shuffles nor deduplicates a large table for them.
 """
 
 from __future__ import annotations
@@ -26,8 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.outcomes import CONFLICT, DOES_NOT_EXIST, FOREIGN_KEY_VIOLATION, OK
 from ..functions.text import trim_text
 from ..session import materialize
-
-
+from .joins import cut_to_keys
 
 @dataclass
 class ChangeResult:
@@ -46,16 +46,16 @@ def _with_fk_checks(batch: DataFrame, fks: dict | None) -> DataFrame:
     """Add ``_w_fk_ok``: every FK column is NULL or found in its parent.
 
     ``fks`` maps a batch column to ``(parent_df, parent_col)``. The parent is
-    first cut to the values the batch uses (a semi join whose small side AQE
-    can broadcast once measured) and only that small result is made distinct,
-    so a large parent table is neither shuffled nor deduplicated.
+    first cut to the values the batch uses (``cut_to_keys``) and only that
+    result is made distinct: for a small batch a large parent table is neither
+    shuffled nor deduplicated.
     """
     b = batch
     checks = []
     for i, (col, (parent, parent_col)) in enumerate((fks or {}).items()):
         hit, tmp = f"_w_fk_hit{i}", f"_w_fk{i}"
-        wanted = b.select(F.col(col).alias(tmp)).where(F.col(tmp).isNotNull()).distinct()
-        keys = (parent.select(F.col(parent_col).alias(tmp)).join(wanted, tmp, "left_semi")
+        wanted = batch.select(F.col(col).alias(tmp)).where(F.col(tmp).isNotNull())
+        keys = (cut_to_keys(parent.select(F.col(parent_col).alias(tmp)), wanted, [tmp])
                 .distinct().withColumn(hit, F.lit(True)))
         b = b.join(keys, b[col] == keys[tmp], "left").drop(tmp)
         checks.append(F.col(col).isNull() | F.col(hit).isNotNull())
@@ -65,11 +65,9 @@ def _with_fk_checks(batch: DataFrame, fks: dict | None) -> DataFrame:
 
 def _key_present(df: DataFrame, table: DataFrame, key: list[str], flag: str) -> DataFrame:
     """Left-join a presence flag: is the row's key in ``table``. The table is
-    first cut to the batch's keys (semi join, small side broadcastable once
-    measured), then made distinct."""
+    first cut to the batch's keys (``cut_to_keys``), then made distinct."""
     nn = _all([F.col(k).isNotNull() for k in key])
-    wanted = df.select(*key).where(nn).distinct()
-    marks = (table.select(*key).join(wanted, key, "left_semi").distinct()
+    marks = (cut_to_keys(table.select(*key), df.where(nn), key).distinct()
              .withColumn(flag, F.lit(True)))
     return df.join(marks, key, "left")
 

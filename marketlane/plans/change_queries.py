@@ -37,7 +37,7 @@ def q_brand_create(t):
 
 
 def _brand_renames(t):
-    return t.part.select(F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 30).cast("int").alias("id"),
+    return t.part.select(F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 30).cast("bigint").alias("id"),
                          F.concat(F.lit("Brand#"), F.col("p_size").cast("string")).alias("name"))
 
 
@@ -53,7 +53,7 @@ def q_brand_rename_table(t):
 
 @register("brand_delete")
 def q_brand_delete(t):
-    batch = t.part.select(F.col("p_partkey").alias("seq"), F.col("p_size").cast("int").alias("id"))
+    batch = t.part.select(F.col("p_partkey").alias("seq"), F.col("p_size").cast("bigint").alias("id"))
     return admin.delete_brands(t, batch).outcomes
 
 
@@ -66,14 +66,14 @@ def q_product_type_create(t):
 
 @register("product_type_rename")
 def q_product_type_rename(t):
-    batch = t.part.select(F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 8).cast("int").alias("id"),
+    batch = t.part.select(F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 8).cast("bigint").alias("id"),
                           F.upper(F.split("p_name", " ")[0]).alias("type"))
     return admin.rename_product_types(t, batch).outcomes
 
 
 @register("product_type_delete")
 def q_product_type_delete(t):
-    batch = t.part.select(F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 9).cast("int").alias("id"))
+    batch = t.part.select(F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 9).cast("bigint").alias("id"))
     return admin.delete_product_types(t, batch).outcomes
 
 
@@ -85,21 +85,21 @@ def q_base_product_create(t):
     batch = t.supplier.select(
         (s + 1).alias("seq"), F.concat(F.col("s_name"), F.lit(" line")).alias("description"),
         F.col("s_nationkey").alias("brand_id"),
-        F.array((s % 7 + 1).cast("int"), ((s + 2) % 7 + 1).cast("int")).alias("type_ids"))
+        F.array((s % 7 + 1).cast("bigint"), ((s + 2) % 7 + 1).cast("bigint")).alias("type_ids"))
     _tables, verdicts = admin.create_base_products(t, batch)
     return verdicts.select(F.col("group_id").alias("seq"), "outcome")
 
 
 @register("base_product_delete")
 def q_base_product_delete(t):
-    batch = t.part.select(F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 200).cast("int").alias("id"))
+    batch = t.part.select(F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 200).cast("bigint").alias("id"))
     return admin.delete_base_products(t, batch).outcomes
 
 
 def _brand_sets(t):
     return t.part.select(
-        F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 160).cast("int").alias("id"),
-        F.when(F.col("p_size") % 5 == 0, F.lit(None)).otherwise(F.col("p_size")).cast("int").alias("brand_id"))
+        F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 160).cast("bigint").alias("id"),
+        F.when(F.col("p_size") % 5 == 0, F.lit(None)).otherwise(F.col("p_size")).cast("bigint").alias("brand_id"))
 
 
 @register("base_product_set_brand")
@@ -114,7 +114,7 @@ def q_base_product_set_brand_table(t):
 
 @register("base_product_description")
 def q_base_product_description(t):
-    batch = t.part.select(F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 170).cast("int").alias("id"),
+    batch = t.part.select(F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 170).cast("bigint").alias("id"),
                           F.concat(F.col("p_type"), F.lit(" "), F.col("p_name")).alias("description"))
     return admin.set_base_product_descriptions(t, batch).outcomes
 
@@ -123,15 +123,15 @@ def q_base_product_description(t):
 def q_assign_types(t):
     batch = t.part.select(
         F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 150 + 1).alias("product_id"),
-        F.array((F.col("p_size") % 7 + 1).cast("int"), ((F.col("p_size") + 3) % 7 + 1).cast("int")).alias("type_ids"))
+        F.array((F.col("p_size") % 7 + 1).cast("bigint"), ((F.col("p_size") + 3) % 7 + 1).cast("bigint")).alias("type_ids"))
     _tables, verdicts = admin.assign_types(t, batch)
     return verdicts.select(F.col("group_id").alias("seq"), "outcome")
 
 
 @register("unassign_types")
 def q_unassign_types(t):
-    batch = t.part.select(F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 150 + 1).cast("int").alias("product_id"),
-                          (F.col("p_size") % 7 + 1).cast("int").alias("type_id"))
+    batch = t.part.select(F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 150 + 1).cast("bigint").alias("product_id"),
+                          (F.col("p_size") % 7 + 1).cast("bigint").alias("type_id"))
     return admin.unassign_types(t, batch).outcomes
 
 
@@ -184,7 +184,7 @@ def q_price_set(t):
 @register("order_status_update")
 def q_order_status_update(t):
     batch = t.orders.select(F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") + 1).alias("id"),
-                            F.substr(F.col("o_orderpriority"), F.lit(1), F.lit(1)).cast("int").alias("status_id"))
+                            F.substr(F.col("o_orderpriority"), F.lit(1), F.lit(1)).cast("bigint").alias("status_id"))
     return admin.set_order_statuses(t, batch).outcomes
 
 
@@ -256,12 +256,14 @@ def q_favourite_remove(t):
 def _submissions(t):
     """The submissions with a unique order: the fixture's ``seq`` repeats (line
     items repeat order and line number), so ties get their rank among the
-    repeated rows (tiny groups) appended."""
+    repeated rows (tiny groups) appended, in as many places as the largest
+    group needs (100 at least)."""
     from pyspark.sql import Window
 
     s = t.review_submissions
     w = Window.partitionBy("seq").orderBy("customer_id", "product_id", "rating", "review", "created_on")
-    return s.withColumn("seq", F.col("seq") * 100 + F.row_number().over(w) - 1)
+    stride = s.groupBy("seq").count().select(F.greatest(F.max("count"), F.lit(100)).alias("_m")).scalar()
+    return s.withColumn("seq", F.col("seq") * stride + F.row_number().over(w) - 1)
 
 
 def _reviews(t):

@@ -135,7 +135,7 @@ def bulk_checkout(tables, requests: DataFrame, as_of, now, strict: bool = False,
         F.sum(F.coalesce(F.col("price_cents"), F.lit(0)) * F.col("quantity")).alias("_c_total"))
     priced = ok.join(totals, "request_id", "left").withColumn(
         "price_paid_cents", o.discounted_total(F.coalesce("_c_total", F.lit(0)), F.col("percent_bp_total"), strict))
-    new_orders = priced.select(order_id.alias("id"), "customer_id", F.lit(status_id).cast("int").alias("status_id"),
+    new_orders = priced.select(order_id.alias("id"), "customer_id", F.lit(status_id).cast("bigint").alias("status_id"),
                                "shipping_address_id", "price_paid_cents",
                                _ntz(now).alias("placed_on"))
     dc = tables.discount_codes.select(F.col("id").alias("discount_code_id"), "code")

@@ -24,7 +24,7 @@ def _first_number(props: str) -> Column:
 
 
 def _brand_number(col: str) -> Column:
-    return F.substr(F.col(col), F.lit(7)).cast("int")
+    return F.substr(F.col(col), F.lit(7)).cast("bigint")
 
 
 @_fixture
@@ -36,17 +36,17 @@ def brands(t) -> DataFrame:
 @_fixture
 def product_types(t) -> DataFrame:
     kinds = t.part.select(F.col("p_type").alias("type")).distinct()
-    return kinds.select(F.row_number().over(Window.orderBy("type")).cast("int").alias("id"), "type")
+    return kinds.select(F.row_number().over(Window.orderBy("type")).cast("bigint").alias("id"), "type")
 
 
 @_fixture
 def base_products(t) -> DataFrame:
     pairs = t.part.select("p_brand", "p_type").distinct()
     return pairs.select(
-        F.row_number().over(Window.orderBy("p_brand", "p_type")).cast("int").alias("id"),
+        F.row_number().over(Window.orderBy("p_brand", "p_type")).cast("bigint").alias("id"),
         F.concat(F.col("p_brand"), F.lit(" "), F.lower("p_type")).alias("description"),
         F.when(F.col("p_type") == "PROMO", F.lit(None)).otherwise(_brand_number("p_brand"))
-        .cast("int").alias("brand_id"),
+        .cast("bigint").alias("brand_id"),
         "p_brand", "p_type",
     )
 
@@ -58,7 +58,7 @@ def assigned_product_type(t) -> DataFrame:
     joined = b.join(ty, F.col("t.type") == F.col("b.p_type"))
     first = joined.select(F.col("b.id").alias("product_id"), F.col("t.id").alias("type_id"))
     second = (joined.where(F.col("b.id") % 2 == 0)
-              .select(F.col("b.id").alias("product_id"), (F.col("t.id") % 6 + 1).cast("int").alias("type_id")))
+              .select(F.col("b.id").alias("product_id"), (F.col("t.id") % 6 + 1).cast("bigint").alias("type_id")))
     return first.unionAll(second)
 
 
@@ -140,7 +140,7 @@ def accounts(t) -> DataFrame:
 @_fixture
 def shipping_countries(t) -> DataFrame:
     return (t.nation.where(F.col("n_regionkey") != 4)
-            .select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")))
+            .select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name")))
 
 
 @_fixture
@@ -152,7 +152,7 @@ def shipping_addresses(t) -> DataFrame:
         F.col("c_name").alias("first_address_line"),
         F.lit(None).cast("string").alias("second_address_line"),
         F.col("c_mktsegment").alias("state"),
-        F.col("c_nationkey").alias("country_id"),
+        F.col("c_nationkey").cast("bigint").alias("country_id"),
     )
     second = t.customer.where(c % 3 == 0).select(
         (c * 10 + 1).alias("id"), c.alias("customer_id"),
@@ -160,7 +160,7 @@ def shipping_addresses(t) -> DataFrame:
         F.col("c_name").alias("first_address_line"),
         F.lit("Flat 2").alias("second_address_line"),
         F.col("c_mktsegment").alias("state"),
-        F.col("c_nationkey").alias("country_id"),
+        F.col("c_nationkey").cast("bigint").alias("country_id"),
     )
     return first.unionAll(second)
 
@@ -174,7 +174,7 @@ def default_shipping_address(t) -> DataFrame:
 @_fixture
 def order_statuses(t) -> DataFrame:
     kinds = t.orders.select(F.col("o_orderstatus").alias("status")).distinct()
-    return kinds.select(F.row_number().over(Window.orderBy("status")).cast("int").alias("id"), "status")
+    return kinds.select(F.row_number().over(Window.orderBy("status")).cast("bigint").alias("id"), "status")
 
 
 @_fixture
@@ -337,4 +337,4 @@ def product_images(t) -> DataFrame:
 @_fixture
 def filter_categories(t) -> DataFrame:
     seg = t.customer.select(F.col("c_mktsegment").alias("name")).distinct()
-    return seg.select(F.row_number().over(Window.orderBy("name")).cast("int").alias("id"), "name")
+    return seg.select(F.row_number().over(Window.orderBy("name")).cast("bigint").alias("id"), "name")

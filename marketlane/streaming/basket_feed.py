@@ -13,7 +13,7 @@ micro-batch costs what its own customers cost, not the whole basket table:
 * ``outcomes/batch_id=<n>``: the outcome of every change;
 * ``feed/batch_id=<n>``: one message per customer touched by an accepted add,
   update or remove, ``{"type":"basketUpdate","basket":[{"productId":..,
-  "quantity":..}, ..]}``, holding that customer's basket after the batch (the
+  "quantity":..}, ..],"part":1,"parts":1}``, holding that customer's basket after the batch (the
   reference pushes the whole basket after each change; within one micro-batch
   the latest state stands for all of that customer's changes);
 * ``committed/m=<n>``: a one-row marker (batch, snapshot flag) written last.
@@ -61,16 +61,16 @@ MESSAGE_PAGE_SIZE = 10_000
 
 
 def feed_messages(basket: DataFrame, touched: DataFrame, page_size: int = MESSAGE_PAGE_SIZE) -> DataFrame:
-    """One JSON message per touched customer with their whole basket (sorted
-    by product), ``{"type":"basketUpdate","basket":[...]}``; a customer whose
-    basket became empty gets an empty list.
+    """JSON messages with each touched customer's whole basket (sorted by
+    product within a message), ``{"type":"basketUpdate","basket":[...],
+    "part":1,"parts":1}``; a customer whose basket became empty gets an empty
+    list. Every message has this one shape, whatever the size of the basket.
 
     A basket is never gathered whole into one task: lines are grouped per
     (customer, page), with the page count from a per-customer count and the
-    page from a hash of the product, so no list exceeds about ``page_size``
-    lines. Baskets up to ``page_size`` lines (every realistic one) give exactly
-    the message above; larger ones are sent as several messages that add
-    ``"part"`` and ``"parts"``.
+    page from a hash of the product, so a list holds about ``page_size`` lines.
+    A page that the hash leaves empty is not sent: ``part`` numbers may have
+    gaps, ``parts`` is the number of pages dealt.
     """
     lines = basket.join(touched, "customer_id", "left_semi")
     sizes = lines.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_f_n"))
@@ -81,14 +81,15 @@ def feed_messages(basket: DataFrame, touched: DataFrame, page_size: int = MESSAG
     item = F.struct(F.col("product_id").alias("productId"), F.col("quantity").alias("quantity"))
     grouped = (paged.groupBy("customer_id", "_f_part", "_f_parts")
                .agg(F.sort_array(F.collect_list(item)).alias("basket")))
-    single = F.to_json(F.struct(F.lit(MESSAGE_TYPE).alias("type"), F.col("basket")))
-    multi = F.to_json(F.struct(F.lit(MESSAGE_TYPE).alias("type"), F.col("basket"),
-                               (F.col("_f_part") + 1).alias("part"), F.col("_f_parts").alias("parts")))
-    with_lines = grouped.select("customer_id", F.when(F.col("_f_parts") == 1, single).otherwise(multi).alias("message"))
+
+    def message(basket, part, parts):
+        return F.to_json(F.struct(F.lit(MESSAGE_TYPE).alias("type"), basket.alias("basket"),
+                                  part.alias("part"), parts.alias("parts"))).alias("message")
+
+    with_lines = grouped.select("customer_id", message(F.col("basket"), F.col("_f_part") + 1, F.col("_f_parts")))
     empty_list = F.array().cast(grouped.schema["basket"].dataType)
     empty = (touched.join(sizes, "customer_id", "left_anti")
-             .select("customer_id", F.to_json(F.struct(F.lit(MESSAGE_TYPE).alias("type"),
-                                                       empty_list.alias("basket"))).alias("message")))
+             .select("customer_id", message(empty_list, F.lit(1), F.lit(1))))
     return with_lines.unionByName(empty)
 
 

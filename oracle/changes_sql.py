@@ -117,7 +117,7 @@ def _votes(kind):
 
 
 SUBMISSIONS = """
-SELECT seq * 100 + row_number() OVER (PARTITION BY seq ORDER BY customer_id NULLS FIRST, product_id NULLS FIRST,
+SELECT seq * (SELECT greatest(max(n), 100) FROM (SELECT count(*) AS n FROM review_submissions GROUP BY seq) c) + row_number() OVER (PARTITION BY seq ORDER BY customer_id NULLS FIRST, product_id NULLS FIRST,
          rating NULLS FIRST, review NULLS FIRST, created_on NULLS FIRST) - 1 AS seq,
        customer_id, product_id, rating, review, created_on
 FROM review_submissions
@@ -194,21 +194,21 @@ SQL: dict[str, str] = {}
 # ---- brands and types
 _BRAND_NEW = "SELECT p_partkey AS seq, trim(concat('  Brand#', CAST(p_size AS VARCHAR), ' ')) AS name FROM part"
 SQL["brand_create"] = w1(_BRAND_NEW, "brands", ["name"], [], "seq, name",
-                         "CAST((SELECT coalesce(max(id), 0) FROM brands) + seq AS INTEGER)")
-_BRAND_REN = ("SELECT p_partkey AS seq, CAST(p_partkey % 30 AS INTEGER) AS id, "
+                         "CAST((SELECT coalesce(max(id), 0) FROM brands) + seq AS BIGINT)")
+_BRAND_REN = ("SELECT p_partkey AS seq, CAST(p_partkey % 30 AS BIGINT) AS id, "
               "trim(concat('Brand#', CAST(p_size AS VARCHAR))) AS name FROM part")
 SQL["brand_rename"] = w2(_BRAND_REN, "brands", ["id"], ["name"], [], "seq, id, name")
 SQL["brand_rename_table"] = w2_table(_BRAND_REN, "brands", ["id"], ["name"], [], ["name"], ["id", "name"])
-SQL["brand_delete"] = w3("SELECT p_partkey AS seq, CAST(p_size AS INTEGER) AS id FROM part", "brands", ["id"],
+SQL["brand_delete"] = w3("SELECT p_partkey AS seq, CAST(p_size AS BIGINT) AS id FROM part", "brands", ["id"],
                          "seq, id")
 SQL["product_type_create"] = w1(
     "SELECT p_partkey AS seq, trim(concat(' ', upper(split_part(p_name, ' ', 2)))) AS type FROM part",
     "product_types", ["type"], [], "seq, type",
-    "CAST((SELECT coalesce(max(id), 0) FROM product_types) + seq AS INTEGER)")
+    "CAST((SELECT coalesce(max(id), 0) FROM product_types) + seq AS BIGINT)")
 SQL["product_type_rename"] = w2(
-    "SELECT p_partkey AS seq, CAST(p_partkey % 8 AS INTEGER) AS id, upper(split_part(p_name, ' ', 1)) AS type "
+    "SELECT p_partkey AS seq, CAST(p_partkey % 8 AS BIGINT) AS id, upper(split_part(p_name, ' ', 1)) AS type "
     "FROM part", "product_types", ["id"], ["type"], [], "seq, id, type")
-SQL["product_type_delete"] = w3("SELECT p_partkey AS seq, CAST(p_partkey % 9 AS INTEGER) AS id FROM part",
+SQL["product_type_delete"] = w3("SELECT p_partkey AS seq, CAST(p_partkey % 9 AS BIGINT) AS id FROM part",
                                 "product_types", ["id"], "seq, id")
 
 # ---- base products
@@ -220,21 +220,21 @@ SELECT s_suppkey + 1 AS seq,
             THEN 'FOREIGN_KEY_VIOLATION' ELSE 'OK' END AS outcome
 FROM supplier s
 """
-SQL["base_product_delete"] = w3("SELECT p_partkey AS seq, CAST(p_partkey % 200 AS INTEGER) AS id FROM part",
+SQL["base_product_delete"] = w3("SELECT p_partkey AS seq, CAST(p_partkey % 200 AS BIGINT) AS id FROM part",
                                 "base_products", ["id"], "seq, id")
-_BRAND_SET = ("SELECT p_partkey AS seq, CAST(p_partkey % 160 AS INTEGER) AS id, "
-              "CAST(CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size END AS INTEGER) AS brand_id FROM part")
+_BRAND_SET = ("SELECT p_partkey AS seq, CAST(p_partkey % 160 AS BIGINT) AS id, "
+              "CAST(CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size END AS BIGINT) AS brand_id FROM part")
 SQL["base_product_set_brand"] = w2(_BRAND_SET, "base_products", ["id"], None, [("brand_id", "brands", "id")],
                                    "seq, id, brand_id")
 SQL["base_product_set_brand_table"] = w2_table(_BRAND_SET, "base_products", ["id"], None,
                                                [("brand_id", "brands", "id")], ["brand_id"],
                                                ["id", "description", "brand_id"])
 SQL["base_product_description"] = w2(
-    "SELECT p_partkey AS seq, CAST(p_partkey % 170 AS INTEGER) AS id, trim(concat(p_type, ' ', p_name)) AS description "
+    "SELECT p_partkey AS seq, CAST(p_partkey % 170 AS BIGINT) AS id, trim(concat(p_type, ' ', p_name)) AS description "
     "FROM part", "base_products", ["id"], None, [], "seq, id, description")
 SQL["unassign_types"] = w3(
-    "SELECT p_partkey AS seq, CAST(p_partkey % 150 + 1 AS INTEGER) AS product_id, "
-    "CAST(p_size % 7 + 1 AS INTEGER) AS type_id FROM part",
+    "SELECT p_partkey AS seq, CAST(p_partkey % 150 + 1 AS BIGINT) AS product_id, "
+    "CAST(p_size % 7 + 1 AS BIGINT) AS type_id FROM part",
     "assigned_product_type", ["product_id", "type_id"], "seq, product_id, type_id", missing_ok=True)
 
 # ---- products, prices, order status
@@ -256,7 +256,7 @@ SELECT product_id, date_active_from, price_cents FROM product_prices pp
 WHERE EXISTS (SELECT 1 FROM products p WHERE p.id = pp.product_id)
 """
 SQL["order_status_update"] = w2(
-    "SELECT o_orderkey AS seq, o_orderkey + 1 AS id, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS status_id "
+    "SELECT o_orderkey AS seq, o_orderkey + 1 AS id, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS status_id "
     "FROM orders", "shop_orders", ["id"], None, [("status_id", "order_statuses", "id")], "seq, id, status_id")
 
 # ---- basket
@@ -445,7 +445,7 @@ touched AS (SELECT DISTINCT customer_id FROM po WHERE NOT opening AND op IN ('ad
 lists AS (SELECT customer_id, list_sort(list({{'productId': product_id, 'quantity': quantity}})) AS basket
           FROM basket GROUP BY customer_id)
 SELECT t.customer_id,
-       CAST(to_json({{'type': 'basketUpdate', 'basket': coalesce(l.basket, [])}}) AS VARCHAR) AS message
+       CAST(to_json({{'type': 'basketUpdate', 'basket': coalesce(l.basket, []), 'part': 1, 'parts': 1}}) AS VARCHAR) AS message
 FROM touched t LEFT JOIN lists l ON l.customer_id = t.customer_id
 """
 
@@ -454,8 +454,8 @@ FROM touched t LEFT JOIN lists l ON l.customer_id = t.customer_id
 SQL["assign_types"] = """
 WITH RECURSIVE
 g AS (SELECT row_number() OVER (ORDER BY p_partkey) AS rn, p_partkey AS seq,
-             CAST(p_partkey % 150 + 1 AS INTEGER) AS pid,
-             [CAST(p_size % 7 + 1 AS INTEGER), CAST((p_size + 3) % 7 + 1 AS INTEGER)] AS tids
+             CAST(p_partkey % 150 + 1 AS BIGINT) AS pid,
+             [CAST(p_size % 7 + 1 AS BIGINT), CAST((p_size + 3) % 7 + 1 AS BIGINT)] AS tids
       FROM part),
 rws AS (SELECT g.rn, g.seq, r.i AS pos, g.pid, g.tids[r.i + 1] AS tid FROM g, range(2) r(i)),
 rowsf AS (SELECT rws.*, CAST(pid AS VARCHAR) || ':' || CAST(tid AS VARCHAR) AS k,

@@ -88,7 +88,7 @@ SELECT st.request_id, st.customer_id, st.status, CASE WHEN st.status = 'OK' THEN
 FROM st LEFT JOIN paid ON paid.request_id = st.request_id
 """
 SQL["checkout_orders"] = f"""WITH {CHECKOUT}
-SELECT new_id AS id, customer_id, CAST(NULL AS INTEGER) AS status_id, shipping_address_id, price_paid_cents,
+SELECT new_id AS id, customer_id, CAST(NULL AS BIGINT) AS status_id, shipping_address_id, price_paid_cents,
        {NOW} AS placed_on
 FROM paid
 """
@@ -122,6 +122,6 @@ left_basket AS (SELECT b.customer_id, b.product_id, b.quantity FROM products_in_
 lists AS (SELECT customer_id, list_sort(list({{'productId': product_id, 'quantity': quantity}})) AS basket
           FROM left_basket GROUP BY customer_id)
 SELECT r.customer_id,
-       CAST(to_json({{'type': 'basketUpdate', 'basket': coalesce(l.basket, [])}}) AS VARCHAR) AS message
+       CAST(to_json({{'type': 'basketUpdate', 'basket': coalesce(l.basket, []), 'part': 1, 'parts': 1}}) AS VARCHAR) AS message
 FROM (SELECT DISTINCT customer_id FROM req) r LEFT JOIN lists l ON l.customer_id = r.customer_id
 """

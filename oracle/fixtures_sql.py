@@ -10,13 +10,13 @@ import re
 
 FIXTURE_SQL: dict[str, str] = {
     "brands": (
-        'SELECT DISTINCT cast(substr(p_brand,7) as int) AS id, p_brand AS name FROM part'
+        'SELECT DISTINCT cast(substr(p_brand,7) as bigint) AS id, p_brand AS name FROM part'
     ),
     "product_types": (
-        'SELECT cast(row_number() OVER (ORDER BY p_type) as int) AS id, p_type AS type FROM (SELECT DISTINCT p_type FROM part) t'
+        'SELECT cast(row_number() OVER (ORDER BY p_type) as bigint) AS id, p_type AS type FROM (SELECT DISTINCT p_type FROM part) t'
     ),
     "base_products": (
-        "SELECT cast(row_number() OVER (ORDER BY p_brand, p_type) as int) AS id, concat(p_brand,' ',lower(p_type)) AS description, CASE WHEN p_type='PROMO' THEN NULL ELSE cast(substr(p_brand,7) as int) END AS brand_id, p_brand, p_type FROM (SELECT DISTINCT p_brand, p_type FROM part) t"
+        "SELECT cast(row_number() OVER (ORDER BY p_brand, p_type) as bigint) AS id, concat(p_brand,' ',lower(p_type)) AS description, CASE WHEN p_type='PROMO' THEN NULL ELSE cast(substr(p_brand,7) as bigint) END AS brand_id, p_brand, p_type FROM (SELECT DISTINCT p_brand, p_type FROM part) t"
     ),
     "assigned_product_type": (
         'SELECT b.id AS product_id, t.id AS type_id FROM base_products b JOIN product_types t ON t.type=b.p_type UNION ALL SELECT b.id, t.id % 6 + 1 FROM base_products b JOIN product_types t ON t.type=b.p_type WHERE b.id % 2 = 0'
@@ -43,16 +43,16 @@ FIXTURE_SQL: dict[str, str] = {
         "SELECT c_custkey AS id, CASE WHEN c_custkey % 17 = 0 THEN lower(c_name) ELSE concat(lower(replace(c_name,'#','.')),'@example.com') END AS email FROM customer UNION ALL SELECT 1000000+s_suppkey, concat(lower(replace(s_name,'#','.')),'@staff.example.com') FROM supplier"
     ),
     "shipping_countries": (
-        'SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_regionkey <> 4'
+        'SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation WHERE n_regionkey <> 4'
     ),
     "shipping_addresses": (
-        "SELECT c_custkey*10 AS id, c_custkey AS customer_id, concat('A',c_custkey % 100) AS area_code, c_name AS first_address_line, cast(NULL as varchar(9)) AS second_address_line, c_mktsegment AS state, c_nationkey AS country_id FROM customer WHERE c_custkey % 13 <> 0 UNION ALL SELECT c_custkey*10+1, c_custkey, concat('B',c_custkey % 100), c_name, 'Flat 2', c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 3 = 0"
+        "SELECT c_custkey*10 AS id, c_custkey AS customer_id, concat('A',c_custkey % 100) AS area_code, c_name AS first_address_line, cast(NULL as varchar(9)) AS second_address_line, c_mktsegment AS state, CAST(c_nationkey AS BIGINT) AS country_id FROM customer WHERE c_custkey % 13 <> 0 UNION ALL SELECT c_custkey*10+1, c_custkey, concat('B',c_custkey % 100), c_name, 'Flat 2', c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 3 = 0"
     ),
     "default_shipping_address": (
         'SELECT customer_id, max(id) AS shipping_address_id FROM shipping_addresses WHERE customer_id % 2 = 0 GROUP BY customer_id'
     ),
     "order_statuses": (
-        'SELECT cast(row_number() OVER (ORDER BY o_orderstatus) as int) AS id, o_orderstatus AS status FROM (SELECT DISTINCT o_orderstatus FROM orders) t'
+        'SELECT cast(row_number() OVER (ORDER BY o_orderstatus) as bigint) AS id, o_orderstatus AS status FROM (SELECT DISTINCT o_orderstatus FROM orders) t'
     ),
     "shop_orders": (
         'SELECT o.o_orderkey AS id, o.o_custkey AS customer_id, CASE WHEN o.o_orderkey % 50 = 0 THEN NULL ELSE s.id END AS status_id, o.o_custkey*10 AS shipping_address_id, cast(round(o.o_totalprice*100) as bigint) AS price_paid_cents, o.o_orderdate AS placed_on FROM orders o JOIN order_statuses s ON s.status=o.o_orderstatus'
@@ -100,7 +100,7 @@ FIXTURE_SQL: dict[str, str] = {
         "SELECT page_id AS id, page_id % 20 AS product_id, concat('image-',page_id, CASE page_id % 4 WHEN 0 THEN '.png' WHEN 1 THEN '.jpeg' WHEN 2 THEN '.jpg' ELSE '.gif' END) AS source, CASE WHEN page_id % 6 = 0 THEN NULL ELSE page_id*7 % 10 END AS sort_position FROM pages"
     ),
     "filter_categories": (
-        'SELECT cast(row_number() OVER (ORDER BY c_mktsegment) as int) AS id, c_mktsegment AS name FROM (SELECT DISTINCT c_mktsegment FROM customer) t'
+        'SELECT cast(row_number() OVER (ORDER BY c_mktsegment) as bigint) AS id, c_mktsegment AS name FROM (SELECT DISTINCT c_mktsegment FROM customer) t'
     ),
 }
 

@@ -295,3 +295,14 @@ def test_update_rows_dense_chains(spark, seed):
     want, final = model_update(table, {1}, batch)
     assert {r.seq: r.outcome for r in res.outcomes.collect()} == want
     assert {r.id: (r.name, r.ref) for r in res.table.collect()} == final
+
+
+def test_generated_ids_beyond_32_bits(spark):
+    from marketlane.operators import admin
+    from marketlane.sources.tables import ShopTables
+
+    t = ShopTables(spark, "/root/testdata/sf0.001")
+    top = t.brands.agg({"id": "max"}).first()[0]
+    res = admin.create_brands(t, _df(spark, [(3_000_000_000, "Far")], "seq bigint, name string"))
+    assert [(r.id, r.outcome) for r in res.outcomes.collect()] == [(top + 3_000_000_000, "OK")]
+    assert res.table.where("name = 'Far'").first().id == top + 3_000_000_000

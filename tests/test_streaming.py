@@ -77,8 +77,9 @@ def test_feed_messages_are_paged_for_huge_baskets(spark):
     one = [m for c, m in msgs if c == 1]
     assert len(one) == 3 and {m["parts"] for m in one} == {3}
     assert sorted(i["productId"] for m in one for i in m["basket"]) == list(range(25))
-    assert [m for c, m in msgs if c == 2] == [{"type": "basketUpdate", "basket": [{"productId": 5, "quantity": 3}]}]
-    assert [m for c, m in msgs if c == 3] == [{"type": "basketUpdate", "basket": []}]
+    assert [m for c, m in msgs if c == 2] == [
+        {"type": "basketUpdate", "basket": [{"productId": 5, "quantity": 3}], "part": 1, "parts": 1}]
+    assert [m for c, m in msgs if c == 3] == [{"type": "basketUpdate", "basket": [], "part": 1, "parts": 1}]
 
 
 def test_s2_resumes_from_a_stable_base(spark, split_events, tmp_path):
