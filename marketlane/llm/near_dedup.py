@@ -12,12 +12,18 @@ found without writing out the pairs of a bucket:
 
 1. every member of a bucket with the bucket's hub (its smallest key);
 2. where a bucket still holds several components, a few members of each with each other;
-3. where it still does, the members outside its largest component with all others.
+3. where it still does, the members outside its largest component with all others,
+   but for the pairs that step 2 has compared.
+
+Steps 2 and 3 deal a bucket's members into blocks and let two blocks meet in a
+group, each pair of blocks that has something to compare in one of its own. A group
+holds about ``SPLIT_BYTES`` of shingles at most, however many texts a bucket has.
 
 A link needs the Jaccard similarity of the sets of shingles (as 32-bit hashes) to
 reach the threshold. Step 1 drops candidates whose registers agree too rarely and
-compares the others pair by pair; steps 2 and 3 count common shingles by an
-inverted list inside the group and write out one link per member and component.
+compares the others pair by pair; steps 2 and 3 find candidates by an inverted list
+of each member's rarest shingles inside the group, compare these exactly, and write
+out one link per member and component.
 After step 3 every two texts that share a bucket are in one component or were
 compared. Classes are the connected components of the links.
 """
@@ -41,7 +47,9 @@ REGISTERS = BANDS * BAND_ROWS
 # Registers agree with a standard deviation of 0.045 at 0.8; four of these below.
 LEAST_AGREEMENT = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 MEMBERS_OF_COMPONENT = 8        # tried in step 2
-SPLIT_BYTES = 8_000_000         # shingles of the largest component of a bucket that one group holds in step 3
+SPLIT_BYTES = 8_000_000         # shingles that one group of steps 2 and 3 holds
+MAIN, OTHER, OTHER_TRIED, MAIN_TRIED = range(4)     # kinds of blocks: in the largest component or not, compared in step 2 or not
+MEETINGS = [(MAIN, OTHER), (MAIN, OTHER_TRIED), (OTHER, OTHER), (OTHER, OTHER_TRIED), (OTHER, MAIN_TRIED)]
 BROADCAST_KEYS = 500_000        # 16-byte keys: up to 8 MB are broadcast, more are joined by a shuffle
 SLICE = 2_000_000
 
@@ -133,31 +141,78 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(table: pa.Table) -> pa.Table:
-    """Of one group of bucket members, a link from each member outside the largest
-    component to every other component that has a similar member."""
-    keys, main = table.column("key").to_pylist(), table.column("is_main").to_pylist()
-    label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    sets = [np.unique(np.frombuffer(x, np.uint32)) for x in table.column("shingles").to_pylist()]
-    size = np.array([len(x) for x in sets])
-    bounds = np.append(0, np.cumsum(size))
-    shingles, term = np.unique(np.concatenate(sets), return_inverse=True)
-    holders = np.repeat(np.arange(len(sets)), size)[np.argsort(term, kind="stable")]
-    n = np.bincount(term, minlength=len(shingles))
-    first = np.cumsum(n) - n
+    """Of one meeting of two blocks (or of a block with itself), a link from each
+    member of the left one to every other component that has a similar member in
+    the right one. Similar sets share one of the rarest shingles of each."""
+    side = table.column("side").to_numpy()
+    left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)      # 0: both
     a, b = [], []
-    for i in range(len(keys)):
-        if not main[i]:
-            own = term[bounds[i]:bounds[i + 1]]
-            both = np.bincount(holders[ranges(first[own], n[own])], minlength=len(sets))
-            similar = np.flatnonzero((both >= SIMILARITY * (size[i] + size - both)) & (label != label[i]))
-            for j in similar[np.unique(label[similar], return_index=True)[1]]:
-                a.append(min(keys[i], keys[j]))
-                b.append(max(keys[i], keys[j]))
-    del table, sets, shingles, term, holders
+    if len(left) and len(right):
+        keys = table.column("key").to_pylist()
+        label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        sets = [np.unique(np.frombuffer(x, np.uint32)) for x in table.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        bounds = np.append(0, np.cumsum(size))
+        shingles, term = np.unique(np.concatenate(sets), return_inverse=True)
+        rank = np.empty(len(shingles), np.int64)
+        rank[np.argsort(np.bincount(term, minlength=len(shingles)), kind="stable")] = np.arange(len(shingles))
+        term = rank[term]
+        term = term[np.lexsort((term, np.repeat(np.arange(len(sets)), size)))]          # of each set, the rarest first
+        prefix = size - np.ceil(SIMILARITY * size).astype(np.int64) + 1
+        filed = term[ranges(bounds[right], prefix[right])]
+        holders = np.repeat(right, prefix[right])[np.argsort(filed, kind="stable")]
+        n = np.bincount(filed, minlength=len(shingles))
+        first = np.cumsum(n) - n
+        own = np.zeros(len(shingles), np.int8)
+        for i in left:
+            rare = term[bounds[i]:bounds[i] + prefix[i]]
+            met = np.zeros(len(sets), bool)
+            met[holders[ranges(first[rare], n[rare])]] = True
+            met &= (label != label[i]) & (np.minimum(size, size[i]) >= SIMILARITY * np.maximum(size, size[i]))
+            if side[i] == 0:
+                met[:i + 1] = False
+            js = np.flatnonzero(met)
+            if len(js):
+                own[term[bounds[i]:bounds[i + 1]]] = 1
+                both = np.add.reduceat(own[term[ranges(bounds[js], size[js])]], np.cumsum(size[js]) - size[js], dtype=np.int64)
+                own[term[bounds[i]:bounds[i + 1]]] = 0
+                similar = js[both >= SIMILARITY * (size[i] + size[js] - both)]
+                for j in similar[np.unique(label[similar], return_index=True)[1]]:
+                    a.append(min(keys[i], keys[j]))
+                    b.append(max(keys[i], keys[j]))
+    del table
     release()
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
+def _meetings(members: DataFrame) -> DataFrame:
+    """(bucket, key, label, blocks, side) from (bucket, key, label, kind, size): a row
+    for each meeting of ``MEETINGS`` that a member's block takes part in. ``side`` is -1
+    in the left block, 1 in the right one, 0 where a block meets itself."""
+    counts = members.groupBy("bucket").agg(*[F.ceil(F.sum(F.when(F.col("kind") == k, F.col("size")).otherwise(0)) / (SPLIT_BYTES // 4)).cast("int").alias(f"n{k}") for k in range(4)])
+    own_count = F.element_at(F.array(*[F.col(f"n{k}") for k in range(4)]), F.col("kind") + 1)
+    placed = members.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), own_count).cast("int"))
+    others = lambda k: F.when(F.col(f"n{k}") > 0, F.sequence(F.lit(0), F.col(f"n{k}") - 1)).otherwise(F.array().cast("array<int>"))
+
+    def meeting(x: int, y: int, i: Column, j: Column, side: Column) -> Column:
+        return F.struct(F.array(F.lit(x), i, F.lit(y), j).alias("blocks"), side.cast("int").alias("side"))
+
+    own = F.col("block")
+    none = F.array().cast("array<struct<blocks:array<int>,side:int>>")
+    all_of = []
+    for k in range(4):
+        parts = []
+        for x, y in MEETINGS:
+            if x == y == k:
+                parts.append(F.transform(others(k), lambda j: meeting(k, k, F.least(own, j), F.greatest(own, j), F.signum(own - j))))
+            elif x == k:
+                parts.append(F.transform(others(y), lambda j: meeting(x, y, own, j, F.lit(-1))))
+            elif y == k:
+                parts.append(F.transform(others(x), lambda j: meeting(x, y, j, own, F.lit(1))))
+        all_of.append(F.when(F.col("kind") == k, F.concat(*parts)))
+    return placed.select("bucket", "key", "label", F.explode(F.coalesce(*all_of, none)).alias("m")).select("bucket", "key", "label", "m.blocks", "m.side")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(key, label): the smallest key of each linked key's connected component.
 
@@ -208,7 +263,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     met = stage(members.select("key").distinct(), "dedup-met")
     texts = keyed.select("key", "text").join(_small(met), "key", "left_semi").dropDuplicates(["key"])
-    sets = stage(texts.mapInArrow(_shingle_sets, "key binary, shingles binary"), "dedup-sets")
+    sets = stage(texts.mapInArrow(_shingle_sets, "key binary, shingles binary").withColumn("size", F.octet_length("shingles").cast("long")), "dedup-sets")
 
     def with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
         first = pairs.join(table.select(F.col("key").alias("a"), F.col(value).alias("of_a")), "a")
@@ -225,8 +280,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return with_label.join(open_, "bucket", "left_semi")
 
     def linked(chosen: DataFrame) -> DataFrame:
-        """Links between the components of each (bucket, split)."""
-        return chosen.join(sets, "key").groupBy("bucket", "split").applyInArrow(_linked, "a binary, b binary").distinct()
+        """Links between the components of each bucket, of the pairs that are to meet."""
+        met = _meetings(chosen).join(sets.select("key", "shingles"), "key")
+        return met.groupBy("bucket", "blocks").applyInArrow(_linked, "a binary, b binary").distinct()
+
+    def with_size(chosen: DataFrame) -> DataFrame:
+        return chosen.join(sets.select("key", "size"), "key")
 
     # 1. Hubs.
     star = members.where("key != hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
@@ -235,17 +294,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # 2. A few members of each component.
     some = labelled(links).groupBy("bucket", "label").agg(*[F.min(F.struct(F.xxhash64("key", F.lit(j)).alias("order"), "key")).alias(f"m{j}") for j in range(MEMBERS_OF_COMPONENT)])
     some = some.select("bucket", "label", F.explode(F.array_distinct(F.array(*[F.col(f"m{j}.key") for j in range(MEMBERS_OF_COMPONENT)]))).alias("key"))
-    links = stage(links.union(linked(some.select("bucket", "label", "key", F.lit(False).alias("is_main"), F.lit(0).alias("split")))), "dedup-linked")
-
-    # 3. Everything left. The largest component of a bucket is dealt out in splits,
-    # the members outside it go to each split.
-    left = stage(labelled(links), "dedup-left")
-    volume = left.join(sets.select("key", F.octet_length("shingles").cast("long").alias("size")), "key").groupBy("bucket", "label").agg(F.sum("size").alias("size"))
-    sizes = volume.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("main"))
-    sizes = sizes.select("bucket", F.col("main.label").alias("main"), F.greatest(F.ceil(F.col("main.size") / SPLIT_BYTES), F.lit(1)).cast("int").alias("splits"))
-    dealt = left.join(sizes, "bucket").withColumn("is_main", F.col("label") == F.col("main"))
-    split = F.when(F.col("is_main"), F.array(F.pmod(F.xxhash64("key"), F.col("splits")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("splits") - 1))
-    links = stage(links.union(linked(dealt.select("bucket", "label", "key", "is_main", F.explode(split).alias("split")))), "dedup-linked")
+    some = stage(with_size(some).withColumn("kind", F.lit(OTHER)), "dedup-some")
+    links = stage(links.union(linked(some)), "dedup-linked")
+
+    # 3. Everything left, but for pairs within the largest component and pairs of step 2.
+    left = stage(with_size(labelled(links)).join(some.select("bucket", "key", F.lit(True).alias("tried")), ["bucket", "key"], "left"), "dedup-left")
+    volume = left.groupBy("bucket", "label").agg(F.sum("size").alias("volume"))
+    main = volume.groupBy("bucket").agg(F.max(F.struct("volume", "label")).alias("main")).select("bucket", F.col("main.label").alias("main"))
+    kind = F.when(F.col("label") == F.col("main"), F.when(F.col("tried"), MAIN_TRIED).otherwise(MAIN)).otherwise(F.when(F.col("tried"), OTHER_TRIED).otherwise(OTHER))
+    links = stage(links.union(linked(left.join(main, "bucket").select("bucket", "key", "label", kind.alias("kind"), "size"))), "dedup-linked")
 
     labels = components(links)
     placed = signed.select("doc_id", "key").join(labels, "key", "left").select("doc_id", "key", F.coalesce("label", "key").alias("label"))

@@ -162,6 +162,43 @@ def test_near_duplicates(session, edge_docs, no_docs):
     assert near_dedup.near_duplicates(no_docs).count() == 0 and near_dedup.keep_one(no_docs).count() == 0
 
 
+def test_near_duplicates_groups_are_bounded(session, monkeypatch):
+    rng = random.Random(11)
+    base = [f"t{i}" for i in range(200)]
+    rows = []
+    for i in range(240):                      # mostly some 0.7 to 0.8 alike, so that most members of a bucket stay unlinked
+        copy = list(base)
+        for _ in range(rng.choice([2, 3, 4, 4, 5])):
+            copy[rng.randrange(200)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    docs = session.createDataFrame(rows, "doc_id long, text string")
+    want = docs.collect()
+    limit, linked = 40_000, near_dedup._linked        # a fifth of the family's shingles
+
+    def bounded(group):
+        assert sum(map(len, group.column("shingles").to_pylist())) <= limit
+        return linked(group)
+
+    monkeypatch.setattr(near_dedup, "SPLIT_BYTES", limit)
+    monkeypatch.setattr(near_dedup, "_linked", bounded)
+    monkeypatch.setattr(near_dedup, "MEMBERS_OF_COMPONENT", 2)
+    got = near_dedup.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == sorted((r.doc_id, c) for r, c in zip(want, brute_classes(want)))
+
+
+def test_meetings_cover_all_pairs(session, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SPLIT_BYTES", 400)
+    rows = [(1, bytes([i]), bytes([i % 9]), i % 4, 10 + i % 7) for i in range(120)]
+    met = collections.defaultdict(list)
+    for r in near_dedup._meetings(session.createDataFrame(rows, "bucket long, key binary, label binary, kind int, size long")).collect():
+        met[tuple(r.blocks)].append((r.key[0], r.side))
+    pairs = collections.Counter()
+    for group in met.values():
+        pairs.update((min(x, y), max(x, y)) for x, s in group for y, t in group if (s == t == 0 and x < y) or (s == -1 and t == 1))
+    want = {(x, y) for x in range(120) for y in range(x + 1, 120) if tuple(sorted((x % 4, y % 4))) in near_dedup.MEETINGS}
+    assert set(pairs) == want and set(pairs.values()) == {1}
+
+
 def test_pipeline_against_brute_force(session):
     docs = session.read.parquet(f"{SF}/documents.parquet").cache()
     weights = queries.toxicity_weights(docs, SF)
