@@ -153,8 +153,8 @@ def mark_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_i
     and the different items having an occurring window, as strings, sorted.
 
     Null and wordless texts have no words and no hits; items without words have no
-    windows, repeated items count once, items of null id are left out. An empty item
-    table marks nothing.
+    windows, repeated items count once. Windows of items of null id have spans like any
+    other, only ``item_ids`` cannot name them. An empty item table marks nothing.
     """
     marked = pick(docs, doc_id=doc_id, text=text).select(
         "doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("starts"),
@@ -175,7 +175,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, t
 def _filed_blocks(docs: DataFrame, items: DataFrame, window: int, text: str, item_id: str, item_text: str, block_bytes: int) -> Iterator[Broadcast]:
     """Broadcast windows of one block of items after the other, filed by their
     rarest shingle over all of ``docs``."""
-    chosen = pick(items, item_id=item_id, text=item_text).where(F.col("item_id").isNotNull()).withColumn("item_id", F.col("item_id").cast("string"))
+    chosen = pick(items, item_id=item_id, text=item_text).withColumn("item_id", F.col("item_id").cast("string"))
     blocks = _blocks(chosen, block_bytes)
     for b in blocks:
         rows = chosen.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(len(blocks))) == b).orderBy("item_id").collect()   # about block_bytes
@@ -241,7 +241,7 @@ def _mark_block(marked: DataFrame, filed: Broadcast) -> DataFrame:
                     a, e = a[order], np.maximum.accumulate(e[order])
                     new = np.append(True, a[1:] > e[:-1])
                     starts[i], ends[i] = a[new], e[np.append(np.flatnonzero(new)[1:] - 1, len(e) - 1)]
-                    items[i] = sorted({f.windows.item_ids[j] for x in np.unique(window[own]) for j in f.windows.items[x]} | set(items[i]))
+                    items[i] = sorted({f.windows.item_ids[j] for x in np.unique(window[own]) for j in f.windows.items[x] if f.windows.item_ids[j] is not None} | set(items[i]))
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), rows.column(1), pa.array(n_words), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
                     names=["doc_id", "text", "n_words", "starts", "ends", "item_ids"])

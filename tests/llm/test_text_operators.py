@@ -92,6 +92,14 @@ def test_decontamination(session, edge_docs, no_docs):
     assert decontamination.mark_passages(edge_docs, items.limit(0)).where("size(spans) > 0").count() == 0
 
 
+def test_decontamination_by_items_without_id(session):
+    docs = session.createDataFrame([(1, "x Alpha beta gamma y"), (2, "theta alpha beta gamma"), (3, "alpha beta")], "doc_id long, text string")
+    items = session.createDataFrame([(None, "alpha, beta gamma"), (7, "theta")], "item_id long, text string")
+    got = {r.doc_id: ([tuple(s) for s in r.spans], r.item_ids) for r in decontamination.mark_passages(docs, items).collect()}
+    assert got == {1: ([(1, 4)], []), 2: ([(0, 4)], ["7"]), 3: ([], [])}
+    assert [r.doc_id for r in decontamination.drop_contaminated(docs, items).collect()] == [3]
+
+
 def test_decontamination_query(session):
     got = queries.queries()["op5_decontamination"](session, SF).collect()
     assert len(got) == session.read.parquet(f"{SF}/documents.parquet").count()
