@@ -147,7 +147,8 @@ def _texts(blob: bytes) -> pa.Array:
 def _add_up(table: pa.Table, hot: np.ndarray) -> Iterator[tuple]:
     """One bucket: totals of its bigrams and contexts, and each chunk's answer.
 
-    Yields (chunk, bucket, answer) and, with a null chunk, the statistics row."""
+    Yields (chunk, bucket, answer) rows and, with a null chunk, the statistics row:
+    its six numbers, and its part of the hot contexts with count and followers."""
     chunk_of, contexts, followers, seconds, counts, parts = [], [], [], [], [], []
     for i, blob in enumerate(table.column("bigrams").to_pylist()):
         h, n, w, c = _spread(blob, "<u8", "<u4", "<u8", "<u4")
@@ -176,7 +177,7 @@ def _add_up(table: pa.Table, hot: np.ndarray) -> Iterator[tuple]:
     plain = ~is_hot & (ctx != START)
     stats = [np.count_nonzero(total == 1), np.count_nonzero(total == 2), ctx_count[plain].sum(), np.count_nonzero(ctx_count[plain] > 0),
              np.count_nonzero(ctx_count[plain] == 1), np.count_nonzero(ctx_count[plain] == 2)]
-    yield None, None, _squeeze(np.array(stats, "<i8"), ctx[is_hot].astype("<u8"), ctx_count[is_hot].astype("<i8"), ctx_types[is_hot].astype("<i8"))
+    yield None, None, None, np.array(stats, np.int64), ctx[is_hot].view(np.int64), ctx_count[is_hot], ctx_types[is_hot]
     i = j = 0
     chunks, bucket = table.column("chunk").to_pylist(), table.column("bucket")[0].as_py()
     for k, (n_ctx, n_big) in zip(chunk_of, parts):
@@ -185,7 +186,7 @@ def _add_up(table: pa.Table, hot: np.ndarray) -> Iterator[tuple]:
         differs = np.flatnonzero(((ctx_count[at] != own_count[i:i + n_ctx]) | (ctx_types[at] != own_types[i:i + n_ctx])) & ~is_hot[at])
         if len(big) or len(differs):
             yield chunks[k], bucket, _squeeze(np.diff(big, prepend=0).astype("<u4"), total[group[j + big]].astype("<i8"), np.diff(differs, prepend=0).astype("<u4"),
-                                              ctx_count[at[differs]].astype("<i8"), ctx_types[at[differs]].astype("<i8"))
+                                              ctx_count[at[differs]].astype("<i8"), ctx_types[at[differs]].astype("<i8")), None, None, None, None
         i, j = i + n_ctx, j + n_big
 
 
@@ -207,14 +208,16 @@ def _discount(once: int, twice: int) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice) if once else 0.5))
 
 
-def _totals(rows: list[bytes], hot: np.ndarray) -> Totals:
-    stats = np.zeros(6, np.int64)
+def _totals(answers: DataFrame, hot: np.ndarray) -> Totals:
+    """From the statistics rows, added up before the driver gets them: six numbers,
+    and a row per hot context."""
+    of_all = answers.where("chunk is null")
+    stats = np.array([x or 0 for x in of_all.agg(*[F.sum(F.col("stats")[i]) for i in range(6)]).first()], np.int64)
+    parts = of_all.select(F.explode(F.arrays_zip("hot", "hot_count", "hot_types")).alias("x")).groupBy("x.hot")
+    rows = parts.agg(F.sum("x.hot_count").alias("n"), F.sum("x.hot_types").alias("types")).collect()
     count, kinds = np.zeros(len(hot), np.int64), np.zeros(len(hot), np.int64)
-    for blob in rows:
-        s, h, c, t = _spread(blob, "<i8", "<u8", "<i8", "<i8")
-        stats += s
-        np.add.at(count, np.searchsorted(hot, h), c)
-        np.add.at(kinds, np.searchsorted(hot, h), t)
+    at = np.searchsorted(hot, np.array([r["hot"] for r in rows], np.int64).view(np.uint64))
+    count[at], kinds[at] = [r["n"] for r in rows], [r["types"] for r in rows]
     words_ = hot != START
     ends = int(count[hot == START].sum())
     once, twice, n, v, w_once, w_twice = (int(x) for x in stats)
@@ -283,14 +286,14 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
                 release()
 
     def add_up(table: pa.Table) -> pa.Table:
-        chunk, bucket, answer = zip(*_add_up(table, shared_hot.value))
+        chunk, bucket, answer, *of_all = zip(*_add_up(table, shared_hot.value))
         release()
-        return pa.table({"chunk": pa.array(chunk, pa.int64()), "bucket": pa.array(bucket, pa.int32()), "answer": pa.array(answer, pa.binary())})
+        numbers = {name: pa.array(x, pa.list_(pa.int64())) for name, x in zip(("stats", "hot", "hot_count", "hot_types"), of_all)}
+        return pa.table({"chunk": pa.array(chunk, pa.int64()), "bucket": pa.array(bucket, pa.int32()), "answer": pa.array(answer, pa.binary()), **numbers})
 
     sent = chunks.select("chunk", "train", "texts").mapInArrow(count, "bucket int, chunk long, bigrams binary").repartition(buckets, "bucket")
-    answers = stage(sent.groupBy("bucket").applyInArrow(add_up, "chunk long, bucket int, answer binary"), "lm-answers")
-    # One row of a few numbers per bucket, and the hot contexts it has part of.
-    totals = _totals([bytes(r["answer"]) for r in answers.where("chunk is null").select("answer").collect()], hot)
+    answers = stage(sent.groupBy("bucket").applyInArrow(add_up, "chunk long, bucket int, answer binary, stats array<long>, hot array<long>, hot_count array<long>, hot_types array<long>"), "lm-answers")
+    totals = _totals(answers, hot)
     shared = docs.sparkSession.sparkContext.broadcast(totals)
 
     id_type = chunks.schema["doc_ids"].dataType.elementType
@@ -327,4 +330,4 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
                                                             ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]).empty_table()
 
     texts = chunks.select("chunk", "doc_ids", "train", "texts").groupBy("chunk")
-    return texts.cogroup(answers.where("chunk is not null").groupBy("chunk")).applyInArrow(apply, schema)
+    return texts.cogroup(answers.where("chunk is not null").select("chunk", "bucket", "answer").groupBy("chunk")).applyInArrow(apply, schema)

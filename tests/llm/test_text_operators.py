@@ -65,6 +65,24 @@ def test_language_model(session, edge_docs, no_docs, monkeypatch):
     assert lm_scoring.score(edge_docs, F.lit(False)).agg(F.max("score"), F.min("score")).first() == (0.0, 0.0)
 
 
+def test_language_model_driver_rows(session, monkeypatch):
+    docs = session.read.parquet(f"{SF}/documents.parquet").limit(40)
+    want = sorted(tuple(r) for r in lm_scoring.score(docs, F.lit(True)).collect())
+    collected, collect = [], type(docs).collect
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(type(docs), "collect", lambda df: collected.append(collect(df)) or collected[-1])
+    scored = lm_scoring.score(docs, F.lit(True))
+    monkeypatch.setattr(type(docs), "collect", collect)
+    buckets = lm_scoring.partitions_for(docs, "text", 4000)
+    assert buckets > 8 and len(collected) >= 2
+    for rows in collected:                    # a number or two per hot context, whatever the buckets they are spread over
+        assert len(rows) <= 2 * lm_scoring.HOT_SHARE * buckets + 1
+        assert all(isinstance(x, int) for r in rows for x in r)
+    for a, b in zip(sorted(tuple(r) for r in scored.collect()), want, strict=True):
+        assert a == pytest.approx(b, rel=1e-9)
+
+
 def test_decontamination(session, edge_docs, no_docs):
     items = session.createDataFrame([(1, "beta GAMMA, delta"), (2, "theta"), (3, None), (4, "!!"), (10, " ".join(f"w{i % 97}x{i % 89}" for i in range(40, 75))),
                                      (10, "one"), (None, "one"), (11, "not in any of them")], "item_id long, text string")
