@@ -1,6 +1,6 @@
 """Near-duplicate classes by ProbMinHash, banding and verification.
 
-A text's 5-word shingles, weighted by 1 + ln(count), get exponential arrival times
+A text's 5-word shingles, weighted from 1 (once) to below 1 1/8 (often), get exponential arrival times
 of a Poisson process each; every arrival falls on a random register, which keeps
 its first one. Shingles stop as soon as their next arrival comes after the last
 register's (early termination). Two registers agree with the probability Jaccard
@@ -44,8 +44,13 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 20, 4
 REGISTERS = BANDS * BAND_ROWS
-# Registers agree with a standard deviation of 0.045 at 0.8; four of these below.
-LEAST_AGREEMENT = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
+# Sets alike at 0.8 have a weighted similarity of LOWEST at least, whatever one text
+# repeats and the other does not: no term of its sums grows by more than MOST_WEIGHT.
+# Such a pair misses all bands with a probability below (1 - LOWEST^4)^20 = 0.3 %.
+MOST_WEIGHT = 1.125
+LOWEST = SIMILARITY / MOST_WEIGHT
+# Registers agree with a standard deviation of 0.051 at LOWEST; four of these below.
+LEAST_AGREEMENT = LOWEST - 4 * (LOWEST * (1 - LOWEST) / REGISTERS) ** 0.5
 MEMBERS_OF_COMPONENT = 8        # tried in step 2
 SPLIT_BYTES = 8_000_000         # shingles that one group of steps 2 and 3 holds
 MAIN, OTHER, OTHER_TRIED, MAIN_TRIED = range(4)     # kinds of blocks: in the largest component or not, compared in step 2 or not
@@ -92,7 +97,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in slices(batch, "text", SLICE):
             row, element, n = row_elements(data, offsets)
-            signed = signatures(row, element, 1 + np.log(n), len(rows))
+            signed = signatures(row, element, MOST_WEIGHT - (MOST_WEIGHT - 1) / n, len(rows))
             has_words = np.bincount(row, minlength=len(rows)) > 0
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(has_words), binaries(signed.reshape(-1), np.arange(len(rows) + 1) * REGISTERS)],
                                              names=["doc_id", "key", "has_words", "signature"])

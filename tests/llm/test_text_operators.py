@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +189,23 @@ def test_near_duplicates(session, edge_docs, no_docs):
     assert near_dedup.near_duplicates(no_docs).count() == 0 and near_dedup.keep_one(no_docs).count() == 0
 
 
+def test_one_sided_repetition_meets_in_a_band():
+    rng = random.Random(17)
+    texts = []
+    for _ in range(80):                       # set similarity of 0.8 to 0.85; a line of one text 100 times in it
+        first = [f"t{rng.randrange(10**6)}" for _ in range(240)]
+        second = list(first)
+        for at in (50, 120, 190):
+            second[at] = f"e{rng.randrange(10**6)}"
+        texts.append((" ".join(first[:200] + first[200:] * 100), " ".join(second[:240] + [f"x{rng.randrange(10**6)}" for _ in range(12)])))
+    assert all(len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b)) for a, b in texts)
+    batch = pa.record_batch({"doc_id": list(range(160)), "key": [b""] * 160, "text": [t for pair in texts for t in pair]})
+    signed = [s.as_py() for out in near_dedup._sign(iter([batch])) for s in out.column(3)]
+    width = near_dedup.BAND_ROWS * 4
+    bands = [{(i, s[i:i + width]) for i in range(0, len(s), width)} for s in signed]
+    assert all(bands[i] & bands[i + 1] for i in range(0, 160, 2))
+
+
 def test_near_duplicates_groups_are_bounded(session, monkeypatch):
     rng = random.Random(11)
     base = [f"t{i}" for i in range(200)]
