@@ -11,12 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import fingerprints, lm_scoring, toxicity
 from .decontamination import mark_passages
+from .hard_negatives import hard_negatives
 from .near_dedup import near_duplicates
+from .oracles import ORACLES
 from .packing import best_fit_pack, token_pieces
 from .sharding import TABLE_SIZE, place
 from .staging import new_folder
 from .token_counts import token_counts
 from .token_store import read_store, write_store
+from .top_k_search import top_k
 from .url_filter import Rule, judge_urls
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -143,6 +146,17 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                          fingerprints.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
 
 
+def op12_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 vectors of highest inner product for every fiftieth vector."""
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, for each of its positives."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_lm_scoring": op2_lm_scoring,
@@ -154,6 +168,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_sharding": op9_sharding,
     "op10_fingerprints": op10_fingerprints,
+    "op12_top_k_search": op12_top_k_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 
@@ -162,4 +178,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
