@@ -69,7 +69,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, label: Column, positiv
         names = spark.createDataFrame(pa.table({"anchor": np.arange(len(held.id)), "anchor_id": held.id}))
         return suffix_merge(goals, slots, k, percent).join(F.broadcast(names), "anchor").select(*empty.columns)
 
-    return in_blocks(query_blocks(anchors, anchors.count(), width), answer, "hard-negatives", empty)
+    return in_blocks(query_blocks(anchors, anchors.count() * max(width, 1)), answer, "hard-negatives", empty)
 
 
 class Anchors:

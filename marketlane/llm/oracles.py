@@ -10,6 +10,28 @@ WHOLE = """
 
 ORACLES: dict[str, str] = {}
 
+TERMS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+         r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+
+ORACLES["op11_lexical_search"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, {TERMS} AS terms FROM documents),
+held AS (SELECT d, doc_id, terms, len(terms) AS n FROM docs WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM held),
+counts AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(terms) AS term FROM held) x GROUP BY d, term),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+            FROM counts, totals GROUP BY term),
+wanted AS (SELECT i, item_id, term, count(*) AS times
+           FROM (SELECT i, item_id, unnest(terms) AS term
+                 FROM (SELECT row_number() OVER () AS i, item_id, {TERMS} AS terms FROM benchmark) y) x GROUP BY i, item_id, term),
+scored AS (SELECT i, item_id, h.d, doc_id,
+                  sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // t.terms))))::BIGINT AS score
+           FROM wanted JOIN weights USING (term) JOIN counts USING (term) JOIN held h ON h.d = counts.d, totals t
+           GROUP BY i, item_id, h.d, doc_id),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank
+           FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 ORACLES["op12_top_k_search"] = f"""
 WITH whole AS ({WHOLE.format(label="")}),
 scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score

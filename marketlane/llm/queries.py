@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import fingerprints, lm_scoring, toxicity
+from . import fingerprints, lexical_search, lm_scoring, toxicity
 from .decontamination import mark_passages
 from .hard_negatives import hard_negatives
 from .near_dedup import near_duplicates
@@ -146,6 +146,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                          fingerprints.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 documents that match every benchmark item best."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 vectors of highest inner product for every fiftieth vector."""
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -168,6 +173,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_sharding": op9_sharding,
     "op10_fingerprints": op10_fingerprints,
+    "op11_lexical_search": op11_lexical_search,
     "op12_top_k_search": op12_top_k_search,
     "op13_hard_negatives": op13_hard_negatives,
 }

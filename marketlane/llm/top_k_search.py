@@ -68,7 +68,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
         names = spark.createDataFrame(pa.table({"query": np.arange(len(held.id)), "query_id": held.id}))
         return found.join(F.broadcast(names), "query").select("query_id", "rank", F.col("id").alias("vec_id"), F.col("score").cast("long").alias("score"))
 
-    return in_blocks(query_blocks(queries, queries.count(), width), answer, "top-k", empty)
+    return in_blocks(query_blocks(queries, queries.count() * max(width, 1)), answer, "top-k", empty)
 
 
 def build_index(rows: DataFrame) -> tuple[DataFrame, int, int]:

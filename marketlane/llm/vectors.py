@@ -60,10 +60,11 @@ def shape(vectors: DataFrame) -> tuple[int, int]:
     return count, width or 0
 
 
-def query_blocks(queries: DataFrame, count: int, width: int) -> Iterator[pa.Table]:
-    """The queries in blocks of about ``BLOCK_VALUES`` components. More than one
-    block is dealt out by a fixed random number and written, one folder each."""
-    blocks = -(-count * max(width, 1) // BLOCK_VALUES)
+def query_blocks(queries: DataFrame, values: int, limit: int = BLOCK_VALUES) -> Iterator[pa.Table]:
+    """The queries, which hold ``values`` values in all, in blocks of about ``limit``
+    values. More than one block is dealt out by a fixed random number and written,
+    one folder each."""
+    blocks = -(-values // limit)
     if blocks <= 1:
         yield queries.toArrow()
         return
