@@ -43,30 +43,33 @@ qs AS (SELECT 'and:' || n AS query_id, n AS query FROM names
 
 # The grammar: a query is cut at each ``or`` between blanks; each part is an AND of
 # terms. (The stand-in phrases hold no ``or``.)
-EVALUATE = rf"""
+def evaluate(asked: str) -> str:
+    """``res``: each of the terms' queries, that ``asked`` lets through, with every product."""
+    return rf"""
 br AS (SELECT query_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS branch
-       FROM (SELECT query_id, string_split_regex(trim(query), '\s+or\s+') AS parts FROM qs) x),
+       FROM (SELECT DISTINCT query_id, string_split_regex(trim(query), '\s+or\s+') AS parts FROM qs) x),
 tm AS (SELECT query_id, branch, unnest(regexp_extract_all(part, '(-?"[^"]*"|\S+)', 1)) AS term FROM br),
 terms AS (SELECT query_id, branch, starts_with(term, '-') AS negated,
                  list_filter(string_split_regex(lower(term), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS words FROM tm),
+open_queries AS (SELECT DISTINCT query_id FROM (SELECT query_id FROM terms GROUP BY query_id, branch HAVING bool_and(negated)) x),
 p AS (SELECT c.*, {TOKENS} AS t FROM catalog c),
 ev AS (SELECT terms.query_id, terms.branch, p.id,
               bool_and(contains(' ' || array_to_string(p.t, ' ') || ' ', ' ' || array_to_string(words, ' ') || ' ') <> negated) AS ok,
               bool_and(negated) AS is_open,
               sum(CASE WHEN negated THEN 0 ELSE len(list_filter(p.t, lambda x: list_contains(words, x))) END) AS occ
-       FROM terms, p GROUP BY terms.query_id, terms.branch, p.id),
+       FROM (SELECT * FROM terms WHERE {asked}) terms, p GROUP BY terms.query_id, terms.branch, p.id),
 res AS (SELECT query_id, id, bool_or(ok) AS ok, bool_or(is_open) AS is_open, sum(occ) AS occ FROM ev GROUP BY query_id, id)
 """
 
 SQL["product_search_batch"] = f"""
-WITH {CATALOG}, {QUERIES}, {EVALUATE}
+WITH {CATALOG}, {QUERIES}, {evaluate("true")}
 SELECT r.query_id, p.id, p.name, p.available, p.brand_name, p.brand_id, p.stock_count, p.price, p.description,
        CASE WHEN len(p.t) > 0 THEN CAST(r.occ AS DOUBLE) / len(p.t) END AS rank
 FROM res r JOIN p ON p.id = r.id
 WHERE r.ok AND NOT r.is_open
 """
 SQL["product_search_unanchored"] = f"""
-WITH {CATALOG}, {QUERIES}, {EVALUATE}
+WITH {CATALOG}, {QUERIES}, {evaluate("query_id IN (SELECT query_id FROM open_queries)")}
 SELECT qs.query_id, qs.query, true AS complement, x.id AS excluded_id
 FROM qs LEFT JOIN (SELECT query_id, id FROM res WHERE NOT ok) x ON x.query_id = qs.query_id
 WHERE qs.query_id IN (SELECT query_id FROM res WHERE is_open)
