@@ -41,13 +41,14 @@ def sketch(text: Column, width: int = WIDTH, scale: int = SCALE) -> Column:
     """Sorted distinct shingle hashes below 1/``scale`` of the range. A text whose
     hashes all lie above keeps its smallest one, so only a text without words has an
     empty sketch. A null text is empty."""
-    below = F.lit(-(1 << 63) + (1 << 64) // scale)
+    return _bind(shingles(F.coalesce(text, F.lit("")), width), lambda h: _kept(h, scale))
 
-    def of(h: Column) -> Column:
-        return _bind(F.filter(h, lambda x: x < below), lambda kept: F.when(
-            (F.size(kept) == 0) & (F.size(h) > 0), F.array(F.array_min(h))).otherwise(F.array_sort(F.array_distinct(kept))))
 
-    return _bind(shingles(F.coalesce(text, F.lit("")), width), of)
+def _kept(hashes: Column, scale: int) -> Column:
+    """Those of ``hashes`` below 1/``scale`` of the range, else the smallest one."""
+    below = F.lit(-(1 << 63) + (1 << 64) // scale)
+    return _bind(F.filter(hashes, lambda x: x < below), lambda kept: F.when(
+        (F.size(kept) == 0) & (F.size(hashes) > 0), F.array(F.array_min(hashes))).otherwise(F.array_sort(F.array_distinct(kept))))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -57,9 +58,11 @@ def likeness(a: Column, b: Column) -> Column:
             .otherwise(F.size(F.array_intersect(a, b)) / smaller))
 
 
-def merge(a: Column, b: Column) -> Column:
-    """Sketch of two documents together."""
-    return F.array_sort(F.array_union(a, b))
+def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Sketch of two documents together: equal to that of their shingles' union. The
+    one hash that a text keeps above the fraction goes as soon as the other has one
+    below, and of two such hashes the smaller one stays."""
+    return _bind(F.array_union(a, b), lambda h: _kept(h, scale))
 
 
 def as_text(s: Column) -> Column:

@@ -319,22 +319,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs``, all its columns, with one row of each near-duplicate class: that of
-    the smallest ``doc_id`` (of equal rows of it, any one)."""
-    classes = stage(near_duplicates(docs, doc_id, text).withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "dedup-classes")
-    gone = ~(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key")))
+    the smallest ``doc_id`` (of equal rows of it, any one).
+
+    Null texts are empty, so rows of one id, one with a null and one with an empty text,
+    are equal rows. A null id is an id of its own, larger than any other. An empty table stays empty."""
+    classes = stage(near_duplicates(docs, doc_id, text), "dedup-classes")
+    kept_text = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key"))
     # Rows to leave out, by id and text; the ids that occur twice need a closer look.
-    drop = stage(classes.where(gone).select("id", "key").distinct(), "dedup-gone")
-    twice = stage(classes.where(~gone).groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "key"), "dedup-twice")
-    own_id, own_key = _id_text(docs[doc_id]), F.unhex(F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")))
-    on = lambda t: (own_id == t["id"]) & (own_key == t["key"])
+    drop = stage(classes.where(~kept_text).select("doc_id", "key").distinct(), "dedup-gone")
+    twice = stage(classes.where(kept_text).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "key"), "dedup-twice")
+    own_id, own_key = docs[doc_id], F.unhex(F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")))
+    on = lambda t: own_id.eqNullSafe(t["doc_id"]) & (own_key == t["key"])
     kept = docs.join(_small(drop), on(drop), "left_anti")
     if twice.isEmpty():
         return kept
-    # A repeated row: first of its equals, wherever they are read.
+    # A repeated row: one of its equals, whole.
     once = kept.join(twice, on(twice), "left_anti")
-    again = kept.join(twice, on(twice), "left_semi").groupBy(doc_id, text).agg(*[F.first(c).alias(c) for c in docs.columns if c not in (doc_id, text)])
-    return once.unionByName(again.select(docs.columns))
-
-
-def _id_text(doc_id: Column) -> Column:
-    return F.coalesce(doc_id.cast("string"), F.lit(""))
+    again = kept.join(twice, on(twice), "left_semi").groupBy(own_id, own_key).agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("row"))
+    return once.unionByName(again.select("row.*"))

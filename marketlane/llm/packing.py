@@ -129,15 +129,14 @@ def best_fit_pack(items: DataFrame, capacity: int, length: str = "length") -> Da
     Items of equal length are interchangeable and placed by input order. An
     item of null or no length needs no place and gets nulls; one longer than
     the capacity is an error (``token_pieces`` cuts long documents first). The
-    columns of ``items`` are kept; it may not have the columns ``sequence_id``,
-    ``offset``, ``part_no`` and ``part_rank`` itself.
+    columns of ``items`` are kept, but for any ``sequence_id`` and ``offset``, which
+    the result replaces. An empty table gives an empty one.
     """
     spark = items.sparkSession
-    renamed = items.withColumnRenamed(length, "length") if length != "length" else items
-    kept = [f.name for f in renamed.schema.fields]
-    if clash := {"sequence_id", "offset", "part_no", "part_rank"} & set(kept):
-        raise ValueError(f"items already have columns {sorted(clash)}")
-    renamed = renamed.withColumn("length", F.col("length").cast("long"))
+    names = [c for c in items.columns if c not in ("sequence_id", "offset")]
+    # Under own names here, so that no name of the caller's clashes with one below.
+    renamed = items.select(items[length].cast("long").alias("length"), *[items[c].alias(f"c{i}") for i, c in enumerate(names) if c != length])
+    kept = renamed.columns
     schema = T.StructType([*renamed.schema.fields, T.StructField("part_no", T.IntegerType()), T.StructField("part_rank", T.LongType())])
     # Items are written before they are numbered: one Python worker at a time per task.
     numbered = stage(stage(renamed, "pack-input").mapInArrow(_numbered, schema), "pack-items")
@@ -172,7 +171,7 @@ def best_fit_pack(items: DataFrame, capacity: int, length: str = "length") -> Da
 
     out = T.StructType([*renamed.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     placed = ranked.mapInArrow(place, out)
-    return placed.withColumnRenamed("length", length) if length != "length" else placed
+    return placed.select(*[F.col("length" if c == length else f"c{i}").alias(c) for i, c in enumerate(names)], "sequence_id", "offset")
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -13,6 +13,8 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .staging import fresh
+
 TABLE_SIZE = 65_537
 
 
@@ -58,5 +60,6 @@ def place(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE) ->
 def write_shards(df: DataFrame, path: str, key: str, shards: list[str], size: int = TABLE_SIZE, files_per_shard: int = 1) -> None:
     """``df`` written to ``path/shard=<name>/``. Rows of a shard are dealt over
     ``files_per_shard`` tasks by position, so a key with many rows does not end up in one task."""
-    placed = place(df, key, shards, size).withColumn("_file", F.pmod(F.monotonically_increasing_id(), F.lit(files_per_shard)))
-    placed.repartition("shard", "_file").drop("_file").write.partitionBy("shard").parquet(path)
+    file = fresh("file", df.columns)
+    placed = place(df, key, shards, size).withColumn(file, F.pmod(F.monotonically_increasing_id(), F.lit(files_per_shard)))
+    placed.repartition("shard", file).drop(file).write.partitionBy("shard").parquet(path)

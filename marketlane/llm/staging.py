@@ -17,6 +17,14 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[name].alias(own) for own, name in columns.items()])
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores added until it clashes with none of ``taken`` (case aside)."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def new_folder(spark, name: str) -> str:
     """A path of its own in the shared folder the cluster names."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

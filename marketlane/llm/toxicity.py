@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from .arrays import release, slices, span_hashes, splitmix, words
-from .staging import pick, stage
+from .staging import fresh, pick, stage
 
 BITS = 20
 MAX_TRAINING_ROWS = 12_000      # labelled documents used for training, the first by a hash of their id
@@ -143,9 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable, doc_id: str =
 
 def score_column(docs: DataFrame, weights: Weights, text: str = "text", column: str = "score") -> DataFrame:
     """``docs`` with its score DOUBLE in [0, 1] as ``column``, for every row, empty and
-    null texts included. All columns of ``docs`` are kept; it may not have ``column`` itself."""
-    if column in docs.columns:
-        raise ValueError(f"documents already have a column {column}")
+    null texts included. All columns of ``docs`` are kept, but for one named ``column``, which the result replaces."""
+    docs = docs.select([c for c in docs.columns if c != column])
     shared = docs.sparkSession.sparkContext.broadcast(weights)       # at most 2^BITS pairs
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +163,5 @@ def score_column(docs: DataFrame, weights: Weights, text: str = "text", column:
 
 def drop_toxic(docs: DataFrame, weights: Weights, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with its columns, that score below ``threshold``."""
-    column = "toxicity"
-    while column in docs.columns:
-        column += "_"
+    column = fresh("toxicity", docs.columns)
     return score_column(docs, weights, text, column).where(F.col(column) < threshold).drop(column)
