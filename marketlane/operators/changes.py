@@ -10,9 +10,8 @@ statements against a keyed table give.
 Everything is joins and aggregates over all keys at once. Per-key decisions
 ("first claimant wins", "last change wins") are ``groupBy`` aggregates joined
 back, not windows, so a key holding a third of the batch is combined map-side
-and its join partition is split by AQE's skew handling. The one ordered per-key
-scan (the exact mode of W2 on unique columns) uses the bucketed running scan
-of ``scan.py``. Existence and FK checks first cut the large table to the keys
+and its join partition is split by AQE's skew handling. The one place where order
+matters across keys (W2 on unique columns) replays blocks of the batch (``unique.py``). Existence and FK checks first cut the large table to the keys
 the batch uses, by a broadcast of those keys where their measured size allows
 it, so a small batch neither shuffles nor deduplicates a large table for them.
 """
@@ -28,6 +27,8 @@ from ..functions.outcomes import CONFLICT, DOES_NOT_EXIST, FOREIGN_KEY_VIOLATION
 from ..functions.text import trim_text
 from ..session import materialize
 from .joins import cut_to_keys
+from .unique import unique_conflicts
+
 
 @dataclass
 class ChangeResult:
@@ -115,61 +116,26 @@ def insert_rows(target: DataFrame, batch: DataFrame, unique: list[str] | None =
 
 
 def update_rows(target: DataFrame, batch: DataFrame, key: list[str], set_cols: list[str],
-                unique: list[str] | None = None, fks: dict | None = None,
-                exact: bool = False, checkpoint: bool = True) -> ChangeResult:
+                unique: list[str] | None = None, fks: dict | None = None) -> ChangeResult:
     """Set ``set_cols`` of the rows matching ``key``; the last OK change wins.
 
     DOES_NOT_EXIST when no row has the key; CONFLICT when the new value of the
-    ``unique`` columns (a subset of ``set_cols``) is taken; then
-    FOREIGN_KEY_VIOLATION when a new FK value has no parent. A NULL in the
-    batch sets NULL (a NULL unique value never conflicts).
-
-    "Taken" for a unique column, two modes:
-
-    * default, batch rule (closed form, one pass): the value must be free in
-      the *opening* table (held by no other key) and the first successful
-      claimant in the batch wins. A chain of renames inside one batch (A takes
-      B's name after B moved on) is a CONFLICT, where one-at-a-time statements
-      would accept it; without such chains both agree.
-    * ``exact=True``: exactly one-at-a-time semantics, chains included, decided
-      in rounds (``_unique_outcomes``). Rounds grow with the longest chain of
-      changes that depend on each other, so this suits sparse batches; a batch
-      where every change waits on the previous one needs one round per change.
+    ``unique`` columns (a subset of ``set_cols``) is held by another row at that
+    moment, as one-at-a-time statements in ``seq`` order would find it: a value that
+    an earlier change of the batch gave up is free, one that it took is not
+    (``unique.py``). Then FOREIGN_KEY_VIOLATION when a new FK value has no parent. A
+    NULL in the batch sets NULL (a NULL unique value never conflicts).
     """
-    if unique and exact:
-        b = _key_present(batch, target, key, "_w_exists")
-        b = _with_fk_checks(b, fks)
-        exists = F.col("_w_exists").isNotNull()
-        b = _unique_outcomes(target, b, key, unique, checkpoint)
-        outcome = (F.when(~exists, F.lit(DOES_NOT_EXIST))
-                   .when(F.col("_w_conflict"), F.lit(CONFLICT))
-                   .when(~F.col("_w_fk_ok"), F.lit(FOREIGN_KEY_VIOLATION))
-                   .otherwise(F.lit(OK)))
-        judged = b.withColumn("outcome", outcome)
-        return _apply_updates(target, batch, judged, key, set_cols)
     b = _key_present(batch, target, key, "_w_exists")
     b = _with_fk_checks(b, fks)
     exists = F.col("_w_exists").isNotNull()
-    kstruct = F.struct(*[F.col(k) for k in key])
+    conflict = F.lit(False)
     if unique:
-        wanted = b.select(*unique).where(_all([F.col(u).isNotNull() for u in unique])).distinct()
-        holders = (target.join(wanted, unique, "left_semi")
-                   .groupBy(*unique)
-                   .agg(F.min(F.struct(*[F.col(k) for k in key])).alias("_w_kmin"),
-                        F.max(F.struct(*[F.col(k) for k in key])).alias("_w_kmax")))
-        b = b.join(holders, unique, "left")
-        taken = F.col("_w_kmin").isNotNull() & ((F.col("_w_kmin") != kstruct) | (F.col("_w_kmax") != kstruct))
-        b = b.withColumn("_w_taken", taken)
-        # Claimants are changes that would succeed on their own; the earliest
-        # one holds the value for the rest of the batch.
-        claim = (b.where(exists & ~F.col("_w_taken") & F.col("_w_fk_ok")
-                         & _all([F.col(u).isNotNull() for u in unique]))
-                 .groupBy(*unique).agg(F.min_by(kstruct, F.col("seq")).alias("_w_claim"),
-                                       F.min("seq").alias("_w_claim_seq")))
-        b = b.join(claim, unique, "left")
-        conflict = F.col("_w_taken") | ((F.col("_w_claim_seq") < F.col("seq")) & (F.col("_w_claim") != kstruct))
-    else:
-        conflict = F.lit(False)
+        b = materialize(b)
+        changes = b.where(exists).select("seq", _tag(key).alias("k"), _tag(unique).alias("v"), F.col("_w_fk_ok").alias("fk_ok"))
+        opening = target.select(_tag(unique).alias("v"), _tag(key).alias("k")).where("v is not null")
+        b = b.join(unique_conflicts(opening, changes), "seq", "left")
+        conflict = F.coalesce("conflict", F.lit(False))
     outcome = (F.when(~exists, F.lit(DOES_NOT_EXIST))
                .when(conflict, F.lit(CONFLICT))
                .when(~F.col("_w_fk_ok"), F.lit(FOREIGN_KEY_VIOLATION))
@@ -191,110 +157,12 @@ def _apply_updates(target: DataFrame, batch: DataFrame, judged: DataFrame, key:
     return ChangeResult(new_table, judged.select(*batch.columns, "outcome"))
 
 
-
-
 def _tag(cols: list[str]) -> Column:
     """One string per key or value (NULL when a part is NULL), so multi-column
     keys and values join as a single column."""
     return F.when(_all([F.col(c).isNotNull() for c in cols]), F.to_json(F.struct(*[F.col(c) for c in cols])))
 
 
-def _next_success(succ: DataFrame) -> DataFrame:
-    """Per successful change (k, seq): the seq of the key's next successful
-    change (NULL when none), by a skew-safe running scan in reverse order."""
-    from .scan import Running, running
-
-    rev = succ.select("_w_k", "seq", (-F.col("seq")).alias("_w_neg"))
-    return (running(rev, ["_w_k"], "_w_neg", [Running("_w_next", "last", "seq", exclusive=True)])
-            .select("_w_k", "seq", "_w_next"))
-
-
-def _holder_released(rows: DataFrame, succ: DataFrame, nxt: DataFrame, t_col: str = "seq") -> DataFrame:
-    """Given ``_w_a`` (holder key), ``_w_ta`` (its acquisition seq, NULL for
-    the opening holder), decide whether the holder let go of the value
-    before ``t_col`` (its next successful change comes earlier)."""
-    first = succ.groupBy(F.col("_w_k").alias("_w_a")).agg(F.min("seq").alias("_w_first"))
-    n = nxt.select(F.col("_w_k").alias("_w_a"), F.col("seq").alias("_w_ta"), "_w_next")
-    r = rows.join(n, ["_w_a", "_w_ta"], "left").join(first, "_w_a", "left")
-    released = F.when(F.col("_w_ta").isNull(), F.col("_w_first") < F.col(t_col)) \
-                .otherwise(F.col("_w_next") < F.col(t_col))
-    return r.withColumn("_w_released", F.coalesce(released, F.lit(False))).drop("_w_first", "_w_next")
-
-
-def _unique_outcomes(target: DataFrame, b: DataFrame, key: list[str], unique: list[str],
-                     checkpoint: bool) -> DataFrame:
-    """Adds ``_w_conflict`` to the judged batch (one-at-a-time semantics).
-
-    A change of key k to unique value v at seq t succeeds iff v is free or
-    held by k at t. The holder of v at t is the last successful acquirer of v
-    before t (else the opening holder) unless that key changed again before t.
-    Rounds settle the changes whose holder is known: the earliest undecided
-    change to v, when the holder key has no earlier undecided change. The
-    earliest undecided change overall always qualifies. All steps are
-    aggregates and joins on single keys; no pairs of changes are formed.
-    """
-    spark = b.sparkSession
-    rows = b.withColumn("_w_k", _tag(key)).withColumn("_w_v", _tag(unique))
-    exists = F.col("_w_exists").isNotNull()
-    opening = (target.select(_tag(key).alias("_w_h0"), _tag(unique).alias("_w_v"))
-               .where(F.col("_w_v").isNotNull()))
-    succ = rows.where(exists & F.col("_w_fk_ok") & F.col("_w_v").isNull()).select("_w_k", "_w_v", "seq")
-    undecided = rows.where(exists & F.col("_w_fk_ok") & F.col("_w_v").isNotNull()).select("_w_k", "_w_v", "seq")
-    lost = None
-    if checkpoint:
-        succ, undecided = materialize(succ), materialize(undecided)
-
-    # Each round decides at least the earliest undecided change.
-    while not undecided.isEmpty():
-        min_v = undecided.groupBy("_w_v").agg(F.min("seq").alias("_w_mv"))
-        min_k = undecided.groupBy(F.col("_w_k").alias("_w_a")).agg(F.min("seq").alias("_w_mk"))
-        acq = (succ.where(F.col("_w_v").isNotNull()).groupBy("_w_v")
-               .agg(F.max_by(F.struct(F.col("seq").alias("ta"), F.col("_w_k").alias("a")), F.col("seq")).alias("_w_acq")))
-        front = (undecided.join(min_v, "_w_v").where(F.col("seq") == F.col("_w_mv"))
-                 .join(acq, "_w_v", "left").join(opening, "_w_v", "left")
-                 .select("_w_k", "_w_v", "seq",
-                         F.coalesce(F.col("_w_acq.a"), F.col("_w_h0")).alias("_w_a"),
-                         F.col("_w_acq.ta").alias("_w_ta")))
-        front = front.join(min_k, "_w_a", "left")
-        own = F.col("_w_a") == F.col("_w_k")
-        ready = front.where(F.col("_w_a").isNull() | own | F.coalesce(F.col("_w_mk") >= F.col("seq"), F.lit(True)))
-        nxt = _next_success(succ)
-        ready = _holder_released(ready, succ, nxt)
-        ok = F.col("_w_a").isNull() | F.col("_w_released") | (F.col("_w_a") == F.col("_w_k"))
-        ready = ready.withColumn("_w_ok", ok)
-        if checkpoint:
-            ready = materialize(ready)
-        succ = succ.unionByName(ready.where("_w_ok").select("_w_k", "_w_v", "seq"))
-        newly_lost = ready.where(~F.col("_w_ok")).select("seq")
-        lost = newly_lost if lost is None else lost.unionByName(newly_lost)
-        undecided = undecided.join(ready.select("seq"), "seq", "left_anti")
-        if checkpoint:
-            succ, undecided, lost = materialize(succ), materialize(undecided), materialize(lost)
-
-    if lost is None:
-        lost = spark.createDataFrame([], "seq bigint")
-    conflict_cand = lost.select("seq", F.lit(True).alias("_w_lost"))
-    # Changes that fail their FK: CONFLICT when v was held by another key at t.
-    probes = rows.where(exists & ~F.col("_w_fk_ok") & F.col("_w_v").isNotNull()).select("_w_k", "_w_v", "seq")
-    events = succ.where(F.col("_w_v").isNotNull()).select(
-        "_w_v", "seq", F.struct(F.col("seq").alias("ta"), F.col("_w_k").alias("a")).alias("_w_ev"))
-    from .scan import Running, running
-    stream = events.unionByName(probes.select("_w_v", "seq", F.lit(None).cast(events.schema["_w_ev"].dataType)
-                                              .alias("_w_ev")))
-    last_acq = (running(stream, ["_w_v"], "seq", [Running("_w_last", "last", "_w_ev", exclusive=True)])
-                .select("_w_v", "seq", "_w_last"))
-    p = (probes.join(last_acq, ["_w_v", "seq"], "left").join(opening, "_w_v", "left")
-         .select("_w_k", "_w_v", "seq", F.coalesce(F.col("_w_last.a"), F.col("_w_h0")).alias("_w_a"),
-                 F.col("_w_last.ta").alias("_w_ta")))
-    p = _holder_released(p, succ, _next_success(succ))
-    probe_conflict = p.select("seq", (F.col("_w_a").isNotNull() & ~F.col("_w_released")
-                                      & (F.col("_w_a") != F.col("_w_k"))).alias("_w_probe"))
-    out = (b.join(conflict_cand, "seq", "left").join(probe_conflict, "seq", "left")
-           .withColumn("_w_conflict", F.coalesce(F.col("_w_lost"), F.col("_w_probe"), F.lit(False)))
-           .drop("_w_lost", "_w_probe"))
-    return out
-
-
 def delete_rows(target: DataFrame, batch: DataFrame, key: list[str], missing_ok: bool = False) -> ChangeResult:
     """Delete every row matching ``key``. OK for the first change that finds
     rows; DOES_NOT_EXIST when none or already deleted by an earlier change

@@ -48,27 +48,8 @@ SELECT {out_cols}{idc}, outcome FROM o
 """
 
 
-def _w2_core(batch, target, key, unique, fks):
+def _w2_core(batch, target, key, fks):
     ex = f"EXISTS (SELECT 1 FROM {target} t WHERE {_match(key, 't', 'b')})"
-    if unique:
-        unn = " AND ".join(f"b.{u} IS NOT NULL" for u in unique)
-        taken = (f"({unn} AND EXISTS (SELECT 1 FROM {target} t WHERE {_match(unique, 't', 'b')} "
-                 f"AND NOT ({_match(key, 't', 'b')})))")
-        ucols = ", ".join(unique)
-        kcols = ", ".join(f"f.{k} AS claim_{k}" for k in key)
-        join_u = " AND ".join(f"c2.{u} = f.{u}" for u in unique)
-        differs = " OR ".join(f"c2.claim_{k} <> f.{k}" for k in key)
-        return f"""
-WITH b0 AS ({batch}),
-f AS (SELECT b.*, {ex} AS ex, {_fk_ok(fks)} AS fk_ok, {taken} AS taken,
-             ({unn.replace('b.', '')}) AS unn FROM b0 b),
-c AS (SELECT {ucols}, min(seq) AS claim_seq FROM f WHERE ex AND NOT taken AND fk_ok AND unn GROUP BY {ucols}),
-c2 AS (SELECT c.*, {kcols} FROM c JOIN f ON f.seq = c.claim_seq),
-o AS (SELECT f.*, CASE WHEN NOT f.ex THEN 'DOES_NOT_EXIST'
-                       WHEN f.taken OR coalesce(c2.claim_seq < f.seq AND ({differs}), false) THEN 'CONFLICT'
-                       WHEN NOT f.fk_ok THEN 'FOREIGN_KEY_VIOLATION' ELSE 'OK' END AS outcome
-      FROM f LEFT JOIN c2 ON {join_u})
-"""
     return f"""
 WITH b0 AS ({batch}),
 f AS (SELECT b.*, {ex} AS ex, {_fk_ok(fks)} AS fk_ok FROM b0 b),
@@ -77,12 +58,41 @@ o AS (SELECT f.*, CASE WHEN NOT ex THEN 'DOES_NOT_EXIST' WHEN NOT fk_ok THEN 'FO
 """
 
 
-def w2(batch, target, key, unique, fks, out_cols):
-    return _w2_core(batch, target, key, unique, fks) + f"SELECT {out_cols}, outcome FROM o\n"
+def _rename_walk(batch, target, value):
+    """Renames onto a unique column, one statement per step, carrying every row's current value."""
+    return f"""
+WITH RECURSIVE
+b AS (SELECT *, row_number() OVER (ORDER BY seq) AS rn FROM ({batch}) b0),
+walk(rn, ids, held, seq, id, {value}, outcome) AS (
+  SELECT CAST(0 AS BIGINT), (SELECT list(id ORDER BY id) FROM {target}), (SELECT list({value} ORDER BY id) FROM {target}),
+         CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)
+  UNION ALL
+  SELECT b.rn, w.ids, CASE WHEN j.o = 'OK' THEN list_concat(list_append(w.held[1:j.spot - 1], b.{value}), w.held[j.spot + 1:len(w.held)]) ELSE w.held END,
+         b.seq, b.id, b.{value}, j.o
+  FROM walk w JOIN b ON b.rn = w.rn + 1,
+  LATERAL (SELECT spot, CASE WHEN spot = 0 THEN 'DOES_NOT_EXIST' WHEN holder NOT IN (0, spot) THEN 'CONFLICT' ELSE 'OK' END AS o
+           FROM (SELECT coalesce(list_position(w.ids, b.id), 0) AS spot,
+                        CASE WHEN b.{value} IS NULL THEN 0 ELSE coalesce(list_position(w.held, b.{value}), 0) END AS holder) p) j
+)
+"""
+
+
+def rename(batch, target, value):
+    return _rename_walk(batch, target, value) + f"SELECT seq, id, {value}, outcome FROM walk WHERE rn > 0\n"
+
+
+def rename_table(batch, target, value):
+    return _rename_walk(batch, target, value) + f"""
+SELECT unnest(ids) AS id, unnest(held) AS {value} FROM walk WHERE rn = (SELECT max(rn) FROM walk)
+"""
+
+
+def w2(batch, target, key, fks, out_cols):
+    return _w2_core(batch, target, key, fks) + f"SELECT {out_cols}, outcome FROM o\n"
 
 
-def w2_table(batch, target, key, unique, fks, set_cols, table_cols):
-    core = _w2_core(batch, target, key, unique, fks)
+def w2_table(batch, target, key, fks, set_cols, table_cols):
+    core = _w2_core(batch, target, key, fks)
     packed = ", ".join(f"'{c}': {c}" for c in set_cols)
     kc = ", ".join(key)
     sel = ", ".join(f"CASE WHEN l.{key[0]} IS NOT NULL THEN l.s.{c} ELSE t.{c} END AS {c}" if c in set_cols
@@ -197,17 +207,17 @@ SQL["brand_create"] = w1(_BRAND_NEW, "brands", ["name"], [], "seq, name",
                          "CAST((SELECT coalesce(max(id), 0) FROM brands) + seq AS BIGINT)")
 _BRAND_REN = ("SELECT p_partkey AS seq, CAST(p_partkey % 30 AS BIGINT) AS id, "
               "trim(concat('Brand#', CAST(p_size AS VARCHAR))) AS name FROM part")
-SQL["brand_rename"] = w2(_BRAND_REN, "brands", ["id"], ["name"], [], "seq, id, name")
-SQL["brand_rename_table"] = w2_table(_BRAND_REN, "brands", ["id"], ["name"], [], ["name"], ["id", "name"])
+SQL["brand_rename"] = rename(_BRAND_REN, "brands", "name")
+SQL["brand_rename_table"] = rename_table(_BRAND_REN, "brands", "name")
 SQL["brand_delete"] = w3("SELECT p_partkey AS seq, CAST(p_size AS BIGINT) AS id FROM part", "brands", ["id"],
                          "seq, id")
 SQL["product_type_create"] = w1(
     "SELECT p_partkey AS seq, trim(concat(' ', upper(split_part(p_name, ' ', 2)))) AS type FROM part",
     "product_types", ["type"], [], "seq, type",
     "CAST((SELECT coalesce(max(id), 0) FROM product_types) + seq AS BIGINT)")
-SQL["product_type_rename"] = w2(
+SQL["product_type_rename"] = rename(
     "SELECT p_partkey AS seq, CAST(p_partkey % 8 AS BIGINT) AS id, upper(split_part(p_name, ' ', 1)) AS type "
-    "FROM part", "product_types", ["id"], ["type"], [], "seq, id, type")
+    "FROM part", "product_types", "type")
 SQL["product_type_delete"] = w3("SELECT p_partkey AS seq, CAST(p_partkey % 9 AS BIGINT) AS id FROM part",
                                 "product_types", ["id"], "seq, id")
 
@@ -224,14 +234,13 @@ SQL["base_product_delete"] = w3("SELECT p_partkey AS seq, CAST(p_partkey % 200 A
                                 "base_products", ["id"], "seq, id")
 _BRAND_SET = ("SELECT p_partkey AS seq, CAST(p_partkey % 160 AS BIGINT) AS id, "
               "CAST(CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size END AS BIGINT) AS brand_id FROM part")
-SQL["base_product_set_brand"] = w2(_BRAND_SET, "base_products", ["id"], None, [("brand_id", "brands", "id")],
+SQL["base_product_set_brand"] = w2(_BRAND_SET, "base_products", ["id"], [("brand_id", "brands", "id")],
                                    "seq, id, brand_id")
-SQL["base_product_set_brand_table"] = w2_table(_BRAND_SET, "base_products", ["id"], None,
-                                               [("brand_id", "brands", "id")], ["brand_id"],
+SQL["base_product_set_brand_table"] = w2_table(_BRAND_SET, "base_products", ["id"], [("brand_id", "brands", "id")], ["brand_id"],
                                                ["id", "description", "brand_id"])
 SQL["base_product_description"] = w2(
     "SELECT p_partkey AS seq, CAST(p_partkey % 170 AS BIGINT) AS id, trim(concat(p_type, ' ', p_name)) AS description "
-    "FROM part", "base_products", ["id"], None, [], "seq, id, description")
+    "FROM part", "base_products", ["id"], [], "seq, id, description")
 SQL["unassign_types"] = w3(
     "SELECT p_partkey AS seq, CAST(p_partkey % 150 + 1 AS BIGINT) AS product_id, "
     "CAST(p_size % 7 + 1 AS BIGINT) AS type_id FROM part",
@@ -245,11 +254,11 @@ SELECT p_partkey + 1 AS seq,
 FROM part p
 """
 SQL["product_rename"] = w2("SELECT p_partkey AS seq, p_partkey * 3 AS id, trim(upper(p_name)) AS name FROM part",
-                           "products", ["id"], None, [], "seq, id, name")
+                           "products", ["id"], [], "seq, id, name")
 _DESC = ("SELECT p_partkey AS seq, p_partkey % 2500 AS id, "
          "trim(CASE WHEN p_size % 4 = 0 THEN NULL ELSE concat('  New ', p_name) END) AS description FROM part")
-SQL["product_description"] = w2(_DESC, "products", ["id"], None, [], "seq, id, description")
-SQL["product_description_table"] = w2_table(_DESC, "products", ["id"], None, [], ["description"],
+SQL["product_description"] = w2(_DESC, "products", ["id"], [], "seq, id, description")
+SQL["product_description_table"] = w2_table(_DESC, "products", ["id"], [], ["description"],
                                             ["id", "name", "description", "base_product_id", "available"])
 SQL["price_set"] = """
 SELECT product_id, date_active_from, price_cents FROM product_prices pp
@@ -257,7 +266,7 @@ WHERE EXISTS (SELECT 1 FROM products p WHERE p.id = pp.product_id)
 """
 SQL["order_status_update"] = w2(
     "SELECT o_orderkey AS seq, o_orderkey + 1 AS id, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS status_id "
-    "FROM orders", "shop_orders", ["id"], None, [("status_id", "order_statuses", "id")], "seq, id, status_id")
+    "FROM orders", "shop_orders", ["id"], [("status_id", "order_statuses", "id")], "seq, id, status_id")
 
 # ---- basket
 SQL["basket_contents"] = "SELECT customer_id, product_id, quantity FROM products_in_basket"
@@ -335,7 +344,7 @@ _RATING_FKS = [("answer_id", "product_question_answers", "id"), ("customer_id",
 SQL["answer_rating_add"] = w1(_votes("purchase"), "product_question_answers_rating", ["answer_id", "customer_id"],
                               _RATING_FKS, "seq, answer_id, customer_id, helpful")
 SQL["answer_rating_change"] = w2(_votes("signup"), "product_question_answers_rating", ["answer_id", "customer_id"],
-                                 None, [], "seq, answer_id, customer_id, helpful")
+                                 [], "seq, answer_id, customer_id, helpful")
 SQL["answer_rating_remove"] = w3(_votes("error"), "product_question_answers_rating", ["answer_id", "customer_id"],
                                  "seq, answer_id, customer_id")
 
@@ -349,7 +358,7 @@ SQL["question_ask"] = w1(
     "product_questions", None, [("product_id", "products", "id"), ("asked_by", "customer_accounts", "id")],
     "seq, product_id, asked_by", "(SELECT coalesce(max(id), 0) FROM product_questions) + seq")
 SQL["question_edit"] = w2(_conv(2, "user", "conv_id + 1 AS id, text AS question"), "product_questions", ["id"],
-                          None, [], "seq, id")
+                          [], "seq, id")
 SQL["question_delete"] = w3(_conv(1, "assistant", "conv_id * 2 AS id"), "product_questions", ["id"], "seq, id")
 SQL["answer_insert"] = w1(
     _conv(3, "assistant", "conv_id AS question_id, conv_id % 20 AS answered_by, text AS answer"),
@@ -373,7 +382,7 @@ SQL["default_address_set"] = w1(
     "seq, customer_id, shipping_address_id")
 SQL["default_address_change"] = w2(
     "SELECT id AS seq, customer_id, id + 1 AS shipping_address_id FROM shipping_addresses",
-    "default_shipping_address", ["customer_id"], None, [("shipping_address_id", "shipping_addresses", "id")],
+    "default_shipping_address", ["customer_id"], [("shipping_address_id", "shipping_addresses", "id")],
     "seq, customer_id, shipping_address_id")
 SQL["default_address_delete"] = w3("SELECT c_custkey AS seq, c_custkey % 1000 AS customer_id FROM customer",
                                    "default_shipping_address", ["customer_id"], "seq, customer_id")
