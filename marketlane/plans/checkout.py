@@ -37,6 +37,7 @@ from ..functions.money import cents_to_amount
 from ..functions.outcomes import BASKET_INVALID, DISCOUNT_CODE_NOT_EXIST, OK, SHIPPING_ADDRESS_INVALID
 from ..operators import orders as o
 from .. import session
+from ..sources.sinks import Keyed, write_parts
 
 
 @dataclass
@@ -48,6 +49,7 @@ class CheckoutResult:
     stock: DataFrame
     discount_codes: DataFrame
     basket: DataFrame
+    basket_removed: DataFrame  # customer_id, product_id of the basket lines that are gone
 
 
 def _ntz(now) -> "F.Column":
@@ -149,28 +151,24 @@ def bulk_checkout(tables, requests: DataFrame, as_of, now, strict: bool = False,
 
     stock = o.stock_after(tables.product_stock_levels, order_lines)
     codes_after = o.discount_uses_after(tables.discount_codes, code_links)
-    basket = tables.products_in_basket.join(ok.select("customer_id").distinct(), "customer_id", "left_anti")
-    if strict:
-        basket = basket.join(purged_pairs, ["customer_id", "product_id"], "left_anti")
-    else:
-        basket = basket.join(purged, "product_id", "left_anti")
-    basket = basket.select(*tables.products_in_basket.columns)
-    return CheckoutResult(statuses, new_orders, order_lines, code_links, stock, codes_after, basket)
+    opening = tables.products_in_basket
+    ordered, (purged, on) = ok.select("customer_id").distinct(), (purged_pairs, ["customer_id", "product_id"]) if strict else (purged, ["product_id"])
+    basket = opening.join(ordered, "customer_id", "left_anti").join(purged, on, "left_anti").select(*opening.columns)
+    pairs = opening.select("customer_id", "product_id")
+    removed = pairs.join(ordered, "customer_id", "left_semi").unionByName(pairs.join(purged, on, "left_semi"))
+    return CheckoutResult(statuses, new_orders, order_lines, code_links, stock, codes_after, basket, removed)
 
 
 CHECKOUT_OUTPUTS = ("statuses", "orders", "order_lines", "code_links", "stock", "discount_codes", "basket")
 
 
 def write_checkout(result: CheckoutResult, root: str, version: int) -> str:
-    """Write all checkout outputs as one version ``<root>/v=<version>/<output>``
-    and commit it with ``_COMMITTED`` written last (see ``sources.sinks``): a
-    job that dies midway leaves the previous version current, a retry with the
-    same version overwrites its own folders."""
-    from pyspark.sql import functions as F
-
-    base = f"{root.rstrip('/')}/v={int(version)}"
-    for name in CHECKOUT_OUTPUTS:
-        getattr(result, name).write.mode("overwrite").parquet(f"{base}/{name}")
-    spark = result.statuses.sparkSession
-    spark.range(1).select(F.lit(int(version)).alias("version")).write.mode("overwrite").parquet(f"{base}/_COMMITTED")
-    return base
+    """Write all checkout outputs as one committed version (``sources.sinks``). New rows
+    (statuses, orders, lines, code links) are parts of their own; of stock, discount
+    codes and baskets only the buckets are written whose products were ordered, codes
+    used, or basket lines removed. The first version writes these tables whole."""
+    stock = Keyed(result.stock, ["product_id"], result.order_lines.select("product_id"))
+    codes = Keyed(result.discount_codes, ["id"], result.code_links.select(F.col("discount_code_id").alias("id")))
+    basket = Keyed(result.basket, ["customer_id", "product_id"], result.basket_removed)
+    new = {name: getattr(result, name) for name in ("statuses", "orders", "order_lines", "code_links")}
+    return write_parts(root, version, new, {"stock": stock, "discount_codes": codes, "basket": basket})

@@ -269,24 +269,6 @@ def test_answer_scores(spark):
     assert got == [(2, 1), (3, 0), (1, -2)]
 
 
-def test_write_changes_versions(spark, tmp_path):
-    from marketlane.operators.changes import delete_rows
-    from marketlane.sources.sinks import latest_version, read_table, write_changes
-
-    root = str(tmp_path / "brands")
-    assert latest_version(spark, root) is None
-    target = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, name string")
-    batch = spark.createDataFrame([(1, 1), (2, 9)], "seq bigint, id bigint")
-    write_changes(delete_rows(target, batch, ["id"]), root, 1)
-    assert latest_version(spark, root) == 1
-    assert [r.id for r in read_table(spark, root).collect()] == [2]
-    assert {r.seq: r.outcome for r in read_table(spark, root, "outcomes").collect()} == {
-        1: "OK", 2: "DOES_NOT_EXIST"}
-    # A version whose job died before the marker is not visible.
-    (target.write.parquet(f"{root}/v=2/table"))
-    assert latest_version(spark, root) == 1
-
-
 def test_same_style_for_requests_and_last_purchase_for(spark):
     t = _shop(spark, [(1, 1, 1)], [(1, 1)])
     cat = C.product_catalog(t, D(2001, 1, 1))
