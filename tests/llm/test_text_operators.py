@@ -22,30 +22,42 @@ def lower(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
 
-def brute_scores(texts, train):
-    """(n_tokens, n_known, N, base, score) per text: interpolated absolute discounting."""
+def brute_scores(texts, train, order):
+    """(n_tokens, n_known, N, base, score) per text: a plain automaton, walked word by word."""
     tokens = [re.findall(r"[^\x20\x09-\x0D]+", lower(t)) + ["</s>"] for t in texts]
-    uni, big, ctx = collections.Counter(), collections.Counter(), collections.Counter()
-    for w, known in zip(tokens, train):
-        if known:
-            uni.update(w)
-            big.update(zip(["<s>", *w], w))
-            ctx.update(["<s>", *w][:-1])
-    follow = collections.Counter(h for h, _ in big)
+    grams = collections.Counter()
+    for words, known in zip(tokens, train):
+        stream = ("<s>", *words)
+        for i in range(len(stream)) if known else ():
+            grams.update(stream[i - m + 1:i + 1] for m in range(1, order + 1) if i - m + 1 >= 0)
+    uni = {g[0]: n for g, n in grams.items() if len(g) == 1 and g != ("<s>",)}
     n, v = sum(uni.values()), len(uni)
-
-    def discount(c):
-        once, twice = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
-        return min(0.95, max(0.05, once / (once + 2 * twice) if once else 0.5))
-
-    d, du = discount(big), discount(uni)
-    root = lambda w: 1 if not n else (uni[w] - du) / n if w in uni else du * v / n
-    arc = lambda h, w: root(w) if h not in ctx else max(big[h, w] - d, 0) / ctx[h] + d * follow[h] / ctx[h] * root(w)
-    return [(len(w), sum(x in uni for x in w), n, sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w),
-             sum(math.log10(arc(h, x)) for h, x in zip(["<s>", *w], w))) for w in tokens]
-
-
-def test_language_model(session, edge_docs, no_docs, monkeypatch):
+    once, twice = (sum(x == k for x in uni.values()) for k in (1, 2))
+    discount = min(0.95, max(0.05, once / (once + 2 * twice) if once else 0.5))
+
+    def arc(state, word):
+        if not state:
+            return 1 if not n else (uni[word] - discount if word in uni else discount * v) / n
+        kinds = grams[state] ** lm_scoring.HEAPS
+        return (grams[(*state, word)] + kinds * arc(state[1:], word)) / (grams[state] + kinds)
+
+    def walk(words):
+        state, weight = ("<s>",) if order > 1 and grams[("<s>",)] else (), 0.0
+        for word in words:
+            while state and not grams[(*state, word)]:
+                kinds = grams[state] ** lm_scoring.HEAPS
+                weight, state = weight + math.log10(kinds / (grams[state] + kinds)), state[1:]
+            weight += math.log10(arc(state, word))
+            state = (*state, word)[-(order - 1):] if order > 1 else ()
+            while state and not grams[state]:
+                state = state[1:]
+        return weight
+
+    return [(len(w), sum(x in uni for x in w), n, sum(math.log10((uni.get(x, 0) + 1) / (n + v + 1)) for x in w), walk(w)) for w in tokens]
+
+
+@pytest.mark.parametrize("order", [3, 1, 4])
+def test_language_model(session, edge_docs, no_docs, monkeypatch, order):
     monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 2000)      # several chunks
     docs = edge_docs.unionByName(session.read.parquet(f"{SF}/documents.parquet").select(
         (F.col("doc_id") + 1000).alias("doc_id"), "text", F.lit("").alias("key"), F.lit(0.0).alias("score"), F.lit(0).alias("label"), F.lit("").alias("bucket")))
@@ -53,10 +65,10 @@ def test_language_model(session, edge_docs, no_docs, monkeypatch):
     train = [r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 7 != 2 for r in rows]
     condition = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
     got = collections.defaultdict(list)
-    for r in lm_scoring.score(docs, condition).collect():
+    for r in lm_scoring.score(docs, condition, order=order).collect():
         got[r.doc_id].append((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score))
     want = collections.defaultdict(list)
-    for r, x in zip(rows, brute_scores([r.text for r in rows], train)):
+    for r, x in zip(rows, brute_scores([r.text for r in rows], train, order)):
         want[r.doc_id].append(x)
     assert got.keys() == want.keys()
     for k in want:
@@ -75,15 +87,23 @@ def test_language_model_driver_rows(session, monkeypatch):
     monkeypatch.setattr(type(docs), "collect", lambda df: collected.append(collect(df)) or collected[-1])
     scored = lm_scoring.score(docs, F.lit(True))
     monkeypatch.setattr(type(docs), "collect", collect)
-    buckets = lm_scoring.partitions_for(docs, "text", 4000)
-    assert buckets > 8 and len(collected) >= 2
-    for rows in collected:                    # a number or two per hot context, whatever the buckets they are spread over
-        assert len(rows) <= 2 * lm_scoring.HOT_SHARE * buckets + 1
-        assert all(isinstance(x, int) for r in rows for x in r)
+    assert lm_scoring.partitions_for(docs, "text", 4000) > 8 and all(len(rows) <= 1 for rows in collected)
     for a, b in zip(sorted(tuple(r) for r in scored.collect()), want, strict=True):
         assert a == pytest.approx(b, rel=1e-9)
 
 
+def test_language_model_after_known_and_unknown_contexts(session):
+    training = ["a b c a b d", "a b c", "b c", "c"]
+    known = ["a", "b", "c", "d"]
+    probes = [f"{head} {word}" for head in ("", "a", "a b", "b c", "z", "a z", "c c") for word in [*known, "new"]] + ["", "a", "a b", "b c", "z", "a z", "c c"]
+    docs = session.createDataFrame([(i, t) for i, t in enumerate(training + probes)], "doc_id int, text string")
+    train = F.col("doc_id") < len(training)
+    score = {r.doc_id: 10 ** r.score for r in lm_scoring.score(docs, train).collect()}
+    of = {t: score[len(training) + i] for i, t in enumerate(probes)}
+    brute = dict(zip(probes, (10 ** x[4] for x in brute_scores(training + probes, [True] * len(training) + [False] * len(probes), 3)[len(training):])))
+    assert of == pytest.approx(brute)
+
+
 def test_decontamination(session, edge_docs, no_docs):
     items = session.createDataFrame([(1, "beta GAMMA, delta"), (2, "theta"), (3, None), (4, "!!"), (10, " ".join(f"w{i % 97}x{i % 89}" for i in range(40, 75))),
                                      (10, "one"), (None, "one"), (11, "not in any of them")], "item_id long, text string")
