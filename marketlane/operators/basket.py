@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from ..functions.outcomes import CONFLICT, DOES_NOT_EXIST, FOREIGN_KEY_VIOLATION, OK
 from .. import session
-from .scan import DEFAULT_BUCKET_WIDTH, Running, running
+from .joins import few_keys
+from .scan import Running, running
 
 REJECTED = "REJECTED"
 OPENING_SEQ = -(2 ** 63)
@@ -59,27 +60,26 @@ def basket_change_filter(changes: DataFrame) -> DataFrame:
 
 
 def basket_fold(basket: DataFrame, changes: DataFrame, products: DataFrame | None = None,
-                customers: DataFrame | None = None, bucket_width: int | None = None,
+                customers: DataFrame | None = None, ranges: int | None = None,
                 materialize: bool = True) -> BasketFold:
     """B2: apply ``changes`` (seq, customer_id, product_id, op, quantity) to
     ``basket`` (customer_id, product_id, quantity).
 
     Returns the changes with ``outcome`` and the final basket. ``products`` and
-    ``customers`` (``id`` columns) enable the FK check on add. With
-    ``materialize`` the judged change rows and the last-clear scan, which four
-    outputs read, are checkpointed once to the shared checkpoint folder.
+    ``customers`` (``id`` columns) enable the FK check on add; they are first cut
+    to the ids of the changes. With ``materialize`` the changes, the judged change
+    rows and the last-clear scan, which several outputs read, are checkpointed once
+    to the shared checkpoint folder. ``ranges``: see ``scan.running``.
     """
-    width = bucket_width or DEFAULT_BUCKET_WIDTH
+    if materialize:
+        changes = session.materialize(changes)
     ev = basket_change_filter(changes)
     fk_ok = F.lit(True)
-    if products is not None:
-        pk = products.select(F.col("id").alias("_b_pid")).distinct().withColumn("_b_p", F.lit(True))
-        ev = ev.join(pk, ev.product_id == pk._b_pid, "left").drop("_b_pid")
-        fk_ok = fk_ok & F.col("_b_p").isNotNull()
-    if customers is not None:
-        ck = customers.select(F.col("id").alias("_b_cid")).distinct().withColumn("_b_c", F.lit(True))
-        ev = ev.join(ck, ev.customer_id == ck._b_cid, "left").drop("_b_cid")
-        fk_ok = fk_ok & F.col("_b_c").isNotNull()
+    parents = {c: t for c, t in (("product_id", products), ("customer_id", customers)) if t is not None}
+    for column, asked in few_keys(ev, list(parents)).items():
+        known = parents[column].select(F.col("id").alias(column)).join(asked, column, "left_semi").distinct()
+        ev = ev.join(known.withColumn(f"_b_has_{column}", F.lit(True)), column, "left")
+        fk_ok = fk_ok & F.col(f"_b_has_{column}").isNotNull()
     ev = ev.withColumn("_b_fk", fk_ok)
     op, valid = F.col("op"), F.col("_b_valid")
 
@@ -97,13 +97,13 @@ def basket_fold(basket: DataFrame, changes: DataFrame, products: DataFrame | Non
         F.lit(True).alias("_b_valid"), F.lit(True).alias("_b_fk"), F.lit(True).alias("_b_open"),
         F.struct(F.lit(OPENING_SEQ).cast("bigint").alias("s"), F.lit(True).alias("f")).alias("_b_flag"))
     pairs = running(pair_events.unionByName(opening), ["customer_id", "product_id"], "seq",
-                    [Running("_b_last", "last", "_b_flag", exclusive=True)], bucket_width=width)
+                    [Running("_b_last", "last", "_b_flag", exclusive=True)], ranges=ranges)
 
     # Last clear of the customer before each change.
     clears = ev.select("seq", "customer_id", F.when(op == "clear", F.col("seq")).alias("_b_clear_seq"),
                        F.col("op").alias("_b_op"))
     k = running(clears, ["customer_id"], "seq", [Running("_b_k", "last", "_b_clear_seq", exclusive=True)],
-                bucket_width=width)
+                ranges=ranges)
     k = k.select("seq", "customer_id", "_b_op", "_b_k")
     if materialize:
         k = session.materialize(k)

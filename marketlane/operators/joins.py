@@ -9,26 +9,48 @@ sort-merge join. The result is the same either way.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
-# What one broadcast may hold. Bytes are those of the rows as JSON, which is
-# more than their values take; a hash table of 500,000 rows stays under 100 MB.
+# What one broadcast may hold; a hash table of 500,000 rows stays under 100 MB.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32_000_000
+FIXED_WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "date": 4, "timestamp": 8, "timestamp_ntz": 8}
+
+
+def _bytes(df: DataFrame) -> Column:
+    """Bytes of a row's values: fixed by the type, or as long as the text is."""
+    fixed, size = 0, F.lit(0).cast("bigint")
+    for name, kind in df.dtypes:
+        if kind in FIXED_WIDTHS:
+            fixed += FIXED_WIDTHS[kind]
+        elif kind.startswith("decimal"):
+            fixed += 16
+        else:
+            size = size + F.coalesce(F.octet_length(F.col(name) if kind in ("string", "binary") else F.to_json(F.struct(name))), F.lit(0))
+    return size + F.lit(fixed)
 
 
 def measured(side: DataFrame) -> DataFrame:
     """``side``, written once, and marked for broadcast if it is within the limits."""
     held = materialize(side)
-    size = held.agg(F.count(F.lit(1)).alias("n"),
-                    F.sum(F.octet_length(F.to_json(F.struct(*held.columns))).cast("bigint")).alias("b")).first()
+    size = held.agg(F.count(F.lit(1)).alias("n"), F.sum(_bytes(held)).alias("b")).first()
     fits = size["n"] <= BROADCAST_ROWS and (size["b"] or 0) <= BROADCAST_BYTES
     return F.broadcast(held) if fits else held
 
 
+def few_keys(batch: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
+    """The distinct values (numbers) of each of ``columns`` in ``batch``, each marked for
+    broadcast if it is within the limits: one pass counts them all."""
+    if not columns:
+        return {}
+    counts = batch.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).first()
+    sides = {c: batch.select(c).where(F.col(c).isNotNull()).distinct() for c in columns}
+    return {c: F.broadcast(side) if 1.1 * counts[c] <= BROADCAST_ROWS else side for c, side in sides.items()}
+
+
 def cut_to_keys(big: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``big`` whose ``on`` columns are among those of ``keys``."""
     return big.join(measured(keys.select(*on).distinct()), on, "left_semi")

@@ -1,12 +1,12 @@
-"""Running aggregates per key in seq order that stay parallel under skew.
+"""Running aggregates per key in order that stay parallel under skew.
 
-A plain ``Window.partitionBy(key).orderBy(seq)`` puts every row of a key in one
-task; a key holding a third of the data would be one straggler task. Here the
-order column is cut into fixed-width buckets: the window runs per
-(key, bucket), each bucket's total is computed with an aggregate, a small
-window over the bucket totals gives each bucket its carry-in, and a join adds
-the carry back. No window partition holds more than ``bucket_width`` rows of
-one key (orders are unique), whatever the key distribution.
+A plain ``Window.partitionBy(key).orderBy(order)`` puts every row of a key in one
+task; a key holding a third of the data would be one straggler task. Here the rows
+are dealt by counted ranges of (key, order), so a key with many rows lies in as many
+ranges as its share asks for, however its orders are spaced. The window runs per
+(key, range). A small window over the ranges of a key gives each range its carry-in;
+only a key that a range boundary cuts has one, so there are fewer carries than ranges
+and they are broadcast.
 
 Supported running aggregates (associative, so the carry composes):
 ``last`` (last non-NULL value) and ``sum``, each inclusive or exclusive of
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKET_WIDTH = 1 << 20
+from ..session import materialize
 
 
 @dataclass(frozen=True)
@@ -31,43 +31,39 @@ class Running:
     exclusive: bool = True
 
 
-def running(df: DataFrame, keys: list[str], order: str, specs: list[Running],
-            bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+def ranged(df: DataFrame, keys: list[str], order: str, ranges: int | None = None) -> DataFrame:
+    """``df``, written once, with ``_s_range``: ascending numbers of ranges of (keys,
+    order) with about equal counts of rows, ``spark.sql.shuffle.partitions`` at most
+    unless ``ranges`` is given."""
+    dealt = df.repartitionByRange(*([ranges] if ranges else []), *keys, order)
+    return materialize(dealt.withColumn("_s_range", F.spark_partition_id()))
+
+
+def running(df: DataFrame, keys: list[str], order: str, specs: list[Running], ranges: int | None = None) -> DataFrame:
     """Add one column per spec: the running aggregate of ``value`` over the
-    rows of the same ``keys`` ordered by ``order`` (unique within a key).
-    Keys must not be NULL."""
-    b = df.withColumn("_s_bkt", F.floor(F.col(order) / F.lit(bucket_width)).cast("bigint"))
-    part = [*keys, "_s_bkt"]
-    local = {}
-    for s in specs:
-        end = -1 if s.exclusive else 0
-        w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
-        fn = F.last(s.value, ignorenulls=True) if s.kind == "last" else F.sum(s.value)
-        local[s.out] = f"_s_loc_{s.out}"
-        b = b.withColumn(local[s.out], fn.over(w))
+    rows of the same ``keys`` ordered by ``order`` (unique within a key; any
+    type that sorts). Keys must not be NULL."""
+    b = ranged(df, keys, order, ranges)
+    part = [*keys, "_s_range"]
+    end = {s.out: -1 if s.exclusive else 0 for s in specs}
 
-    totals = []
+    def over(s: Running, value: str, window) -> F.Column:
+        return F.last(value, ignorenulls=True).over(window) if s.kind == "last" else F.sum(value).over(window)
+
+    local = b
     for s in specs:
-        if s.kind == "last":
-            totals.append(F.max_by(F.col(s.value), F.when(F.col(s.value).isNotNull(), F.col(order)))
-                          .alias(f"_s_tot_{s.out}"))
-        else:
-            totals.append(F.sum(s.value).alias(f"_s_tot_{s.out}"))
-    per_bucket = b.groupBy(*part).agg(*totals)
-    wb = Window.partitionBy(*keys).orderBy("_s_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    carry_cols = []
+        local = local.withColumn(f"_s_loc_{s.out}", over(s, s.value, Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, end[s.out])))
+
+    totals = [(F.max_by(F.col(s.value), F.when(F.col(s.value).isNotNull(), F.col(order))) if s.kind == "last" else F.sum(s.value)).alias(f"_s_tot_{s.out}") for s in specs]
+    earlier = Window.partitionBy(*keys).orderBy("_s_range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = b.groupBy(*part).agg(*totals).select(*part, *[over(s, f"_s_tot_{s.out}", earlier).alias(f"_s_car_{s.out}") for s in specs])
+    some = F.lit(False)
     for s in specs:
-        fn = (F.last(f"_s_tot_{s.out}", ignorenulls=True) if s.kind == "last"
-              else F.sum(f"_s_tot_{s.out}"))
-        carry_cols.append(fn.over(wb).alias(f"_s_car_{s.out}"))
-    carry = per_bucket.select(*part, *carry_cols)
+        some = some | F.col(f"_s_car_{s.out}").isNotNull()
 
-    out = b.join(carry, part, "left")
+    out = local.join(F.broadcast(carry.where(some)), part, "left")     # fewer rows than ranges
     for s in specs:
-        loc, car = F.col(local[s.out]), F.col(f"_s_car_{s.out}")
-        if s.kind == "last":
-            out = out.withColumn(s.out, F.coalesce(loc, car))
-        else:
-            out = out.withColumn(s.out, F.coalesce(loc, F.lit(0)) + F.coalesce(car, F.lit(0)))
-    drop = ["_s_bkt", *local.values(), *[f"_s_car_{s.out}" for s in specs]]
-    return out.drop(*drop)
+        loc, car = F.col(f"_s_loc_{s.out}"), F.col(f"_s_car_{s.out}")
+        value = F.coalesce(loc, car) if s.kind == "last" else F.coalesce(loc, F.lit(0)) + F.coalesce(car, F.lit(0))
+        out = out.withColumn(s.out, value)
+    return out.drop("_s_range", *[f"_s_{x}_{s.out}" for s in specs for x in ("loc", "car")])

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from marketlane.operators.basket import basket_fold
 from marketlane.operators.scan import Running, running
@@ -43,8 +44,8 @@ def model_fold(opening, events, products, customers):
 
 
 @pytest.mark.parametrize("seed", range(8))
-@pytest.mark.parametrize("width", [3, 1 << 20])
-def test_basket_fold_matches_loop(spark, seed, width):
+@pytest.mark.parametrize("ranges", [7, None])
+def test_basket_fold_matches_loop(spark, seed, ranges):
     rnd = random.Random(seed)
     products = set(range(6))
     customers = {0, 1, 2}
@@ -58,7 +59,7 @@ def test_basket_fold_matches_loop(spark, seed, width):
     ev = spark.createDataFrame(events, "seq bigint, customer_id bigint, product_id bigint, op string, quantity bigint")
     prod = spark.createDataFrame([(p,) for p in products], "id bigint")
     cust = spark.createDataFrame([(c,) for c in customers], "id bigint")
-    res = basket_fold(b, ev, prod, cust, bucket_width=width)
+    res = basket_fold(b, ev, prod, cust, ranges=ranges)
     want_out, want_basket = model_fold(opening, events, products, customers)
     got = {r.seq: r.outcome for r in res.outcomes.collect()}
     assert got == want_out
@@ -69,7 +70,7 @@ def test_running_scan_crosses_buckets(spark):
     rows = [("a", i, i if i % 3 else None, 1) for i in range(1, 30)] + [("b", 5, 7, 2)]
     df = spark.createDataFrame(rows, "k string, o bigint, v bigint, x bigint")
     out = running(df, ["k"], "o", [Running("lv", "last", "v", True), Running("sx", "sum", "x", False)],
-                  bucket_width=4)
+                  ranges=5)
     got = {(r.k, r.o): (r.lv, r.sx) for r in out.collect()}
     last = None
     for i in range(1, 30):
@@ -77,3 +78,18 @@ def test_running_scan_crosses_buckets(spark):
         if i % 3:
             last = i
     assert got[("b", 5)] == (None, 2)
+
+
+def test_hot_key_with_sparse_order_is_spread(spark):
+    """A third of the rows have one key, at orders far apart and in clusters: no range holds many more than its share."""
+    from marketlane.operators.scan import ranged
+
+    rows = [(0, i * 10**12 + (i % 3) * 10**5) for i in range(3_000)] + [(1 + i % 1_000, i) for i in range(6_000)]
+    df = spark.createDataFrame(rows, "k bigint, o bigint").repartition(8)
+    dealt = ranged(df, ["k"], "o", ranges=12)
+    sizes = [r["count"] for r in dealt.groupBy("_s_range", "k").count().groupBy("_s_range").agg(F.max("count").alias("count")).collect()]
+    assert max(sizes) <= 2 * len(rows) / 12
+    out = running(df.withColumn("x", F.lit(1)), ["k"], "o", [Running("n", "sum", "x", False), Running("before", "last", "o")], ranges=12)
+    hot = [(r.n, r.before) for r in out.where("k = 0").orderBy("o").collect()]
+    orders = sorted(o for k, o in rows if k == 0)
+    assert hot == [(i + 1, orders[i - 1] if i else None) for i in range(3_000)]
