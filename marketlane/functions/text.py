@@ -43,7 +43,7 @@ def has_image_extension(col: Column) -> Column:
 
 def word_tokens(col: Column) -> Column:
     """Lower-case words of letters and digits of any script, in order (search config ``simple``)."""
-    return F.filter(F.split(F.lower(col), r"[^\p{L}\p{N}]+"), lambda w: w != F.lit(""))
+    return F.filter(F.split(F.lower(col), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != F.lit(""))
 
 
 def harman_s_stem(word: Column) -> Column:

@@ -20,11 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import cents_to_amount
+from .joins import cut_to_keys, measured
+from .scan import Running, running
 
 # Column sets the reference returns.
 DETAIL_COLUMNS = ["id", "name", "available", "brand_name", "brand_id", "stock_count", "price", "description"]
 LISTING_COLUMNS = ["id", "name", "description", "brand_id", "brand_name", "available", "stock_count", "price"]
 SHORT_COLUMNS = ["id", "name", "available", "stock_count", "price"]
+HOT_STYLE = 100_000     # products of a style that one share holds
 
 
 def _day(as_of) -> Column:
@@ -47,6 +50,28 @@ def price_as_of(prices: DataFrame, as_of) -> DataFrame:
                  F.max("date_active_from").alias("price_date")))
 
 
+def price_on_days(prices: DataFrame, requests: DataFrame) -> DataFrame:
+    """C2 for many days: each request (``request_id``, ``product_id``, ``day``) with the
+    product's latest price dated on or before its day (NULLs when there is none, or
+    the day or product is NULL).
+
+    An as-of join without pairing requests and prices: both are laid out by product and
+    day, prices first within a day, and every request takes the last price before it
+    (``scan.running``, which splits a product with many rows). Prices are first cut to
+    the requested products."""
+    asked = requests.select("request_id", "product_id", "day")
+    known = asked.where(F.col("product_id").isNotNull() & F.col("day").isNotNull())
+    dated = cut_to_keys(prices.select("product_id", "date_active_from", "price_cents"), known, ["product_id"])
+    none = F.lit(None)
+    line = dated.select("product_id", F.struct(F.col("date_active_from").alias("day"), F.lit(0).alias("kind"), F.col("price_cents").alias("tie")).alias("at"),
+                        F.struct("price_cents", F.col("date_active_from").alias("price_date")).alias("price"), none.cast("bigint").alias("request_id"))
+    request = known.select("product_id", F.struct("day", F.lit(1).alias("kind"), F.col("request_id").alias("tie")).alias("at"),
+                           none.cast(line.schema["price"].dataType).alias("price"), "request_id")
+    found = running(line.unionByName(request), ["product_id"], "at", [Running("last", "last", "price")]).where(F.col("at.kind") == 1)
+    return (asked.join(found.select("request_id", "last"), "request_id", "left")
+            .select("request_id", "product_id", "day", F.col("last.price_cents").alias("price_cents"), F.col("last.price_date").alias("price_date")))
+
+
 def product_catalog(tables, as_of) -> DataFrame:
     """One row per product (the product view).
 
@@ -103,14 +128,22 @@ def products_same_style(catalog: DataFrame, products: DataFrame, product_id: int
 
 
 def products_same_style_for(catalog: DataFrame, products: DataFrame, requests: DataFrame) -> DataFrame:
-    """C6 for a table of requested product ids (``request_id``, ``product_id``).
+    """C6 for a table of requested product ids (``request_id``, ``product_id``): the
+    variants that share the product's base, the product itself included.
 
-    Each request gets its style's variants; the output size is the sum of the
-    requested styles' sizes, the inherent size of the answer.
+    The output is the sum of the requested styles' sizes, the size of the answer.
+    Styles are counted; one of more than ``HOT_STYLE`` products is cut into as many
+    shares of its products, and its requests go to every share.
     """
-    r = (requests.join(products.select(F.col("id").alias("product_id"), F.col("base_product_id").alias("_b")),
-                       "product_id"))
-    return (r.join(catalog, catalog.base_product_id == r._b)
+    base = cut_to_keys(products.select(F.col("id").alias("product_id"), F.col("base_product_id").alias("_b")), requests, ["product_id"])
+    r = requests.join(base, "product_id").where(F.col("_b").isNotNull())
+    c = cut_to_keys(catalog.withColumnRenamed("base_product_id", "_b"), r, ["_b"])
+    hot = c.groupBy("_b").agg(F.ceil(F.count(F.lit(1)) / HOT_STYLE).cast("int").alias("_n")).where("_n > 1")
+    hot = measured(hot)
+    share = F.pmod(F.xxhash64("id"), F.coalesce("_n", F.lit(1))).cast("int")
+    c = c.join(hot, "_b", "left").withColumn("_share", share)
+    r = r.join(hot, "_b", "left").withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1)))
+    return (r.drop("_n").join(c.drop("_n"), ["_b", "_share"])
             .select("request_id", F.col("product_id").alias("requested_id"), *SHORT_COLUMNS))
 
 
@@ -132,12 +165,15 @@ def style_index(catalog: DataFrame) -> DataFrame:
 def random_products(catalog: DataFrame, n=1, seed: int = 0) -> DataFrame:
     """``n`` products in random order (a non-numeric ``n`` means 1).
 
-    ``orderBy(rand).limit(n)`` plans as TakeOrderedAndProject: each task keeps
-    its own top ``n`` and only those reach the final merge.
+    The order is that of a keyed hash, MD5 of the seed and the id, so a seed always
+    draws the same products, another one others, and samples of parts of the
+    catalogue merge by taking the first ``n`` again. Plans as TakeOrderedAndProject:
+    each task keeps its own first ``n`` and only those reach the final merge.
     """
     try:
         k = int(n)
     except (TypeError, ValueError):
         k = 1
-    return (catalog.select(*SHORT_COLUMNS, F.rand(seed).alias("_r"))
-            .orderBy("_r").limit(max(k, 0)).drop("_r"))
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")).cast("binary"))
+    return (catalog.select(*SHORT_COLUMNS, drawn.alias("_r"))
+            .orderBy("_r", "id").limit(max(k, 0)).drop("_r"))

@@ -3,8 +3,8 @@
 Query language: web-search style. A query is an OR of branches, a branch an
 AND of terms (``a or b -c`` is ``a or (b and not c)``, as in the database's
 web-search queries). ``-term`` excludes; ``"a b"`` is a phrase (adjacent words
-in that order). Text configuration ``simple``: lower-case runs of letters and
-digits of any script, no stemming, no stop words.
+in that order). Text configuration ``simple``: lower-case runs of letters, their
+combining marks and digits of any script, no stemming, no stop words.
 
 Rank (ours; the database's ``ts_rank`` values are not reproduced, only its
 "best first" order): occurrences of the query's positive words in the name,
@@ -23,6 +23,7 @@ way from the excluded words.
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,7 +36,7 @@ from .. import session
 # token pattern of the query language.
 MIN_QUERY_LENGTH = 2
 QUERY_TOKEN_PATTERN = r'-?"[^"]*"|\S+'
-WORD_SPLIT = r"[^\p{L}\p{N}]+"
+WORD_SPLIT = r"[^\p{L}\p{M}\p{N}]+"
 
 SEARCH_COLUMNS = ["id", "name", "available", "brand_name", "brand_id", "stock_count", "price", "description"]
 
@@ -67,6 +68,11 @@ def _english_branches(branches: list[list[Term]], stops: list[str]) -> list[list
     return out
 
 
+def _words(text: str) -> list[str]:
+    """Lower-case runs of letters, digits and the marks that combine with them."""
+    return "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in text.lower()).split()
+
+
 def parse_query(query: str) -> list[list[Term]]:
     """Branches (ORed) of terms (ANDed) for one query string. An ``or`` without
     a term before or after it is ignored."""
@@ -78,7 +84,7 @@ def parse_query(query: str) -> list[list[Term]]:
             continue
         neg = tok.startswith("-") and len(tok) > 1
         body = (tok[1:] if neg else tok).strip('"')
-        words = tuple(w for w in re.split(r"[\W_]+", body.lower()) if w)
+        words = tuple(_words(body))
         if not words:
             continue
         if after_or or not branches:
@@ -177,7 +183,7 @@ def parse_queries(queries: DataFrame) -> DataFrame:
 
 @dataclass
 class BatchSearch:
-    matches: DataFrame  # query_id, id, catalogue columns, rank: queries whose branches all hold a positive term
+    matches: DataFrame  # query_id, id, catalogue columns, rank, position: queries whose branches all hold a positive term
     complement: DataFrame  # query_id, query, complement, excluded_id: the other queries match all products but these
     rejected: DataFrame  # query_id, query, reason: too short, or without words
 
@@ -194,7 +200,7 @@ def _english_terms(terms: DataFrame, stops: list[str]) -> DataFrame:
 
 
 def product_search_batch(catalog: DataFrame, queries: DataFrame, products: DataFrame | None = None,
-                         materialize: bool = True, config: str = "simple") -> BatchSearch:
+                         materialize: bool = True, config: str = "simple", top: int | None = None) -> BatchSearch:
     """Evaluate ``queries`` (query_id, query) against the catalogue.
 
     ``products`` (id, name) feeds the inverted index; by default the
@@ -202,7 +208,10 @@ def product_search_batch(catalog: DataFrame, queries: DataFrame, products: DataF
     queries' words), which several steps read, are checkpointed once.
 
     As in C8, a query of fewer than 2 characters is rejected; one without words
-    matches nothing and is reported beside them. In ``complement`` a query
+    matches nothing and is reported beside them. ``position`` counts a query's
+    matches from 1, best rank first, ties by id. With ``top`` only the first so many
+    are kept, by each task before rows are exchanged, so a query that matches most
+    products sends ``top`` rows from each task. In ``complement`` a query
     that excludes no product has one row with a null ``excluded_id``.
     """
     asked = queries.where(F.length("query") >= MIN_QUERY_LENGTH)
@@ -248,7 +257,10 @@ def product_search_batch(catalog: DataFrame, queries: DataFrame, products: DataF
 
     open_branches = branches.where(F.col("n_positive") == 0)
     open_queries = open_branches.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_open"))
-    matches = found.join(open_queries, "query_id", "left_anti").join(catalog.select(*SEARCH_COLUMNS), "id")
+    placed = found.join(open_queries, "query_id", "left_anti").withColumn(
+        "position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rank").desc(), "id")))
+    placed = placed if top is None else placed.where(F.col("position") <= top)
+    matches = placed.join(catalog.select(*SEARCH_COLUMNS), "id")
 
     # Products that every exclusion-only branch shuts out and no other branch matches.
     shut_terms = terms.join(open_branches.select("query_id", "branch"), ["query_id", "branch"], "left_semi")
@@ -265,4 +277,4 @@ def product_search_batch(catalog: DataFrame, queries: DataFrame, products: DataF
     short = F.coalesce(F.length("query") < MIN_QUERY_LENGTH, F.lit(True))
     rejected = (queries.join(branches.select("query_id"), "query_id", "left_anti")
                 .select("query_id", "query", F.when(short, "too_short").otherwise("no_words").alias("reason")))
-    return BatchSearch(matches.select("query_id", *SEARCH_COLUMNS, "rank"), complement, rejected)
+    return BatchSearch(matches.select("query_id", *SEARCH_COLUMNS, "rank", "position"), complement, rejected)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from .queries_sql import CATALOG
 
-TOKENS = "list_filter(string_split_regex(lower(name), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+TOKENS = "list_filter(string_split_regex(lower(name), '[^\\p{L}\\p{M}\\p{N}]+'), lambda x: x <> '')"
 COLS = "id, name, available, brand_name, brand_id, stock_count, price, description"
 
 SQL: dict[str, str] = {}
@@ -50,7 +50,7 @@ br AS (SELECT query_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS
        FROM (SELECT DISTINCT query_id, string_split_regex(trim(query), '\s+or\s+') AS parts FROM qs) x),
 tm AS (SELECT query_id, branch, unnest(regexp_extract_all(part, '(-?"[^"]*"|\S+)', 1)) AS term FROM br),
 terms AS (SELECT query_id, branch, starts_with(term, '-') AS negated,
-                 list_filter(string_split_regex(lower(term), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS words FROM tm),
+                 list_filter(string_split_regex(lower(term), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda w: w <> '') AS words FROM tm),
 open_queries AS (SELECT DISTINCT query_id FROM (SELECT query_id FROM terms GROUP BY query_id, branch HAVING bool_and(negated)) x),
 p AS (SELECT c.*, {TOKENS} AS t FROM catalog c),
 ev AS (SELECT terms.query_id, terms.branch, p.id,
@@ -64,7 +64,8 @@ res AS (SELECT query_id, id, bool_or(ok) AS ok, bool_or(is_open) AS is_open, sum
 SQL["product_search_batch"] = f"""
 WITH {CATALOG}, {QUERIES}, {evaluate("true")}
 SELECT r.query_id, p.id, p.name, p.available, p.brand_name, p.brand_id, p.stock_count, p.price, p.description,
-       CASE WHEN len(p.t) > 0 THEN CAST(r.occ AS DOUBLE) / len(p.t) END AS rank
+       CAST(r.occ AS DOUBLE) / len(p.t) AS rank,
+       CAST(row_number() OVER (PARTITION BY r.query_id ORDER BY CAST(r.occ AS DOUBLE) / len(p.t) DESC, p.id) AS INTEGER) AS position
 FROM res r JOIN p ON p.id = r.id
 WHERE r.ok AND NOT r.is_open
 """
