@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.money import to_cents
 from .changes import (ChangeResult, GroupPart, delete_rows, insert_groups, insert_rows, trim_columns,
                       update_rows, upsert_rows)
+from .parents import CATALOGUE_KEYS, Deletion, delete_parents, with_rule
 
 # Rows of one group get seq = group seq * GROUP_STRIDE + position (parent first).
 GROUP_STRIDE = 1000
@@ -41,6 +42,15 @@ def delete_brands(tables, batch: DataFrame) -> ChangeResult:
     return delete_rows(tables.brands, batch.select("seq", "id"), key=["id"])
 
 
+def delete_catalogue_rows(tables, root: str, batch: DataFrame, on_delete: str | None = None) -> Deletion:
+    """W3 on ``brands`` or ``base_products`` (seq, id) with the parent side: the rows
+    that refer to a deleted one go, empty their reference, or refuse the deletion
+    (``parents.CATALOGUE_KEYS``). ``on_delete`` puts all keys under one rule."""
+    keys = CATALOGUE_KEYS if on_delete is None else with_rule(CATALOGUE_KEYS, on_delete)
+    names = {root} | {k.child for k in keys}
+    return delete_parents({n: getattr(tables, n) for n in names}, root, batch.select("seq", "id"), keys)
+
+
 def create_product_types(tables, batch: DataFrame) -> ChangeResult:
     """batch: seq, type."""
     return insert_rows(tables.product_types, trim_columns(batch.select("seq", "type"), ["type"]),

@@ -57,6 +57,41 @@ def q_brand_delete(t):
     return admin.delete_brands(t, batch).outcomes
 
 
+def _brand_deletes(t):
+    return t.part.select(F.col("p_partkey").alias("seq"), F.col("p_size").cast("bigint").alias("id"))
+
+
+@register("brand_delete_restrict")
+def q_brand_delete_restrict(t):
+    return admin.delete_catalogue_rows(t, "brands", _brand_deletes(t), "restrict").outcomes
+
+
+@register("brand_delete_cascade")
+def q_brand_delete_cascade(t):
+    """The catalogue's own rules: a brand's products go with it unless ordered or in a basket."""
+    return admin.delete_catalogue_rows(t, "brands", _brand_deletes(t)).outcomes
+
+
+@register("brand_delete_cascade_prices")
+def q_brand_delete_cascade_prices(t):
+    """The prices that are left when everything that refers to a deleted brand goes."""
+    return admin.delete_catalogue_rows(t, "brands", _brand_deletes(t).where("id > 10"), "cascade").tables["product_prices"]
+
+
+def _base_deletes(t):
+    return t.part.select(F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 200).cast("bigint").alias("id"))
+
+
+@register("base_product_delete_restrict")
+def q_base_product_delete_restrict(t):
+    return admin.delete_catalogue_rows(t, "base_products", _base_deletes(t), "restrict").outcomes
+
+
+@register("base_product_delete_cascade")
+def q_base_product_delete_cascade(t):
+    return admin.delete_catalogue_rows(t, "base_products", _base_deletes(t)).outcomes
+
+
 @register("product_type_create")
 def q_product_type_create(t):
     batch = t.part.select(F.col("p_partkey").alias("seq"),

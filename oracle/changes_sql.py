@@ -211,6 +211,34 @@ SQL["brand_rename"] = rename(_BRAND_REN, "brands", "name")
 SQL["brand_rename_table"] = rename_table(_BRAND_REN, "brands", "name")
 SQL["brand_delete"] = w3("SELECT p_partkey AS seq, CAST(p_size AS BIGINT) AS id FROM part", "brands", ["id"],
                          "seq, id")
+
+
+def delete_parents(batch, root, refused):
+    """Deletes of ``root`` rows; ``refused`` is a condition on the row ``r``."""
+    return f"""
+WITH b0 AS ({batch}),
+f AS (SELECT b0.*, r.id IS NOT NULL AS present, coalesce({refused}, false) AS refused, min(b0.seq) OVER (PARTITION BY b0.id) AS first_seq
+      FROM b0 LEFT JOIN {root} r ON r.id = b0.id)
+SELECT seq, id, CASE WHEN NOT present THEN 'DOES_NOT_EXIST' WHEN refused THEN 'FOREIGN_KEY_VIOLATION'
+                     WHEN seq = first_seq THEN 'OK' ELSE 'DOES_NOT_EXIST' END AS outcome FROM f
+"""
+
+
+_BRAND_DEL = "SELECT p_partkey AS seq, CAST(p_size AS BIGINT) AS id FROM part"
+_BASE_DEL = "SELECT p_partkey AS seq, CAST(p_partkey % 200 AS BIGINT) AS id FROM part"
+_HELD = "SELECT product_id FROM product_orders UNION ALL SELECT product_id FROM products_in_basket"
+SQL["brand_delete_restrict"] = delete_parents(_BRAND_DEL, "brands", "r.id IN (SELECT brand_id FROM base_products WHERE brand_id IS NOT NULL)")
+SQL["brand_delete_cascade"] = delete_parents(
+    _BRAND_DEL, "brands", f"r.id IN (SELECT bp.brand_id FROM base_products bp JOIN products p ON p.base_product_id = bp.id WHERE p.id IN ({_HELD}) AND bp.brand_id IS NOT NULL)")
+SQL["brand_delete_cascade_prices"] = """
+SELECT * FROM product_prices WHERE product_id NOT IN (
+  SELECT p.id FROM products p JOIN base_products bp ON bp.id = p.base_product_id JOIN brands b ON b.id = bp.brand_id
+  WHERE b.id > 10 AND b.id IN (SELECT p_size FROM part))
+"""
+SQL["base_product_delete_restrict"] = delete_parents(
+    _BASE_DEL, "base_products", "(r.id IN (SELECT base_product_id FROM products WHERE base_product_id IS NOT NULL) OR r.id IN (SELECT product_id FROM assigned_product_type))")
+SQL["base_product_delete_cascade"] = delete_parents(
+    _BASE_DEL, "base_products", f"r.id IN (SELECT base_product_id FROM products WHERE base_product_id IS NOT NULL AND id IN ({_HELD}))")
 SQL["product_type_create"] = w1(
     "SELECT p_partkey AS seq, trim(concat(' ', upper(split_part(p_name, ' ', 2)))) AS type FROM part",
     "product_types", ["type"], [], "seq, type",
