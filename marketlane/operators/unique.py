@@ -1,17 +1,10 @@
 """Who holds a unique value when: changes to a unique column, one at a time.
 
 Whether a change of key k to value v succeeds depends on all earlier changes: v
-must be free, or held by k, at that moment. The batch is cut into blocks of
-consecutive changes. A block is replayed change by change, from the holders that it
-finds when it begins, and all blocks are replayed at once. At first the holders are
-guessed to be those of the opening table. From the blocks' results the holders at
-every block's begin are worked out anew, and the blocks whose holders were guessed
-wrongly are replayed. The blocks before the first wrong guess are final, so this
-ends, after as many rounds as there are blocks at most; a wrong guess seldom
-outlives a block, as a value's holder is soon decided by changes of the block itself.
-
-A block holds about ``BLOCK_ROWS`` changes and as many holders at most, whatever the
-size of the batch, the table, or the share of one key or value.
+must be free, or held by k, at that moment. Blocks of changes are replayed from the
+holders that they find when they begin (``replay.py``). A wrong guess seldom outlives
+a block, as a value's holder is soon decided by changes of the block itself. A block
+holds about ``BLOCK_ROWS`` changes and as many holders at most.
 """
 
 from __future__ import annotations
@@ -21,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .joins import cut_to_keys
+from .replay import in_blocks, settle
 
 BLOCK_ROWS = 50_000
 
@@ -32,30 +26,13 @@ def unique_conflicts(opening: DataFrame, changes: DataFrame) -> DataFrame:
     none) and fk_ok (a change that fails elsewhere is judged but not made).
     ``opening``: v and k of the table before the batch, v not null.
     """
-    changes = materialize(changes.select("seq", "k", "v", "fk_ok"))
-    blocks = -(-changes.count() // BLOCK_ROWS)
-    ranged = changes.repartitionByRange(blocks, "seq") if blocks > 1 else changes
-    ranged = ranged.withColumn("block", F.spark_partition_id() if blocks > 1 else F.lit(0))
-    ranged = materialize(ranged) if blocks > 1 else ranged
-    wanted = ranged.where("v is not null").select("block", "v").distinct()
-    wanted = materialize(wanted) if blocks > 1 else wanted
+    rows, blocks = in_blocks(changes.select("seq", "k", "v", "fk_ok"), "seq", BLOCK_ROWS)
+    wanted = rows.where("v is not null").select("block", "v").distinct()
     held = cut_to_keys(opening.select("v", "k"), wanted, ["v"]).groupBy("v").agg(F.min("k").alias("holder"))
-    held = materialize(held) if blocks > 1 else held
-
+    if blocks > 1:
+        wanted, held = materialize(wanted), materialize(held)
     state = wanted.join(held, "v").select("block", "v", "holder")
-    verdicts = _replay(ranged, state)
-    while blocks > 1:
-        verdicts = materialize(verdicts)
-        found = materialize(_holders(wanted, held, verdicts))
-        wrong = state.select("*", F.lit(1).alias("n")).unionByName(found.select("*", F.lit(-1).alias("n")))
-        wrong = wrong.groupBy("block", "v", "holder").agg(F.sum("n").alias("n")).where("n != 0").select("block").distinct()
-        wrong = materialize(wrong)
-        if wrong.isEmpty():
-            break
-        state = found
-        again = _replay(ranged.join(wrong, "block", "left_semi"), state.join(wrong, "block", "left_semi"))
-        verdicts = verdicts.join(wrong, "block", "left_anti").unionByName(again)
-    return verdicts.select("seq", "conflict")
+    return settle(rows, blocks, state, _replay, lambda verdicts: _holders(wanted, held, verdicts)).select("seq", "conflict")
 
 
 def _replay(changes: DataFrame, state: DataFrame) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.money import cents_to_amount
+from .. import session
+from ..operators import catalog as cat
 from ..operators import orders as o
+from ..operators.allocation import serial_allocation
 from .checkout import bulk_checkout, checkout_requests_with_codes
 from .registry import AS_OF, NOW, register
 
@@ -37,6 +40,27 @@ def q_order_pricing(t):
                     .alias("discounted_total")))
 
 
+def _serial(t):
+    """Every customer's basket as a request, in the order of the customers."""
+    c = cat.product_catalog(t, AS_OF).select(F.col("id").alias("product_id"), "available")
+    lines = t.products_in_basket.join(c, "product_id", "left")
+    return lines.select(F.col("customer_id").alias("request_id"), "product_id", "quantity", "available")
+
+
+@register("checkout_serial")
+def q_checkout_serial(t):
+    """Baskets that compete for stock, one at a time: which ones get all they hold."""
+    return serial_allocation(_serial(t), t.product_stock_levels).select(F.col("request_id").alias("customer_id"), "allocated")
+
+
+@register("checkout_serial_stock")
+def q_checkout_serial_stock(t):
+    """What is left of every product after the baskets that were allocated."""
+    lines = session.materialize(_serial(t))
+    taken = serial_allocation(lines, t.product_stock_levels).where("allocated")
+    return o.stock_after(t.product_stock_levels, lines.join(taken, "request_id", "left_semi"))
+
+
 def _checkout(t):
     return bulk_checkout(t, checkout_requests_with_codes(t), AS_OF, NOW)
 

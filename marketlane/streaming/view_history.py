@@ -2,10 +2,11 @@
 
 The reference accepts every view, however late, so the stream itself drops
 nothing and keeps no state. Per micro-batch (``foreachBatch``) the batch operator
-V3 runs against the history written so far (FK checks, one row per customer,
+V3 runs against the history of the batch's days (FK checks, one row per customer,
 product and day, whenever it comes), and the accepted rows are written to
-``<out>/batch_id=<n>``, overwriting that folder on a retry, so a replayed batch
-writes the same rows once.
+``<out>/date_viewed=<day>/batch_id=<n>``. Only the folders of the batch's days are
+listed and read, so a batch costs the days it touches, however long the history is. A
+replayed batch overwrites its own folders with the same rows.
 """
 
 from __future__ import annotations
@@ -31,12 +32,18 @@ def view_event_stream(events: DataFrame) -> DataFrame:
                     F.regexp_extract(F.col("props"), r"[0-9]+", 0).cast("bigint").alias("product_id")))
 
 
-def _read_history(spark: SparkSession, out: str) -> DataFrame:
-    """All batches written so far (any file system); empty before the first."""
+def _read_history(spark: SparkSession, out: str, days: list | None = None) -> DataFrame:
+    """All batches written so far (any file system), or those of ``days``; empty before the first."""
+    schema = HISTORY_SCHEMA + ", batch_id bigint"
+    folders = out if days is None else f"{out}/date_viewed={{{','.join(str(d) for d in days)}}}"
     try:
-        return spark.read.schema(HISTORY_SCHEMA + ", batch_id bigint").parquet(out)
-    except AnalysisException:
-        return spark.createDataFrame([], HISTORY_SCHEMA + ", batch_id bigint")
+        if days is not None and not days:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).option("basePath", out).parquet(folders)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], schema)
+        raise
 
 
 def stream_record_views(spark: SparkSession, sf_dir: str, out: str | None = None,
@@ -55,15 +62,18 @@ def stream_record_views(spark: SparkSession, sf_dir: str, out: str | None = None
     def apply(batch: DataFrame, batch_id: int) -> None:
         from ..operators.history import record_views
 
-        # A replayed batch overwrites its own folder, so it is left out here.
-        current = _read_history(spark, out).where(F.col("batch_id") != batch_id).drop("batch_id")
+        views = batch.select("seq", "customer_id", "product_id", "ts")
+        days = [r[0] for r in views.select(F.to_date("ts")).distinct().collect() if r[0] is not None]     # a calendar's worth at most
+        # A replayed batch overwrites its own folders, so they are left out here.
+        current = _read_history(spark, out, days).where(F.col("batch_id") != batch_id).drop("batch_id")
         t = ShopTables(spark, sf_dir).with_tables(product_view_history=current)
-        res = record_views(t, batch.select("seq", "customer_id", "product_id", "ts"))
+        res = record_views(t, views)
         accepted = res.outcomes.where(F.col("outcome") == "OK").join(
             current.select("customer_id", "product_id", "date_viewed"),
             ["customer_id", "product_id", "date_viewed"], "left_anti")
-        (accepted.select("customer_id", "product_id", "date_viewed").dropDuplicates()
-         .write.mode("overwrite").parquet(os.path.join(out, f"batch_id={batch_id}")))
+        new = accepted.select("customer_id", "product_id", "date_viewed").dropDuplicates().withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        (new.repartition("date_viewed").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("date_viewed", "batch_id").parquet(out))
 
     q = (stream.writeStream.foreachBatch(apply)
          .option("checkpointLocation", os.path.join(base, "checkpoint"))

@@ -104,3 +104,37 @@ def test_s2_compaction_keeps_state(spark, split_events, monkeypatch):
     want = {tuple(r) for r in basket_fold(t.products_in_basket, log, t.products, t.customer_accounts)
             .basket.select("customer_id", "product_id", "quantity").collect()}
     assert got == want
+
+
+def test_view_batches_read_only_their_days(spark, tmp_path, monkeypatch):
+    """20 batches of two days each: what a batch reads of the history does not grow with it."""
+    import datetime as dt
+
+    from marketlane.operators import history
+    from marketlane.streaming import view_history
+
+    source, base = str(tmp_path / "in"), str(tmp_path / "s1")
+    schema = "event_id bigint, ts timestamp, user_id bigint, event_type string, props string"
+    seen, judge = [], history.record_views
+
+    def judged(tables, events):
+        seen.append(tables.product_view_history.count())
+        return judge(tables, events)
+
+    monkeypatch.setattr(history, "record_views", judged)
+    rows = []
+    for n in range(20):
+        day = dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+        own = [(100 * n + i, day + dt.timedelta(days=i % 2), 1 + i % 30, "view", f"product {i % 9 + 1}") for i in range(40)]
+        rows += own
+        spark.createDataFrame(own, schema).coalesce(1).write.mode("append").parquet(source)
+        events = spark.readStream.schema(schema).parquet(source)
+        view_history.stream_record_views(spark, "/root/testdata/sf0.001", events=events, base=base)
+    assert len(seen) == 20 and max(seen[1:]) <= 2 * 40 and max(seen[10:]) <= max(seen[1:10])
+    got = view_history.read_history(spark, f"{base}/history")
+    want = {(u, int(p.split()[1]), ts.date()) for _, ts, u, _, p in rows}
+    from marketlane.sources.tables import ShopTables
+
+    known = {r.id for r in ShopTables(spark, "/root/testdata/sf0.001").customer_accounts.select("id").collect()}
+    assert {tuple(r) for r in got.select("customer_id", "product_id", "date_viewed").collect()} == {w for w in want if w[0] in known}
+    assert got.count() == got.distinct().count()
