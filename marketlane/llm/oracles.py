@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .lists import BLOCKED_HOSTS, URL_RULES
+
 WHOLE = """
     SELECT vec_id, {label} list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
     FROM embeddings
@@ -10,6 +12,22 @@ WHOLE = """
 
 ORACLES: dict[str, str] = {}
 
+RULES = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)
+HOSTS = ", ".join(f"('{h}')" for h in BLOCKED_HOSTS)
+
+ORACLES["op3_url_filters"] = f"""
+WITH rules(verdict, host, path) AS (VALUES {RULES}),
+blocked(host) AS (VALUES {HOSTS}),
+cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS n FROM cut),
+fits AS (SELECT n, arg_max(struct_pack(rule := r.host || r.path, verdict := r.verdict), [length(r.host || r.path), length(r.host), (r.verdict = 'block')::INT]) AS best
+         FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY n)
+SELECT page_id, host, path, best.rule AS rule,
+       coalesce(best.verdict, CASE WHEN EXISTS (SELECT 1 FROM blocked b WHERE p.host = b.host OR ends_with(p.host, '.' || b.host)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts p LEFT JOIN fits USING (n)
+"""
+
 TERMS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
 

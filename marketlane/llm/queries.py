@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import fingerprints, lexical_search, lm_scoring, toxicity
 from .decontamination import mark_passages
 from .hard_negatives import hard_negatives
+from .lists import BLOCKED_HOSTS, URL_RULES
 from .near_dedup import near_duplicates
 from .oracles import ORACLES
 from .packing import best_fit_pack, token_pieces
@@ -20,15 +21,11 @@ from .staging import new_folder
 from .token_counts import token_counts
 from .token_store import read_store, write_store
 from .top_k_search import top_k
-from .url_filter import Rule, judge_urls
+from .url_filter import judge_urls
 
 TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE_TOKENS = 2048
 TOKEN_LIMIT = 1024
-URL_RULES = [Rule("allow", "org"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"),
-             Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
-BLOCKED_HOSTS = [f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-                 for top in ("com", "net", "org")]
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .staging import pick, stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_CASCADE_BITS = 1 << 27     # 16 MB in the plan; a longer list is refused, not truncated
+MAX_CASCADE_BITS = 1 << 27     # 16 MB in the plan; a longer list is looked up by a join, with the same answers
 
 
 @dataclass(frozen=True)
@@ -70,6 +70,10 @@ class Cascade:
     def __init__(self, levels: list[Level]):
         self.levels = levels
 
+    def listed(self, keys: Column) -> Column:
+        """Those of ``keys``, an array of keys of the corpus, that are listed."""
+        return F.filter(keys, self.contains)
+
     def contains(self, key: Column) -> Column:
         """Whether ``key``, a key of the corpus the cascade was built for, is listed."""
         answer = F.lit(len(self.levels) % 2 == 1)
@@ -82,9 +86,10 @@ class Cascade:
         return sum(level.bits for level in self.levels)
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
+def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade | None:
     """The cascade of ``listed.key`` over ``universe.key`` (repeated and null keys
-    count once, or not at all). An empty list gives a cascade of no levels."""
+    count once, or not at all). An empty list gives a cascade of no levels, one that
+    would need more than ``MAX_CASCADE_BITS`` none at all."""
     listed = listed.select("key").where("key is not null").distinct()
     n = listed.count()
     if not n:
@@ -92,7 +97,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     size = universe.agg(F.approx_count_distinct("key")).first()[0] or 0
     wrong = min(0.5, max(2.0 ** -30, math.sqrt(0.5) * n / max(1, size)))
     if n * -math.log2(wrong) / math.log(2) > MAX_CASCADE_BITS:
-        raise ValueError(f"a list of {n} keys needs a cascade of more than {MAX_CASCADE_BITS} bits; split it")
+        return None
     levels = [_level(listed, 0, n, wrong)]
     passed = universe.where(F.col("key").isNotNull() & levels[0].passes(F.col("key"))).select("key").distinct()
     others = stage(passed.join(listed, "key", "left_anti"), "cascade-others")
@@ -129,36 +134,55 @@ def candidate_keys(host: Column, path: Column, shapes: set[tuple[int, int]]) ->
         for n, m in sorted(shapes)])) if shapes else F.array().cast("array<string>")
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], blocked_hosts: list[str], page_id: str = "page_id", url: str = "url") -> DataFrame:
+def list_shapes(keys: DataFrame) -> set[tuple[int, int]]:
+    """The (labels, path length) shapes of the keys of a list: one row for each."""
+    host = F.regexp_extract("key", r"^[^/]*", 0)
+    shape = keys.select((F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1).alias("labels"), (F.length("key") - F.length(host)).alias("path"))
+    return {(r["labels"], r["path"]) for r in shape.distinct().toLocalIterator()}
+
+
+def joined_keys(parts: DataFrame, candidates: Column, listed: DataFrame, name: str) -> DataFrame:
+    """``parts`` with the listed ones of each row's ``candidates`` as ``name``: for lists
+    too long for a cascade. The keys of the corpus are looked up once each; ``parts`` is
+    numbered by ``row``."""
+    asked = parts.select("row", F.explode(candidates).alias("key"))
+    known = stage(asked.select("key").distinct().join(listed.select("key").distinct(), "key", "left_semi"), "url-listed")
+    found = asked.join(known, "key").groupBy("row").agg(F.collect_list("key").alias(name))
+    return parts.join(found, "row", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+
+
+def judge_urls(pages: DataFrame, rules: list[Rule], blocked_hosts: list[str] | DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict), one row per row of ``pages``.
 
     The longest rule (by key, then host; ``block`` before ``allow`` if both are
     given for one key) that fits decides. Without one, a URL is blocked if its
-    host or a parent domain of it is in ``blocked_hosts``, else allowed. Both are
-    looked up in cascades over all keys of ``pages``. A null or malformed URL has
+    host or a parent domain of it is in ``blocked_hosts`` (a list, or a table of one
+    column, of any length), else allowed. Both are looked up in cascades over all keys
+    of ``pages``; a list too long for one by a join. A null or malformed URL has
     empty host and path, fits no rule and is allowed.
     """
     spark = pages.sparkSession
     host, path = url_parts(F.col("url"))
     parts = pick(pages, page_id=page_id, url=url).select("page_id", host.alias("host"), path.alias("path"))
     # A blocked host is a key without a path.
-    lists = {verdict: [(r.host, r.path) for r in rules if r.verdict == verdict] for verdict in ("allow", "block")}
-    lists["block"] += [(h, "") for h in blocked_hosts]
-    shapes = {name: {(h.count(".") + 1, len(p)) for h, p in keys} for name, keys in lists.items()}
+    hosts = blocked_hosts if isinstance(blocked_hosts, DataFrame) else key_table(spark, blocked_hosts)
+    hosts = hosts.select(F.col(hosts.columns[0]).cast("string").alias("key")).where("key != ''")
+    lists = {verdict: key_table(spark, [r.key for r in rules if r.verdict == verdict]) for verdict in ("allow", "block")}
+    lists["block"] = lists["block"].unionByName(hosts)
+    candidates = {name: candidate_keys(F.col("host"), F.col("path"), list_shapes(listed)) for name, listed in lists.items()}
     cascades = {}
-    for name, keys in lists.items():
-        listed = key_table(spark, [h + p for h, p in keys])
-        universe = parts.select(F.explode(candidate_keys(F.col("host"), F.col("path"), shapes[name])).alias("key"))
-        cascades[name] = build_cascade(listed, stage(universe.distinct(), "url-keys"))
-
-    def listed_keys(name: str) -> Column:
-        return F.filter(candidate_keys(F.col("host"), F.col("path"), shapes[name]), cascades[name].contains)
+    for name, listed in lists.items():
+        cascades[name] = build_cascade(listed, stage(parts.select(F.explode(candidates[name]).alias("key")).distinct(), "url-keys"))
+    found = parts
+    if None in cascades.values():
+        found = stage(parts.withColumn("row", F.monotonically_increasing_id()), "url-parts")
+    for name, cascade in cascades.items():
+        found = found.withColumn(name, cascade.listed(candidates[name])) if cascade else joined_keys(found, candidates[name], lists[name], name)
 
     def fitting(name: str, rank: int) -> Column:
         return F.transform(F.filter(F.col(name), lambda k: F.instr(k, "/") > 0), lambda k: F.struct(
             F.length(k).alias("size"), F.instr(k, "/").alias("host_size"), F.lit(rank).alias("rank"), k.alias("key"), F.lit(name).alias("verdict")))
 
-    found = parts.withColumn("allow", listed_keys("allow")).withColumn("block", listed_keys("block"))
     best = F.array_max(F.concat(fitting("allow", 0), fitting("block", 1)))
     listed_host = F.exists("block", lambda k: F.instr(k, "/") == 0)
     judged = found.withColumn("best", best).withColumn("listed", listed_host)

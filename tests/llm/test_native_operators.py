@@ -53,6 +53,19 @@ def test_cascade_is_exact_for_the_corpus(session):
     assert universe.where(url_filter.build_cascade(listed.limit(0), universe).contains(F.col("key"))).count() == 0
 
 
+def test_url_lists_too_long_for_a_cascade(session, monkeypatch):
+    """The same answers by a join, from a table of hosts."""
+    pages = session.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    pages = pages.unionByName(session.createDataFrame([(-1, None), (-2, "x"), (-3, "http://a.bad.example.net/es/"), (-3, "http://a.bad.example.net/es/"), (None, "http://bad.example.net")], pages.schema))
+    hosts = session.createDataFrame([("bad.example.net",), ("example.com",), (None,), ("",), ("example.com",)], "blocked string")
+    want = sorted(map(str, url_filter.judge_urls(pages, queries.URL_RULES, ["bad.example.net", "example.com"]).collect()))
+    assert sorted(map(str, url_filter.judge_urls(pages, queries.URL_RULES, hosts).collect())) == want
+    monkeypatch.setattr(url_filter, "MAX_CASCADE_BITS", 1)
+    joined = url_filter.judge_urls(pages, queries.URL_RULES, hosts)
+    no_python(joined)
+    assert sorted(map(str, joined.collect())) == want and any("block" in w for w in want)
+
+
 def test_url_query(session):
     urls = {r.page_id: r.url for r in session.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in queries.queries()["op3_url_filters"](session, SF).collect():
@@ -72,6 +85,22 @@ def test_lookup_table():
             sharding.lookup_table(*bad)
 
 
+def test_lookup_table_by_full_preference_lists():
+    """A second fill: every shard's whole preference list is written out first."""
+    shards, size = [f"s{i}" for i in range(5)], 211
+    lists = []
+    for name in shards:
+        offset, skip = (int(hashlib.sha256(f"{what}:{name}".encode()).hexdigest()[:16], 16) for what in ("offset", "skip"))
+        lists.append([(offset % size + j * (skip % (size - 1) + 1)) % size for j in range(size)])
+        assert sorted(lists[-1]) == list(range(size))
+    owner = {}
+    while len(owner) < size:
+        for i, order in enumerate(lists):
+            if len(owner) < size:
+                owner[next(slot for slot in order if slot not in owner)] = i
+    assert sharding.lookup_table(shards, size) == [owner[slot] for slot in range(size)]
+
+
 def test_sharding(session, edge_docs, no_docs, tmp_path):
     table = sharding.lookup_table(queries.SHARDS)
     slot = lambda k: int(hashlib.md5(("" if k is None else str(k)).encode()).hexdigest()[:15], 16) % sharding.TABLE_SIZE

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -168,6 +169,33 @@ def shingles(text):
     return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def test_ftrl_equals_a_plain_loop():
+    """One coordinate at a time, from the published update."""
+    rng = random.Random(8)
+    rows = [(np.array(sorted(rng.sample(range(40), rng.randint(0, 9))), np.int64), rng.randint(0, 1)) for _ in range(200)]
+    p = toxicity.Ftrl()
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        limit = 0.0 if i == "bias" else p.l1
+        if abs(z[i]) <= limit:
+            return 0.0
+        return -(z[i] - math.copysign(limit, z[i])) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+
+    for _ in range(3):
+        for features, label in rows:
+            held = {i: weight(i) for i in [*features.tolist(), "bias"]}
+            gradient = 1 / (1 + math.exp(-sum(held.values()))) - label
+            for i, w in held.items():
+                rate = (math.sqrt(n[i] + gradient ** 2) - math.sqrt(n[i])) / p.alpha
+                z[i] += gradient - rate * w
+                n[i] += gradient ** 2
+    want = {i: weight(i) for i in range(40) if weight(i)}
+    got = toxicity.train_part(rows, p, passes=3)
+    assert dict(zip(got.feature.tolist(), got.weight.tolist())) == pytest.approx(want) and got.bias == pytest.approx(weight("bias"))
+    assert 0 < len(want) <= 40
+
+
 def brute_classes(rows):
     """Smallest id of each row's class: equal texts, or Jaccard of 0.8 on 5-word shingles."""
     parent = list(range(len(rows)))
