@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.outcomes import CONFLICT, DOES_NOT_EXIST, FOREIGN_KEY_VIOLATION, OK
 from ..functions.text import trim_text
 from ..session import materialize
-from .joins import cut_to_keys
+from .joins import cut_to_keys, few_keys
 from .unique import unique_conflicts
 
 
@@ -46,18 +46,23 @@ def _all(cols: list[Column]) -> Column:
 def _with_fk_checks(batch: DataFrame, fks: dict | None) -> DataFrame:
     """Add ``_w_fk_ok``: every FK column is NULL or found in its parent.
 
-    ``fks`` maps a batch column to ``(parent_df, parent_col)``. The parent is
-    first cut to the values the batch uses (``cut_to_keys``) and only that
-    result is made distinct: for a small batch a large parent table is neither
-    shuffled nor deduplicated.
+    ``fks`` maps a batch column to ``(parent_df, parent_col)``. The parents are
+    first cut to the values the batch uses and only that result is made distinct:
+    for a small batch a large parent table is neither shuffled nor deduplicated.
+    One pass over the batch counts the values of all its whole-number columns.
     """
     b = batch
     checks = []
+    whole = [c for c in fks or {} if dict(batch.dtypes)[c] in ("bigint", "int")]
+    asked = few_keys(batch, whole)
     for i, (col, (parent, parent_col)) in enumerate((fks or {}).items()):
         hit, tmp = f"_w_fk_hit{i}", f"_w_fk{i}"
-        wanted = batch.select(F.col(col).alias(tmp)).where(F.col(tmp).isNotNull())
-        keys = (cut_to_keys(parent.select(F.col(parent_col).alias(tmp)), wanted, [tmp])
-                .distinct().withColumn(hit, F.lit(True)))
+        parents = parent.select(F.col(parent_col).alias(tmp))
+        if col in asked:
+            known = parents.join(asked[col].withColumnRenamed(col, tmp), tmp, "left_semi")
+        else:
+            known = cut_to_keys(parents, batch.select(F.col(col).alias(tmp)).where(F.col(tmp).isNotNull()), [tmp])
+        keys = known.distinct().withColumn(hit, F.lit(True))
         b = b.join(keys, b[col] == keys[tmp], "left").drop(tmp)
         checks.append(F.col(col).isNull() | F.col(hit).isNotNull())
     b = b.withColumn("_w_fk_ok", _all(checks))

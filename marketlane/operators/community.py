@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import few_keys
+
 
 def product_reviews(reviews: DataFrame, product_id: int | None = None) -> DataFrame:
     """Reviews of products with created / updated dates."""
@@ -94,14 +96,13 @@ def review_intake(tables, reviews: DataFrame, submissions: DataFrame, materializ
     if materialize:
         # The batch is read by the gate, the insert and the outcome merge.
         submissions = _materialize(submissions)
-    # Purchase gate: the order lines are first cut down to the (customer,
-    # product) pairs of this batch (a semi join whose small side AQE can
-    # broadcast once measured), and only that small result is made distinct,
-    # so the whole order history is never shuffled or deduplicated.
+    # Purchase gate: orders are cut to the batch's customers and lines to its products
+    # before they meet, so the order history is neither exchanged nor deduplicated.
+    asked = few_keys(submissions, ["customer_id", "product_id"])
+    orders = tables.shop_orders.select("id", "customer_id").join(asked["customer_id"], "customer_id", "left_semi")
+    lines = tables.product_orders.select(F.col("order_id").alias("id"), "product_id").join(asked["product_id"], "product_id", "left_semi")
     wanted = submissions.select("customer_id", "product_id").distinct()
-    bought = (tables.product_orders.select(F.col("order_id").alias("id"), "product_id")
-              .join(tables.shop_orders.select("id", "customer_id"), "id")
-              .join(wanted, ["customer_id", "product_id"], "left_semi")
+    bought = (lines.join(orders, "id").join(wanted, ["customer_id", "product_id"], "left_semi")
               .select("customer_id", "product_id").distinct().withColumn("_r_bought", F.lit(True)))
     s = submissions.join(bought, ["customer_id", "product_id"], "left")
     valid = _rating_ok(F.col("rating"))

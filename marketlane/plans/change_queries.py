@@ -209,11 +209,11 @@ def q_product_description_table(t):
 
 @register("price_set")
 def q_price_set(t):
-    """The whole price change log upserted into an empty price table."""
-    empty = t.spark.createDataFrame([], t.product_prices.schema)
-    log = t.price_change_log.withColumn("seq", F.col("seq_order"))
-    return admin.set_prices(t.with_tables(product_prices=empty), log,
-                            order_cols=["seq_order", "seq_line", "price_cents"]).table
+    """The whole price change log at a higher price, half of it a day later, upserted
+    into the price table: rows are replaced, added and kept."""
+    log = t.price_change_log.withColumn("seq", F.col("seq_order")).withColumn("price_cents", F.col("price_cents") + 100)
+    log = log.withColumn("date_active_from", F.date_add("date_active_from", (F.col("seq_order") % 2).cast("int")))
+    return admin.set_prices(t, log, order_cols=["seq_order", "seq_line", "price_cents"]).table
 
 
 @register("order_status_update")
@@ -252,18 +252,19 @@ def q_basket_fold_basket(t):
 
 # ---- view history and favourites -----------------------------------------------
 
+def _later_views(t):
+    """Every view event, none, one or two days later: a third repeats the history."""
+    return t.view_events.withColumnRenamed("event_id", "seq").withColumn("ts", F.col("ts") + F.make_dt_interval((F.col("seq") % 3).cast("int")))
+
+
 @register("record_views")
 def q_record_views(t):
-    empty = t.spark.createDataFrame([], t.product_view_history.schema)
-    events = t.view_events.withColumnRenamed("event_id", "seq")
-    return hist.record_views(t.with_tables(product_view_history=empty), events).outcomes
+    return hist.record_views(t, _later_views(t)).outcomes
 
 
 @register("record_views_table")
 def q_record_views_table(t):
-    empty = t.spark.createDataFrame([], t.product_view_history.schema)
-    events = t.view_events.withColumnRenamed("event_id", "seq")
-    return hist.record_views(t.with_tables(product_view_history=empty), events).table
+    return hist.record_views(t, _later_views(t)).table
 
 
 def _event_pairs(t, kind):
@@ -305,9 +306,16 @@ def _reviews(t):
     return com.review_intake(t, com.empty_reviews(t.spark), _submissions(t))
 
 
+def _earlier_reviews(t):
+    """A table of reviews that some of the submitting customers have written before."""
+    first = _submissions(t).groupBy("customer_id", "product_id").agg(F.min("seq").alias("id")).where(F.col("id") % 2 == 1)
+    return first.select("id", "customer_id", "product_id", F.lit(5).cast("bigint").alias("rating"), F.lit("before").alias("text"),
+                        F.lit("1990-01-01").cast("date").alias("created_on"), F.lit(None).cast("date").alias("updated_on"))
+
+
 @register("review_intake")
 def q_review_intake(t):
-    return _reviews(t).outcomes.select("seq", "customer_id", "product_id", "id", "outcome")
+    return com.review_intake(t, _earlier_reviews(t), _submissions(t)).outcomes.select("seq", "customer_id", "product_id", "id", "outcome")
 
 
 @register("product_reviews")

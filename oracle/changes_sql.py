@@ -289,8 +289,12 @@ SQL["product_description"] = w2(_DESC, "products", ["id"], [], "seq, id, descrip
 SQL["product_description_table"] = w2_table(_DESC, "products", ["id"], [], ["description"],
                                             ["id", "name", "description", "base_product_id", "available"])
 SQL["price_set"] = """
-SELECT product_id, date_active_from, price_cents FROM product_prices pp
-WHERE EXISTS (SELECT 1 FROM products p WHERE p.id = pp.product_id)
+WITH log AS (SELECT product_id, date_active_from + CAST(seq_order % 2 AS INTEGER) AS date_active_from, price_cents + 100 AS price_cents, seq_order, seq_line
+             FROM price_change_log l WHERE EXISTS (SELECT 1 FROM products p WHERE p.id = l.product_id)),
+last AS (SELECT product_id, date_active_from, arg_max(price_cents, row(seq_order, seq_line, price_cents)) AS price_cents FROM log GROUP BY ALL)
+SELECT product_id, date_active_from, price_cents FROM last
+UNION ALL SELECT product_id, date_active_from, price_cents FROM product_prices pp
+WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.product_id = pp.product_id AND l.date_active_from = pp.date_active_from)
 """
 SQL["order_status_update"] = w2(
     "SELECT o_orderkey AS seq, o_orderkey + 1 AS id, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS status_id "
@@ -323,14 +327,23 @@ WHERE fin.f = 1 AND (lc.k IS NULL OR fin.s > lc.k)
 """
 
 # ---- view history and favourites
-_VIEWS = "SELECT event_id AS seq, customer_id, product_id, CAST(ts AS DATE) AS date_viewed FROM view_events"
-_VIEWS_W1 = w1(_VIEWS, "(SELECT * FROM product_view_history WHERE false)", ["customer_id", "product_id", "date_viewed"],
-               [("product_id", "products", "id"), ("customer_id", "customer_accounts", "id")],
-               "seq, customer_id, product_id, date_viewed")
+_VIEW_FKS = [("product_id", "products", "id"), ("customer_id", "customer_accounts", "id")]
+
+
+def _views(target, days):
+    """Views ``days`` later, judged against ``target``."""
+    return w1(f"SELECT event_id AS seq, customer_id, product_id, CAST(ts + to_days(CAST({days} AS INTEGER)) AS DATE) AS date_viewed FROM view_events",
+              target, ["customer_id", "product_id", "date_viewed"], _VIEW_FKS, "seq, customer_id, product_id, date_viewed")
+
+
+_LATER = _views("product_view_history", "event_id % 3")
 SQL["record_views"] = (f"SELECT seq, customer_id, product_id, date_viewed, "
-                       f"CASE WHEN outcome = 'CONFLICT' THEN 'OK' ELSE outcome END AS outcome FROM ({_VIEWS_W1}) x")
-SQL["record_views_table"] = (f"SELECT customer_id, product_id, date_viewed FROM ({_VIEWS_W1}) x "
-                             f"WHERE outcome = 'OK'")
+                       f"CASE WHEN outcome = 'CONFLICT' THEN 'OK' ELSE outcome END AS outcome FROM ({_LATER}) x")
+SQL["record_views_table"] = (f"SELECT customer_id, product_id, date_viewed FROM product_view_history "
+                             f"UNION ALL SELECT customer_id, product_id, date_viewed FROM ({_LATER}) x WHERE outcome = 'OK'")
+# The stream begins with an empty history and takes the views as they are.
+SQL["stream_record_views"] = (f"SELECT customer_id, product_id, date_viewed FROM "
+                              f"({_views('(SELECT * FROM product_view_history WHERE false)', '0')}) x WHERE outcome = 'OK'")
 SQL["remove_views"] = w3(_event_pairs("error"), "product_view_history", ["customer_id", "product_id"],
                          "seq, customer_id, product_id")
 SQL["favourite_set"] = w1(_event_pairs("view"), "customer_favourite_products", ["customer_id", "product_id"],
@@ -341,10 +354,14 @@ SQL["favourite_remove"] = w3(_event_pairs("signup"), "customer_favourite_product
 
 # ---- reviews
 SQL["review_intake"] = f"""
-WITH {REVIEWS_CTE}
-SELECT s.seq, s.customer_id, s.product_id, CASE WHEN j.outcome = 'OK' THEN s.seq END AS id,
+WITH {REVIEWS_CTE},
+opening AS (SELECT customer_id, product_id, min(seq) AS id FROM subs GROUP BY ALL HAVING min(seq) % 2 = 1),
+held AS (SELECT cand.*, EXISTS (SELECT 1 FROM opening o WHERE o.customer_id = cand.customer_id AND o.product_id = cand.product_id) AS taken FROM cand),
+firsts2 AS (SELECT held.*, min(CASE WHEN fk_ok AND NOT taken THEN seq END) OVER (PARTITION BY customer_id, product_id) AS first_seq FROM held),
+judged2 AS (SELECT seq, CASE WHEN taken OR coalesce(first_seq < seq, false) THEN 'CONFLICT' WHEN NOT fk_ok THEN 'FOREIGN_KEY_VIOLATION' ELSE 'OK' END AS outcome FROM firsts2)
+SELECT s.seq, s.customer_id, s.product_id, CASE WHEN j.outcome = 'OK' THEN s.seq + (SELECT max(id) FROM opening) END AS id,
        coalesce(g.gate, j.outcome) AS outcome
-FROM subs s JOIN gated g ON g.seq = s.seq LEFT JOIN judged j ON j.seq = s.seq
+FROM subs s JOIN gated g ON g.seq = s.seq LEFT JOIN judged2 j ON j.seq = s.seq
 """
 SQL["product_reviews"] = f"WITH {REVIEWS_CTE} SELECT * FROM reviews"
 SQL["review_updates"] = f"""
@@ -464,7 +481,6 @@ FROM product_images im LEFT JOIN newest n ON n.id = im.id
 """
 
 # ---- streaming (S1 = V3 on an empty history, S2 = B2 in one micro-batch)
-SQL["stream_record_views"] = SQL["record_views_table"]
 SQL["stream_basket_feed"] = SQL["basket_fold_basket"]
 SQL["stream_basket_feed_messages"] = f"""
 WITH {BASKET_CTE},
