@@ -88,7 +88,8 @@ def review_intake(tables, reviews: DataFrame, submissions: DataFrame, materializ
     review per customer and product (later ones CONFLICT).
 
     submissions: seq, customer_id, product_id, rating, review, created_on.
-    With ``materialize`` the batch is checkpointed once (it is read three times).
+    With ``materialize`` the batch and its gated rows are checkpointed once (each is
+    read three times).
     """
     from ..session import materialize as _materialize
     from .changes import ChangeResult, insert_rows
@@ -108,6 +109,8 @@ def review_intake(tables, reviews: DataFrame, submissions: DataFrame, materializ
     valid = _rating_ok(F.col("rating"))
     gate = s.withColumn("_r_gate", F.when(~valid, F.lit(REJECTED))
                         .when(F.col("_r_bought").isNull(), F.lit(NOT_PURCHASED)))
+    if materialize:
+        gate = _materialize(gate)
     batch = gate.where(F.col("_r_gate").isNull()).select(
         "seq", "customer_id", "product_id", F.floor("rating").cast("bigint").alias("rating"),
         F.col("review").alias("text"), "created_on", F.lit(None).cast("date").alias("updated_on"))

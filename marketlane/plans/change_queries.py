@@ -16,6 +16,7 @@ from ..operators import basket as bk
 from ..operators import community as com
 from ..operators import history as hist
 from ..operators import images as img
+from ..session import materialize
 from .registry import AS_OF, register
 
 
@@ -306,16 +307,17 @@ def _reviews(t):
     return com.review_intake(t, com.empty_reviews(t.spark), _submissions(t))
 
 
-def _earlier_reviews(t):
+def _earlier_reviews(submissions):
     """A table of reviews that some of the submitting customers have written before."""
-    first = _submissions(t).groupBy("customer_id", "product_id").agg(F.min("seq").alias("id")).where(F.col("id") % 2 == 1)
+    first = submissions.groupBy("customer_id", "product_id").agg(F.min("seq").alias("id")).where(F.col("id") % 2 == 1)
     return first.select("id", "customer_id", "product_id", F.lit(5).cast("bigint").alias("rating"), F.lit("before").alias("text"),
                         F.lit("1990-01-01").cast("date").alias("created_on"), F.lit(None).cast("date").alias("updated_on"))
 
 
 @register("review_intake")
 def q_review_intake(t):
-    return com.review_intake(t, _earlier_reviews(t), _submissions(t)).outcomes.select("seq", "customer_id", "product_id", "id", "outcome")
+    submissions = materialize(_submissions(t))
+    return com.review_intake(t, materialize(_earlier_reviews(submissions)), submissions).outcomes.select("seq", "customer_id", "product_id", "id", "outcome")
 
 
 @register("product_reviews")
