@@ -200,12 +200,14 @@ def _english_terms(terms: DataFrame, stops: list[str]) -> DataFrame:
 
 
 def product_search_batch(catalog: DataFrame, queries: DataFrame, products: DataFrame | None = None,
-                         materialize: bool = True, config: str = "simple", top: int | None = None) -> BatchSearch:
+                         materialize: bool = True, config: str = "simple", top: int | None = None, index=None) -> BatchSearch:
     """Evaluate ``queries`` (query_id, query) against the catalogue.
 
     ``products`` (id, name) feeds the inverted index; by default the
-    catalogue's own columns. With ``materialize`` the parsed terms (small: the
-    queries' words), which several steps read, are checkpointed once.
+    catalogue's own columns. A kept ``index`` (``SearchIndex``, of the ``simple``
+    configuration) saves making it: only the buckets of the queries' words are read.
+    With ``materialize`` the parsed terms (small: the queries' words) and the postings of
+    their words, which several steps read, are checkpointed once.
 
     As in C8, a query of fewer than 2 characters is rejected; one without words
     matches nothing and is reported beside them. ``position`` counts a query's
@@ -216,6 +218,8 @@ def product_search_batch(catalog: DataFrame, queries: DataFrame, products: DataF
     """
     asked = queries.where(F.length("query") >= MIN_QUERY_LENGTH)
     terms = parse_queries(asked)
+    if config != "simple" and index is not None:
+        raise ValueError("a kept index has words of the simple configuration")
     if config == "english":
         stops = english_stop_words()
         terms = _english_terms(terms, stops)
@@ -227,16 +231,21 @@ def product_search_batch(catalog: DataFrame, queries: DataFrame, products: DataF
     if materialize:
         terms = session.materialize(terms)
 
-    names = (products if products is not None else catalog).select("id", tokenize(F.col("name")).alias("tokens"))
-    index = names.select("id", F.explode(F.array_distinct("tokens")).alias("word"))
-    # Products per query word; a word that no product holds is rarest of all.
     asked_words = terms.select(F.explode("words").alias("word")).distinct()
-    held = index.join(asked_words, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n_held"))
+    if index is not None:
+        postings, held = index.postings(asked_words), index.held(asked_words)
+    else:
+        names = (products if products is not None else catalog).select("id", tokenize(F.col("name")).alias("tokens"))
+        postings = names.select("id", "tokens", F.explode(F.array_distinct("tokens")).alias("word")).join(asked_words, "word", "left_semi")
+        if materialize:
+            postings = session.materialize(postings)
+        held = postings.groupBy("word").agg(F.count(F.lit(1)).alias("n_held"))
+    # Products per query word; a word that no product holds is rarest of all.
     rarity = F.struct(F.coalesce("n_held", F.lit(0)).alias("n_held"), "word")
 
     def with_tokens(anchored: DataFrame) -> DataFrame:
         """``anchored`` (with a ``word``) with each product that holds the word, and its tokens."""
-        return anchored.join(index, "word").join(names, "id")
+        return anchored.join(postings, "word")
 
     def holds(words: Column) -> Column:
         return F.contains(_padded(F.col("tokens")), _padded(words))

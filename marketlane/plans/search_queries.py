@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import catalog as c
@@ -49,3 +51,19 @@ def q_product_search_batch(t):
 @register("product_search_unanchored")
 def q_product_search_unanchored(t):
     return s.product_search_batch(c.product_catalog(t, AS_OF), _queries(t), t.products).complement
+
+
+@register("product_search_index")
+def q_product_search_index(t):
+    """The batch by a kept index: built from every product under an older name, then
+    updated with the names of today, some products gone and some new."""
+    from ..operators.search_index import SearchIndex
+    from ..session import checkpoint_dir
+
+    root = f"{checkpoint_dir(t.spark).rstrip('/')}/search-index-{uuid.uuid4().hex}"
+    key = F.col("id")
+    before = t.products.select(key, F.when(key % 3 == 0, F.concat(F.lit("old "), "name")).otherwise(F.col("name")).alias("name")).where(key % 5 != 0)
+    before = before.unionByName(t.products.select((-key).alias("id"), "name"))
+    index = SearchIndex.build(before, root)
+    index.update(t.products.where((key % 3 == 0) | (key % 5 == 0)).select("id", "name"), t.products.select((-key).alias("id")))
+    return s.product_search_batch(c.product_catalog(t, AS_OF), _queries(t), index=index).matches

@@ -75,3 +75,4 @@ SELECT qs.query_id, qs.query, true AS complement, x.id AS excluded_id
 FROM qs LEFT JOIN (SELECT query_id, id FROM res WHERE NOT ok) x ON x.query_id = qs.query_id
 WHERE qs.query_id IN (SELECT query_id FROM res WHERE is_open)
 """
+SQL["product_search_index"] = SQL["product_search_batch"]
