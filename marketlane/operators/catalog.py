@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import cents_to_amount
-from .joins import cut_to_keys, measured
+from .joins import cut_to_keys, few_keys, measured
 from .scan import Running, running
 
 # Column sets the reference returns.
@@ -72,12 +72,18 @@ def price_on_days(prices: DataFrame, requests: DataFrame) -> DataFrame:
             .select("request_id", "product_id", "day", F.col("last.price_cents").alias("price_cents"), F.col("last.price_date").alias("price_date")))
 
 
-def product_catalog(tables, as_of) -> DataFrame:
-    """One row per product (the product view).
+def product_catalog(tables, as_of, ids: DataFrame | None = None) -> DataFrame:
+    """One row per product (the product view), or per product whose id is in
+    ``ids`` (``product_id``).
 
     LEFT joins throughout: a product without base, brand, stock row or price
-    keeps its row with NULLs.
+    keeps its row with NULLs. With ``ids`` the products, stock rows and the price log
+    are cut to them first, so for a few ids none of the three is exchanged.
     """
+    if ids is not None:
+        asked = few_keys(ids, ["product_id"])["product_id"]
+        cut = {n: getattr(tables, n).join(asked, "product_id", "left_semi") for n in ("product_stock_levels", "product_prices")}
+        tables = tables.with_tables(products=tables.products.join(asked.withColumnRenamed("product_id", "id"), "id", "left_semi"), **cut)
     p = tables.products
     b = tables.base_products.select(F.col("id").alias("_base_id"), "brand_id")
     br = tables.brands.select(F.col("id").alias("_brand_id"), F.col("name").alias("brand_name"))

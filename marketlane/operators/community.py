@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import few_keys
+from .joins import cut_to_keys, few_keys
 
 
 def product_reviews(reviews: DataFrame, product_id: int | None = None) -> DataFrame:
@@ -36,13 +36,15 @@ def answer_scores(ratings: DataFrame) -> DataFrame:
 def answers_ranked(tables, question_id: int | None = None) -> DataFrame:
     """Q2: answers of questions with their overall rating (0 when unrated).
 
-    One aggregate over all ratings joined to the answers replaces the
-    reference's query per answer. Sort with ``answers_ranked_sorted``.
+    One aggregate over the ratings joined to the answers replaces the
+    reference's query per answer; for one question the ratings are first cut to its
+    answers. Sort with ``answers_ranked_sorted``.
     """
-    a = tables.product_question_answers
+    a, ratings = tables.product_question_answers, tables.product_question_answers_rating
     if question_id is not None:
         a = a.where(F.col("question_id") == F.lit(question_id))
-    scores = answer_scores(tables.product_question_answers_rating)
+        ratings = cut_to_keys(ratings, a.select(F.col("id").alias("answer_id")), ["answer_id"])
+    scores = answer_scores(ratings)
     return (a.join(scores, a.id == scores.answer_id, "left")
             .select("id", "question_id", "answer", "answered_by",
                     F.coalesce("overall_rating", F.lit(0)).cast("bigint").alias("overall_rating")))
@@ -54,8 +56,9 @@ def answers_ranked_sorted(tables, question_id: int | None = None) -> DataFrame:
 
 def answer_rating(tables, requests: DataFrame) -> DataFrame:
     """Q3: for requested (answer_id, customer_id), the answer's rating and the
-    customer's own vote (NULL when they did not vote)."""
-    ratings = tables.product_question_answers_rating
+    customer's own vote (NULL when they did not vote). Ratings are first cut to the
+    requested answers."""
+    ratings = cut_to_keys(tables.product_question_answers_rating, requests, ["answer_id"])
     scores = answer_scores(ratings)
     own = ratings.select("answer_id", "customer_id", F.col("helpful").alias("user_found_helpful"))
     return (requests.join(scores, "answer_id", "left")

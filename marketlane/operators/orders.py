@@ -156,11 +156,12 @@ def discount_set_check(requests: DataFrame, codes: DataFrame, strict: bool = Fal
 
 def basket_check(tables, as_of, customer_id: int | None = None) -> DataFrame:
     """Each basket line with ``available = quantity <= stock AND available``
-    (three-valued: NULL stock or flag gives NULL) and the unit price."""
+    (three-valued: NULL stock or flag gives NULL) and the unit price. The catalogue,
+    stock and price log are first cut to the baskets' products."""
     b = tables.products_in_basket
     if customer_id is not None:
         b = b.where(F.col("customer_id") == F.lit(customer_id))
-    c = cat.product_catalog(tables, as_of).select(
+    c = cat.product_catalog(tables, as_of, ids=b).select(
         F.col("id").alias("product_id"), F.col("stock_count"), F.col("available").alias("_flag"), "price_cents")
     return (b.join(c, "product_id", "left")
             .select("customer_id", "product_id", "quantity",

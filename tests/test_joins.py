@@ -40,3 +40,25 @@ def test_fk_check_of_a_small_batch_does_not_shuffle_the_parent(spark):
     scan = _plan(checked).split("Range (0, 10000")[0].splitlines()
     assert not any("hashpartitioning(id" in line for line in scan)
     assert {r.seq: r._w_fk_ok for r in checked.collect()} == {1: True, 2: True, 3: False}
+
+
+def test_one_basket_exchanges_no_large_table(spark):
+    """For one customer's basket the price log, stock and products meet the basket's ids
+    by broadcast: nothing is exchanged before that, and no plan aggregates the whole log."""
+    from marketlane.operators import community, orders
+    from marketlane.plans.registry import AS_OF
+    from marketlane.sources.tables import ShopTables
+
+    t = ShopTables(spark, "/root/testdata/sf0.001")
+    t = t.with_tables(product_prices=t.product_prices.checkpoint(), product_stock_levels=t.product_stock_levels.checkpoint(),
+                      products=t.products.checkpoint(), products_in_basket=t.products_in_basket.checkpoint())
+    customer = t.products_in_basket.first().customer_id
+    checked = orders.basket_check(t, AS_OF, customer)
+    optimized = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("LeftSemi") == 3
+    every = {tuple(r) for r in orders.basket_check(t, AS_OF).where(F.col("customer_id") == customer).collect()}
+    assert {tuple(r) for r in checked.collect()} == every and every
+    question = t.product_question_answers.first().question_id
+    ranked = community.answers_ranked(t, question)
+    assert "LeftSemi" in ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in ranked.collect()} == {tuple(r) for r in community.answers_ranked(t).where(F.col("question_id") == question).collect()}
