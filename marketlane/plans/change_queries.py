@@ -24,10 +24,6 @@ def _k(props="props"):
     return F.regexp_extract(F.col(props), r"[0-9]+", 0).cast("bigint")
 
 
-def _events(t, kind):
-    return t.events.where(F.col("event_type") == kind)
-
-
 # ---- brands and types ---------------------------------------------------------
 
 @register("brand_create")
@@ -268,24 +264,24 @@ def q_record_views_table(t):
     return hist.record_views(t, _later_views(t)).table
 
 
-def _event_pairs(t, kind):
-    return _events(t, kind).select(F.col("event_id").alias("seq"), F.col("user_id").alias("customer_id"),
-                                   _k().alias("product_id"))
+def _event_pairs(t):
+    return t.events.select(F.col("event_id").alias("seq"), F.col("user_id").alias("customer_id"),
+                           _k().alias("product_id"))
 
 
 @register("remove_views")
 def q_remove_views(t):
-    return hist.remove_views(t, _event_pairs(t, "error")).outcomes
+    return hist.remove_views(t, _event_pairs(t)).outcomes
 
 
 @register("favourite_set")
 def q_favourite_set(t):
-    return hist.set_favourites(t, _event_pairs(t, "view")).outcomes
+    return hist.set_favourites(t, _event_pairs(t)).outcomes
 
 
 @register("favourite_remove")
 def q_favourite_remove(t):
-    return hist.remove_favourites(t, _event_pairs(t, "signup")).outcomes
+    return hist.remove_favourites(t, _event_pairs(t)).outcomes
 
 
 # ---- reviews ----------------------------------------------------------------------
@@ -344,33 +340,34 @@ def q_review_deletes(t):
 
 # ---- answer ratings, questions, answers ------------------------------------------
 
-def _votes(t, kind):
-    return _events(t, kind).select(F.col("event_id").alias("seq"), (_k() * 1000 + 1).alias("answer_id"),
-                                   F.col("user_id").alias("customer_id"), (F.col("value") >= 20).alias("helpful"))
+def _votes(t):
+    return t.events.select(F.col("event_id").alias("seq"), (_k() * 1000 + 1).alias("answer_id"),
+                           F.col("user_id").alias("customer_id"), (F.col("value") >= 20).alias("helpful"))
 
 
 @register("answer_rating_add")
 def q_answer_rating_add(t):
-    return com.rate_answers(t, _votes(t, "purchase")).outcomes
+    return com.rate_answers(t, _votes(t)).outcomes
 
 
 @register("answer_rating_change")
 def q_answer_rating_change(t):
-    return com.change_answer_ratings(t, _votes(t, "signup")).outcomes
+    return com.change_answer_ratings(t, _votes(t)).outcomes
 
 
 @register("answer_rating_remove")
 def q_answer_rating_remove(t):
-    return com.withdraw_answer_ratings(t, _votes(t, "error")).outcomes
+    return com.withdraw_answer_ratings(t, _votes(t)).outcomes
 
 
-def _conv(t, turn, role):
-    return t.conversations.where((F.col("turn") == turn) & (F.col("role") == role))
+def _conv(t, role):
+    """Every turn of a role: users ask, assistants answer."""
+    return t.conversations.where(F.col("role") == role)
 
 
 @register("question_ask")
 def q_question_ask(t):
-    c = _conv(t, 2, "user")
+    c = _conv(t, "user")
     batch = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), (F.col("conv_id") % 2500).alias("product_id"),
                      (F.col("conv_id") % 1600).alias("asked_by"), F.col("text").alias("question"))
     return com.ask_questions(t, batch).outcomes.select("seq", "product_id", "asked_by", "id", "outcome")
@@ -378,7 +375,7 @@ def q_question_ask(t):
 
 @register("question_edit")
 def q_question_edit(t):
-    c = _conv(t, 2, "user")
+    c = _conv(t, "user")
     batch = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), (F.col("conv_id") + 1).alias("id"),
                      F.col("text").alias("question"))
     return com.edit_questions(t, batch).outcomes.select("seq", "id", "outcome")
@@ -386,14 +383,14 @@ def q_question_edit(t):
 
 @register("question_delete")
 def q_question_delete(t):
-    c = _conv(t, 1, "assistant")
+    c = _conv(t, "assistant")
     batch = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), (F.col("conv_id") * 2).alias("id"))
     return com.delete_questions(t, batch).outcomes
 
 
 @register("answer_insert")
 def q_answer_insert(t):
-    c = _conv(t, 3, "assistant")
+    c = _conv(t, "assistant")
     batch = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("conv_id").alias("question_id"),
                      (F.col("conv_id") % 20).alias("answered_by"), F.col("text").alias("answer"))
     return com.answer_questions(t, batch).outcomes.select("seq", "question_id", "answered_by", "id", "outcome")

@@ -73,14 +73,16 @@ def products(t) -> DataFrame:
                 F.when(F.col("p.p_partkey") % 5 == 0, F.lit(None))
                 .otherwise(F.concat(F.lit("A "), F.col("p.p_name"))).alias("description"),
                 F.col("b.id").alias("base_product_id"),
-                (F.col("p.p_partkey") % 10 != 0).alias("available"),
+                (F.col("p.p_partkey") % 200 != 0).alias("available"),
             ))
 
 
 @_fixture
 def product_stock_levels(t) -> DataFrame:
-    return (t.part.where(F.col("p_partkey") % 97 != 0)
-            .select(F.col("p_partkey").alias("product_id"), F.col("p_size").cast("bigint").alias("amount")))
+    # Every product has a row; the amount of some is unknown, of some 0.
+    return t.part.select(
+        F.col("p_partkey").alias("product_id"),
+        F.when(F.col("p_partkey") % 97 != 0, (F.col("p_size").cast("bigint") - 1) * 50).alias("amount"))
 
 
 def _unit_price_cents() -> Column:
@@ -146,8 +148,9 @@ def shipping_countries(t) -> DataFrame:
 @_fixture
 def shipping_addresses(t) -> DataFrame:
     c = F.col("c_custkey")
-    first = t.customer.where(c % 13 != 0).select(
-        (c * 10).alias("id"), c.alias("customer_id"),
+    # Every customer has an address; that of some is not the one their checkout names.
+    first = t.customer.select(
+        F.when(c % 13 == 0, c * 10 + 5).otherwise(c * 10).alias("id"), c.alias("customer_id"),
         F.concat(F.lit("A"), (c % 100).cast("string")).alias("area_code"),
         F.col("c_name").alias("first_address_line"),
         F.lit(None).cast("string").alias("second_address_line"),
@@ -218,17 +221,14 @@ def discount_codes(t) -> DataFrame:
 
 @_fixture
 def discount_codes_for_order(t) -> DataFrame:
-    return (t.lineitem.where((F.col("l_linenumber") == 1) & (F.col("l_discount") > 0))
-            .select(F.col("l_orderkey").alias("order_id"),
-                    (F.round(F.col("l_discount") * 100).cast("bigint") + 1).alias("discount_code_id"))
+    return (t.lineitem.select(F.col("l_orderkey").alias("order_id"),
+                              (F.round(F.col("l_discount") * 100).cast("bigint") + 1).alias("discount_code_id"))
             .distinct())
 
 
 @_fixture
 def products_in_basket(t) -> DataFrame:
-    li = t.lineitem.where(F.col("l_partkey") % 7 == 0)
-    o = t.orders.where(F.col("o_orderstatus") == "O")
-    return (li.join(o, F.col("o_orderkey") == F.col("l_orderkey"))
+    return (t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
             .groupBy(F.col("o_custkey").alias("customer_id"), F.col("l_partkey").alias("product_id"))
             .agg(F.max(F.col("l_quantity").cast("bigint")).alias("quantity")))
 
@@ -278,8 +278,7 @@ def basket_events(t) -> DataFrame:
 
 @_fixture
 def review_submissions(t) -> DataFrame:
-    li = t.lineitem.where(F.col("l_returnflag") == "R")
-    return (li.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).select(
+    return (t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
         F.col("o_custkey").alias("customer_id"),
         F.when(F.col("l_orderkey") % 11 == 0, F.col("l_partkey") + 1).otherwise(F.col("l_partkey")).alias("product_id"),
@@ -291,13 +290,15 @@ def review_submissions(t) -> DataFrame:
 
 @_fixture
 def product_questions(t) -> DataFrame:
-    c = t.conversations
-    return (c.where((F.col("turn") == 0) & (F.col("role") == "user")).select(
+    # A conversation asks with its first user turn, whatever comes before it.
+    first = (t.conversations.where(F.col("role") == "user").groupBy("conv_id")
+             .agg(F.min_by("text", F.struct("turn", "text")).alias("question")))
+    return first.select(
         F.col("conv_id").alias("id"),
         (F.col("conv_id") % 200).alias("product_id"),
         (F.col("conv_id") % 150).alias("asked_by"),
-        F.col("text").alias("question"),
-    ))
+        "question",
+    )
 
 
 @_fixture

@@ -117,13 +117,8 @@ SELECT {out_cols}, CASE WHEN {ok} THEN 'OK' ELSE 'DOES_NOT_EXIST' END AS outcome
 K = "CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT)"
 
 
-def _event_pairs(kind):
-    return f"SELECT event_id AS seq, user_id AS customer_id, {K} AS product_id FROM events WHERE event_type = '{kind}'"
-
-
-def _votes(kind):
-    return (f"SELECT event_id AS seq, {K} * 1000 + 1 AS answer_id, user_id AS customer_id, value >= 20 AS helpful "
-            f"FROM events WHERE event_type = '{kind}'")
+_EVENT_PAIRS = f"SELECT event_id AS seq, user_id AS customer_id, {K} AS product_id FROM events"
+_VOTES = f"SELECT event_id AS seq, {K} * 1000 + 1 AS answer_id, user_id AS customer_id, value >= 20 AS helpful FROM events"
 
 
 SUBMISSIONS = """
@@ -344,12 +339,12 @@ SQL["record_views_table"] = (f"SELECT customer_id, product_id, date_viewed FROM
 # The stream begins with an empty history and takes the views as they are.
 SQL["stream_record_views"] = (f"SELECT customer_id, product_id, date_viewed FROM "
                               f"({_views('(SELECT * FROM product_view_history WHERE false)', '0')}) x WHERE outcome = 'OK'")
-SQL["remove_views"] = w3(_event_pairs("error"), "product_view_history", ["customer_id", "product_id"],
+SQL["remove_views"] = w3(_EVENT_PAIRS, "product_view_history", ["customer_id", "product_id"],
                          "seq, customer_id, product_id")
-SQL["favourite_set"] = w1(_event_pairs("view"), "customer_favourite_products", ["customer_id", "product_id"],
+SQL["favourite_set"] = w1(_EVENT_PAIRS, "customer_favourite_products", ["customer_id", "product_id"],
                           [("product_id", "products", "id"), ("customer_id", "customer_accounts", "id")],
                           "seq, customer_id, product_id")
-SQL["favourite_remove"] = w3(_event_pairs("signup"), "customer_favourite_products", ["customer_id", "product_id"],
+SQL["favourite_remove"] = w3(_EVENT_PAIRS, "customer_favourite_products", ["customer_id", "product_id"],
                              "seq, customer_id, product_id")
 
 # ---- reviews
@@ -386,27 +381,27 @@ FROM g
 
 # ---- answer ratings, questions, answers
 _RATING_FKS = [("answer_id", "product_question_answers", "id"), ("customer_id", "customer_accounts", "id")]
-SQL["answer_rating_add"] = w1(_votes("purchase"), "product_question_answers_rating", ["answer_id", "customer_id"],
+SQL["answer_rating_add"] = w1(_VOTES, "product_question_answers_rating", ["answer_id", "customer_id"],
                               _RATING_FKS, "seq, answer_id, customer_id, helpful")
-SQL["answer_rating_change"] = w2(_votes("signup"), "product_question_answers_rating", ["answer_id", "customer_id"],
+SQL["answer_rating_change"] = w2(_VOTES, "product_question_answers_rating", ["answer_id", "customer_id"],
                                  [], "seq, answer_id, customer_id, helpful")
-SQL["answer_rating_remove"] = w3(_votes("error"), "product_question_answers_rating", ["answer_id", "customer_id"],
+SQL["answer_rating_remove"] = w3(_VOTES, "product_question_answers_rating", ["answer_id", "customer_id"],
                                  "seq, answer_id, customer_id")
 
 
-def _conv(turn, role, cols):
-    return f"SELECT conv_id * 1000 + turn AS seq, {cols} FROM conversations WHERE turn = {turn} AND role = '{role}'"
+def _conv(role, cols):
+    return f"SELECT conv_id * 1000 + turn AS seq, {cols} FROM conversations WHERE role = '{role}'"
 
 
 SQL["question_ask"] = w1(
-    _conv(2, "user", "conv_id % 2500 AS product_id, conv_id % 1600 AS asked_by, text AS question"),
+    _conv("user", "conv_id % 2500 AS product_id, conv_id % 1600 AS asked_by, text AS question"),
     "product_questions", None, [("product_id", "products", "id"), ("asked_by", "customer_accounts", "id")],
     "seq, product_id, asked_by", "(SELECT coalesce(max(id), 0) FROM product_questions) + seq")
-SQL["question_edit"] = w2(_conv(2, "user", "conv_id + 1 AS id, text AS question"), "product_questions", ["id"],
+SQL["question_edit"] = w2(_conv("user", "conv_id + 1 AS id, text AS question"), "product_questions", ["id"],
                           [], "seq, id")
-SQL["question_delete"] = w3(_conv(1, "assistant", "conv_id * 2 AS id"), "product_questions", ["id"], "seq, id")
+SQL["question_delete"] = w3(_conv("assistant", "conv_id * 2 AS id"), "product_questions", ["id"], "seq, id")
 SQL["answer_insert"] = w1(
-    _conv(3, "assistant", "conv_id AS question_id, conv_id % 20 AS answered_by, text AS answer"),
+    _conv("assistant", "conv_id AS question_id, conv_id % 20 AS answered_by, text AS answer"),
     "product_question_answers", None,
     [("question_id", "product_questions", "id"), ("answered_by", "accounts", "id")],
     "seq, question_id, answered_by", "(SELECT coalesce(max(id), 0) FROM product_question_answers) + seq")

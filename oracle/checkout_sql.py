@@ -130,23 +130,27 @@ FROM (SELECT DISTINCT customer_id FROM req) r LEFT JOIN lists l ON l.customer_id
 # Baskets one at a time, in the order of the customers, carrying what is left of each product.
 SERIAL = f"""
 WITH RECURSIVE {CATALOG},
-ids AS (SELECT list(product_id ORDER BY product_id) AS ids, list(amount::BIGINT ORDER BY product_id) AS amounts
-        FROM product_stock_levels WHERE product_id IN (SELECT product_id FROM products_in_basket)),
-wants AS (SELECT b.customer_id, b.product_id, sum(b.quantity)::BIGINT AS q, min(c.available) AS flag
-          FROM products_in_basket b LEFT JOIN catalog c ON c.id = b.product_id GROUP BY ALL),
-req AS (SELECT customer_id, row_number() OVER (ORDER BY customer_id) AS rn, coalesce(bool_or(NOT flag), false) AS bad,
-               map(list(product_id), list(q)) AS wanted FROM wants GROUP BY customer_id),
-need AS (SELECT rn, customer_id, bad, list_transform(ids.ids, lambda p: coalesce(wanted[p], 0)) AS need FROM req, ids),
+places AS (SELECT product_id, amount::BIGINT AS amount, row_number() OVER (ORDER BY product_id) AS place
+           FROM product_stock_levels WHERE product_id IN (SELECT product_id FROM products_in_basket)),
+wants AS (SELECT b.customer_id, p.place, sum(b.quantity)::BIGINT AS q, min(c.available) AS flag
+          FROM products_in_basket b LEFT JOIN catalog c ON c.id = b.product_id LEFT JOIN places p ON p.product_id = b.product_id
+          GROUP BY b.customer_id, b.product_id, p.place),
+req AS MATERIALIZED (
+  SELECT customer_id, row_number() OVER (ORDER BY customer_id) AS rn, coalesce(bool_or(NOT flag), false) AS bad,
+         coalesce(list(struct_pack(place := place, q := q)) FILTER (place IS NOT NULL), []) AS lines,
+         map(coalesce(list(place) FILTER (place IS NOT NULL), []), coalesce(list(q) FILTER (place IS NOT NULL), [])) AS wanted
+  FROM wants GROUP BY customer_id),
 walk(rn, amounts, customer_id, allocated) AS (
-  SELECT CAST(0 AS BIGINT), amounts, CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN) FROM ids
+  SELECT CAST(0 AS BIGINT), list(amount ORDER BY place), CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN) FROM places
   UNION ALL
-  SELECT n.rn, CASE WHEN j.ok THEN list_transform(list_zip(w.amounts, n.need), lambda x: x[1] - x[2]) ELSE w.amounts END, n.customer_id, j.ok
-  FROM walk w JOIN need n ON n.rn = w.rn + 1,
-  LATERAL (SELECT NOT n.bad AND len(list_filter(list_zip(w.amounts, n.need), lambda x: x[2] > 0 AND x[2] > x[1])) = 0 AS ok) j
+  SELECT n.rn, CASE WHEN j.ok THEN list_transform(w.amounts, lambda x, i: x - coalesce(n.wanted[i], 0)) ELSE w.amounts END, n.customer_id, j.ok
+  FROM walk w JOIN req n ON n.rn = w.rn + 1,
+  LATERAL (SELECT NOT n.bad AND len(list_filter(n.lines, lambda x: x.q > w.amounts[x.place])) = 0 AS ok) j
 )
 """
 SQL["checkout_serial"] = SERIAL + "SELECT customer_id, allocated FROM walk WHERE rn > 0"
 SQL["checkout_serial_stock"] = SERIAL + """,
-last AS (SELECT unnest(ids.ids) AS product_id, unnest(w.amounts) AS amount FROM ids, walk w WHERE w.rn = (SELECT max(rn) FROM walk))
-SELECT s.product_id, coalesce(l.amount, s.amount) AS amount FROM product_stock_levels s LEFT JOIN last l ON l.product_id = s.product_id
+taken AS (SELECT customer_id FROM walk WHERE rn > 0 AND allocated),
+used AS (SELECT b.product_id, sum(b.quantity) AS quantity FROM products_in_basket b JOIN taken USING (customer_id) GROUP BY b.product_id)
+SELECT s.product_id, CAST(s.amount - coalesce(u.quantity, 0) AS BIGINT) AS amount FROM product_stock_levels s LEFT JOIN used u ON u.product_id = s.product_id
 """

@@ -22,10 +22,10 @@ FIXTURE_SQL: dict[str, str] = {
         'SELECT b.id AS product_id, t.id AS type_id FROM base_products b JOIN product_types t ON t.type=b.p_type UNION ALL SELECT b.id, t.id % 6 + 1 FROM base_products b JOIN product_types t ON t.type=b.p_type WHERE b.id % 2 = 0'
     ),
     "products": (
-        "SELECT p.p_partkey AS id, p.p_name AS name, CASE WHEN p.p_partkey % 5 = 0 THEN NULL ELSE concat('A ',p.p_name) END AS description, b.id AS base_product_id, p.p_partkey % 10 <> 0 AS available FROM part p JOIN base_products b ON b.p_brand=p.p_brand AND b.p_type=p.p_type"
+        "SELECT p.p_partkey AS id, p.p_name AS name, CASE WHEN p.p_partkey % 5 = 0 THEN NULL ELSE concat('A ',p.p_name) END AS description, b.id AS base_product_id, p.p_partkey % 200 <> 0 AS available FROM part p JOIN base_products b ON b.p_brand=p.p_brand AND b.p_type=p.p_type"
     ),
     "product_stock_levels": (
-        'SELECT p_partkey AS product_id, cast(p_size as bigint) AS amount FROM part WHERE p_partkey % 97 <> 0'
+        'SELECT p_partkey AS product_id, CASE WHEN p_partkey % 97 <> 0 THEN (cast(p_size as bigint)-1)*50 END AS amount FROM part'
     ),
     "price_change_log": (
         'SELECT l_partkey AS product_id, cast(l_shipdate as date) AS date_active_from, cast(round(l_extendedprice/l_quantity*100) as bigint) AS price_cents, l_orderkey AS seq_order, l_linenumber AS seq_line FROM lineitem'
@@ -46,7 +46,7 @@ FIXTURE_SQL: dict[str, str] = {
         'SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation WHERE n_regionkey <> 4'
     ),
     "shipping_addresses": (
-        "SELECT c_custkey*10 AS id, c_custkey AS customer_id, concat('A',c_custkey % 100) AS area_code, c_name AS first_address_line, cast(NULL as varchar(9)) AS second_address_line, c_mktsegment AS state, CAST(c_nationkey AS BIGINT) AS country_id FROM customer WHERE c_custkey % 13 <> 0 UNION ALL SELECT c_custkey*10+1, c_custkey, concat('B',c_custkey % 100), c_name, 'Flat 2', c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 3 = 0"
+        "SELECT CASE WHEN c_custkey % 13 = 0 THEN c_custkey*10+5 ELSE c_custkey*10 END AS id, c_custkey AS customer_id, concat('A',c_custkey % 100) AS area_code, c_name AS first_address_line, cast(NULL as varchar(9)) AS second_address_line, c_mktsegment AS state, CAST(c_nationkey AS BIGINT) AS country_id FROM customer UNION ALL SELECT c_custkey*10+1, c_custkey, concat('B',c_custkey % 100), c_name, 'Flat 2', c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 3 = 0"
     ),
     "default_shipping_address": (
         'SELECT customer_id, max(id) AS shipping_address_id FROM shipping_addresses WHERE customer_id % 2 = 0 GROUP BY customer_id'
@@ -64,10 +64,10 @@ FIXTURE_SQL: dict[str, str] = {
         "SELECT pct+1 AS id, concat('D',pct) AS code, pct*100 AS percent_bp, CASE WHEN pct % 4 = 0 THEN -1 WHEN pct % 4 = 1 THEN 0 ELSE pct*100 END AS number_of_uses, pct % 5 <> 0 AS active, pct % 3 <> 0 AS stackable FROM (SELECT DISTINCT cast(round(l_discount*100) as bigint) AS pct FROM lineitem) t"
     ),
     "discount_codes_for_order": (
-        'SELECT DISTINCT l_orderkey AS order_id, cast(round(l_discount*100) as bigint)+1 AS discount_code_id FROM lineitem WHERE l_linenumber=1 AND l_discount > 0'
+        'SELECT DISTINCT l_orderkey AS order_id, cast(round(l_discount*100) as bigint)+1 AS discount_code_id FROM lineitem'
     ),
     "products_in_basket": (
-        "SELECT o_custkey AS customer_id, l_partkey AS product_id, max(cast(l_quantity as bigint)) AS quantity FROM lineitem JOIN orders ON o_orderkey=l_orderkey WHERE o_orderstatus='O' AND l_partkey % 7 = 0 GROUP BY o_custkey, l_partkey"
+        "SELECT o_custkey AS customer_id, l_partkey AS product_id, max(cast(l_quantity as bigint)) AS quantity FROM lineitem JOIN orders ON o_orderkey=l_orderkey GROUP BY o_custkey, l_partkey"
     ),
     "checkout_requests": (
         "SELECT customer_id AS request_id, customer_id, customer_id*10 AS shipping_address_id, concat('D',customer_id % 12) AS code_1, CASE WHEN customer_id % 4 = 0 THEN concat('D',(customer_id+3) % 12) WHEN customer_id % 4 = 1 THEN concat('D',customer_id % 12) ELSE NULL END AS code_2 FROM (SELECT DISTINCT customer_id FROM products_in_basket) t"
@@ -85,10 +85,10 @@ FIXTURE_SQL: dict[str, str] = {
         "SELECT event_id, ts, user_id AS customer_id, cast(regexp_extract(props,'[0-9]+',0) as bigint) % 20 AS product_id, CASE event_type WHEN 'click' THEN 'add' WHEN 'signup' THEN 'update' WHEN 'error' THEN 'remove' WHEN 'purchase' THEN 'clear' END AS op, 1 + event_id % 5 AS quantity FROM events WHERE event_type <> 'view'"
     ),
     "review_submissions": (
-        "SELECT l_orderkey*10+l_linenumber AS seq, o_custkey AS customer_id, CASE WHEN l_orderkey % 11 = 0 THEN l_partkey+1 ELSE l_partkey END AS product_id, round(l_discount*100) + 0.5*(l_linenumber % 3) AS rating, concat('review ',l_returnflag,' ',l_linenumber) AS review, cast(l_shipdate as date) AS created_on FROM lineitem JOIN orders ON o_orderkey=l_orderkey WHERE l_returnflag='R'"
+        "SELECT l_orderkey*10+l_linenumber AS seq, o_custkey AS customer_id, CASE WHEN l_orderkey % 11 = 0 THEN l_partkey+1 ELSE l_partkey END AS product_id, round(l_discount*100) + 0.5*(l_linenumber % 3) AS rating, concat('review ',l_returnflag,' ',l_linenumber) AS review, cast(l_shipdate as date) AS created_on FROM lineitem JOIN orders ON o_orderkey=l_orderkey"
     ),
     "product_questions": (
-        "SELECT conv_id AS id, conv_id % 200 AS product_id, conv_id % 150 AS asked_by, text AS question FROM conversations WHERE turn=0 AND role='user'"
+        "SELECT conv_id AS id, conv_id % 200 AS product_id, conv_id % 150 AS asked_by, text AS question FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS rn FROM conversations WHERE role='user') t WHERE rn=1"
     ),
     "product_question_answers": (
         "SELECT conv_id*1000+turn AS id, conv_id AS question_id, conv_id % 10 AS answered_by, text AS answer FROM conversations WHERE role='assistant'"
