@@ -2,7 +2,8 @@
 
 A request takes all of its lines or none: it is allocated when every line's quantity
 is at most what is left of the product, and then uses it up. A refused request leaves
-its stock to later ones, so no running sum over all requests decides it. Blocks of
+its stock to later ones, so no running sum over all requests decides it. What no order can
+change is decided first, by aggregates (``_undisputed``). Of the rest, blocks of
 requests are replayed from the amounts that are left when they begin (``replay.py``).
 """
 
@@ -27,9 +28,11 @@ def serial_allocation(lines: DataFrame, stock: DataFrame) -> DataFrame:
     a flag that is false; an unknown amount, quantity or flag lets it pass. Repeated
     lines of a product add up.
     """
-    wanted_lines = lines.groupBy("request_id", "product_id").agg(F.sum("quantity").cast("bigint").alias("quantity"), F.min("available").alias("available"))
-    rows, blocks = in_blocks(wanted_lines, "request_id", BLOCK_LINES)
-    wanted = rows.where("product_id is not null").select("block", "product_id").distinct()
+    wanted_lines = materialize(lines.groupBy("request_id", "product_id").agg(F.sum("quantity").cast("bigint").alias("quantity"), F.min("available").alias("available")))
+    refused, contended = _undisputed(wanted_lines, stock)
+    # Few lines are left, each a decision that matters: smaller blocks keep more tasks busy.
+    rows, blocks = in_blocks(contended, "request_id", -(-BLOCK_LINES // 4))
+    wanted = rows.select("block", "product_id").distinct()
     amounts = cut_to_keys(stock.where("amount is not null").select("product_id", F.col("amount").cast("bigint").alias("amount")), wanted, ["product_id"])
     if blocks > 1:
         wanted, amounts = materialize(wanted), materialize(amounts)
@@ -42,7 +45,30 @@ def serial_allocation(lines: DataFrame, stock: DataFrame) -> DataFrame:
         before = wanted.join(used, ["block", "product_id"], "left").select("block", "product_id", F.coalesce(F.sum("used").over(earlier), F.lit(0)).alias("used"))
         return before.join(amounts, "product_id").select("block", "product_id", (F.col("amount") - F.col("used")).alias("left"))
 
-    return settle(rows, blocks, opening, _replay, left).select("request_id", "allocated")
+    disputed = settle(rows, blocks, opening, _replay, left).select("request_id", F.col("allocated").alias("gets"))
+    return (wanted_lines.select("request_id").distinct().join(refused.withColumn("refused", F.lit(True)), "request_id", "left")
+            .join(disputed, "request_id", "left")
+            .select("request_id", (F.col("refused").isNull() & F.coalesce("gets", F.lit(True))).alias("allocated")))
+
+
+def _undisputed(wanted_lines: DataFrame, stock: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What needs no order: the requests (request_id) that are refused whenever they come,
+    and the lines of the others whose product may run out.
+
+    A line is refused at any time when its flag is false, or when it asks for more than
+    the amount and all that negative quantities could give back. A product that holds
+    what all other requests ask for together refuses none of them.
+    """
+    gains = wanted_lines.where("quantity < 0").groupBy("product_id").agg(F.sum(-F.col("quantity")).alias("gain"))
+    amounts = stock.where("amount is not null").groupBy("product_id").agg(F.max(F.col("amount").cast("bigint")).alias("amount"))
+    limits = amounts.join(gains, "product_id", "left").select("product_id", "amount", (F.col("amount") + F.coalesce("gain", F.lit(0))).alias("most"))
+    known = materialize(wanted_lines.join(limits, "product_id", "left"))
+    never = (F.col("available") == F.lit(False)) | (F.col("quantity") > F.col("most"))
+    refused = materialize(known.where(never).select("request_id").distinct())
+    open_lines = materialize(known.where("quantity is not null and amount is not null").join(refused, "request_id", "left_anti"))
+    scarce = (open_lines.groupBy("product_id").agg(F.sum(F.greatest("quantity", F.lit(0))).alias("asked"), F.max("amount").alias("amount"))
+              .where("asked > amount"))
+    return refused, cut_to_keys(open_lines, scarce, ["product_id"]).select("request_id", "product_id", "quantity", "available")
 
 
 def _replay(rows: DataFrame, state: DataFrame) -> DataFrame:

@@ -30,3 +30,26 @@ def test_serial_allocation_matches_loop(spark, monkeypatch, seed, size):
                                        spark.createDataFrame(list(stock.items()), "product_id bigint, amount int"))
     assert {r.request_id: r.allocated for r in got.collect()} == want
     assert 0 < sum(want.values()) < len(want) and (size > 1000) == (len(rounds) == 1)
+
+
+def test_only_lines_that_order_decides_are_replayed(spark, monkeypatch):
+    seen = []
+
+    def in_blocks(rows, order, size, real=allocation.in_blocks):
+        seen.extend((r.request_id, r.product_id) for r in rows.collect())
+        return real(rows, order, size)
+
+    monkeypatch.setattr(allocation, "in_blocks", in_blocks)
+    lines = [(1, 1, 3, True), (2, 1, 3, True), (2, 2, 9, True), (3, 1, 3, True), (4, 1, 4, False), (5, 3, 2, True), (6, 3, 2, None), (6, 4, 1, True), (7, 3, 1, True), (8, 5, 2, True)]
+    stock = [(1, 6), (2, 8), (3, 3), (5, None)]
+    got = allocation.serial_allocation(spark.createDataFrame(lines, "request_id bigint, product_id bigint, quantity bigint, available boolean"),
+                                       spark.createDataFrame(stock, "product_id bigint, amount bigint"))
+    assert {r.request_id: r.allocated for r in got.collect()} == {1: True, 2: False, 3: True, 4: False, 5: True, 6: False, 7: True, 8: True}
+    assert sorted(seen) == [(5, 3), (6, 3), (7, 3)]
+
+
+def test_stock_that_a_negative_quantity_gives_back_is_counted(spark):
+    lines = [(1, 1, -4, True), (2, 1, 7, True), (3, 1, 5, True)]
+    got = allocation.serial_allocation(spark.createDataFrame(lines, "request_id bigint, product_id bigint, quantity bigint, available boolean"),
+                                       spark.createDataFrame([(1, 4)], "product_id bigint, amount bigint"))
+    assert {r.request_id: r.allocated for r in got.collect()} == {1: True, 2: True, 3: False}
