@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import cents_to_amount
-from .joins import cut_to_keys, few_keys, measured
+from .joins import cut_if_few, cut_to_keys, few_keys, measured
 from .scan import Running, running
 
 # Column sets the reference returns.
@@ -78,11 +78,13 @@ def product_catalog(tables, as_of, ids: DataFrame | None = None) -> DataFrame:
 
     LEFT joins throughout: a product without base, brand, stock row or price
     keeps its row with NULLs. With ``ids`` the products, stock rows and the price log
-    are cut to them first, so for a few ids none of the three is exchanged.
+    are cut to them first, so for a few ids none of the three is exchanged. For more ids
+    than one broadcast holds, only the products are: the stock rows and the price log
+    meet them in the joins that they need anyway.
     """
     if ids is not None:
         asked = few_keys(ids, ["product_id"])["product_id"]
-        cut = {n: getattr(tables, n).join(asked, "product_id", "left_semi") for n in ("product_stock_levels", "product_prices")}
+        cut = {n: cut_if_few(getattr(tables, n), asked, "product_id") for n in ("product_stock_levels", "product_prices")}
         tables = tables.with_tables(products=tables.products.join(asked.withColumnRenamed("product_id", "id"), "id", "left_semi"), **cut)
     p = tables.products
     b = tables.base_products.select(F.col("id").alias("_base_id"), "brand_id")

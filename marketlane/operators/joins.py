@@ -48,7 +48,21 @@ def few_keys(batch: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
         return {}
     counts = batch.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).first()
     sides = {c: batch.select(c).where(F.col(c).isNotNull()).distinct() for c in columns}
-    return {c: F.broadcast(side) if 1.1 * counts[c] <= BROADCAST_ROWS else side for c, side in sides.items()}
+    few = {c: F.broadcast(side) for c, side in sides.items() if 1.1 * counts[c] <= BROADCAST_ROWS}
+    for side in few.values():
+        side.__dict__["_few"] = True
+    return sides | few
+
+
+def cut_if_few(big: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """``big`` cut to ``keys`` (a side of ``few_keys``) where they are within the limits, else
+    whole: for a join on the keys that follows, which then is the only exchange of ``big``."""
+    return big.join(keys, on, "left_semi") if keys.__dict__.get("_few") else big
+
+
+def many_keys(batch: DataFrame, on: list[str]) -> bool:
+    """Whether ``batch`` has more values of ``on`` than one broadcast may hold."""
+    return 1.1 * batch.agg(F.approx_count_distinct(F.xxhash64(*on), 0.02)).first()[0] > BROADCAST_ROWS
 
 
 def cut_to_keys(big: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

@@ -93,8 +93,10 @@ def bulk_checkout(tables, requests: DataFrame, as_of, now, strict: bool = False,
     # Availability and prices are needed for the requesting customers' lines
     # only; the purge below still applies to every basket (by product).
     requesting = requests.select("customer_id").distinct()
-    lines = o.basket_check(tables.with_tables(
-        products_in_basket=tables.products_in_basket.join(requesting, "customer_id", "left_semi")), as_of)
+    asked = tables.products_in_basket.join(requesting, "customer_id", "left_semi")
+    if materialize:
+        asked = session.materialize(asked)  # counted, cut to and checked by the basket check
+    lines = o.basket_check(tables.with_tables(products_in_basket=asked), as_of)
     if materialize:
         lines = session.materialize(lines)
     verdict = o.basket_verdict(lines, strict)  # customers with at least one line

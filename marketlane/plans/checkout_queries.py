@@ -61,7 +61,14 @@ def q_checkout_serial_stock(t):
     return o.stock_after(t.product_stock_levels, lines.join(taken, "request_id", "left_semi"))
 
 
+def _baskets_once(t):
+    """The tables with the stand-in baskets written once: the requests, the checks and the
+    outputs all read them."""
+    return t.with_tables(products_in_basket=session.materialize(t.products_in_basket))
+
+
 def _checkout(t):
+    t = _baskets_once(t)
     return bulk_checkout(t, checkout_requests_with_codes(t), AS_OF, NOW)
 
 
@@ -104,5 +111,6 @@ def q_checkout_basket(t):
 def q_checkout_feed_messages(t):
     from ..streaming.basket_feed import checkout_messages
 
-    req = checkout_requests_with_codes(t)
-    return checkout_messages(_checkout(t).basket, req)
+    t = _baskets_once(t)
+    req = session.materialize(checkout_requests_with_codes(t))
+    return checkout_messages(bulk_checkout(t, req, AS_OF, NOW).basket, req)

@@ -108,6 +108,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def materialize(df):
     """Write ``df`` once to the shared checkpoint folder and continue from there
     (``DataFrame.checkpoint``: reliable, cuts the lineage, survives executor
-    loss). Used where several outputs read the same intermediate."""
+    loss). Used where several outputs read the same intermediate. A frame that was
+    written here before is returned as it is."""
+    if df.__dict__.get("_held"):
+        return df
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.checkpoint(eager=True)
+    held.__dict__["_held"] = True
+    return held

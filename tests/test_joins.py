@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from marketlane.operators import changes as W
 from marketlane.operators import joins
+from marketlane.session import materialize
 
 
 def _plan(df) -> str:
@@ -62,3 +63,17 @@ def test_one_basket_exchanges_no_large_table(spark):
     ranked = community.answers_ranked(t, question)
     assert "LeftSemi" in ranked._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in ranked.collect()} == {tuple(r) for r in community.answers_ranked(t).where(F.col("question_id") == question).collect()}
+
+
+def test_many_keys_leave_the_large_side_whole(spark, monkeypatch):
+    big, batch = spark.range(50).withColumnRenamed("id", "k"), spark.range(20).withColumnRenamed("id", "k")
+    few = joins.few_keys(batch, ["k"])["k"]
+    assert joins.cut_if_few(big, few, "k").count() == 20 and not joins.many_keys(batch, ["k"])
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 5)
+    many = joins.few_keys(batch, ["k"])["k"]
+    assert joins.cut_if_few(big, many, "k") is big and joins.many_keys(batch, ["k"])
+
+
+def test_an_intermediate_is_written_once(spark):
+    held = materialize(spark.range(3))
+    assert materialize(held) is held
