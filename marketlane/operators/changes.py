@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.outcomes import CONFLICT, DOES_NOT_EXIST, FOREIGN_KEY_VIOLATION, OK
 from ..functions.text import trim_text
 from ..session import materialize
-from .joins import cut_to_keys, few_keys
+from .joins import cut_to_keys, few_keys, many_keys
 from .unique import unique_conflicts
 
 
@@ -69,12 +69,15 @@ def _with_fk_checks(batch: DataFrame, fks: dict | None) -> DataFrame:
     return b.drop(*[f"_w_fk_hit{i}" for i in range(len(fks or {}))])
 
 
-def _key_present(df: DataFrame, table: DataFrame, key: list[str], flag: str) -> DataFrame:
+def _key_present(df: DataFrame, table: DataFrame, key: list[str], flag: str, batch: DataFrame | None = None) -> DataFrame:
     """Left-join a presence flag: is the row's key in ``table``. The table is
-    first cut to the batch's keys (``cut_to_keys``), then made distinct."""
+    first cut to the batch's keys (``cut_to_keys``), then made distinct; for more keys than
+    one broadcast holds the cut would exchange the table once more, and is left out.
+    ``batch``: what ``df`` was made of, where that is less work to read."""
     nn = _all([F.col(k).isNotNull() for k in key])
-    marks = (cut_to_keys(table.select(*key), df.where(nn), key).distinct()
-             .withColumn(flag, F.lit(True)))
+    asked = (df if batch is None else batch).where(nn).select(*key)
+    held = table.select(*key)
+    marks = (held if many_keys(asked, key) else cut_to_keys(held, asked, key)).distinct().withColumn(flag, F.lit(True))
     return df.join(marks, key, "left")
 
 
@@ -94,7 +97,7 @@ def insert_rows(target: DataFrame, batch: DataFrame, unique: list[str] | None =
     fk_ok = F.col("_w_fk_ok")
     if unique:
         key_nn = _all([F.col(k).isNotNull() for k in unique])
-        b = _key_present(b, target, unique, "_w_taken")
+        b = _key_present(b, target, unique, "_w_taken", batch)
         taken = F.col("_w_taken").isNotNull()
         first = (b.where(fk_ok & ~taken & key_nn).groupBy(*unique)
                  .agg(F.min("seq").alias("_w_first")))

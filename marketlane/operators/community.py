@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import cut_to_keys, few_keys
+from .joins import cut_if_few, cut_to_keys, few_keys
 
 
 def product_reviews(reviews: DataFrame, product_id: int | None = None) -> DataFrame:
@@ -101,10 +101,11 @@ def review_intake(tables, reviews: DataFrame, submissions: DataFrame, materializ
         # The batch is read by the gate, the insert and the outcome merge.
         submissions = _materialize(submissions)
     # Purchase gate: orders are cut to the batch's customers and lines to its products
-    # before they meet, so the order history is neither exchanged nor deduplicated.
+    # before they meet, so the order history is neither exchanged nor deduplicated; with
+    # more of them than one broadcast holds, the exchange to cut them is left out.
     asked = few_keys(submissions, ["customer_id", "product_id"])
-    orders = tables.shop_orders.select("id", "customer_id").join(asked["customer_id"], "customer_id", "left_semi")
-    lines = tables.product_orders.select(F.col("order_id").alias("id"), "product_id").join(asked["product_id"], "product_id", "left_semi")
+    orders = cut_if_few(tables.shop_orders.select("id", "customer_id"), asked["customer_id"], "customer_id")
+    lines = cut_if_few(tables.product_orders.select(F.col("order_id").alias("id"), "product_id"), asked["product_id"], "product_id")
     wanted = submissions.select("customer_id", "product_id").distinct()
     bought = (lines.join(orders, "id").join(wanted, ["customer_id", "product_id"], "left_semi")
               .select("customer_id", "product_id").distinct().withColumn("_r_bought", F.lit(True)))

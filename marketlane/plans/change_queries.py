@@ -293,14 +293,14 @@ def _submissions(t):
     group needs (100 at least)."""
     from pyspark.sql import Window
 
-    s = t.review_submissions
+    s = materialize(t.review_submissions)       # counted, then numbered
     w = Window.partitionBy("seq").orderBy("customer_id", "product_id", "rating", "review", "created_on")
     stride = s.groupBy("seq").count().select(F.greatest(F.max("count"), F.lit(100)).alias("_m")).scalar()
-    return s.withColumn("seq", F.col("seq") * stride + F.row_number().over(w) - 1)
+    return materialize(s.withColumn("seq", F.col("seq") * stride + F.row_number().over(w) - 1))
 
 
-def _reviews(t):
-    return com.review_intake(t, com.empty_reviews(t.spark), _submissions(t))
+def _reviews(t, submissions):
+    return com.review_intake(t, com.empty_reviews(t.spark), submissions)
 
 
 def _earlier_reviews(submissions):
@@ -312,13 +312,13 @@ def _earlier_reviews(submissions):
 
 @register("review_intake")
 def q_review_intake(t):
-    submissions = materialize(_submissions(t))
+    submissions = _submissions(t)
     return com.review_intake(t, materialize(_earlier_reviews(submissions)), submissions).outcomes.select("seq", "customer_id", "product_id", "id", "outcome")
 
 
 @register("product_reviews")
 def q_product_reviews(t):
-    return com.product_reviews(_reviews(t).table)
+    return com.product_reviews(_reviews(t, _submissions(t)).table)
 
 
 @register("review_updates")
@@ -326,7 +326,7 @@ def q_review_updates(t):
     s = _submissions(t)
     batch = s.select("seq", (F.col("seq") - F.col("seq") % 1000 + 100).alias("id"), "customer_id",
                      (F.col("rating") + 1).alias("rating"), F.concat(F.col("review"), F.lit(" (edited)")).alias("review"))
-    return com.review_updates(_reviews(t).table, batch, AS_OF).outcomes.select("seq", "id", "customer_id", "outcome")
+    return com.review_updates(_reviews(t, s).table, batch, AS_OF).outcomes.select("seq", "id", "customer_id", "outcome")
 
 
 @register("review_deletes")
@@ -335,7 +335,7 @@ def q_review_deletes(t):
     batch = s.select("seq", (F.col("seq") - F.col("seq") % 1000 + 200).alias("id"),
                      F.when(F.col("seq") % 3 == 0, F.col("customer_id") + 1).otherwise(F.col("customer_id"))
                      .alias("customer_id"))
-    return com.review_deletes(_reviews(t).table, batch).outcomes
+    return com.review_deletes(_reviews(t, s).table, batch).outcomes
 
 
 # ---- answer ratings, questions, answers ------------------------------------------
