@@ -46,8 +46,10 @@ def serial_allocation(lines: DataFrame, stock: DataFrame) -> DataFrame:
         return before.join(amounts, "product_id").select("block", "product_id", (F.col("amount") - F.col("used")).alias("left"))
 
     disputed = settle(rows, blocks, opening, _replay, left).select("request_id", F.col("allocated").alias("gets"))
-    return (wanted_lines.select("request_id").distinct().join(refused.withColumn("refused", F.lit(True)), "request_id", "left")
-            .join(disputed, "request_id", "left")
+    refused = refused.select(F.col("request_id").alias("r"), F.lit(True).alias("refused"))
+    disputed = disputed.withColumnRenamed("request_id", "d")
+    return (wanted_lines.select("request_id").distinct().join(refused, F.col("request_id").eqNullSafe(F.col("r")), "left")
+            .join(disputed, F.col("request_id").eqNullSafe(F.col("d")), "left")
             .select("request_id", (F.col("refused").isNull() & F.coalesce("gets", F.lit(True))).alias("allocated")))
 
 
@@ -65,7 +67,7 @@ def _undisputed(wanted_lines: DataFrame, stock: DataFrame) -> tuple[DataFrame, D
     known = materialize(wanted_lines.join(limits, "product_id", "left"))
     never = (F.col("available") == F.lit(False)) | (F.col("quantity") > F.col("most"))
     refused = materialize(known.where(never).select("request_id").distinct())
-    open_lines = materialize(known.where("quantity is not null and amount is not null").join(refused, "request_id", "left_anti"))
+    open_lines = materialize(known.where("quantity is not null and amount is not null").join(refused.withColumnRenamed("request_id", "r"), F.col("request_id").eqNullSafe(F.col("r")), "left_anti"))
     scarce = (open_lines.groupBy("product_id").agg(F.sum(F.greatest("quantity", F.lit(0))).alias("asked"), F.max("amount").alias("amount"))
               .where("asked > amount"))
     return refused, cut_to_keys(open_lines, scarce, ["product_id"]).select("request_id", "product_id", "quantity", "available")

@@ -53,3 +53,10 @@ def test_stock_that_a_negative_quantity_gives_back_is_counted(spark):
     got = allocation.serial_allocation(spark.createDataFrame(lines, "request_id bigint, product_id bigint, quantity bigint, available boolean"),
                                        spark.createDataFrame([(1, 4)], "product_id bigint, amount bigint"))
     assert {r.request_id: r.allocated for r in got.collect()} == {1: True, 2: True, 3: False}
+
+
+def test_a_request_without_an_id_is_refused_as_others_are(spark):
+    lines = [(None, 1, 9, True), (2, 1, 3, True)]
+    got = allocation.serial_allocation(spark.createDataFrame(lines, "request_id bigint, product_id bigint, quantity bigint, available boolean"),
+                                       spark.createDataFrame([(1, 4)], "product_id bigint, amount bigint"))
+    assert {r.request_id: r.allocated for r in got.collect()} == {None: False, 2: True}
