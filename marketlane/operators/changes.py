@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.outcomes import CONFLICT, DOES_NOT_EXIST, FOREIGN_KEY_VIOLATION, OK
 from ..functions.text import trim_text
 from ..session import materialize
-from .joins import cut_to_keys, few_keys, many_keys
+from .joins import cut_if_few, cut_to_keys, few_keys, is_few, many_keys
 from .unique import unique_conflicts
 
 
@@ -59,10 +59,12 @@ def _with_fk_checks(batch: DataFrame, fks: dict | None) -> DataFrame:
         hit, tmp = f"_w_fk_hit{i}", f"_w_fk{i}"
         parents = parent.select(F.col(parent_col).alias(tmp))
         if col in asked:
-            known = parents.join(asked[col].withColumnRenamed(col, tmp), tmp, "left_semi")
+            known = cut_if_few(parents.withColumnRenamed(tmp, col), asked[col], col).withColumnRenamed(col, tmp)
         else:
             known = cut_to_keys(parents, batch.select(F.col(col).alias(tmp)).where(F.col(tmp).isNotNull()), [tmp])
         keys = known.distinct().withColumn(hit, F.lit(True))
+        if col in asked and not is_few(asked[col]):
+            keys = keys.hint("merge")
         b = b.join(keys, b[col] == keys[tmp], "left").drop(tmp)
         checks.append(F.col(col).isNull() | F.col(hit).isNotNull())
     b = b.withColumn("_w_fk_ok", _all(checks))
@@ -77,8 +79,9 @@ def _key_present(df: DataFrame, table: DataFrame, key: list[str], flag: str, bat
     nn = _all([F.col(k).isNotNull() for k in key])
     asked = (df if batch is None else batch).where(nn).select(*key)
     held = table.select(*key)
-    marks = (held if many_keys(asked, key) else cut_to_keys(held, asked, key)).distinct().withColumn(flag, F.lit(True))
-    return df.join(marks, key, "left")
+    many = many_keys(asked, key)
+    marks = (held if many else cut_to_keys(held, asked, key)).distinct().withColumn(flag, F.lit(True))
+    return df.join(marks.hint("merge") if many else marks, key, "left")
 
 
 def insert_rows(target: DataFrame, batch: DataFrame, unique: list[str] | None = None,
@@ -253,7 +256,9 @@ def insert_groups(parts: list[GroupPart], checkpoint: bool = True):
        an earlier row of the group), else FOREIGN_KEY_VIOLATION.
 
     Each round's state is checkpointed to the shared checkpoint folder, so the
-    lineage stays one round deep. Returns (tables: dict name -> DataFrame,
+    lineage stays one round deep. Both sides of every join grow with the batch, and the
+    planner takes a compressed file for a small table: the joins are marked sort-merge, so
+    no batch is broadcast through the driver. Returns (tables: dict name -> DataFrame,
     group outcomes ``group_id``, ``outcome``).
     """
     order = None
@@ -267,13 +272,13 @@ def insert_groups(parts: list[GroupPart], checkpoint: bool = True):
     judged_rows = []
     keyed = []
     for i, p in enumerate(parts):
-        rows = _with_fk_checks(p.rows.join(order, "group_id"), p.fks)
+        rows = _with_fk_checks(p.rows.join(order.hint("merge"), "group_id"), p.fks)
         if p.unique:
             key_nn = _all([F.col(k).isNotNull() for k in p.unique])
             rows = _key_present(rows, p.target, p.unique, "_w_taken")
             own_first = (rows.where(key_nn).groupBy("group_id", *p.unique)
                          .agg(F.min("seq").alias("_w_own_first")))
-            rows = rows.join(own_first, ["group_id", *p.unique], "left")
+            rows = rows.join(own_first.hint("merge"), ["group_id", *p.unique], "left")
             kcol = F.when(key_nn, F.to_json(F.struct(F.lit(i).alias("part"),
                                                      *[F.col(k) for k in p.unique])))
             rows = rows.select("group_id", "seq", "_w_order", "_w_fk_ok", kcol.alias("_w_key"),
@@ -291,25 +296,25 @@ def insert_groups(parts: list[GroupPart], checkpoint: bool = True):
     static_fail = (all_rows.where(~F.col("_w_fk_ok") | F.col("_w_static_conflict"))
                    .select("group_id").distinct())
     cand_keys = (all_rows.where(F.col("_w_key").isNotNull())
-                 .join(static_fail, "group_id", "left_anti")
+                 .join(static_fail.hint("merge"), "group_id", "left_anti")
                  .select("group_id", "_w_order", "_w_key").distinct())
-    undecided = order.join(static_fail, "group_id", "left_anti")
+    undecided = order.join(static_fail.hint("merge"), "group_id", "left_anti")
     accepted = None  # group_id, _w_order
 
     # Step 2: rounds over the groups that can still be accepted.
     while not undecided.isEmpty():
-        u_keys = cand_keys.join(undecided.select("group_id"), "group_id", "left_semi")
+        u_keys = cand_keys.join(undecided.select("group_id").hint("merge"), "group_id", "left_semi")
         first = u_keys.groupBy("_w_key").agg(F.min("_w_order").alias("_w_first"))
-        blocked = (u_keys.join(first, "_w_key").where(F.col("_w_first") < F.col("_w_order"))
+        blocked = (u_keys.join(first.hint("merge"), "_w_key").where(F.col("_w_first") < F.col("_w_order"))
                    .select("group_id").distinct())
-        ready = undecided.join(blocked, "group_id", "left_anti")
+        ready = undecided.join(blocked.hint("merge"), "group_id", "left_anti")
         # Groups that share a key with one accepted now are rejected in the same round.
-        held = u_keys.join(ready.select("group_id"), "group_id", "left_semi").select("_w_key").distinct()
-        met = u_keys.join(held, "_w_key", "left_semi").select("group_id").distinct()
+        held = u_keys.join(ready.select("group_id").hint("merge"), "group_id", "left_semi").select("_w_key").distinct()
+        met = u_keys.join(held.hint("merge"), "_w_key", "left_semi").select("group_id").distinct()
         new_acc = ready.select("group_id", "_w_order")
         accepted = new_acc if accepted is None else accepted.unionByName(new_acc)
-        undecided = (undecided.join(ready.select("group_id"), "group_id", "left_anti")
-                     .join(met, "group_id", "left_anti"))
+        undecided = (undecided.join(ready.select("group_id").hint("merge"), "group_id", "left_anti")
+                     .join(met.hint("merge"), "group_id", "left_anti"))
         if checkpoint:
             accepted = materialize(accepted)
             undecided = materialize(undecided)
@@ -319,9 +324,9 @@ def insert_groups(parts: list[GroupPart], checkpoint: bool = True):
         accepted = spark.createDataFrame([], "group_id bigint, _w_order bigint")
 
     # Step 3: outcomes from the accepted set.
-    acc_keys = (cand_keys.join(accepted.select("group_id"), "group_id", "left_semi")
+    acc_keys = (cand_keys.join(accepted.select("group_id").hint("merge"), "group_id", "left_semi")
                 .select("_w_key", F.col("_w_order").alias("_w_acc_order")))
-    rows = all_rows.join(acc_keys, "_w_key", "left")
+    rows = all_rows.join(acc_keys.hint("merge"), "_w_key", "left")
     taken_by_earlier = F.col("_w_acc_order").isNotNull() & (F.col("_w_acc_order") < F.col("_w_order"))
     fail = (F.when(F.col("_w_static_conflict") | taken_by_earlier, F.lit(CONFLICT))
             .when(~F.col("_w_fk_ok"), F.lit(FOREIGN_KEY_VIOLATION)))
@@ -332,6 +337,6 @@ def insert_groups(parts: list[GroupPart], checkpoint: bool = True):
     ok_groups = accepted.select("group_id")
     tables = {}
     for p in parts:
-        new = p.rows.join(ok_groups, "group_id", "left_semi").select(*p.target.columns)
+        new = p.rows.join(ok_groups.hint("merge"), "group_id", "left_semi").select(*p.target.columns)
         tables[p.name] = p.target.unionByName(new)
     return tables, decided

@@ -57,7 +57,12 @@ def few_keys(batch: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
 def cut_if_few(big: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """``big`` cut to ``keys`` (a side of ``few_keys``) where they are within the limits, else
     whole: for a join on the keys that follows, which then is the only exchange of ``big``."""
-    return big.join(keys, on, "left_semi") if keys.__dict__.get("_few") else big
+    return big.join(keys, on, "left_semi") if is_few(keys) else big
+
+
+def is_few(side: DataFrame) -> bool:
+    """Whether ``few_keys`` marked ``side`` for broadcast."""
+    return bool(side.__dict__.get("_few"))
 
 
 def many_keys(batch: DataFrame, on: list[str]) -> bool:
