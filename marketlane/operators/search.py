@@ -25,12 +25,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import english_tokens, harman_s_stem_py, word_tokens
 from .. import session
+from .joins import measured
 
 # Shortest accepted query (checked before trimming) and the
 # token pattern of the query language.
@@ -181,11 +183,22 @@ def parse_queries(queries: DataFrame) -> DataFrame:
     return kept.where(~F.col("is_or")).select("query_id", "branch", F.col("pos").alias("term"), "negated", "words")
 
 
-@dataclass
 class BatchSearch:
-    matches: DataFrame  # query_id, id, catalogue columns, rank, position: queries whose branches all hold a positive term
-    complement: DataFrame  # query_id, query, complement, excluded_id: the other queries match all products but these
-    rejected: DataFrame  # query_id, query, reason: too short, or without words
+    """The answers; ``matches`` and ``complement`` write intermediates and are made when asked for.
+    ``rejected``: query_id, query, reason (too short, or without words)."""
+
+    def __init__(self, matches, complement, rejected: DataFrame):
+        self._matches, self._complement, self.rejected = matches, complement, rejected
+
+    @cached_property
+    def matches(self) -> DataFrame:
+        """query_id, id, catalogue columns, rank, position: queries whose branches all hold a positive term"""
+        return self._matches()
+
+    @cached_property
+    def complement(self) -> DataFrame:
+        """query_id, query, complement, excluded_id: the other queries match all products but these"""
+        return self._complement()
 
 
 def _english_terms(terms: DataFrame, stops: list[str]) -> DataFrame:
@@ -243,47 +256,74 @@ def product_search_batch(catalog: DataFrame, queries: DataFrame, products: DataF
     # Products per query word; a word that no product holds is rarest of all.
     rarity = F.struct(F.coalesce("n_held", F.lit(0)).alias("n_held"), "word")
 
-    def with_tokens(anchored: DataFrame) -> DataFrame:
-        """``anchored`` (with a ``word``) with each product that holds the word, and its tokens."""
-        return anchored.join(postings, "word")
+    # Every product that holds a query word, once, with each of its names' words. A query then
+    # meets a product once and is judged there whole, so no (query, product) rows are made
+    # distinct, and the small side, the queries, is the one that is broadcast.
+    text = lambda n: F.struct(n.alias("tokens"), _padded(n).alias("text"))
+    named = postings.groupBy("id").agg(F.transform(F.collect_set("tokens"), text).alias("names"), F.collect_set("word").alias("words"))
+    terms = terms.withColumn("text", _padded(F.col("words")))
+    if materialize:
+        named = session.materialize(named)
+    holding = named.select("id", "names", F.explode("words").alias("word"))
+
+    def fits(name: Column, branch: Column) -> Column:
+        return F.forall(branch["terms"], lambda t: F.contains(name["text"], t["text"]) != t["negated"])
 
-    def holds(words: Column) -> Column:
-        return F.contains(_padded(F.col("tokens")), _padded(words))
+    def matched(branches: Column) -> Column:
+        """Whether one of the product's names fits one of ``branches``."""
+        return F.exists("names", lambda n: F.exists(branches, lambda b: fits(n, b)))
 
     branches = terms.groupBy("query_id", "branch").agg(
-        F.collect_list(F.struct("negated", "words")).alias("terms"),
+        F.collect_list(F.struct("negated", "words", "text")).alias("terms"),
         F.sum((~F.col("negated")).cast("int")).alias("n_positive"))
+    open_branches = branches.where(F.col("n_positive") == 0)
+    open_queries = open_branches.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("branch", "terms"))).alias("open"))
     positive = terms.where(~F.col("negated"))
     query_words = positive.groupBy("query_id").agg(F.flatten(F.collect_list("words")).alias("rank_words"))
     word_of = positive.select("query_id", "branch", F.explode("words").alias("word"))
     rarest = (word_of.join(held, "word", "left").groupBy("query_id", "branch")
               .agg(F.min(rarity).alias("r")).select("query_id", "branch", F.col("r.word").alias("word")))
-    wanted = rarest.join(branches, ["query_id", "branch"]).join(query_words, "query_id")
-    fits = F.forall("terms", lambda t: holds(t["words"]) != t["negated"])
-    occurrences = F.aggregate("rank_words", F.lit(0), lambda n, w: n + F.size(F.filter("tokens", lambda x: x == w)))
-    found = (with_tokens(wanted).where(fits)
-             .select("query_id", "id", (occurrences.cast("double") / F.size("tokens")).alias("rank")).distinct())
-
-    open_branches = branches.where(F.col("n_positive") == 0)
-    open_queries = open_branches.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_open"))
-    placed = found.join(open_queries, "query_id", "left_anti").withColumn(
-        "position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rank").desc(), "id")))
-    placed = placed if top is None else placed.where(F.col("position") <= top)
-    matches = placed.join(catalog.select(*SEARCH_COLUMNS), "id")
-
-    # Products that every exclusion-only branch shuts out and no other branch matches.
-    shut_terms = terms.join(open_branches.select("query_id", "branch"), ["query_id", "branch"], "left_semi")
-    shut_words = shut_terms.select("query_id", "branch", "term", "words", F.explode("words").alias("word"))
-    shut = (shut_words.join(held, "word", "left").groupBy("query_id", "branch", "term", "words")
-            .agg(F.min(rarity).alias("r")).select("query_id", "branch", "words", F.col("r.word").alias("word")))
-    shut = with_tokens(shut).where(holds(F.col("words"))).select("query_id", "branch", "id").distinct()
-    excluded = (shut.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n_shut")).join(open_queries, "query_id")
-                .where(F.col("n_shut") == F.col("n_open")).join(found, ["query_id", "id"], "left_anti")
-                .select("query_id", F.col("id").alias("excluded_id")))
-    complement = (asked.join(open_queries, "query_id", "left_semi").join(excluded, "query_id", "left")
-                  .select("query_id", "query", F.lit(True).alias("complement"), "excluded_id"))
+    anchored = rarest.join(branches, ["query_id", "branch"])
+    of_query = anchored.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("branch", "terms"))).alias("all"))
+    wanted = (anchored.join(of_query, "query_id").join(query_words, "query_id").join(open_queries, "query_id", "left_anti")
+              .select("query_id", "word", F.filter("all", lambda b: b["branch"] < F.col("branch")).alias("earlier"),
+                      F.filter("all", lambda b: b["branch"] == F.col("branch")).alias("own"), "all", "rank_words"))
+    # The product counts at the first branch that it fits.
+    found = holding.join(measured(wanted), "word").where(matched(F.col("own")) & ~matched(F.col("earlier")))
+    occurrences = lambda n: F.aggregate("rank_words", F.lit(0), lambda k, w: k + F.size(F.filter(n, lambda x: x == w)))
+    ranks = F.transform(F.filter("names", lambda n: F.exists("all", lambda b: fits(n, b))), lambda n: occurrences(n["tokens"]).cast("double") / F.size(n["tokens"]))
+    found = found.select("query_id", "id", F.explode(F.array_distinct(ranks)).alias("rank"))
+
+    def matches() -> DataFrame:
+        placed = found.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rank").desc(), "id")))
+        placed = placed if top is None else placed.where(F.col("position") <= top)
+        return placed.join(catalog.select(*SEARCH_COLUMNS), "id").select("query_id", *SEARCH_COLUMNS, "rank", "position")
+
+    def complement() -> DataFrame:
+        # Products that every exclusion-only branch shuts out and no other branch matches: looked
+        # for by the words of the query's first such branch, and counted at its first term that shuts.
+        first_open = open_queries.select("query_id", F.col("open")[0].alias("shutting"), "open")
+        shut_terms = first_open.select("query_id", "open", F.array_distinct("shutting.terms").alias("terms")).select(
+            "query_id", "open", "terms", F.posexplode("terms").alias("place", "term"))
+        shut_words = shut_terms.select("query_id", "place", F.explode("term.words").alias("word"))
+        anchors = (shut_words.join(held, "word", "left").groupBy("query_id", "place")
+                   .agg(F.min(rarity).alias("r")).select("query_id", "place", F.col("r.word").alias("word")))
+        shut = (shut_terms.join(anchors, ["query_id", "place"]).join(of_query, "query_id", "left")
+                .select("query_id", "word", "open", F.slice("terms", F.lit(1), F.col("place")).alias("earlier"), F.col("term").alias("own"),
+                        F.coalesce("all", F.array().cast(of_query.schema["all"].dataType)).alias("all")))
+        held_by = lambda term: F.exists("names", lambda n: F.contains(n["text"], term["text"]))
+        shut_out = F.forall("open", lambda b: F.exists(b["terms"], lambda t: held_by(t)))
+        excluded = (holding.join(measured(shut), "word")
+                    .where(held_by(F.col("own")) & ~F.exists("earlier", lambda t: held_by(t)) & shut_out & ~matched(F.col("all")))
+                    .select("query_id", F.col("id").alias("excluded_id")))
+        if materialize:
+            excluded = session.materialize(excluded)
+        open_asked = measured(asked.join(open_queries, "query_id", "left_semi").select("query_id", "query"))
+        none = open_asked.join(excluded.select("query_id").distinct(), "query_id", "left_anti").withColumn("excluded_id", F.lit(None).cast(excluded.schema["excluded_id"].dataType))
+        return (excluded.join(open_asked, "query_id").unionByName(none)
+                      .select("query_id", "query", F.lit(True).alias("complement"), "excluded_id"))
 
     short = F.coalesce(F.length("query") < MIN_QUERY_LENGTH, F.lit(True))
     rejected = (queries.join(branches.select("query_id"), "query_id", "left_anti")
                 .select("query_id", "query", F.when(short, "too_short").otherwise("no_words").alias("reason")))
-    return BatchSearch(matches.select("query_id", *SEARCH_COLUMNS, "rank", "position"), complement, rejected)
+    return BatchSearch(matches, complement, rejected)

@@ -57,3 +57,13 @@ def test_small_update_and_search_touch_their_words_only(spark, tmp_path, monkeyp
         index.update(spark.createDataFrame([(3, "a5 b9")], "id bigint, name string"))
         written[rows] = sum(f.stat().st_size for f in Path(root, "postings", "v=1").rglob("*.parquet"))
     assert written[8_000] < 2 * written[2_000]
+
+
+def test_no_query_product_rows_are_exchanged_to_judge_them(spark):
+    catalog = _catalog(spark, {1: "red hat", 2: "blue hat", 3: "red gear"})
+    queries = spark.createDataFrame([("a", "red or hat"), ("b", "-red -hat"), ("b", "-red -hat")], "query_id string, query string")
+    found = S.product_search_batch(catalog, queries)
+    assert sorted((r.id, r.position) for r in found.matches.collect()) == [(1, 1), (2, 2), (3, 3)]
+    assert sorted((r.query_id, r.excluded_id) for r in found.complement.collect()) == [("b", 1)] * 2 + [("b", 2)] * 2 + [("b", 3)] * 2
+    plan = found.matches._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [query_id" not in plan
