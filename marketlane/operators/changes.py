@@ -100,11 +100,17 @@ def insert_rows(target: DataFrame, batch: DataFrame, unique: list[str] | None =
     fk_ok = F.col("_w_fk_ok")
     if unique:
         key_nn = _all([F.col(k).isNotNull() for k in unique])
-        b = _key_present(b, target, unique, "_w_taken", batch)
+        asked = batch.where(key_nn).select(*unique)
+        many = many_keys(asked, unique)
+        if many:
+            b = materialize(b)      # read twice below: its foreign keys are looked up once
+        held = (target.select(*unique) if many else cut_to_keys(target.select(*unique), asked, unique)).where(key_nn)
+        # One aggregate says of each key whether the table has it, and who claims it first.
+        claims = b.where(fk_ok & key_nn).select(*unique, "seq", F.lit(None).cast("boolean").alias("_w_taken"))
+        facts = (claims.unionByName(held.select(*unique, F.lit(None).cast(b.schema["seq"].dataType).alias("seq"), F.lit(True).alias("_w_taken")))
+                 .groupBy(*unique).agg(F.min("seq").alias("_w_first"), F.max("_w_taken").alias("_w_taken")))
+        b = b.join(facts.hint("merge") if many else facts, unique, "left")
         taken = F.col("_w_taken").isNotNull()
-        first = (b.where(fk_ok & ~taken & key_nn).groupBy(*unique)
-                 .agg(F.min("seq").alias("_w_first")))
-        b = b.join(first, unique, "left")
         seq, first_seq = F.col("seq"), F.col("_w_first")
         outcome = (F.when(~fk_ok, F.when(key_nn & (taken | (first_seq < seq)), F.lit(CONFLICT))
                           .otherwise(F.lit(FOREIGN_KEY_VIOLATION)))
