@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_valid_email
+from ..session import materialize
 
 ADDRESS_COLUMNS = ["id", "customer_id", "area_code", "first_address_line", "second_address_line",
                    "state", "country_id"]
@@ -142,8 +143,9 @@ def account_intake(tables, batch: DataFrame):
     from .admin import GROUP_STRIDE
     from .changes import GroupPart, insert_groups, trim_columns
 
-    b = trim_columns(batch.select("seq", "email", "account_table"), ["email"])
-    b = b.withColumn("_a_ok", is_valid_email(F.col("email")))
+    # Every step below reads the checked batch: the pattern is tried once a request, by all tasks.
+    b = trim_columns(batch.select("seq", "email", "account_table").repartition("seq"), ["email"])
+    b = materialize(b.withColumn("_a_ok", is_valid_email(F.col("email"))))
     good = b.where(F.col("_a_ok"))
     acc = tables.accounts
     acc_max = acc.select(F.coalesce(F.max("id"), F.lit(0))).scalar()

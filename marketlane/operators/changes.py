@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.outcomes import CONFLICT, DOES_NOT_EXIST, FOREIGN_KEY_VIOLATION, OK
 from ..functions.text import trim_text
 from ..session import materialize
-from .joins import cut_if_few, cut_to_keys, few_keys, is_few, many_keys
+from .joins import cut_if_few, cut_to_keys, few_keys, is_few, many_keys, sized
 from .unique import unique_conflicts
 
 
@@ -251,95 +251,85 @@ def insert_groups(parts: list[GroupPart], checkpoint: bool = True):
        already in the table, or whose key repeats an earlier row of its own
        group. Such groups are rejected whatever happens and never take a key.
     2. Among the other groups, acceptance is the greedy "first claimant wins"
-       over shared keys, settled in rounds: a group with no earlier undecided
-       group on any of its keys is accepted, and the groups that share a key
-       with it are rejected in the same round. Each round settles at least the
-       earliest undecided group, and rounds go on until none is left; for orders
-       unrelated to the keys their number grows only polylogarithmically with
-       the number of groups.
+       over shared keys. A group that shares none is accepted. The rest is settled
+       in rounds: a group with no earlier undecided group on any of its keys is
+       accepted, and the groups that share a key with it are rejected in the same
+       round. Each round settles at least the earliest undecided group, and rounds go
+       on until none is left; for orders unrelated to the keys their number grows
+       only polylogarithmically with the number of groups.
     3. With the accepted set known, every group's outcome is its first failing
        row: CONFLICT when the key is taken (table, an earlier accepted group, or
        an earlier row of the group), else FOREIGN_KEY_VIOLATION.
 
-    Each round's state is checkpointed to the shared checkpoint folder, so the
-    lineage stays one round deep. Both sides of every join grow with the batch, and the
-    planner takes a compressed file for a small table: the joins are marked sort-merge, so
-    no batch is broadcast through the driver. Returns (tables: dict name -> DataFrame,
-    group outcomes ``group_id``, ``outcome``).
+    What is known of the rows is summed up once per (group, key) and once per group, and
+    written to the shared checkpoint folder, as is each round's state, so the lineage
+    stays one round deep. A side is broadcast where its measured size allows it; the
+    planner takes a compressed file for a small table, so the other joins are marked
+    sort-merge, and no batch is broadcast through the driver. Returns (tables: dict
+    name -> DataFrame, group outcomes ``group_id``, ``outcome``).
     """
-    order = None
-    for p in parts:
-        g = p.rows.groupBy("group_id").agg(F.min("seq").alias("_w_order"))
-        order = g if order is None else order.unionByName(g)
-    order = order.groupBy("group_id").agg(F.min("_w_order").alias("_w_order"))
+    hold = materialize if checkpoint else (lambda df: df)
 
     # Step 1: per-row static facts; keyed rows carry a tagged key so all parts
     # share one key space.
-    judged_rows = []
-    keyed = []
+    all_rows = None
     for i, p in enumerate(parts):
-        rows = _with_fk_checks(p.rows.join(order.hint("merge"), "group_id"), p.fks)
+        rows = _with_fk_checks(p.rows.where("group_id is not null"), p.fks)
+        key, taken = F.lit(None).cast("string"), F.lit(False)
         if p.unique:
             key_nn = _all([F.col(k).isNotNull() for k in p.unique])
-            rows = _key_present(rows, p.target, p.unique, "_w_taken")
-            own_first = (rows.where(key_nn).groupBy("group_id", *p.unique)
-                         .agg(F.min("seq").alias("_w_own_first")))
-            rows = rows.join(own_first.hint("merge"), ["group_id", *p.unique], "left")
-            kcol = F.when(key_nn, F.to_json(F.struct(F.lit(i).alias("part"),
-                                                     *[F.col(k) for k in p.unique])))
-            rows = rows.select("group_id", "seq", "_w_order", "_w_fk_ok", kcol.alias("_w_key"),
-                               (key_nn & (F.col("_w_taken").isNotNull()
-                                          | (F.col("_w_own_first") < F.col("seq")))).alias("_w_static_conflict"))
-        else:
-            rows = rows.select("group_id", "seq", "_w_order", "_w_fk_ok", F.lit(None).cast("string").alias("_w_key"),
-                               F.lit(False).alias("_w_static_conflict"))
-        judged_rows.append(rows)
-    all_rows = judged_rows[0]
-    for r in judged_rows[1:]:
-        all_rows = all_rows.unionByName(r)
-    if checkpoint:
-        all_rows = materialize(all_rows)
-    static_fail = (all_rows.where(~F.col("_w_fk_ok") | F.col("_w_static_conflict"))
-                   .select("group_id").distinct())
-    cand_keys = (all_rows.where(F.col("_w_key").isNotNull())
-                 .join(static_fail.hint("merge"), "group_id", "left_anti")
-                 .select("group_id", "_w_order", "_w_key").distinct())
-    undecided = order.join(static_fail.hint("merge"), "group_id", "left_anti")
-    accepted = None  # group_id, _w_order
-
-    # Step 2: rounds over the groups that can still be accepted.
-    while not undecided.isEmpty():
-        u_keys = cand_keys.join(undecided.select("group_id").hint("merge"), "group_id", "left_semi")
-        first = u_keys.groupBy("_w_key").agg(F.min("_w_order").alias("_w_first"))
-        blocked = (u_keys.join(first.hint("merge"), "_w_key").where(F.col("_w_first") < F.col("_w_order"))
-                   .select("group_id").distinct())
-        ready = undecided.join(blocked.hint("merge"), "group_id", "left_anti")
+            rows = _key_present(rows, p.target, p.unique, "_w_taken", p.rows)
+            key = F.when(key_nn, F.to_json(F.struct(F.lit(i).alias("part"), *[F.col(k) for k in p.unique])))
+            taken = key_nn & F.col("_w_taken").isNotNull()
+        rows = rows.select("group_id", "seq", "_w_fk_ok", key.alias("_w_key"), taken.alias("_w_taken"))
+        all_rows = rows if all_rows is None else all_rows.unionByName(rows)
+    all_rows = hold(all_rows)
+
+    seq, order = F.col("seq"), F.col("_w_order")
+    keys = (all_rows.where("_w_key is not null").groupBy("group_id", "_w_key")
+            .agg(F.min("seq").alias("_w_key_seq"), F.max("seq").alias("_w_key_last")))
+    keys = hold(keys)
+    again = keys.where("_w_key_last > _w_key_seq").select("group_id", "_w_key", "_w_key_seq")
+    repeated = (all_rows.join(sized(again), ["group_id", "_w_key"]).where(seq > F.col("_w_key_seq"))
+                .groupBy("group_id").agg(F.min("seq").alias("_w_again_seq")))
+    groups = all_rows.groupBy("group_id").agg(F.min("seq").alias("_w_order"), F.min(F.when(~F.col("_w_fk_ok"), seq)).alias("_w_fk_seq"),
+                                              F.min(F.when(F.col("_w_taken"), seq)).alias("_w_taken_seq"))
+    groups = hold(groups.join(sized(repeated), "group_id", "left")
+                  .withColumn("_w_own_seq", F.least("_w_taken_seq", "_w_again_seq")).drop("_w_taken_seq", "_w_again_seq"))
+    fair = F.col("_w_fk_seq").isNull() & F.col("_w_own_seq").isNull()
+
+    # Step 2: only keys of several groups decide anything between groups.
+    shared = sized(keys.groupBy("_w_key").agg(F.count(F.lit(1)).alias("_w_n")).where("_w_n > 1").select("_w_key"))
+    shared_keys = hold(keys.join(shared, "_w_key", "left_semi").select("group_id", "_w_key", "_w_key_seq")
+                       .join(groups.select("group_id", "_w_order", fair.alias("_w_fair")).hint("merge"), "group_id"))
+    claims = shared_keys.where("_w_fair").select("group_id", "_w_order", "_w_key")
+    accepted = hold(groups.where(fair).select("group_id", "_w_order")
+                    .join(claims.select("group_id").hint("merge"), "group_id", "left_anti"))
+    settled = None  # accepted ones that share a key: group_id, _w_order
+    while not claims.isEmpty():
+        first = sized(claims.groupBy("_w_key").agg(F.min("_w_order").alias("_w_first")))
+        ready = (claims.join(first, "_w_key").groupBy("group_id", "_w_order")
+                 .agg(F.max(F.col("_w_first") < order).alias("_w_late")).where("not _w_late").select("group_id", "_w_order"))
+        ready = hold(ready)
+        settled = ready if settled is None else settled.unionByName(ready)
         # Groups that share a key with one accepted now are rejected in the same round.
-        held = u_keys.join(ready.select("group_id").hint("merge"), "group_id", "left_semi").select("_w_key").distinct()
-        met = u_keys.join(held.hint("merge"), "_w_key", "left_semi").select("group_id").distinct()
-        new_acc = ready.select("group_id", "_w_order")
-        accepted = new_acc if accepted is None else accepted.unionByName(new_acc)
-        undecided = (undecided.join(ready.select("group_id").hint("merge"), "group_id", "left_anti")
-                     .join(met.hint("merge"), "group_id", "left_anti"))
-        if checkpoint:
-            accepted = materialize(accepted)
-            undecided = materialize(undecided)
-
-    spark = order.sparkSession
-    if accepted is None:
-        accepted = spark.createDataFrame([], "group_id bigint, _w_order bigint")
+        held = sized(claims.join(sized(ready.select("group_id")), "group_id", "left_semi").select("_w_key").distinct())
+        met = claims.join(held, "_w_key", "left_semi").select("group_id").distinct()
+        claims = hold(claims.join(met.hint("merge"), "group_id", "left_anti"))
+    if settled is not None:
+        accepted = accepted.unionByName(settled)
 
     # Step 3: outcomes from the accepted set.
-    acc_keys = (cand_keys.join(accepted.select("group_id").hint("merge"), "group_id", "left_semi")
-                .select("_w_key", F.col("_w_order").alias("_w_acc_order")))
-    rows = all_rows.join(acc_keys.hint("merge"), "_w_key", "left")
-    taken_by_earlier = F.col("_w_acc_order").isNotNull() & (F.col("_w_acc_order") < F.col("_w_order"))
-    fail = (F.when(F.col("_w_static_conflict") | taken_by_earlier, F.lit(CONFLICT))
-            .when(~F.col("_w_fk_ok"), F.lit(FOREIGN_KEY_VIOLATION)))
-    rows = rows.withColumn("_w_fail", fail)
-    decided = (rows.groupBy("group_id")
-               .agg(F.min_by(F.col("_w_fail"), F.when(F.col("_w_fail").isNotNull(), F.col("seq"))).alias("_w_f"))
-               .select("group_id", F.coalesce("_w_f", F.lit(OK)).alias("outcome")))
+    decided = groups.withColumn("_w_late_seq", F.lit(None).cast(groups.schema["_w_order"].dataType))
+    if settled is not None:
+        winners = (shared_keys.join(sized(settled.select("group_id")), "group_id", "left_semi")
+                   .select("_w_key", F.col("_w_order").alias("_w_acc_order")))
+        late = (shared_keys.join(sized(winners), "_w_key").where(F.col("_w_acc_order") < order)
+                .groupBy("group_id").agg(F.min("_w_key_seq").alias("_w_late_seq")))
+        decided = groups.join(late.hint("merge"), "group_id", "left")
+    conflict, missing = F.least("_w_own_seq", "_w_late_seq"), F.col("_w_fk_seq")
+    decided = decided.select("group_id", F.when(conflict.isNotNull() & (missing.isNull() | (conflict <= missing)), F.lit(CONFLICT))
+                             .when(missing.isNotNull(), F.lit(FOREIGN_KEY_VIOLATION)).otherwise(F.lit(OK)).alias("outcome"))
     ok_groups = accepted.select("group_id")
     tables = {}
     for p in parts:

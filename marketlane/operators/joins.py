@@ -41,6 +41,14 @@ def measured(side: DataFrame) -> DataFrame:
     return F.broadcast(held) if fits else held
 
 
+def sized(side: DataFrame) -> DataFrame:
+    """``side``, written once: marked for broadcast if it is within the limits, else for a
+    sort-merge join, as the planner may take a large one for small."""
+    held = materialize(side)
+    marked = measured(held)
+    return held.hint("merge") if marked is held else marked
+
+
 def few_keys(batch: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
     """The distinct values (numbers) of each of ``columns`` in ``batch``, each marked for
     broadcast if it is within the limits: one pass counts them all."""

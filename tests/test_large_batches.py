@@ -2,7 +2,7 @@
 
 import pytest
 
-from marketlane.operators import changes, joins
+from marketlane.operators import accounts, changes, joins
 
 
 @pytest.fixture
@@ -24,3 +24,22 @@ def test_insert_rows_sorts_a_large_batch_once(spark, no_broadcast):
     assert plan(out).count("Sort [") <= 2
     assert {r.seq: r.outcome for r in out.collect()} == {
         1: "CONFLICT", 2: "FOREIGN_KEY_VIOLATION", 3: "OK", 4: "CONFLICT", 5: "CONFLICT", 6: "OK", 7: "FOREIGN_KEY_VIOLATION", 8: "OK", 9: "CONFLICT"}
+
+
+class Accounts:
+    def __init__(self, spark):
+        self.accounts = spark.createDataFrame([(1, "a@x.org")], "id bigint, email string")
+        self.customer_accounts = spark.createDataFrame([(1, 1)], "id bigint, account_id bigint")
+        self.staff_accounts = spark.createDataFrame([], "id bigint, account_id bigint, account_table string")
+
+
+@pytest.mark.parametrize("rows", [0, 500_000])
+def test_account_intake_checks_each_request_once(spark, monkeypatch, rows):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", rows)
+    emails = ["a@x.org", " b@x.org", "nobody", "b@x.org ", "c@x.org", "b@x.org", None]
+    batch = spark.createDataFrame([(i, e, "customer_accounts") for i, e in enumerate(emails, 1)], "seq bigint, email string, account_table string")
+    tables, out = accounts.account_intake(Accounts(spark), batch)
+    assert "rlike" not in plan(out).lower()      # the pattern is not tried again for each step that reads the batch
+    assert {r.seq: r.outcome for r in out.collect() if r.seq < 7} == {
+        1: "CONFLICT", 2: "OK", 3: "INVALID_EMAIL", 4: "CONFLICT", 5: "OK", 6: "CONFLICT"}
+    assert sorted(r.email for r in tables["accounts"].collect()) == ["a@x.org", "b@x.org", "c@x.org"]
