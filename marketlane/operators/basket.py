@@ -17,6 +17,10 @@ the customer's last clear": two running ``last`` scans, no loop and no pairing
 of clears with products. A clear finds a non-empty basket exactly when the
 successful adds minus successful removes since the previous clear are > 0: one
 aggregate per (customer, clear epoch).
+
+A basket row whose product no change names needs no scan: it stays unless its customer
+clears, and counts as one present row until the customer's first clear. These rows,
+most of a large basket, are only split off, counted and cut by the clears.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..functions.outcomes import CONFLICT, DOES_NOT_EXIST, FOREIGN_KEY_VIOLATION, OK
 from .. import session
-from .joins import few_keys
+from .joins import few_keys, many_keys
 from .scan import Running, running
 
 REJECTED = "REJECTED"
@@ -68,12 +72,16 @@ def basket_fold(basket: DataFrame, changes: DataFrame, products: DataFrame | Non
     Returns the changes with ``outcome`` and the final basket. ``products`` and
     ``customers`` (``id`` columns) enable the FK check on add; they are first cut
     to the ids of the changes. With ``materialize`` the changes, the judged change
-    rows and the last-clear scan, which several outputs read, are checkpointed once
-    to the shared checkpoint folder. ``ranges``: see ``scan.running``.
+    rows, the last-clear scan and the marked basket, which several outputs read, are
+    checkpointed once to the shared checkpoint folder. ``ranges``: see ``scan.running``.
     """
     if materialize:
         changes = session.materialize(changes)
     ev = basket_change_filter(changes)
+    basket = _named(basket, changes)
+    if materialize:
+        basket = session.materialize(basket)
+    rest = basket.where(~F.col("_b_named"))
     fk_ok = F.lit(True)
     parents = {c: t for c, t in (("product_id", products), ("customer_id", customers)) if t is not None}
     for column, asked in few_keys(ev, list(parents)).items():
@@ -91,7 +99,7 @@ def basket_fold(basket: DataFrame, changes: DataFrame, products: DataFrame | Non
                            F.lit(False).alias("_b_open"),
                            F.when(flag.isNotNull(), F.struct(F.col("seq").alias("s"), flag.alias("f")))
                            .alias("_b_flag")))
-    opening = basket.select(
+    opening = basket.where("_b_named").select(
         F.lit(OPENING_SEQ).cast("bigint").alias("seq"), "customer_id", "product_id",
         F.lit("open").alias("op"), F.col("quantity").cast("bigint").alias("quantity"),
         F.lit(True).alias("_b_valid"), F.lit(True).alias("_b_fk"), F.lit(True).alias("_b_open"),
@@ -128,7 +136,9 @@ def basket_fold(basket: DataFrame, changes: DataFrame, products: DataFrame | Non
         judged_pairs = session.materialize(judged_pairs)
 
     # A clear finds a non-empty basket when the net adds since the previous clear are > 0.
-    net = (judged_pairs.groupBy("customer_id", "_b_epoch").agg(F.sum("_b_delta").alias("_b_net")))
+    unnamed = rest.select("customer_id", F.lit(OPENING_SEQ).cast("bigint").alias("_b_epoch"), F.lit(1).alias("_b_delta"))
+    net = (judged_pairs.select("customer_id", "_b_epoch", "_b_delta").unionByName(unnamed)
+           .groupBy("customer_id", "_b_epoch").agg(F.sum("_b_delta").alias("_b_net")))
     clear_rows = (k.where(F.col("_b_op") == "clear")
                   .withColumn("_b_epoch", F.coalesce(F.col("_b_k"), F.lit(OPENING_SEQ)))
                   .join(net, ["customer_id", "_b_epoch"], "left")
@@ -153,4 +163,21 @@ def basket_fold(basket: DataFrame, changes: DataFrame, products: DataFrame | Non
              .where(F.col("_b_fin")["f"] & (F.col("_b_kfin").isNull() | (F.col("_b_fin")["s"] > F.col("_b_kfin"))))
              .join(final_qty, ["customer_id", "product_id"], "left")
              .select("customer_id", "product_id", F.col("quantity").cast("bigint").alias("quantity")))
-    return BasketFold(outcomes, final)
+    kept = (rest.join(_marked(changes.where(op == "clear"), ["customer_id"]), "customer_id", "left_anti")
+            .groupBy("customer_id", "product_id").agg(F.max("quantity").cast("bigint").alias("quantity")))
+    return BasketFold(outcomes, final.unionByName(kept))
+
+
+def _marked(changes: DataFrame, key: list[str]) -> DataFrame:
+    """The distinct keys of ``changes``, for a broadcast where they are few, else a sort-merge join."""
+    keys = changes.select(*key).dropna().distinct()
+    return keys.hint("merge") if many_keys(changes, key) else F.broadcast(keys)
+
+
+def _named(basket: DataFrame, changes: DataFrame) -> DataFrame:
+    """``basket`` with ``_b_named``: whether a change names the row's customer and product,
+    or one of the two is not known."""
+    key = ["customer_id", "product_id"]
+    named = _marked(changes.where(F.col("op") != "clear"), key).withColumn("_b_hit", F.lit(True))
+    some = F.col("_b_hit").isNotNull() | F.col("customer_id").isNull() | F.col("product_id").isNull()
+    return basket.join(named, key, "left").select(*key, "quantity", some.alias("_b_named"))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from marketlane.operators import accounts, changes, joins
+from marketlane.operators import accounts, basket, changes, joins
 
 
 @pytest.fixture
@@ -43,3 +43,20 @@ def test_account_intake_checks_each_request_once(spark, monkeypatch, rows):
     assert {r.seq: r.outcome for r in out.collect() if r.seq < 7} == {
         1: "CONFLICT", 2: "OK", 3: "INVALID_EMAIL", 4: "CONFLICT", 5: "OK", 6: "CONFLICT"}
     assert sorted(r.email for r in tables["accounts"].collect()) == ["a@x.org", "b@x.org", "c@x.org"]
+
+
+@pytest.mark.parametrize("rows", [0, 500_000])
+def test_basket_rows_that_no_change_names_are_not_scanned(spark, monkeypatch, rows):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", rows)
+    scanned, running = [], basket.running
+    monkeypatch.setattr(basket, "running", lambda df, keys, *a, **b: scanned.append((len(keys), df.count())) or running(df, keys, *a, **b))
+    held = spark.createDataFrame([(c, p, c + p) for c in range(4) for p in range(50)], "customer_id bigint, product_id bigint, quantity bigint")
+    log = spark.createDataFrame([(1, 0, 3, "update", 9), (2, 1, None, "clear", 1), (3, 1, None, "clear", 1), (4, 1, 7, "add", 2), (5, 2, 60, "add", 1), (6, 3, 4, "remove", 1), (7, 5, 4, "clear", 1)],
+                                "seq bigint, customer_id bigint, product_id bigint, op string, quantity bigint")
+    res = basket.basket_fold(held, log)
+    assert {r.seq: r.outcome for r in res.outcomes.collect()} == {1: "OK", 2: "OK", 3: "DOES_NOT_EXIST", 4: "OK", 5: "OK", 6: "OK", 7: "DOES_NOT_EXIST"}
+    want = {(c, p): c + p for c in (0, 2, 3) for p in range(50)} | {(0, 3): 9, (1, 7): 2, (2, 60): 1}
+    del want[3, 4]
+    got = res.basket.collect()
+    assert {(r.customer_id, r.product_id): r.quantity for r in got} == want and len(got) == len(want)
+    assert [n for keys, n in scanned if keys == 2] == [4 + 3]      # four changes of products, and the rows (0, 3), (1, 7), (3, 4)
