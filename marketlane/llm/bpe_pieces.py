@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 
 from .arrays import ranges
 
-PIECE_SLICE = 2_000_000    # bytes of text cut at a time: repeated pieces are looked up once
-CACHE_PIECES = 400_000    # distinct pieces kept per Python worker, some 10 MB; then those of the last slice only
+PIECE_SLICE = 500_000      # bytes of text cut at a time: repeated pieces are looked up once
+CACHE_PIECES = 100_000    # distinct pieces kept per Python worker, some 3 MB; then those of the last slice only
 OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
 PIECES_A_CALL = 10_000    # new pieces given to the library at once
 # First bytes, after the blank, of a piece that may be white space: ASCII blanks, and what leads the other blanks.

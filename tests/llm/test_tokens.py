@@ -136,3 +136,18 @@ def test_queries(session):
     assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start:r.start + r.length].tobytes()) for r in pieces)
     assert sum(r.length for r in pieces) == at
     assert q["op1_best_fit_packing"](session, SF).agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+
+
+def test_encoding_a_batch_holds_little_memory():
+    """A Python worker encodes beside the executor's heap: what it holds does not grow with the batch."""
+    import tracemalloc
+
+    encoder = bpe_pieces.IdEncoder(PATH)
+    batch = pa.record_batch({"text": pa.array([" ".join(f"w{i * k % 977} of {k}" for i in range(400)) for k in range(900)])})
+    assert batch.nbytes > 2_500_000
+    tracemalloc.start()
+    for _, data, offsets in arrays.slices(batch, "text", packing.PIECE_SLICE):
+        ids, bounds = encoder.encode(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25_000_000      # 43 MB with slices of 2 MB, 11 MB with those of 500 kB
